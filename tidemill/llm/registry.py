@@ -38,11 +38,11 @@ WITH dw AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(list_slice(w, s, s + least(len(w), 10) - 1), ' ') AS k
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS s FROM iw WHERE len(w) > 0)
 ), widths AS (SELECT DISTINCT n FROM win),
-at AS (
+spot AS (
   SELECT doc_id, n, s, array_to_string(list_slice(w, s, s + n - 1), ' ') AS k
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM dw, widths WHERE len(w) >= n)
 ), hit AS (
-  SELECT at.doc_id, at.s, at.n, win.item_id FROM at JOIN win USING (n, k)
+  SELECT spot.doc_id, spot.s, spot.n, win.item_id FROM spot JOIN win USING (n, k)
 ), words AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id
 ), items AS (
