@@ -3,7 +3,9 @@
 Only documents carry labels.  Every sentence gets a logistic score from its words and word beginnings, and a
 document is toxic unless all its sentences are not: P = 1 - prod(1 - p) (noisy-or).  The likelihood of the
 document labels trains the sentence scores, which then tell where a document offends.  A run of more than
-``SENTENCE_WORDS`` words without an end mark counts as several sentences.
+``SENTENCE_WORDS`` words without an end mark counts as several sentences; sentences that begin within the same
+``LEAST_WORDS`` words of a document count as one, so that shouted single words do not add up; a word that
+follows itself counts once.
 
 Edge cases: a null, empty or wordless text has no sentences, so P is 0 before calibration; with one class or
 none among the labels the score is the share of label 1 (0 without labels); whole texts are used; repeated rows are
@@ -22,8 +24,9 @@ from pyspark.sql import functions as F
 from .bytetext import LOWER, U, Words, chunks
 from .labelled import held_out, sample
 
-BITS, PREFIX, SENTENCE_WORDS = 18, 5, 40
-SAMPLE_ROWS, SAMPLE_BYTES = 8000, 32 << 20
+BITS, PREFIX, SENTENCE_WORDS, LEAST_WORDS = 18, 4, 40, 8
+FEATURES = (2 << BITS) + 1  # the last stands for a repeated word and has no weight
+SAMPLE_ROWS, SAMPLE_BYTES = 12000, 40 << 20
 IS_WORD = np.zeros(256, dtype=bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
 IS_END = np.zeros(256, dtype=bool)
@@ -39,6 +42,9 @@ class Sentences:
         self.word = (words.hashes >> shift).view(np.int64)
         self.prefix = (words.prefixes >> shift).view(np.int64) + (1 << BITS)
         n = len(self.word)
+        if n:
+            again = np.flatnonzero(words.hashes[1:] == words.hashes[:-1]) + 1
+            self.word[again] = self.prefix[again] = FEATURES - 1
         ends = np.cumsum(IS_END[LOWER[data]]) if len(data) else np.zeros(0, np.int64)
         part = ends[words.starts] if n else np.zeros(0, np.int64)
         doc = np.repeat(np.arange(len(offsets) - 1), np.diff(words.bounds))
@@ -46,7 +52,11 @@ class Sentences:
         new[1:] = (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])
         start = np.flatnonzero(new)
         within = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
-        self.starts = np.flatnonzero(within % SENTENCE_WORDS == 0)
+        cut = np.flatnonzero(within % SENTENCE_WORDS == 0)
+        grid = (cut - words.bounds[doc[cut]]) // LEAST_WORDS
+        first = np.ones(len(cut), dtype=bool)
+        first[1:] = (grid[1:] != grid[:-1]) | (doc[cut][1:] != doc[cut][:-1])
+        self.starts = cut[first]
         self.doc = doc[self.starts]
         self.begin, self.end = words.starts[self.starts], words.ends[np.append(self.starts[1:], n) - 1] if n else words.starts
         self.docs = len(offsets) - 1
@@ -86,13 +96,14 @@ def as_run(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def train(batches: list[tuple[Sentences, np.ndarray]], epochs: int = 12, rate: float = 0.5, l1: float = 2e-4, least: int = 4) -> tuple[np.ndarray, float]:
     """Adagrad with an l1 step on the noisy-or likelihood; features of fewer than ``least`` documents stay 0."""
-    size = 2 << BITS
+    size = FEATURES
     seen = np.zeros(size, dtype=np.int64)
     for s, _ in batches:
         owner = np.repeat(s.doc, np.diff(np.append(s.starts, len(s.word))))
         for f in (s.word, s.prefix):
             seen += np.bincount(np.unique(owner * size + f) % size, minlength=size)
     live = seen >= least
+    live[-1] = False
     w, g2, bias, b2 = np.zeros(size), np.full(size, 1e-6), -4.0, 1e-6
     for _ in range(epochs):
         for s, y in batches:
@@ -118,7 +129,7 @@ def fit(rows: list[tuple[str, object]], batch: int = 256) -> Model:
     y = np.array([int(v) for _, v in rows], dtype=np.float64)
     if len(set(y.tolist())) < 2:
         share = np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6)
-        return Model(np.zeros(2 << BITS), -30.0, 0.0, float(np.log(share / (1 - share))))
+        return Model(np.zeros(FEATURES), -30.0, 0.0, float(np.log(share / (1 - share))))
     last = np.arange(len(rows)) % 5 == 4
     if len(set(y[last].tolist())) < 2 or len(set(y[~last].tolist())) < 2:
         last = np.zeros(len(rows), dtype=bool)
