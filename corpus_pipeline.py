@@ -1,11 +1,65 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline over ``documents``: filters, near-duplicates, decontamination, packing.
 
-STAGES = []
+Each stage is a function of (spark, docs, sf_dir) that calls one operator on all that its predecessor kept; its
+result is written as Parquet and read again as the next one's ``docs``.  Rows with a null text go through like
+empty ones.  A stage that decides by id drops every row of that id; rows without an id are never dropped by one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemill.llm.decontaminate import decontaminate
+from tidemill.llm.neardup import near_duplicates
+from tidemill.llm.quality import score_quality
+from tidemill.llm.registry import packed
+from tidemill.llm.storage import materialize, read_table
+from tidemill.llm.toxicity import score_toxicity
+
+#: Ids held by a broadcast; beyond, the join is a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is not among ``ids``, which is counted before it may be broadcast."""
+    ids = materialize(ids.select("doc_id").distinct(), "dropped-ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted to be toxic go."""
+    return score_toxicity(docs, docs, read_table(spark, sf_dir, "labels")).filter("predicted = 0").select(docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted to be of low quality go."""
+    return score_quality(docs, docs, read_table(spark, sf_dir, "labels")).filter("predicted = 1").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    return without(docs, near_duplicates(docs).filter(~F.col("kept")))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return without(docs, decontaminate(docs, read_table(spark, sf_dir, "benchmark")).filter("contaminated"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents that are left, each with its place in a sequence."""
+    return packed(docs)
+
+
+STAGES = [("toxicity", toxicity), ("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
+
+#: Trained scores, sketches and tokens have no SQL; the tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

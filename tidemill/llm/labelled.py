@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def bucket(doc_id: Column, modulus: int) -> Column:
@@ -31,3 +34,16 @@ def sample(documents: DataFrame, labels: DataFrame | None, label: str, allowed:
     joined = texts.join(F.broadcast(keys), "doc_id").orderBy(*order, "label", "text").limit(rows)
     used = F.sum(F.octet_length("text")).over(Window.orderBy(*order, "label", "text").rowsBetween(Window.unboundedPreceding, 0))
     return [(r["text"], r["label"]) for r in joined.select("text", "label", used.alias("used")).filter(F.col("used") <= max_bytes).collect()]
+
+
+def scored(documents: DataFrame, added: list[str], later: list[str], scorer: Callable) -> DataFrame:
+    """Run an Arrow scorer over ``documents`` and keep its columns beside the scores.
+
+    The scorer's batches hold the text first and then the columns to pass on.
+    Columns named like one of ``added`` (DDL) or ``later`` are replaced.
+    """
+    taken = {a.split()[0].lower() for a in added} | {x.lower() for x in later}
+    own = [c for c in documents.columns if c.lower() not in taken]
+    kept = documents.select(*own)
+    schema = T.StructType([*kept.schema.fields, *T._parse_datatype_string(", ".join(added)).fields])
+    return kept.select(F.col("text").cast("string").alias("_text"), *own).mapInArrow(scorer, schema)

@@ -7,7 +7,7 @@ at all, into the chance of label 1.
 
 Edge cases: null and empty texts have a difference of 0 and get the calibrated score of that; with one class
 or none among the labels the score is the share of label 1 (0.5 without labels); whole texts are used;
-repeated rows are each reported; other columns are ignored.
+repeated rows are each reported; other columns are kept.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import held_out, sample
+from .labelled import held_out, sample, scored
 
 BLOCK, LEVEL, DICTIONARY = 2048, 3, 64 << 10
 SAMPLE_ROWS, SAMPLE_BYTES = 6000, 32 << 20
@@ -115,25 +115,26 @@ def fit(rows: list[tuple[str, object]]) -> Model:
 
 
 def _score(model: Model):
-    schema = pa.schema([("doc_id", pa.int64()), ("good_bytes", pa.int64()), ("bad_bytes", pa.int64()), ("score", pa.float64())])
+    added = [pa.field("score", pa.float64()), pa.field("good_bytes", pa.int64()), pa.field("bad_bytes", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            schema = pa.schema([*list(batch.schema)[1:], *added])
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                sizes = np.array([model.sizes(t.as_py()) for t in part.column(1)], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes[:, 1].copy()), pa.array(sizes[:, 2].copy()), pa.array(model.scores(sizes))], schema=schema)
+                sizes = np.array([model.sizes(t.as_py()) for t in part.column(0)], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(model.scores(sizes)), pa.array(sizes[:, 1].copy()), pa.array(sizes[:, 2].copy())], schema=schema)
 
     return run
 
 
 def score_quality(documents: DataFrame, training: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """``documents`` (doc_id, text): held_out, score, predicted, good_bytes and bad_bytes of each row.
+    """``documents`` (doc_id, text, ...): its columns with held_out, score, predicted, good_bytes and bad_bytes.
 
     The fit joins ``training`` (doc_id, text) with ``labels`` (doc_id, quality) where crc32(doc_id) mod ``modulus``
-    is not ``remainder``, and takes at most ``sample_rows`` rows and ``sample_bytes``.
+    is not ``remainder``, and takes at most ``sample_rows`` rows and ``sample_bytes``.  Columns of ``documents`` with
+    one of the added names are replaced.
     """
     model = fit(sample(training, labels, "quality", ~held_out(F.col("doc_id"), modulus, remainder), sample_rows, sample_bytes))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = docs.mapInArrow(_score(model), "doc_id long, good_bytes long, bad_bytes long, score double")
-    return got.select("doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "good_bytes", "bad_bytes")
+    got = scored(documents, ["score double", "good_bytes long", "bad_bytes long"], ["held_out", "predicted"], _score(model))
+    return got.withColumns({"held_out": held_out(F.col("doc_id"), modulus, remainder), "predicted": (F.col("score") >= threshold).cast("int")})

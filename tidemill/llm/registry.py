@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .html_text import extract_text
+from .language import identify_language
+from .licenses import scan_licenses
 from .neardup import near_duplicates
 from .neighbours import nearest
 from .packing import pack
+from .quality import score_quality
 from .storage import read_table
 from .token_counts import count_tokens
+from .toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +31,36 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(read_table(spark, sf_dir, "documents"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read_table(spark, sf_dir, "pages"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, docs, read_table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = score_toxicity(docs, docs, read_table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_sentences"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("matches").alias("n_notices"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",").alias("licenses"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["coverage"])), F.lit(0.0)).alias("coverage"),
+        F.get("matches", F.lit(0))["start"].alias("first_start"),
+    )
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -51,7 +86,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op5_token_counts, op9_packing, op10_neighbours)}
+    return {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_language, op4_html_text, op5_token_counts, op6_quality, op7_toxicity, op8_licenses, op9_packing, op10_neighbours)}
 
 
 _OP1 = r"""

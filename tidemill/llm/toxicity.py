@@ -9,7 +9,7 @@ follows itself counts once.
 
 Edge cases: a null, empty or wordless text has no sentences, so P is 0 before calibration; with one class or
 none among the labels the score is the share of label 1 (0 without labels); whole texts are used; repeated rows are
-each reported; other columns are ignored.
+each reported; other columns are kept.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import LOWER, U, Words, chunks
-from .labelled import held_out, sample
+from .labelled import held_out, sample, scored
 
 BITS, PREFIX, SENTENCE_WORDS, LEAST_WORDS = 18, 4, 40, 8
 FEATURES = (2 << BITS) + 1  # the last stands for a repeated word and has no weight
@@ -152,38 +152,39 @@ def fit(rows: list[tuple[str, object]], batch: int = 256) -> Model:
     return model
 
 
-def _score(model: Model, place: bool):
+SPANS = "array<struct<start: int, end: int, score: double>>"
+
+
+def _score(model: Model):
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())] + ([("spans", pa.list_(span))] if place else []))
+    added = [pa.field("score", pa.float64()), pa.field("spans", pa.list_(span))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in chunks(batch.column(1)):
+            schema = pa.schema([*list(batch.schema)[1:], *added])
+            for lo, hi, data, offsets in chunks(batch.column(0)):
                 s = Sentences(data, offsets)
                 z = s.scores(model.weights, model.bias)
-                columns = [batch.column(0).slice(lo, hi - lo), pa.array(model.calibrated(s.log_clean(z)))]
-                if place:
-                    p = sigmoid(z)
-                    hit = np.flatnonzero(p >= 0.5)
-                    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                    begin = points[s.begin[hit]] - points[offsets[s.doc[hit]]]
-                    end = points[s.end[hit]] - points[offsets[s.doc[hit]]]
-                    rows = pa.StructArray.from_arrays([pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(p[hit])], fields=list(span))
-                    cuts = np.searchsorted(s.doc[hit], np.arange(hi - lo + 1)).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(cuts), rows))
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                p = sigmoid(z)
+                hit = np.flatnonzero(p >= 0.5)
+                points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                begin = points[s.begin[hit]] - points[offsets[s.doc[hit]]]
+                end = points[s.end[hit]] - points[offsets[s.doc[hit]]]
+                rows = pa.StructArray.from_arrays([pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(p[hit])], fields=list(span))
+                cuts = np.searchsorted(s.doc[hit], np.arange(hi - lo + 1)).astype(np.int32)
+                kept = [batch.column(k).slice(lo, hi - lo) for k in range(1, batch.num_columns)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(model.calibrated(s.log_clean(z))), pa.ListArray.from_arrays(pa.array(cuts), rows)], schema=schema)
 
     return run
 
 
 def score_toxicity(documents: DataFrame, training: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """``documents`` (doc_id, text): held_out, score, predicted and spans of each row.
+    """``documents`` (doc_id, text, ...): its columns with held_out, score, predicted and spans.
 
     ``spans`` are the sentences with a score of 0.5 or more, in code points.  The fit joins ``training`` (doc_id,
     text) with ``labels`` (doc_id, toxic) where crc32(doc_id) mod ``modulus`` is not ``remainder``, and takes at most
-    ``sample_rows`` rows and ``sample_bytes``.
+    ``sample_rows`` rows and ``sample_bytes``.  Columns of ``documents`` with one of the added names are replaced.
     """
     model = fit(sample(training, labels, "toxic", ~held_out(F.col("doc_id"), modulus, remainder), sample_rows, sample_bytes))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = docs.mapInArrow(_score(model, True), "doc_id long, score double, spans array<struct<start: int, end: int, score: double>>")
-    return got.select("doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
+    got = scored(documents, ["score double", f"spans {SPANS}"], ["held_out", "predicted"], _score(model))
+    return got.withColumns({"held_out": held_out(F.col("doc_id"), modulus, remainder), "predicted": (F.col("score") >= threshold).cast("int")})
