@@ -33,7 +33,9 @@ def sample(documents: DataFrame, labels: DataFrame | None, label: str, allowed:
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     joined = texts.join(F.broadcast(keys), "doc_id").orderBy(*order, "label", "text").limit(rows)
     used = F.sum(F.octet_length("text")).over(Window.orderBy(*order, "label", "text").rowsBetween(Window.unboundedPreceding, 0))
-    return [(r["text"], r["label"]) for r in joined.select("text", "label", used.alias("used")).filter(F.col("used") <= max_bytes).collect()]
+    kept = joined.select("text", "label", used.alias("used")).filter(F.col("used") <= max_bytes).select("text", "label")
+    found = kept.toArrow()  # column buffers: far less memory on the driver than rows
+    return list(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
 
 
 def scored(documents: DataFrame, added: list[str], later: list[str], scorer: Callable) -> DataFrame:

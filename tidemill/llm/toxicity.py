@@ -26,7 +26,7 @@ from .labelled import held_out, sample, scored
 
 BITS, PREFIX, SENTENCE_WORDS, LEAST_WORDS = 18, 4, 40, 8
 FEATURES = (2 << BITS) + 1  # the last stands for a repeated word and has no weight
-SAMPLE_ROWS, SAMPLE_BYTES = 12000, 40 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 8000, 24 << 20
 IS_WORD = np.zeros(256, dtype=bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
 IS_END = np.zeros(256, dtype=bool)
@@ -39,8 +39,8 @@ class Sentences:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         words = Words(data, offsets, IS_WORD, PREFIX)
         shift = U(64 - BITS)
-        self.word = (words.hashes >> shift).view(np.int64)
-        self.prefix = (words.prefixes >> shift).view(np.int64) + (1 << BITS)
+        self.word = (words.hashes >> shift).astype(np.int32)
+        self.prefix = (words.prefixes >> shift).astype(np.int32) + np.int32(1 << BITS)
         n = len(self.word)
         if n:
             again = np.flatnonzero(words.hashes[1:] == words.hashes[:-1]) + 1
@@ -134,7 +134,11 @@ def fit(rows: list[tuple[str, object]], batch: int = 256) -> Model:
     if len(set(y[last].tolist())) < 2 or len(set(y[~last].tolist())) < 2:
         last = np.zeros(len(rows), dtype=bool)
     own = [i for i in range(len(rows)) if not last[i]]
-    batches = [(Sentences(*as_run([rows[i][0] for i in own[a : a + batch]])), y[own[a : a + batch]]) for a in range(0, len(own), batch)]
+    batches = []
+    for a in range(0, len(own), batch):
+        s = Sentences(*as_run([rows[i][0] for i in own[a : a + batch]]))
+        s.begin = s.end = None  # training needs no places
+        batches.append((s, y[own[a : a + batch]]))
     w, bias = train(batches)
     model = Model(w, bias, 1.0, 0.0)
     if last.any():
