@@ -1,9 +1,11 @@
-"""Bounded samples of labelled documents, for the classifiers' fits."""
+"""Bounded samples of labelled documents, and fits on them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +21,7 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(bucket(doc_id, modulus) == remainder, F.lit(False))
 
 
-def sample(documents: DataFrame, labels: DataFrame | None, label: str, allowed: Column, rows: int, max_bytes: int) -> list[tuple[str, object]]:
+def sample(documents: DataFrame, labels: DataFrame | None, label: str, allowed: Column, rows: int, max_bytes: int) -> DataFrame:
     """At most ``rows`` labelled texts of at most ``max_bytes`` in all: (text, label), in a fixed random order.
 
     ``allowed`` is a condition on doc_id.  With ``labels`` the label is that table's column, else one of
@@ -33,9 +35,18 @@ def sample(documents: DataFrame, labels: DataFrame | None, label: str, allowed:
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     joined = texts.join(F.broadcast(keys), "doc_id").orderBy(*order, "label", "text").limit(rows)
     used = F.sum(F.octet_length("text")).over(Window.orderBy(*order, "label", "text").rowsBetween(Window.unboundedPreceding, 0))
-    kept = joined.select("text", "label", used.alias("used")).filter(F.col("used") <= max_bytes).select("text", "label")
-    found = kept.toArrow()  # column buffers: far less memory on the driver than rows
-    return list(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
+    return joined.select("text", "label", used.alias("used")).filter(F.col("used") <= max_bytes).select("text", "label")
+
+
+def fitted(rows: DataFrame, fit: Callable[[list], object]) -> object:
+    """``fit`` of a bounded sample, run in one task; only the model comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(held))], pa.binary())], names=["model"])
+
+    found = rows.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit([])
 
 
 def scored(documents: DataFrame, added: list[str], later: list[str], scorer: Callable) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import U, mix
-from .labelled import held_out, sample
+from .labelled import fitted, held_out, sample
 
 BUCKETS = 1 << 13
 ORDERS = (1, 2, 3)
@@ -71,28 +71,29 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def ftrl(x: np.ndarray, y: np.ndarray, classes: int, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.01, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """FTRL-proximal on sparse rows; the last feature is the bias and is not penalised by l1."""
+Sparse = tuple[np.ndarray, np.ndarray]  # feature numbers and values of one text
+
+
+def ftrl(x: list[Sparse], y: np.ndarray, classes: int, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.01, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """FTRL-proximal on sparse rows; the feature after the last is the bias, which l1 spares."""
     rng = np.random.default_rng(seed)
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    z, n = np.zeros((x.shape[1], classes)), np.zeros((x.shape[1], classes))
+    z, n = np.zeros((BUCKETS + 1, classes)), np.zeros((BUCKETS + 1, classes))
 
     def weights(rows: np.ndarray) -> np.ndarray:
         zr, nr = z[rows], n[rows]
-        one = np.where((rows == x.shape[1] - 1)[:, None], 0.0, l1)
+        one = np.where((rows == BUCKETS)[:, None], 0.0, l1)
         return np.where(np.abs(zr) <= one, 0.0, -(zr - np.sign(zr) * one) / ((beta + np.sqrt(nr)) / alpha + l2))
 
     target = np.eye(classes)
     for _ in range(epochs):
         for i in rng.permutation(len(x)):
-            rows = np.flatnonzero(x[i])
-            v = x[i, rows]
+            rows, v = np.append(x[i][0], BUCKETS), np.append(x[i][1], 1.0)
             w = weights(rows)
             g = v[:, None] * (softmax(v @ w) - target[y[i]])[None, :]
             sigma = (np.sqrt(n[rows] + g * g) - np.sqrt(n[rows])) / alpha
             z[rows] += g - sigma * w
             n[rows] += g * g
-    w = weights(np.arange(x.shape[1]))
+    w = weights(np.arange(BUCKETS + 1))
     return w[:-1].astype(np.float32), w[-1].astype(np.float32)
 
 
@@ -111,15 +112,22 @@ def fit(rows: list[tuple[str, object]]) -> Model:
     classes = sorted({y for _, y in rows})
     if not classes:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
-    raw = np.array([counts(t) for t, _ in rows], dtype=np.float32)
-    df = (raw > 0).sum(axis=0)
+    x = []
+    df = np.zeros(BUCKETS)
+    for t, _ in rows:
+        c = counts(t)
+        held = np.flatnonzero(c)
+        df[held] += 1
+        x.append((held, c[held].astype(np.float32)))
     idf = np.log((1 + len(rows)) / (1 + df)) + 1
-    x = raw * idf
-    x = (x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)).astype(np.float32)
+    for i, (held, c) in enumerate(x):
+        v = c * idf[held]
+        x[i] = held, (v / np.sqrt(v @ v)).astype(np.float32)
     y = np.array([classes.index(c) for _, c in rows])
     last = np.arange(len(rows)) % 8 == 7
-    weights, bias = ftrl(x[~last], y[~last], len(classes)) if (~last).any() else (np.zeros((BUCKETS, len(classes)), np.float32), np.zeros(len(classes), np.float32))
-    temperature = temperature_of(x[last] @ weights + bias, y[last]) if last.sum() >= 8 else 1.0
+    train, rest = [i for i in range(len(rows)) if not last[i]], [i for i in range(len(rows)) if last[i]]
+    weights, bias = ftrl([x[i] for i in train], y[train], len(classes))
+    temperature = temperature_of(np.array([x[i][1] @ weights[x[i][0]] + bias for i in rest]), y[rest]) if len(rest) >= 8 else 1.0
     return Model(classes, idf, weights, bias, temperature)
 
 
@@ -142,7 +150,7 @@ def identify_language(documents: DataFrame, modulus: int = 4, remainder: int = 2
     The fit sees only rows with a label whose crc32(doc_id) mod ``modulus`` is not ``remainder``, at most
     ``sample_rows`` of them and ``sample_bytes``.
     """
-    model = fit(sample(documents, None, "lang", ~held_out(F.col("doc_id"), modulus, remainder), sample_rows, sample_bytes))
+    model = fitted(sample(documents, None, "lang", ~held_out(F.col("doc_id"), modulus, remainder), sample_rows, sample_bytes), fit)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     got = docs.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
     return got.select("doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "lang_pred", "score")

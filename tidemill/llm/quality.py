@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import held_out, sample, scored
+from .labelled import fitted, held_out, sample, scored
 
 BLOCK, LEVEL, DICTIONARY = 2048, 3, 64 << 10
 SAMPLE_ROWS, SAMPLE_BYTES = 6000, 32 << 20
@@ -135,6 +135,6 @@ def score_quality(documents: DataFrame, training: DataFrame, labels: DataFrame,
     is not ``remainder``, and takes at most ``sample_rows`` rows and ``sample_bytes``.  Columns of ``documents`` with
     one of the added names are replaced.
     """
-    model = fit(sample(training, labels, "quality", ~held_out(F.col("doc_id"), modulus, remainder), sample_rows, sample_bytes))
+    model = fitted(sample(training, labels, "quality", ~held_out(F.col("doc_id"), modulus, remainder), sample_rows, sample_bytes), fit)
     got = scored(documents, ["score double", "good_bytes long", "bad_bytes long"], ["held_out", "predicted"], _score(model))
     return got.withColumns({"held_out": held_out(F.col("doc_id"), modulus, remainder), "predicted": (F.col("score") >= threshold).cast("int")})

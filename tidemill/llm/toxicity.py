@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import LOWER, U, Words, chunks
-from .labelled import held_out, sample, scored
+from .labelled import fitted, held_out, sample, scored
 
 BITS, PREFIX, SENTENCE_WORDS, LEAST_WORDS = 18, 4, 40, 8
 FEATURES = (2 << BITS) + 1  # the last stands for a repeated word and has no weight
@@ -64,7 +64,7 @@ class Sentences:
     def scores(self, weights: np.ndarray, bias: float) -> np.ndarray:
         if not len(self.starts):
             return np.zeros(0)
-        return np.add.reduceat(weights[self.word] + weights[self.prefix], self.starts) + bias
+        return np.add.reduceat(weights[self.word].astype(np.float64) + weights[self.prefix], self.starts) + bias
 
     def log_clean(self, z: np.ndarray) -> np.ndarray:
         """log of the product of (1 - p) over each document's sentences."""
@@ -140,6 +140,7 @@ def fit(rows: list[tuple[str, object]], batch: int = 256) -> Model:
         s.begin = s.end = None  # training needs no places
         batches.append((s, y[own[a : a + batch]]))
     w, bias = train(batches)
+    w = w.astype(np.float32)
     model = Model(w, bias, 1.0, 0.0)
     if last.any():
         kept = [i for i in range(len(rows)) if last[i]]
@@ -189,6 +190,6 @@ def score_toxicity(documents: DataFrame, training: DataFrame, labels: DataFrame,
     text) with ``labels`` (doc_id, toxic) where crc32(doc_id) mod ``modulus`` is not ``remainder``, and takes at most
     ``sample_rows`` rows and ``sample_bytes``.  Columns of ``documents`` with one of the added names are replaced.
     """
-    model = fit(sample(training, labels, "toxic", ~held_out(F.col("doc_id"), modulus, remainder), sample_rows, sample_bytes))
+    model = fitted(sample(training, labels, "toxic", ~held_out(F.col("doc_id"), modulus, remainder), sample_rows, sample_bytes), fit)
     got = scored(documents, ["score double", f"spans {SPANS}"], ["held_out", "predicted"], _score(model))
     return got.withColumns({"held_out": held_out(F.col("doc_id"), modulus, remainder), "predicted": (F.col("score") >= threshold).cast("int")})
