@@ -88,7 +88,7 @@ def resolve(mentions: DataFrame, persisted: DataFrame, embed, rules: Resolution
     known = persisted.select("canonical_id", "name", "name_normalized", "type", "mention_count")
     pairs = candidate_pairs(groups, known.withColumn("vector", embed(F.col("name_normalized"))), rules, block)
     score = score_pair(F.col("name_normalized"), F.col("c_name_normalized"), F.col("type"), F.col("c_type"), F.col("cosine"), rules)
-    scored = checkpointed(pairs.withColumn("score", score).withColumn("band", band(F.col("score"), rules)).select("gid", "c_gid", "known", "score", "band"))
+    scored = checkpointed(pairs.withColumn("score", score).withColumn("band", band(F.col("score"), rules)).select("gid", "c_gid", F.col("c_known").alias("known"), "score", "band"))
     merges = scored.filter("band = 'merge'")
     flagged = scored.filter((F.col("band") == "gray") & F.lit(rules.gray_action == "flag")).select(F.col("gid").alias("a_id"), F.col("c_gid").alias("b_id"), "score")
 

@@ -1,6 +1,6 @@
 """Every operator as a query over the driver's tables, most with SQL that gives the same rows."""
 
-from . import scans
+from . import extras, metrics, scans, searches
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "scans"]
+__all__ = ["ORACLES", "QUERIES", "extras", "metrics", "scans", "searches"]
