@@ -21,20 +21,25 @@ from tidemill.llm.toxicity import score_toxicity
 BROADCAST_IDS = 2_000_000
 
 
+def same_columns(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``docs`` alone, whatever characters their names hold."""
+    return df.select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose doc_id is not among ``ids``, which is counted before it may be broadcast."""
     ids = materialize(ids.select("doc_id").distinct(), "dropped-ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted to be toxic go."""
-    return score_toxicity(docs, docs, read_table(spark, sf_dir, "labels")).filter("predicted = 0").select(docs.columns)
+    return same_columns(score_toxicity(docs, docs, read_table(spark, sf_dir, "labels")).filter("predicted = 0"), docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted to be of low quality go."""
-    return score_quality(docs, docs, read_table(spark, sf_dir, "labels")).filter("predicted = 1").select(docs.columns)
+    return same_columns(score_quality(docs, docs, read_table(spark, sf_dir, "labels")).filter("predicted = 1"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,6 +57,10 @@ def scored(documents: DataFrame, added: list[str], later: list[str], scorer: Cal
     """
     taken = {a.split()[0].lower() for a in added} | {x.lower() for x in later}
     own = [c for c in documents.columns if c.lower() not in taken]
-    kept = documents.select(*own)
-    schema = T.StructType([*kept.schema.fields, *T._parse_datatype_string(", ".join(added)).fields])
-    return kept.select(F.col("text").cast("string").alias("_text"), *own).mapInArrow(scorer, schema)
+    kept = documents.select(*[F.col("`" + c.replace("`", "``") + "`") for c in own])
+    # columns travel under plain names, as theirs may hold any characters
+    plain = kept.toDF(*[f"c{n}" for n in range(len(own))])
+    new = T._parse_datatype_string(", ".join(added)).fields
+    text = plain[f"c{own.index('text')}"].cast("string").alias("t")
+    got = plain.select(text, *plain.columns).mapInArrow(scorer, T.StructType([*plain.schema.fields, *new]))
+    return got.toDF(*own, *[f.name for f in new])

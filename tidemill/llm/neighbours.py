@@ -11,7 +11,7 @@ ever shuffled whole and no pair of rows is emitted but each task's k best of eac
 
 Edge cases: vectors that are null, zero, or hold null, NaN or infinite components take no part on either side;
 vectors of other dimensions than the query's are no candidates; ties go to the smaller vec_id; rows that repeat
-a vec_id count once, at their nearest; fewer than k candidates are all given; other columns are ignored.
+a vec_id count once as candidates, at their nearest, and once as queries, by their least vector; fewer than k candidates are all given; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -151,7 +151,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, block: int = BLOC
     whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     whole = whole.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0))
     queries = vectors.filter(is_query).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    queries = queries.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0)).dropDuplicates(["vec_id"])
+    queries = queries.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0))
+    queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     shape = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
     blocks = max(1, -(-shape["n"] // block))
     each = block * (shape["dim"] or 1) * 8 * 2

@@ -94,8 +94,11 @@ def as_run(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
 
 
-def train(batches: list[tuple[Sentences, np.ndarray]], epochs: int = 12, rate: float = 0.5, l1: float = 2e-4, least: int = 4) -> tuple[np.ndarray, float]:
-    """Adagrad with an l1 step on the noisy-or likelihood; features of fewer than ``least`` documents stay 0."""
+def train(batches: list[tuple[Sentences, np.ndarray]], steps: int = 300, rate: float = 1.0, l1: float = 2e-4, least: int = 4) -> tuple[np.ndarray, float]:
+    """About ``steps`` Adagrad steps with l1 on the noisy-or likelihood; features of fewer than ``least`` documents stay 0.
+
+    Weights are not negative: harmless words must not make up for an offence in the same sentence.
+    """
     size = FEATURES
     seen = np.zeros(size, dtype=np.int64)
     for s, _ in batches:
@@ -105,7 +108,7 @@ def train(batches: list[tuple[Sentences, np.ndarray]], epochs: int = 12, rate: f
     live = seen >= least
     live[-1] = False
     w, g2, bias, b2 = np.zeros(size), np.full(size, 1e-6), -4.0, 1e-6
-    for _ in range(epochs):
+    for _ in range(-(-steps // max(1, len(batches)))):
         for s, y in batches:
             z = s.scores(w, bias)
             clean = np.clip(s.log_clean(z), -30, -1e-9)
@@ -117,13 +120,35 @@ def train(batches: list[tuple[Sentences, np.ndarray]], epochs: int = 12, rate: f
             g2 += g * g
             step = rate / np.sqrt(g2)
             w = w - np.where(live, step * g, 0)
-            w = np.sign(w) * np.maximum(np.abs(w) - step * l1 * live, 0)
+            w = np.maximum(w - step * l1 * live, 0)
             total = d.sum()
             b2 += total * total
             bias -= rate / np.sqrt(b2) * total
     return w, float(bias)
 
 
+def platt(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
+    """Slope and shift of a logistic calibration, drawn a little towards (1, 0), by damped Newton steps."""
+    theta = np.array([1.0, 0.0])
+
+    def loss(t: np.ndarray) -> float:
+        z = t[0] * x + t[1]
+        return float(np.logaddexp(0, z).sum() - (y * z).sum() + ridge / 2 * ((t - [1.0, 0.0]) ** 2).sum())
+
+    for _ in range(100):
+        p = sigmoid(theta[0] * x + theta[1])
+        h = p * (1 - p)
+        grad = np.array([((p - y) * x).sum(), (p - y).sum()]) + ridge * (theta - [1.0, 0.0])
+        move = np.linalg.solve(np.array([[(h * x * x).sum() + ridge, (h * x).sum()], [(h * x).sum(), h.sum() + ridge]]), grad)
+        size = 1.0
+        while size > 1e-6 and loss(theta - size * move) > loss(theta):
+            size /= 2
+        theta = theta - size * move
+        if np.abs(size * move).max() < 1e-8:
+            break
+    return theta
+
+
 def fit(rows: list[tuple[str, object]], batch: int = 256) -> Model:
     """Weights from four fifths of the rows, calibration on the rest."""
     y = np.array([int(v) for _, v in rows], dtype=np.float64)
@@ -146,12 +171,7 @@ def fit(rows: list[tuple[str, object]], batch: int = 256) -> Model:
         kept = [i for i in range(len(rows)) if last[i]]
         s = Sentences(*as_run([rows[i][0] for i in kept]))
         x = log_odds(s.log_clean(s.scores(w, bias)))
-        theta = np.array([1.0, 0.0])
-        for _ in range(50):  # ridge towards (1, 0), by Newton's method
-            p = sigmoid(theta[0] * x + theta[1])
-            h = p * (1 - p)
-            grad = np.array([((y[last] - p) * x).sum(), (y[last] - p).sum()]) - (theta - [1.0, 0.0])
-            theta = theta + np.linalg.solve(np.array([[(h * x * x).sum() + 1, (h * x).sum()], [(h * x).sum(), h.sum() + 1]]), grad)
+        theta = platt(x, y[last])
         if theta[0] > 0:
             model.slope, model.shift = float(theta[0]), float(theta[1])
     return model
