@@ -16,13 +16,14 @@ from ..schemas import STATUSES
 from .base import MENTIONS, NORMAL, RELATES, mentions, query, relates, text_id, uuid_sql
 from .base import tables as load
 
-EPOCH = F.timestamp_seconds(F.lit(0))
+def epoch():
+    return F.timestamp_seconds(F.lit(0))
 
 
 def registry(spark, folder):
     """Documents that share a text share a chunk."""
     (docs,) = load(spark, folder, "documents")
-    return docs.select(F.sha2("text", 256).alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("doc:"), "doc_id").alias("uri"), F.lit(None).cast("int").alias("page"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"), EPOCH.alias("ingested_at"))
+    return docs.select(F.sha2("text", 256).alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("doc:"), "doc_id").alias("uri"), F.lit(None).cast("int").alias("page"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"), epoch().alias("ingested_at"))
 
 
 REGISTRY = "registry AS (SELECT sha256(text) AS chunk_id, CAST(doc_id AS VARCHAR) AS doc_id, length(text) AS char_end FROM documents)"
@@ -78,12 +79,12 @@ def old_ledger(spark, folder):
     known = docs.join(labels.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["text"])
     status = F.element_at(F.array(*[F.lit(s) for s in STATUSES]), (F.pmod("doc_id", F.lit(8)) + 1).cast("int"))
     sha = F.sha2("text", 256)
-    return known.select(F.concat(F.lit("old"), F.substring(sha, 1, 12)).alias("doc_id"), text_id("doc:", "doc_id").alias("uri"), sha.alias("sha256"), F.lit("text/plain").alias("mime_type"), status.alias("status"), F.lit(None).cast("string").alias("error_code"), F.lit(1).alias("attempts"), F.lit(1).cast("long").alias("corpus_version"), EPOCH.alias("created_at"), EPOCH.alias("updated_at"))
+    return known.select(F.concat(F.lit("old"), F.substring(sha, 1, 12)).alias("doc_id"), text_id("doc:", "doc_id").alias("uri"), sha.alias("sha256"), F.lit("text/plain").alias("mime_type"), status.alias("status"), F.lit(None).cast("string").alias("error_code"), F.lit(1).alias("attempts"), F.lit(1).cast("long").alias("corpus_version"), epoch().alias("created_at"), epoch().alias("updated_at"))
 
 
 @query("SELECT sha256(text) AS sha256, count(*) AS n FROM documents GROUP BY 1")
 def K1_register_once(spark, d):
-    ledger, marked = L.register(old_ledger(spark, d), uploads(spark, d), EPOCH)
+    ledger, marked = L.register(old_ledger(spark, d), uploads(spark, d), epoch())
     return ledger.join(marked.groupBy("sha256").agg(F.count("*").alias("n")), "sha256").select("sha256", "n")
 
 
@@ -340,7 +341,7 @@ def J7_cited_outside_context(spark, d):
 @query("SELECT c_custkey, coalesce(list(o_orderkey ORDER BY o_orderkey) FILTER (WHERE o_orderkey IS NOT NULL), []) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def J8_sources_or_empty(spark, d):
     customer, orders = load(spark, d, "customer", "orders")
-    rows = orders.select(F.col("o_custkey").alias("chunk_id"), F.col("o_orderkey").alias("doc_id"), F.lit(None).cast("string").alias("uri"), F.lit(None).cast("int").alias("page"), F.lit(0).alias("char_start"), F.lit(0).alias("char_end"), EPOCH.alias("ingested_at"))
+    rows = orders.select(F.col("o_custkey").alias("chunk_id"), F.col("o_orderkey").alias("doc_id"), F.lit(None).cast("string").alias("uri"), F.lit(None).cast("int").alias("page"), F.lit(0).alias("char_start"), F.lit(0).alias("char_end"), epoch().alias("ingested_at"))
     rows = rows.withColumn("doc_id", F.lpad(F.col("doc_id").cast("string"), 12, "0"))
     lists = provenance.source_lists(customer.select(F.col("c_custkey").alias("chunk_id")), rows)
     return lists.select(F.col("chunk_id").alias("c_custkey"), F.transform("sources", lambda s: s["doc_id"].cast("long")).alias("orders"))
