@@ -93,7 +93,7 @@ def _sketches(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, text = batch.column(0), batch.column(1)
-            for lo, hi, data, offsets in chunks(text):
+            for lo, hi, data, offsets in chunks(text, 1 << 19):
                 sets = shingle_sets(data, offsets, width)
                 keys = band_keys(super_minhash(sets, bands * rows), bands, rows)
                 digests = np.array([[s.sum(dtype=np.uint64), mix(s * SHINGLE_MULT[9]).sum(dtype=np.uint64)] for s in sets], dtype=np.uint64).view(np.int64)
@@ -110,7 +110,7 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, text, cells = batch.column(0), batch.column(1), batch.column(2)
-            for lo, hi, data, offsets in chunks(text):
+            for lo, hi, data, offsets in chunks(text, 1 << 19):
                 sets = shingle_sets(data, offsets, width)
                 for r, s in zip(range(lo, hi), sets, strict=True):
                     own, n = cells[r].values, len(cells[r])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 
 import numpy as np
 
@@ -56,20 +57,27 @@ class ByteBpe:
     """
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.model.no_truncation()
-        self.model.no_padding()
-        self.fast = None
+        self.path, self._model, self.fast = path, None, None
         if ranks:
             import tiktoken
 
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            special = {str(t): i for i, t in self.model.get_added_tokens_decoder().items() for t in [t.content]}
+            with open(path, encoding="utf-8") as f:
+                special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens=special)
 
+    @property
+    def model(self):
+        """The tokenizers model; loaded when a text needs it, as it takes much memory."""
+        if self._model is None:
+            from tokenizers import Tokenizer
+
+            self._model = Tokenizer.from_file(self.path)
+            self._model.no_truncation()
+            self._model.no_padding()
+        return self._model
+
     def ids(self, text: str, plain: bool) -> np.ndarray:
         if self.fast is not None and plain:
             return self.fast.encode_to_numpy(text, allowed_special="all")

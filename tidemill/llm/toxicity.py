@@ -26,7 +26,7 @@ from .labelled import fitted, held_out, sample, scored
 
 BITS, PREFIX, SENTENCE_WORDS, LEAST_WORDS = 18, 4, 40, 8
 FEATURES = (2 << BITS) + 1  # the last stands for a repeated word and has no weight
-SAMPLE_ROWS, SAMPLE_BYTES = 8000, 24 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 6000, 20 << 20
 IS_WORD = np.zeros(256, dtype=bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
 IS_END = np.zeros(256, dtype=bool)
