@@ -38,7 +38,8 @@ def extract(chunks: DataFrame, model: LanguageModel, rules: Orchestration | None
             rows += [{"kind": "relation", "surface": r["src_surface"], **{k: v for k, v in r.items() if k != "src_surface"}} for r in got["relations"]]
         except EngineError as e:
             rows += [{"kind": "error", "chunk_id": i["chunk_id"], "error": e.code} for i in items]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in RAW.split(", ")])
+        names = [c.split()[0] for c in RAW.split(", ")]
+        return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype="Int32" if n.startswith("char_") else "float64" if n == "confidence" else "object") for n in names})
 
     raw = numbered.groupBy(group, "batch").applyInPandas(run, RAW)
     mentions = raw.filter("kind = 'mention'").select("chunk_id", "surface", "type", "char_start", "char_end", "confidence", F.lit(None).cast("string").alias("entity_id"))

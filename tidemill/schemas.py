@@ -28,9 +28,11 @@ PLAN = "struct<strategy: string, template: string, seed_entities: array<string>,
 
 
 def checked(df: DataFrame, condition: Column, message: str) -> DataFrame:
-    """``df``, whose evaluation fails at the first row where ``condition`` is not true."""
-    first = df.columns[0]
-    return df.withColumn(first, F.when(F.coalesce(condition, F.lit(False)), F.col(first)).otherwise(F.raise_error(F.lit(message)).cast(df.schema[first].dataType)))
+    """``df``, whose evaluation fails at the first row where ``condition`` is not true.
+
+    The check is a filter, so that no later projection can prune it away.
+    """
+    return df.filter(F.when(F.coalesce(condition, F.lit(False)), True).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
 
 
 def assert_columns(df: DataFrame, ddl: str, name: str) -> DataFrame:
