@@ -64,12 +64,13 @@ def inverse_frequencies(terms: DataFrame, n_chunks: DataFrame | int, key: str =
 def sparse_top_k(query_terms: DataFrame, terms: DataFrame, idf: DataFrame, k: int, allowed: DataFrame | None = None, key: str = "chunk_id") -> DataFrame:
     """``query_terms`` (query_id, term, tf) against ``terms`` (key, term, tf): sum of q.tf * d.tf * idf.
 
-    A query without known terms has an empty list.  ``allowed`` keeps chunks before ranking.
+    A query without known terms has an empty list.  ``allowed`` keeps chunks before ranking.  Scores are rounded to
+    nine digits, so that equal texts tie in whatever order their terms are added.
     """
     if allowed is not None:
         terms = terms.join(allowed.select(key).distinct(), key, "left_semi")
     q = query_terms.select("query_id", "term", F.col("tf").alias("q_tf")).join(idf.select("term", "idf"), "term")
-    scored = terms.join(q, "term").groupBy("query_id", key).agg(F.sum(F.col("q_tf") * F.col("tf") * F.col("idf")).alias("score"))
+    scored = terms.join(q, "term").groupBy("query_id", key).agg(F.round(F.sum(F.col("q_tf") * F.col("tf") * F.col("idf")), 9).alias("score"))
     return ranked(scored, [F.desc("score"), key], top=k)
 
 

@@ -66,7 +66,7 @@ TERMS = r"""terms AS (
   SELECT term, count(*) AS df, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM terms GROUP BY term
 ), sparse AS (
   SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
-    SELECT query_id, chunk_id, sum(q.tf * t.tf * idf) AS score FROM q JOIN terms t USING (term) JOIN idf USING (term) GROUP BY ALL)) WHERE rank <= 50
+    SELECT query_id, chunk_id, round(sum(q.tf * t.tf * idf), 9) AS score FROM q JOIN terms t USING (term) JOIN idf USING (term) GROUP BY ALL)) WHERE rank <= 50
 )"""
 
 
@@ -109,7 +109,7 @@ def A1_P11_W2_T4_rank_fusion(spark, d):
  dn AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
    SELECT b.query_id, p.vec_id AS chunk_id, {COS.format('b', 'p')} AS score FROM bq b, emb p WHERE p.lang IN ('en', 'de'))) WHERE rank <= 50),
  sp AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
-   SELECT query_id, chunk_id, sum(q.tf * t.tf * idf) AS score FROM q JOIN terms t USING (term) JOIN idf USING (term) WHERE chunk_id IN (SELECT vec_id FROM emb WHERE lang IN ('en', 'de')) GROUP BY ALL)) WHERE rank <= 50),
+   SELECT query_id, chunk_id, round(sum(q.tf * t.tf * idf), 9) AS score FROM q JOIN terms t USING (term) JOIN idf USING (term) WHERE chunk_id IN (SELECT vec_id FROM emb WHERE lang IN ('en', 'de')) GROUP BY ALL)) WHERE rank <= 50),
  u AS (SELECT * FROM dn UNION ALL SELECT * FROM sp)
  SELECT query_id, chunk_id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best, chunk_id) AS rank FROM (
   SELECT query_id, chunk_id, sum(CAST(1 AS DOUBLE) / (60 + rank)) AS score, min(rank) AS best FROM u GROUP BY ALL)) WHERE rank <= 20""")
