@@ -2,7 +2,8 @@
 
 Texts are lower-cased; 1- to 3-grams of code points are hashed into ``BUCKETS`` counts, weighted by inverse
 document frequency and scaled to unit length.  Weights are trained by follow-the-regularised-leader (proximal,
-one learning rate a coordinate) with elastic-net penalties on a bounded sample, then one temperature is fitted
+one learning rate a coordinate) with elastic-net penalties on a bounded sample (whose document frequencies are
+the fit's), then one temperature is fitted
 on the part of that sample which training left out.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; whole texts are used; with no usable
