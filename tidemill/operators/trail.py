@@ -56,6 +56,8 @@ def merged(sources: list[DataFrame], rules: Trail, group: tuple[str, ...] = ())
 
     both = reduce(DataFrame.unionByName, [s.select(*group, *FIELDS) for s in sources])
     order = ["at", "source", "span_id", "message"]
+    if not group:  # one trail: its first events by a distributed top-k, so that the window below is small
+        both = both.orderBy(*order).limit(rules.max_events + 1)
     window = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     numbered = both.withColumn("n", F.row_number().over(window.orderBy(*order)))
     # one row beyond the cap is enough to know that it was reached

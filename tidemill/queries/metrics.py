@@ -29,7 +29,7 @@ def surfaces(spark, d):
     customer, nation = load(spark, d, "customer", "nation")
     named = customer.join(nation, customer["c_nationkey"] == nation["n_nationkey"])
     suffix = F.element_at(F.array(*[F.lit(s) for s in SUFFIXES]), (F.col("c_custkey") % 3 + 1).cast("int"))
-    word = F.concat(F.reverse(F.conv((F.col("n_nationkey") * 7919 + 104729).cast("string"), 10, 26)), F.lit(" "), F.conv(((F.col("n_nationkey") + 3) * 15485863).cast("string"), 10, 36))
+    word = F.substring(F.md5("n_name"), 1, 8)
     return named.select("c_custkey", F.concat(word, suffix).alias("surface"), word.alias("word"), F.when(F.col("n_regionkey") < 3, "ORG").otherwise("LOC").alias("type"))
 
 
@@ -39,7 +39,12 @@ def A4_most_frequent_surface(spark, d):
     return choose_names(orders.select("o_custkey", F.col("o_orderpriority").alias("surface")), ["o_custkey"])
 
 
-@query(None)
+@query(f"""WITH m AS (SELECT substr(md5(n_name), 1, 8) AS word, substr(md5(n_name), 1, 8) || (['', ' Inc.', ' GmbH'])[c_custkey % 3 + 1] AS surface, CASE WHEN n_regionkey < 3 THEN 'ORG' ELSE 'LOC' END AS type
+   FROM customer JOIN nation ON c_nationkey = n_nationkey),
+ c AS (SELECT word, type, surface, count(*) AS n FROM m GROUP BY ALL),
+ best AS (SELECT word, type, surface AS name FROM c QUALIFY row_number() OVER (PARTITION BY word, type ORDER BY n DESC, length(surface) DESC, surface) = 1)
+ SELECT {uuid_sql("lower(name) || chr(31) || type")} AS canonical_id, name, word AS name_normalized, type, list_sort(list(surface) FILTER (WHERE surface <> name)) AS aliases, CAST(sum(n) AS BIGINT) AS mention_count
+ FROM c JOIN best USING (word, type) GROUP BY word, type, name""")
 def P5_A3_A5_A6_resolution(spark, d):
     none = spark.createDataFrame([], "canonical_id string, name string, name_normalized string, type string, mention_count long")
     return resolve(surfaces(spark, d), none, hash_embedder(), Resolution()).entities
