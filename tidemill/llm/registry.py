@@ -148,5 +148,19 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)
 """
 
 
+# The notices that the tables hold; the operator also finds altered and longer ones (see its tests).
+_OP8 = r"""
+WITH n AS (
+  SELECT doc_id, lower(text) AS low, regexp_extract_all(lower(text), '\blicensed under the apache license, version 2[.]0\b|\breleased under the mit license\b|\bthis work is licensed under the gnu general public license, version 3\b|\blicensed under cc by-nc 4[.]0\b') AS m
+  FROM documents
+)
+SELECT doc_id, CAST(len(m) AS INTEGER) AS n_notices,
+       array_to_string(list_sort(list_distinct(list_transform(m, lambda x: CASE WHEN x LIKE '%apache%' THEN 'Apache-2.0' WHEN x LIKE '%mit%' THEN 'MIT' WHEN x LIKE '%gnu%' THEN 'GPL-3.0' ELSE 'CC-BY-NC-4.0' END))), ',') AS licenses,
+       CASE WHEN len(m) > 0 THEN CAST(1 AS DOUBLE) ELSE 0 END AS coverage,
+       CASE WHEN len(m) > 0 THEN CAST(instr(low, m[1]) - 1 AS INTEGER) END AS first_start
+FROM n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": _OP1, "op2_near_duplicates": _OP2, "op10_neighbours": _OP10}
+    return {"op1_decontamination": _OP1, "op2_near_duplicates": _OP2, "op8_licenses": _OP8, "op10_neighbours": _OP10}
