@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import U, mix
+from .bytetext import U
 from .labelled import fitted, held_out, sample
 
 BUCKETS = 1 << 13
