@@ -34,7 +34,7 @@ from .storage import materialize
 
 BANDS, ROWS = 32, 4
 NUM, DEN = 75, 100  # a link: DEN * intersection >= NUM * union
-BLOCK_DOCS, BLOCK_SHINGLES = 512, 400_000
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 200_000
 
 
 def super_minhash(sets: list[np.ndarray], places: int) -> np.ndarray:
