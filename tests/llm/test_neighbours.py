@@ -40,6 +40,17 @@ def test_ties_copies_and_bad_vectors(spark):
     check(spark, rows, block=16)
 
 
+def test_rows_that_repeat_an_id_do_not_tighten_the_bound(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=6).tolist(), 0, "") for i in range(60)]
+    # one id stands more than k times near a query
+    near = [(1, (np.array(rows[0][1]) + 1e-3 * n).tolist(), 0, "") for n in range(25)]
+    for case in (rows * 2, rows + near):
+        one = spark.createDataFrame(case, SCHEMA).coalesce(1)  # all in one block
+        got = nearest(one, F.col("vec_id") % 7 == 0).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == brute(case)
+
+
 def test_empty(spark):
     check(spark, [])
     check(spark, [(7, [1.0], 0, "")])

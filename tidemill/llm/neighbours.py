@@ -2,8 +2,8 @@
 
 Vectors are packed into blocks.  A tile of query block by candidate block is the product of int8 matrices; with
 each vector's own scale and the exact norm of its rounding error, that product bounds every distance from both
-sides.  A candidate survives for a query unless its lower bound exceeds the k-th smallest upper bound seen so
-far.  Survivors are computed again from the original vectors in double precision and merged into the query's
+sides.  A candidate survives for a query unless its lower bound exceeds the k-th smallest upper bound of distinct
+ids seen so far.  Survivors are computed again from the original vectors in double precision and merged into the query's
 heap of k.  Nothing is approximate in the result: the bounds only spare work.
 
 Queries are a stated set; their blocks are sent to the candidates in waves of bounded size, so neither side is
@@ -72,6 +72,15 @@ class Block:
         self.error = np.sqrt(((self.x - near) ** 2).sum(axis=1))
         self.square = (near**2).sum(axis=1)
         self.norm = np.sqrt(self.square)
+        self.by_id = np.argsort(self.ids, kind="stable")
+        ordered = self.ids[self.by_id]
+        self.first_of_id = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+
+    def least_of_id(self, values: np.ndarray) -> np.ndarray:
+        """Columns, one for each row of this block, reduced to the least of each distinct id."""
+        if len(self.first_of_id) == len(self.ids):
+            return values
+        return np.minimum.reduceat(values[:, self.by_id], self.first_of_id, axis=1)
 
 
 def tile(q: Block, c: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +105,8 @@ class Heaps:
         q, k = self.block, self.k
         near, slack = tile(q, c)
         own = q.ids[:, None] == c.ids[None, :]
-        upper = np.where(own, np.inf, near + slack)
+        # rows that repeat an id offer one neighbour, so the bound counts distinct ids
+        upper = c.least_of_id(np.where(own, np.inf, near + slack))
         bound = np.partition(upper, min(k, upper.shape[1]) - 1, axis=1)[:, k - 1] if upper.shape[1] >= k else np.full(len(q.ids), np.inf)
         bound = np.minimum(bound, self.distance[:, -1])
         i, j = np.nonzero((near - slack <= bound[:, None]) & ~own)
