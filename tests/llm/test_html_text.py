@@ -29,6 +29,32 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body class='overflow-hidden'><article><p>{LONG}</article>", LONG),
+        (f"<div style='overflow:hidden'><article><p>{LONG}</article></div>", LONG),
+        (f"<article data-hidden='0' data-state=hidden><p>{LONG}</article>", LONG),
+        (f"<article><div class='visually-hidden-off' title='the hidden door'><p>{LONG}</div></article>", LONG),
+        (f"<article><div data-id='comments' aria-hidden='false'><p>{LONG}</div></article>", LONG),
+        (f"<article><ul><li>(a) {LONG}<li>(b) {LONG}<li>(c) {LONG}</ul></article>", f"(a) {LONG} (b) {LONG} (c) {LONG}"),
+        (f"<article><section id='related-work'><p>{LONG}</section><section class='search-methods x'><p>{LONG}</section></article>", f"{LONG} {LONG}"),
+    ],
+)
+def test_names_that_only_hold_such_words_keep_their_text(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize("attribute", ["hidden", "HIDDEN", "hidden=''", "hidden=hidden", "aria-hidden='true'", "style='color:red; display : none'", "style=display:none", "class='x hidden'"])
+def test_hidden_parts_go(attribute):
+    assert main_text(f"<article><p>{LONG}</p><div {attribute}><p>Hidden {LONG}</div></article>") == LONG
+
+
+def test_copyright_notices_go():
+    for notice in ("(c) 2020 by the owner of it", "(c) Copyright the owner of it", "© the owner of it", "&copy; 2020"):
+        assert main_text(f"<article><p>{LONG}</p><p>{notice}</p><p>{LONG}</article>") == f"{LONG} {LONG}"
+
+
 def test_broken_markup_ends_with_the_page():
     for page in ("<", "<a", "<p class='x", "<!--", "<script>", "</", "<article><p>x</div></p></nav></article></article>", "a < b", "<p" * 2000, "<div>" * 3000 + LONG):
         main_text(page)

@@ -1,7 +1,8 @@
 """Main text of web pages by two passes of block rules.
 
 A tolerant scanner cuts the page into blocks at block-level tags and knows what each stands in: an article or
-main element, a menu, footer, form and so on, or a container whose class or id names such a part.  The first
+main element, a menu, footer, form and so on, or a container whose class or id names such a part (inside an
+article only by a whole name such as "share", elsewhere also by a word of a longer one).  The first
 pass decides a block by where it stands, its link density, its length and its density of stop words.  Blocks
 that this leaves open, mostly short ones, inherit in the second pass the label of the nearest decided
 neighbours within the same article (without one, within the page); where those differ the nearer one counts,
@@ -36,14 +37,16 @@ NESTED = frozenset("article aside blockquote body button details dialog div dl f
 #: Parts of a page that are no article text.
 BOILERPLATE = frozenset("aside button dialog footer form head menu nav".split())
 MAIN = frozenset(["article", "main"])
-#: Words of class, id and role attributes that name such parts.
+#: Words of class, id and role attributes that name such parts; inside an article, their whole tokens.
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disclaimer disqus dropdown form gdpr login masthead menu modal nav navbar navigation newsletter notice notification pagination pager popup promo promotion recommended related search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget".split()
 )
 #: Those that name a page's part only outside an article.
 OUTER_HINTS = frozenset("header footer head foot top bottom".split())
-ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+UNDISPLAYED = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+#: What a block begins with that is a copyright notice; a bare "(c)" may be an item of a list.
+COPYRIGHT = re.compile(r"©|\(c\) (?:(?i:copyright)\b|(?:1[89]|20)\d\d\b)")
 WORD = re.compile(r"[^\W\d_]+")
 #: The commonest words of some languages.
 STOP_WORDS = frozenset(
@@ -67,6 +70,24 @@ class Piece:
     label: bool | None = None
 
 
+def attributes_of(rest: str) -> dict[str, str]:
+    """The attributes of a tag by their lower-case names; the first of a name counts."""
+    found: dict[str, str] = {}
+    for name, *value in ATTRIBUTE.findall(rest):
+        found.setdefault(name.lower(), "".join(value))
+    return found
+
+
+def hidden(attributes: dict[str, str], tokens: set[str]) -> bool:
+    """A hidden attribute, aria-hidden, an inline display:none or the class "hidden"; no other use of the word."""
+    return (
+        attributes.get("hidden", "false").strip().lower() in ("", "hidden", "true")
+        or attributes.get("aria-hidden", "").strip().lower() == "true"
+        or "hidden" in tokens
+        or bool(UNDISPLAYED.search(attributes.get("style", "")))
+    )
+
+
 def cut_blocks(page: str) -> list[Piece]:
     found: list[Piece] = []
     stack: list[tuple[str, bool, int]] = [("", False, 0)]  # name, boilerplate, scope
@@ -110,11 +131,16 @@ def cut_blocks(page: str) -> list[Piece]:
                     del stack[1:]
                 _, out, scope = stack[-1]
                 rest = m["rest"] or m["rest2"] or ""
-                words = {w for groups in ATTRIBUTE.findall(rest) for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", "".join(groups)).lower())} if rest else set()
+                attributes = attributes_of(rest) if rest else {}
                 out |= name in BOILERPLATE or (name == "header" and not scope)
                 if name not in ("body", *MAIN):
-                    out |= bool(words & HINTS) or (not scope and bool(words & OUTER_HINTS))
-                out |= bool(rest and HIDDEN.search(rest))
+                    values = " ".join(attributes.get(a, "") for a in ("class", "id", "role"))
+                    if scope:  # an article's own sections may hold such a word in a longer name
+                        out |= not HINTS.isdisjoint(values.lower().split())
+                    else:
+                        words = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", values).lower()))
+                        out |= bool(words & HINTS) or bool(words & OUTER_HINTS)
+                out |= bool(attributes) and hidden(attributes, set(attributes.get("class", "").lower().split()))
                 if name in MAIN and not out and not scope:
                     scopes += 1
                     scope = scopes
@@ -126,7 +152,7 @@ def cut_blocks(page: str) -> list[Piece]:
 
 
 def first_pass(piece: Piece) -> bool | None:
-    if piece.out or piece.text.startswith(("©", "(c) ")):
+    if piece.out or COPYRIGHT.match(piece.text):
         return False
     letters = sum(not c.isspace() for c in piece.text) if piece.linked else 0
     if piece.linked and piece.linked >= LINKED * letters:
