@@ -1,6 +1,9 @@
 import random
 import zlib
 
+from pyspark.sql import functions as F
+
+from tidemill.llm.labelled import sample
 from tidemill.llm.language import identify_language
 from tidemill.llm.quality import score_quality
 from tidemill.llm.toxicity import score_toxicity
@@ -93,3 +96,42 @@ def test_one_class_or_none(spark):
         assert score_toxicity(d, d, labels).count() == 2
     none = d.filter("doc_id > 5")
     assert score_quality(none, none, labels).count() == 0 and score_toxicity(none, none, labels).count() == 0
+
+
+def drawn_first(spark, n):
+    """Ids of 0..n-1 that no fit here leaves out, in the order of the draw."""
+    ids = [r.id for r in spark.range(n).orderBy(F.xxhash64("id", F.lit(17))).collect()]
+    return [i for i in ids if crc(i, 5) != 0 and crc(i, 4) != 2]
+
+
+def test_a_text_longer_than_the_sample_does_not_end_it(spark):
+    rng = random.Random(4)
+    first = drawn_first(spark, 300)[0]
+    docs, labels = [], []
+    for i in range(300):
+        good = i % 2
+        text = sentences(rng, "en" if good else "de", rng.randint(2, 6))
+        text += "" if good else " $$$ %%% idiot moron."
+        docs.append((i, text + (" " + "x" * 300_000 if i == first else ""), "en" if good else "de"))
+        labels.append((i, good, 1 - good))
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    given = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    truth = {i: (q, t, lang) for (i, q, t), (_, _, lang) in zip(labels, docs, strict=True)}
+    for got, place in (
+        (score_quality(d, d, given, sample_bytes=200_000).select("doc_id", "predicted"), 0),
+        (score_toxicity(d, d, given, sample_bytes=200_000).select("doc_id", "predicted"), 1),
+        (identify_language(d, sample_bytes=200_000).select("doc_id", "lang_pred"), 2),
+    ):
+        rows = [r for r in got.collect() if r[0] != first]
+        assert sum(r[1] == truth[r[0]][place] for r in rows) > 0.9 * len(rows)
+
+
+def test_a_sample_leaves_out_only_texts_that_do_not_fit(spark):
+    ids = drawn_first(spark, 200)[:100]
+    # long texts are drawn first: one alone above the bound, two of which one fits
+    sizes = {ids[0]: 20_000, ids[1]: 6_000, ids[2]: 5_000} | dict.fromkeys(ids[3:], 50)
+    docs = [(i, chr(97 + n % 26) * sizes[i], 1) for n, i in enumerate(ids)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, y int")
+    got = [len(r.text) for r in sample(d, None, "y", F.lit(True), 1000, 10_000).collect()]
+    assert got == [5_000] + [50] * 97
+    assert [r.text for r in sample(d, None, "y", F.lit(True), 1000, 1 << 20).collect()] == [t for _, t, _ in docs]

@@ -26,16 +26,22 @@ def sample(documents: DataFrame, labels: DataFrame | None, label: str, allowed:
 
     ``allowed`` is a condition on doc_id.  With ``labels`` the label is that table's column, else one of
     ``documents``.  Ids are drawn by hash before any text is read, so the sort and the broadcast hold ``rows``
-    small rows whatever the tables' size.
+    small rows whatever the tables' size.  Where the drawn texts overrun the bytes, those of up to a hundredth of the
+    bound fill it in drawn order; longer ones come last, the shortest first, so that only texts that do not fit are
+    left out.
     """
     order = [F.xxhash64(F.col("doc_id").cast("long"), F.lit(17)), F.col("doc_id")]
     source = documents if labels is None else labels
     keys = source.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & allowed)
     keys = keys.orderBy(*order).limit(rows)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    joined = texts.join(F.broadcast(keys), "doc_id").orderBy(*order, "label", "text").limit(rows)
-    used = F.sum(F.octet_length("text")).over(Window.orderBy(*order, "label", "text").rowsBetween(Window.unboundedPreceding, 0))
-    return joined.select("text", "label", used.alias("used")).filter(F.col("used") <= max_bytes).select("text", "label")
+    drawn = [*order, "label", "text"]
+    size = F.octet_length("text")
+    long = F.when(size > F.lit(max_bytes / 100), size).otherwise(0)
+    joined = texts.join(F.broadcast(keys), "doc_id").filter(size <= max_bytes).orderBy(long, *drawn).limit(rows)
+    used = F.sum(size.cast("long")).over(Window.orderBy(long, *drawn).rowsBetween(Window.unboundedPreceding, 0))
+    fitting = joined.withColumn("used", used).filter(F.col("used") <= max_bytes)
+    return fitting.sortWithinPartitions(*drawn).select("text", "label")
 
 
 def fitted(rows: DataFrame, fit: Callable[[list], object]) -> object:
