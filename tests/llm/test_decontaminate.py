@@ -3,6 +3,7 @@ import random
 import pytest
 
 from tidemill.llm import decontaminate as D
+from tidemill.llm import registry
 
 from .brute import contamination
 
@@ -43,6 +44,28 @@ def test_repeated_rows_are_one_document(spark):
     assert n == 2 and got == contamination(docs, items)
 
 
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_each_row_and_rows_without_an_id(spark, limit):
+    docs = [(1, "a b c b c"), (1, "a b c b c"), (1, "x"), (None, "b c"), (None, "b c"), (None, "x"), (2, None), (2, None), (3, "k b c")]
+    items = [(7, "b c"), (8, "b c"), (9, "k"), (10, "c b c")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = []
+    for n, (i, text) in enumerate(docs):
+        want.append((i is None, i or 0, *contamination([(n, text)], items)[n]))
+    for each, expected in ((True, want), (False, set(want))):
+        got = D.decontaminate(d, b, broadcast_bytes=limit, each_row=each).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == sorted(expected)
+    none = D.decontaminate(d, b.filter("item_id < 0"), broadcast_bytes=limit)
+    assert none.count() == len(set(docs))
+
+
+def test_the_query_reports_each_row(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "b c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "b c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = registry.op1_decontamination(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.n_hit) for r in rows) == [(0, 2), (1, 2), (1, 2)]
+
+
 def test_empty_tables(spark):
     assert run(spark, [], [(1, "a b")])[1] == 0
     docs = [(1, "a b"), (2, None)]

@@ -8,7 +8,7 @@ occurrence would start (positional bound) and end (length bound: inside the docu
 document's words is then compared word by word, so hash collisions cannot make a hit.
 
 Edge cases: null or wordless texts have no words and no hits; wordless items have no windows; rows with
-one id and one text are one document; items with equal windows are all counted; null item ids are reported as
+one id and one text are one document (a null id is one too), which ``each_row`` reports once for each row; items with equal windows are all counted; null item ids are reported as
 an empty string in the digest; other columns are ignored.
 
 Scale: the corpus is read twice (shingle counts, then hits) and no text is shuffled.  The benchmark side is
@@ -55,19 +55,20 @@ def windows_of(benchmark: DataFrame, window: int) -> DataFrame:
     )
 
 
-def _positions(docs: DataFrame, width: int, outer: bool = False) -> DataFrame:
-    """One row for each place of a document where a shingle of that width begins (and its place 0, if outer)."""
-    generate = F.posexplode_outer if outer else F.posexplode
-    at = docs.select("*", generate("words").alias("at", "_word"))
+def _positions(docs: DataFrame, width: int, marked: bool = False) -> DataFrame:
+    """One row for each place of a document where a shingle of that width begins (and one at place -1, if marked)."""
     room = F.col("at") + width <= F.size("words")
-    shingle = F.when(room, _shingle(F.col("words"), F.col("at"), width))
-    return at.withColumn("shingle", shingle).drop("_word") if outer else at.filter(room).withColumn("shingle", shingle).drop("_word")
+    if not marked:
+        at = docs.select("*", F.posexplode("words").alias("at", "_word"))
+        return at.filter(room).withColumn("shingle", _shingle(F.col("words"), F.col("at"), width)).drop("_word")
+    at = docs.select("*", F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("at", "_word")).withColumn("at", F.col("at") - 1)
+    return at.withColumn("shingle", F.when((F.col("at") >= 0) & room, _shingle(F.col("words"), F.col("at"), width))).drop("_word")
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, broadcast_bytes: int = 64 << 20) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, broadcast_bytes: int = 64 << 20, each_row: bool = False) -> DataFrame:
     """``documents`` (doc_id, text) against ``benchmark`` (item_id, text).
 
-    Returns, for each document row: doc_id, n_words, n_hit, n_items, items_sha256 (SHA-256 of the sorted item
+    Returns, for each document (with ``each_row`` for each of its rows): doc_id, n_words, n_hit, n_items, items_sha256 (SHA-256 of the sorted item
     ids, comma-joined), contaminated, and items (those ids).
     """
     docs = documents.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words"))
@@ -85,7 +86,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10,
         "items",
     )
     if not widths:
-        return finish(docs.select("doc_id", F.size("words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), empty_items.alias("items")))
+        plain = docs.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), empty_items.alias("items"))
+        return finish(plain if each_row else plain.dropDuplicates(["doc_id", "text_key"]))
     # Each window's bytes count for its words, its shingle table and Spark's overhead a row.
     small = (shape["bytes"] + 400 * shape["n"]) * 2 <= broadcast_bytes
     held = F.broadcast if small else (lambda d: d)
@@ -109,23 +111,27 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10,
         fits = (start >= 0) & (start + F.col("n") <= F.size("words"))
         same = F.slice("words", start + 1, F.col("n")) == F.col("window_words")
         span = F.struct(start.cast("int").alias("start"), (start + F.col("n")).cast("int").alias("end"))
+        # every row of a document is marked once, by the first width, so that none is lost or counted twice
+        mark = F.lit(int(width == widths[0])).cast("long")
         if small:
-            # One pass also yields a row for each document's place 0, so that none is lost.
-            found = _positions(docs, width, outer=True).join(F.broadcast(rarest), "shingle", "left")
-            found = found.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.coalesce(F.col("at"), F.lit(0)).alias("at"), F.when(F.col("offset").isNotNull() & fits & same, span).alias("span"), "items")
-            found = found.filter(F.col("span").isNotNull() | (F.col("at") == 0))
+            found = _positions(docs, width, marked=True).join(F.broadcast(rarest), "shingle", "left")
+            found = found.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), "at", F.when(F.col("offset").isNotNull() & fits & same, span).alias("span"), "items")
+            found = found.filter(F.col("span").isNotNull() | (F.col("at") < 0)).withColumn("mark", F.when(F.col("at") < 0, mark).otherwise(0))
         else:
-            anchors = _positions(docs, width).select("doc_id", "text_key", "at", "shingle").join(rarest, "shingle")
-            found = docs.join(anchors, ["doc_id", "text_key"]).filter(fits & same)
-            found = found.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), "at", span.alias("span"), "items")
-            found = found.unionByName(docs.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.lit(0).alias("at"), F.lit(None).cast(found.schema["span"].dataType).alias("span"), F.lit(None).cast("array<string>").alias("items")))
+            anchors = _positions(docs, width).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "at", "shingle").join(rarest, "shingle")
+            found = docs.join(anchors, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).filter(fits & same)
+            found = found.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), "at", span.alias("span"), "items", F.lit(0).cast("long").alias("mark"))
+            found = found.unionByName(docs.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.lit(-1).alias("at"), F.lit(None).cast(found.schema["span"].dataType).alias("span"), F.lit(None).cast("array<string>").alias("items"), mark.alias("mark")))
         hits = found if hits is None else hits.unionByName(found)
 
     grouped = hits.groupBy("doc_id", "text_key").agg(
         F.max("n_words").alias("n_words"),
+        F.sum("mark").alias("rows"),
         F.collect_set("span").alias("spans"),
         F.flatten(F.collect_set(F.when(F.col("span").isNotNull(), F.col("items")))).alias("items"),
     )
+    if each_row:
+        grouped = grouped.select("*", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("_row"))
     covered = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("hit")),
