@@ -58,6 +58,20 @@ def test_full_templates_and_altered_ones():
                 assert name in {m[0] for m in scanner.scan(" ".join(words))}
 
 
+def test_words_put_into_a_notice():
+    scanner = Scanner(TEMPLATES)
+    one = "Licensed under the Apache License by Example Corporation of Springfield Illinois, Version 2.0"
+    assert [(m[0], m[3]) for m in scanner.scan(f"before {one} after")] == [("Apache-2.0", 1)]
+    assert [(m[0], m[3]) for m in scanner.scan(f"{one}. {one}.")] == [("Apache-2.0", 1)] * 2
+    for name, texts in TEMPLATES.items():
+        for t in texts:
+            # as many words as the template has, in one place or spread over it
+            words = WORD.findall(t)
+            for at in (1, len(words) // 2, len(words) - 1):
+                put = words[:at] + ["zz"] * len(words) + words[at:]
+                assert (name, 1) in {(m[0], m[3]) for m in scanner.scan(" ".join(["so", *put, "on"]))}, (t, at)
+
+
 def test_rows(spark):
     rows = [(1, None), (2, ""), (3, "?!"), (4, NOTICES["MIT"]), (4, NOTICES["MIT"]), (5, "mit " * 50_000)]
     got = scan_licenses(spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, matches int")).collect()

@@ -5,10 +5,12 @@ subsequence of the anchors is kept, and the gaps between them are aligned the sa
 beginnings and ends are matched.  Coverage is the share of the template's words that the alignment matches.
 
 Stretches are found by a template's keywords, its words that few other texts hold: each occurrence fixes where
-the template would lie, and the stretch around it is aligned.  Every occurrence in the whole text is tried.
+the template would lie, and the stretch around it is aligned: first with four words more on either side, then with
+as many as the template has.  A notice may therefore hold as many inserted words as its template has words (at least
+four); one with more may be missed.  Every occurrence in the whole text is tried.
 
 Edge cases: null, empty and wordless texts match nothing; where stretches overlap, the one with more matched
-words stays (then the greater coverage, the earlier, the first by name), so a notice counts for the most
+words stays (then the greater coverage, the one of the tighter stretch, the earlier, the first by name), so a notice counts for the most
 specific license; repeated rows are each reported; other columns are ignored.
 """
 
@@ -108,14 +110,18 @@ class Scanner:
         found = []
         for k, start in tried:
             name, template = self.templates[k]
-            lo, hi = max(0, start - SLACK), min(len(words), start + len(template) + SLACK)
-            pairs = align(words[lo:hi], template)
-            coverage = len(pairs) / len(template)
-            if coverage >= LEAST:
-                found.append((-len(pairs), -coverage, lo + pairs[0][0], lo + pairs[-1][0], name))
+            # the tight stretch tells close notices apart, the wide one holds what was put into a notice
+            for slack in sorted({SLACK, max(SLACK, len(template))}):
+                lo, hi = max(0, start - slack), min(len(words), start + len(template) + slack)
+                pairs = align(words[lo:hi], template)
+                coverage = len(pairs) / len(template)
+                if coverage >= LEAST:
+                    found.append((-len(pairs), -coverage, slack > SLACK, lo + pairs[0][0], lo + pairs[-1][0], name))
+                if coverage == 1:
+                    break
         taken: list[tuple[int, int]] = []
         out = []
-        for _, less, a, b, name in sorted(found):
+        for _, less, _, a, b, name in sorted(found):
             i = bisect_left(taken, (a, b))
             if (i == 0 or taken[i - 1][1] < a) and (i == len(taken) or taken[i][0] > b):
                 taken.insert(i, (a, b))
