@@ -59,6 +59,23 @@ def test_stages_decide_as_planted(spark, tmp_path):
     assert {r.doc_id for r in pieces} == kept[4]
 
 
+def test_rows_are_decided_one_by_one(spark, tmp_path):
+    long = " ".join(f"w{k}" for k in range(80))
+    other = " ".join(f"v{k}" for k in range(80))
+    leak = " ".join(f"q0x{k}" for k in range(20))
+    spark.createDataFrame([(0, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(5, long), (5, long), (None, long + " x"), (3, other), (5, other), (None, "alone " + leak), (None, None), (None, None), (8, ""), (8, ""), (9, ""), (7, "clean words of seven"), (7, "bad " + leak)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    docs.write.parquet(f"{tmp_path}/d")
+    kept = P.near_dedup(spark, spark.read.parquet(f"{tmp_path}/d"), str(tmp_path))
+    left = [(5, long), (3, other), (None, None), (8, ""), (9, ""), (7, "clean words of seven"), (7, "bad " + leak)]  # the id-less leak goes with its near copy
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted(left, key=key)
+    clean = P.decontamination(spark, spark.read.parquet(f"{tmp_path}/d"), str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=key) == sorted((r for r in rows if leak not in (r[1] or "")), key=key)
+
+
 def test_run_gives_pieces(spark, tmp_path):
     corpus(spark, str(tmp_path))
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(P.run(spark, str(tmp_path)).columns)
