@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.labelled import sample
 from tidemill.llm.language import identify_language
-from tidemill.llm.quality import score_quality
+from tidemill.llm.quality import BLOCK, dictionary_of, score_quality
 from tidemill.llm.toxicity import score_toxicity
 
 VOCABULARY = {
@@ -135,3 +135,18 @@ def test_a_sample_leaves_out_only_texts_that_do_not_fit(spark):
     got = [len(r.text) for r in sample(d, None, "y", F.lit(True), 1000, 10_000).collect()]
     assert got == [5_000] + [50] * 97
     assert [r.text for r in sample(d, None, "y", F.lit(True), 1000, 1 << 20).collect()] == [t for _, t, _ in docs]
+
+
+def test_a_dictionary_is_trained_on_all_texts(monkeypatch):
+    texts = [chr(97 + n) * (BLOCK * 5000 if n == 0 else BLOCK * 2 + 5) for n in range(20)]
+    seen = []
+
+    class Trained:
+        def as_bytes(self):
+            return b"d"
+
+    monkeypatch.setattr("tidemill.llm.quality.zstandard.train_dictionary", lambda size, pieces, **more: seen.append(pieces) or Trained())
+    assert dictionary_of(texts) == b"d" and dictionary_of(texts, 30 * BLOCK) == b"d"
+    for pieces, bound in zip(seen, (100 * 65536, 30 * BLOCK), strict=True):
+        assert {p[:1] for p in pieces} == {t[:1].encode() for t in texts}
+        assert bound - BLOCK < sum(map(len, pieces)) <= bound

@@ -12,7 +12,9 @@ repeated rows are each reported; other columns are kept.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ from .labelled import fitted, held_out, sample, scored
 
 BLOCK, LEVEL, DICTIONARY = 2048, 3, 64 << 10
 SAMPLE_ROWS, SAMPLE_BYTES = 6000, 32 << 20
+#: Bytes of a class that its dictionary is trained on: the trainer gains nothing from more than about a hundred times the dictionary.
+DICTIONARY_BYTES = 100 * DICTIONARY
 
 
 class Model:
@@ -81,23 +85,34 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30)
     return w
 
 
-def dictionary_of(texts: list[str]) -> bytes:
-    """A zstandard dictionary of a class; where there is too little to train on, its raw text."""
-    pieces = [raw[a : a + BLOCK] for t in texts for raw in [t.encode("utf-8", "surrogatepass")] for a in range(0, len(raw), BLOCK)]
+def dictionary_of(texts: list[str], max_bytes: int = DICTIONARY_BYTES) -> bytes:
+    """A zstandard dictionary of a class; where there is too little to train on, its raw text.
+
+    It is trained on at most ``max_bytes`` of pieces, dealt from all texts in turn: one piece of each, then a second
+    of each that has more, and so on, a text's pieces in a fixed random order.
+    """
+    rng = random.Random(7)
+    dealt: list[tuple[int, int, int]] = []  # turn, text, first byte
+    raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+    for n, raw in enumerate(raws):
+        begins = list(range(0, len(raw), BLOCK))
+        rng.shuffle(begins)
+        dealt += [(turn, n, a) for turn, a in enumerate(begins)]
     total = 0
     kept = []
-    for p in pieces:  # the trainer gains nothing from more than about a hundred times the dictionary
-        if total > 100 * DICTIONARY:
+    for _, n, a in sorted(dealt):
+        piece = raws[n][a : a + BLOCK]
+        if total + len(piece) > max_bytes:
             break
-        kept.append(p)
-        total += len(p)
+        kept.append(piece)
+        total += len(piece)
     try:
         return zstandard.train_dictionary(DICTIONARY, kept, k=256, d=8).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b"".join(kept)[-DICTIONARY:] or b" " * 16
 
 
-def fit(rows: list[tuple[str, object]]) -> Model:
+def fit(rows: list[tuple[str, object]], dictionary_bytes: int = DICTIONARY_BYTES) -> Model:
     """Dictionaries from two thirds of the rows, calibration on the rest."""
     y = np.array([int(v) for _, v in rows], dtype=np.float64)
     third = np.arange(len(rows)) % 3 == 2
@@ -106,7 +121,7 @@ def fit(rows: list[tuple[str, object]]) -> Model:
     if not all(groups) or len(set(y[third])) < 2:
         share = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
         return Model(b" " * 16, b" " * 16, flat, np.array([np.log(share / (1 - share))] + [0.0] * 9))
-    model = Model(dictionary_of(groups[0]), dictionary_of(groups[1]), flat, np.zeros(10))
+    model = Model(dictionary_of(groups[0], dictionary_bytes), dictionary_of(groups[1], dictionary_bytes), flat, np.zeros(10))
     sizes = np.array([model.sizes(t) for (t, _), c in zip(rows, third, strict=True) if c])
     base = design(sizes, flat)[:, 1:4]
     model.scale = np.stack([base.mean(axis=0), base.std(axis=0) + 1e-9])
@@ -128,13 +143,14 @@ def _score(model: Model):
     return run
 
 
-def score_quality(documents: DataFrame, training: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+def score_quality(documents: DataFrame, training: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, dictionary_bytes: int = DICTIONARY_BYTES) -> DataFrame:
     """``documents`` (doc_id, text, ...): its columns with held_out, score, predicted, good_bytes and bad_bytes.
 
     The fit joins ``training`` (doc_id, text) with ``labels`` (doc_id, quality) where crc32(doc_id) mod ``modulus``
-    is not ``remainder``, and takes at most ``sample_rows`` rows and ``sample_bytes``.  Columns of ``documents`` with
+    is not ``remainder``, and takes at most ``sample_rows`` rows and ``sample_bytes``; each class's dictionary is trained on at
+    most ``dictionary_bytes`` of them, in pieces from all rows of the class in turn.  Columns of ``documents`` with
     one of the added names are replaced.
     """
-    model = fitted(sample(training, labels, "quality", ~held_out(F.col("doc_id"), modulus, remainder), sample_rows, sample_bytes), fit)
+    model = fitted(sample(training, labels, "quality", ~held_out(F.col("doc_id"), modulus, remainder), sample_rows, sample_bytes), partial(fit, dictionary_bytes=dictionary_bytes))
     got = scored(documents, ["score double", "good_bytes long", "bad_bytes long"], ["held_out", "predicted"], _score(model))
     return got.withColumns({"held_out": held_out(F.col("doc_id"), modulus, remainder), "predicted": (F.col("score") >= threshold).cast("int")})
