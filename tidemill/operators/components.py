@@ -1,48 +1,39 @@
-"""Connected components of links by repeated least-label propagation with jumps."""
+"""Connected components of links by alternating stars."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` as files of the cluster's checkpoint folder, which outlive executors."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tidemill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/core-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..shared import discard, materialize
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", max_size: int | None = None) -> DataFrame:
     """(id, component): the least id that each linked id reaches.
 
-    A round takes every id to the least label among its neighbours and then to that label's own label, so the
-    longest distance shrinks geometrically.  ``max_size`` guards against a rule that merges everything.
+    Rounds of two stars, each a table of the shared folder: the number of links never grows, a hub's links are never gathered,
+    and a chain of n ids takes about log n rounds.  ``max_size`` guards against a rule that merges everything.
     """
-    both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
-    both = checkpointed(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = both.groupBy("u").agg(F.min("v").alias("l")).select(F.col("u").alias("id"), F.least("u", "l").alias("label"))
-    labels = checkpointed(labels)
+    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
+    edges = materialize(edges, "links")
     while True:
-        near = both.join(labels, both["v"] == labels["id"]).groupBy("u").agg(F.min("label").alias("least"))
-        moved = labels.join(near, labels["id"] == near["u"]).select("id", "label", F.least("label", "least").alias("next"))
-        jump = labels.select(F.col("id").alias("next"), F.col("label").alias("far"))
-        moved = checkpointed(moved.join(jump, "next", "left").select("id", "label", F.least("next", F.coalesce("far", "next")).alias("next")))
-        changed = moved.filter("label <> next").limit(1).count()
-        labels = moved.select("id", F.col("next").alias("label"))
-        if not changed:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # a table of its own, so that the join shuffles both sides and a hub's links can be split
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        # large star: a node's greater neighbours go to the least it knows
+        large = materialize(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        # small star: a node and its lesser neighbours go to the least of them
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lower, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        before, edges = edges, materialize(small.filter("u <> v").distinct(), "small-star")
+        discard(before, least, large)
+        # settled once every greater id has one link and no lesser id is a greater one elsewhere
+        ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if not ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1").limit(1).count():
             break
+    labels = edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
+    labels = labels.unionByName(labels.select(F.col("label").alias("id"), "label").distinct())
     if max_size is not None:
         worst = labels.groupBy("label").count().agg(F.max("count")).first()[0] or 0
         if worst > max_size:

@@ -11,7 +11,8 @@ from ..config import Resolution
 from ..functions.identity import entity_id
 from ..functions.similarity import band, cosine, score_pair
 from ..functions.text import normalize_entity_name
-from .components import checkpointed, components
+from ..shared import materialize
+from .components import components
 from .fusion import ranked
 from .tables import first_by
 
@@ -84,11 +85,11 @@ def resolve(mentions: DataFrame, persisted: DataFrame, embed, rules: Resolution
     the next finds persisted is the same, so runs converge; mention counts grow with each run.
     """
     rules = rules or Resolution()
-    groups = checkpointed(groups_of(mentions, rules).withColumn("vector", embed(F.col("name_normalized"))))
+    groups = materialize(groups_of(mentions, rules).withColumn("vector", embed(F.col("name_normalized"))))
     known = persisted.select("canonical_id", "name", "name_normalized", "type", "mention_count")
     pairs = candidate_pairs(groups, known.withColumn("vector", embed(F.col("name_normalized"))), rules, block)
     score = score_pair(F.col("name_normalized"), F.col("c_name_normalized"), F.col("type"), F.col("c_type"), F.col("cosine"), rules)
-    scored = checkpointed(pairs.withColumn("score", score).withColumn("band", band(F.col("score"), rules)).select("gid", "c_gid", F.col("c_known").alias("known"), "score", "band"))
+    scored = materialize(pairs.withColumn("score", score).withColumn("band", band(F.col("score"), rules)).select("gid", "c_gid", F.col("c_known").alias("known"), "score", "band"))
     merges = scored.filter("band = 'merge'")
     flagged = scored.filter((F.col("band") == "gray") & F.lit(rules.gray_action == "flag")).select(F.col("gid").alias("a_id"), F.col("c_gid").alias("b_id"), "score")
 
@@ -98,7 +99,7 @@ def resolve(mentions: DataFrame, persisted: DataFrame, embed, rules: Resolution
     roots = roots.unionByName(own)
     members = groups.select("gid").distinct().join(roots, F.col("gid") == F.col("id"), "left").select("gid", F.coalesce("component", "gid").alias("cluster"))
     clustered = normalized(mentions, rules).join(groups.select("gid", "name_normalized", "type"), ["name_normalized", "type"]).join(members, "gid").select("cluster", "surface", "type", "gid")
-    clustered = checkpointed(clustered)
+    clustered = materialize(clustered)
     merged_known = merges.filter("known").select(F.col("c_gid").alias("canonical_id")).distinct().join(known, "canonical_id")
     merged_known = merged_known.join(roots, F.col("canonical_id") == F.col("id")).select(F.col("component").alias("cluster"), "canonical_id", F.col("name").alias("k_name"), F.col("type").alias("k_type"), "mention_count")
     winners = merged_known.groupBy("cluster").agg(F.min(F.struct("canonical_id", "k_type")).alias("w"), F.sum("mention_count").alias("k_count"), F.collect_set("k_name").alias("k_names"))
@@ -117,7 +118,7 @@ def resolve(mentions: DataFrame, persisted: DataFrame, embed, rules: Resolution
         (F.col("m_count") + F.coalesce("k_count", F.lit(0))).cast("long").alias("mention_count"),
         "cluster",
     )
-    entities = checkpointed(entities)
+    entities = materialize(entities)
     aliases = entities.select("canonical_id", "type", F.explode("aliases").alias("alias")).select(entity_id(F.col("alias"), F.col("type")).alias("alias_id"), "canonical_id", F.lit(1.0).alias("score"), F.lit("cluster").alias("method"))
     surfaces = clustered.select("cluster", "surface", "type").distinct().join(entities.select("cluster", "canonical_id"), "cluster").select("surface", "type", "canonical_id")
     return Resolved(entities.drop("cluster"), aliases, flagged, surfaces)

@@ -14,7 +14,7 @@ from ..functions.text import normalize_display
 from ..operators import ledger as ledgers
 from ..operators import provenance, tables
 from ..operators.chunking import chunk
-from ..operators.components import checkpointed
+from ..shared import materialize
 from ..operators.search import term_frequencies
 
 
@@ -55,17 +55,17 @@ def ingest(corpus: Corpus, documents: DataFrame, embed: Callable[[Column], Colum
     settings, now = settings or Settings(), now if now is not None else F.current_timestamp()
     ledger, marked = ledgers.register(corpus.ledger, documents.select("doc_id", "uri", "sha256", "mime_type"), now)
     fresh = documents.join(marked.filter("inserted").select("doc_id", "uri"), ["doc_id", "uri"], "left_semi")
-    own = checkpointed(named_chunks(fresh.drop("mime_type", "sha256"), settings))
+    own = materialize(named_chunks(fresh.drop("mime_type", "sha256"), settings))
     unseen = tables.new_rows(corpus.chunks, own.select("chunk_id", "text", "content_hash"), ["chunk_id"], ["text"])
-    unseen = checkpointed(unseen.select("chunk_id", "text", "content_hash", F.lit(1).alias("schema_version"), embed(F.col("text")).alias("dense")))
+    unseen = materialize(unseen.select("chunk_id", "text", "content_hash", F.lit(1).alias("schema_version"), embed(F.col("text")).alias("dense")))
     sources = own.select("chunk_id", "doc_id", "uri", "page", "char_start", "char_end", now.alias("ingested_at"))
     done = own.select("doc_id").distinct().withColumn("_new", F.lit(True))
     ledger = ledger.join(done, "doc_id", "left").withColumn("status", F.when(F.col("_new") & (F.col("status") == "PENDING"), "INDEXED").otherwise(F.col("status"))).withColumn("corpus_version", F.when(F.col("_new"), F.lit(corpus.version + 1).cast("long")).otherwise(F.col("corpus_version"))).drop("_new")
     return Corpus(
-        checkpointed(ledger),
+        materialize(ledger),
         corpus.chunks.unionByName(unseen),
-        corpus.terms.unionByName(checkpointed(term_frequencies(unseen))),
-        checkpointed(provenance.register_sources(corpus.registry, sources)),
+        corpus.terms.unionByName(materialize(term_frequencies(unseen))),
+        materialize(provenance.register_sources(corpus.registry, sources)),
         corpus.version + 1,
     )
 
@@ -74,10 +74,10 @@ def delete(corpus: Corpus, doc_id: str, now: Column | None = None) -> Corpus:
     """Take a document out; chunks that it alone held go, its ledger row stays as DELETING."""
     now = now if now is not None else F.current_timestamp()
     registry, touched = provenance.remove_document(corpus.registry, doc_id)
-    registry = checkpointed(registry)
-    gone = checkpointed(provenance.orphans(touched, registry))
+    registry = materialize(registry)
+    gone = materialize(provenance.orphans(touched, registry))
     change = corpus.ledger.filter(F.col("doc_id") == doc_id).select("doc_id", F.lit("DELETING").alias("status"), F.lit(None).cast("string").alias("error_code"))
-    return replace(corpus, ledger=checkpointed(ledgers.set_status(corpus.ledger, change, now)), chunks=tables.delete_ids(corpus.chunks, gone, "chunk_id"), terms=tables.delete_ids(corpus.terms, gone, "chunk_id"), registry=registry, version=corpus.version + 1)
+    return replace(corpus, ledger=materialize(ledgers.set_status(corpus.ledger, change, now)), chunks=tables.delete_ids(corpus.chunks, gone, "chunk_id"), terms=tables.delete_ids(corpus.terms, gone, "chunk_id"), registry=registry, version=corpus.version + 1)
 
 
 def reindex(corpus: Corpus) -> tuple[DataFrame, DataFrame]:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..errors import EngineError, LLMProviderExhausted, LLMSchemaViolation, ValidationError
-from ..operators.components import checkpointed
+from ..shared import materialize
 from ..schemas import STRATEGIES
 from .models import LanguageModel, structured
 
@@ -233,11 +233,11 @@ def answer(queries: DataFrame, model: LanguageModel, retrieve: Retrieve, setting
     rows = start(queries)
     done = None
     for _ in range(settings.orchestration.max_rewrites + 1):
-        rows = checkpointed(rows.mapInPandas(_advance(machine, "front"), STATE))
+        rows = materialize(rows.mapInPandas(_advance(machine, "front"), STATE))
         waiting = rows.filter("next = 'retrieve'")
         asked = waiting.select("query_id", F.get_json_object("state", "$.active_query").alias("active_query"), F.get_json_object("state", "$.plan").alias("plan"))
         found = retrieve(asked).select("query_id", "fused", "degraded")
-        joined = checkpointed(waiting.join(found, "query_id", "left"))
+        joined = materialize(waiting.join(found, "query_id", "left"))
 
         def graft(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
@@ -249,7 +249,7 @@ def answer(queries: DataFrame, model: LanguageModel, retrieve: Retrieve, setting
 
         back = joined.select("query_id", "state", "fused", "degraded").mapInPandas(graft, STATE)
         back = back.unionByName(rows.filter("next = 'insufficient'")).mapInPandas(_advance(machine, "back"), STATE)
-        back = checkpointed(back)
+        back = materialize(back)
         ended = back.filter("next in ('end', 'error')").unionByName(rows.filter("next = 'error'"))
         done = ended if done is None else done.unionByName(ended)
         rows = back.filter("next = 'rewrite_query'")
