@@ -10,10 +10,14 @@ a set stops after a few ranks however long the signature is.
 3. A band's bucket is led by its smallest class; a class joins the group of every leader that it shares a
    bucket with.  Any two classes that share a bucket share its leader's group, so groups hold all candidate
    pairs, and bands that agree add nothing.
-4. A group is dealt into blocks of bounded size, and each pair of blocks is one cell.  Inside a cell full sets
-   are intersected (a matrix product over the shared shingles) and only the links that a union-find over the
-   cell still needs leave it: rows stay linear in the group, while every pair is compared.
-5. Connected components over those links by large-star and small-star rounds, each a shared table.
+4. A group is dealt into blocks of bounded size.  First every block meets its leader: all pairs of that cell are
+   compared on full sets, and only the links that a union-find over the cell still needs leave it.  That is linear
+   in the group, and settles groups of one block.
+5. Where a larger group then still falls into several components, its members outside the group's largest component
+   meet every block, and pairs of different components are compared.  Pairs within one component need no
+   comparison, so none that could matter is left out.
+6. Cells are dealt to tasks by number, a group's cells one task after the other, so no task gets many of them.
+7. Connected components over all links by large-star and small-star rounds, each a shared table.
 
 Edge cases: null, empty and wordless texts have an empty set and are linked with nothing; rows with a null id
 are grouped with nothing (component null, kept); rows that repeat an id are each reported; ties cannot occur,
@@ -26,15 +30,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .bytetext import SHINGLE_MULT, U, chunks, mix, shingle_sets
-from .storage import materialize
+from .storage import discard, materialize
 
 BANDS, ROWS = 32, 4
 NUM, DEN = 75, 100  # a link: DEN * intersection >= NUM * union
-BLOCK_DOCS, BLOCK_SHINGLES = 256, 200_000
+#: Documents of a block, and shingles that a block holds about at most; a lone document may have more.
+BLOCK_DOCS, BLOCK_SHINGLES = 64, 200_000
+#: Blocks of the second comparison are so many times larger.
+WIDER = 4
+#: Where the second comparison needs so few copies of sets, the cells go to the texts by a broadcast of about 40 bytes each.
+BROADCAST_CELLS = 500_000
 
 
 def super_minhash(sets: list[np.ndarray], places: int) -> np.ndarray:
@@ -104,8 +114,13 @@ def _sketches(width: int, bands: int, rows: int):
     return run
 
 
+CELL = "slot int, leader long, i int, j int, side int, component long"
+SETS = f"{CELL}, doc_id long, shingles binary"
+
+
 def _sets(width: int):
-    schema = pa.schema([("leader", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("doc_id", pa.int64()), ("shingles", pa.binary())])
+    fields = [("slot", pa.int32()), ("leader", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("component", pa.int64())]
+    schema = pa.schema([*fields, ("doc_id", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,9 +130,10 @@ def _sets(width: int):
                 for r, s in zip(range(lo, hi), sets, strict=True):
                     own, n = cells[r].values, len(cells[r])
                     held = s.tobytes()
-                    for a in range(0, n, max(1, (4 << 20) // (len(held) + 1))):
-                        part = own.slice(a, max(1, (4 << 20) // (len(held) + 1)))
-                        yield pa.RecordBatch.from_arrays([*(part.field(k) for k in ("leader", "i", "j", "block")), pa.array([ids[r].as_py()] * len(part), pa.int64()), pa.array([held] * len(part), pa.binary())], schema=schema)
+                    step = max(1, (4 << 20) // (len(held) + 1))
+                    for a in range(0, n, step):
+                        part = own.slice(a, step)
+                        yield pa.RecordBatch.from_arrays([*(part.field(k) for k, _ in fields), pa.array([ids[r].as_py()] * len(part), pa.int64()), pa.array([held] * len(part), pa.binary())], schema=schema)
 
     return run
 
@@ -145,16 +161,20 @@ def _linked(inter: int, a: int, b: int) -> bool:
     return DEN * inter >= NUM * (a + b - inter)
 
 
-def links_of(ids: list[int], blocks: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def links_of(ids: list[int], sides: list[int], known: list[int | None], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links of one cell that connect what its full comparison connects.
 
-    Every pair of the two blocks is compared unless the union-find already joins it; links given are at most
-    one less than the documents.
+    Pairs on one side are compared only in a cell of one side.  Documents whose ``known`` component is the same need no
+    link.  Links given are at most one less than the documents.
     """
     n = len(ids)
     parent, out = list(range(n)), []
-    cross = len(set(blocks)) > 1
+    cross = len(set(sides)) > 1
     sizes = [len(s) for s in sets]
+    first: dict[int, int] = {}
+    for x, c in enumerate(known):
+        if c is not None:
+            parent[x] = first.setdefault(c, x)
 
     def join(x: int, y: int) -> None:
         rx, ry = _root(parent, x), _root(parent, y)
@@ -165,7 +185,7 @@ def links_of(ids: list[int], blocks: list[int], sets: list[np.ndarray]) -> list[
     if n <= 12:
         for x in range(n):
             for y in range(x):
-                if (not cross or blocks[x] != blocks[y]) and DEN * min(sizes[x], sizes[y]) >= NUM * max(sizes[x], sizes[y]) and _root(parent, x) != _root(parent, y):
+                if (not cross or sides[x] != sides[y]) and DEN * min(sizes[x], sizes[y]) >= NUM * max(sizes[x], sizes[y]) and _root(parent, x) != _root(parent, y):
                     if _linked(len(np.intersect1d(sets[x], sets[y], assume_unique=True)), sizes[x], sizes[y]):
                         join(x, y)
         return out
@@ -178,7 +198,11 @@ def links_of(ids: list[int], blocks: list[int], sets: list[np.ndarray]) -> list[
     code, owner = number[code[keep]], owner[keep]
     by_code = np.argsort(code, kind="stable")
     code, owner = code[by_code], owner[by_code]
-    inter = np.zeros((n, n), dtype=np.float64)
+    # rows and columns of the product: the two sides, or all with all
+    side = np.array(sides)
+    left = np.flatnonzero(side == side.min()) if cross else np.arange(n)
+    right = np.flatnonzero(side != side.min()) if cross else left
+    inter = np.zeros((len(left), len(right)), dtype=np.float64)
     step = 4096
     total = int(shared.sum())
     cuts = np.searchsorted(code, np.arange(0, total + step, step))
@@ -186,14 +210,11 @@ def links_of(ids: list[int], blocks: list[int], sets: list[np.ndarray]) -> list[
         if b > a:
             block = np.zeros((n, step), dtype=np.float32)
             block[owner[a:b], code[a:b] - k * step] = 1
-            inter += block @ block.T  # each product is exact: sums of at most 4096 ones
+            inter += block[left] @ block[right].T  # each product is exact: sums of at most 4096 ones
     size = np.array(sizes, dtype=np.float64)
-    hit = DEN * inter >= NUM * (size[:, None] + size[None, :] - inter)
-    if cross:
-        side = np.array(blocks)
-        hit &= side[:, None] != side[None, :]
-    x, y = np.nonzero(np.tril(hit, -1))
-    for a, b in zip(x.tolist(), y.tolist(), strict=True):
+    hit = DEN * inter >= NUM * (size[left][:, None] + size[right][None, :] - inter)
+    x, y = np.nonzero(hit if cross else np.tril(hit, -1))
+    for a, b in zip(left[x].tolist(), right[y].tolist(), strict=True):
         join(a, b)
     return out
 
@@ -201,51 +222,52 @@ def links_of(ids: list[int], blocks: list[int], sets: list[np.ndarray]) -> list[
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by cell; one cell is held at a time."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    key, ids, blocks, sets = None, [], [], []
+    key, cell = None, ([], [], [], [])
     pending: list[tuple[int, int]] = []
 
     def flush() -> None:
-        if len(ids) > 1:
-            pending.extend(links_of(ids, blocks, sets))
+        if len(cell[0]) > 1:
+            pending.extend(links_of(*cell))
+
+    def out() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array([p[0] for p in pending], pa.int64()), pa.array([p[1] for p in pending], pa.int64())], schema=schema)
+        pending.clear()
+        return batch
 
     for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in range(6)]
-        for leader, i, j, block, doc, held in zip(*columns, strict=True):
+        columns = [batch.column(k).to_pylist() for k in range(1, 8)]
+        for leader, i, j, side, component, doc, held in zip(*columns, strict=True):
             if (leader, i, j) != key:
                 flush()
-                key, ids, blocks, sets = (leader, i, j), [], [], []
-            ids.append(doc)
-            blocks.append(block)
-            sets.append(np.frombuffer(held, dtype=np.uint64))
+                key, cell = (leader, i, j), ([], [], [], [])
+            for own, value in zip(cell, (doc, side, component, np.frombuffer(held, dtype=np.uint64)), strict=True):
+                own.append(value)
         if len(pending) > 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pending], pa.int64()), pa.array([p[1] for p in pending], pa.int64())], schema=schema)
-            pending.clear()
+            yield out()
     flush()
-    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pending], pa.int64()), pa.array([p[1] for p in pending], pa.int64())], schema=schema)
+    yield out()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, root): the smallest id that each linked id reaches, by large-star and small-star rounds.
+def _slot(cell: Column, parts: int) -> Column:
+    """The task of a cell: a group's cells go to one task after the other, from one that its leader's hash picks."""
+    return (F.pmod(F.xxhash64("leader"), F.lit(parts)) + F.pmod(cell, F.lit(parts))).cast("int") % parts
+
+
+def _compared(docs: DataFrame, cells: DataFrame, width: int, parts: int, few: bool) -> DataFrame:
+    """``cells`` (doc_id and the fields of CELL): links (a, b) that comparing each cell's documents gives."""
+    fields = [c.split()[0] for c in CELL.split(", ")]
+    own = cells.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("cells"))
+    one = docs.join(F.broadcast(own) if few else own, "doc_id").select("doc_id", "text", "cells")
+    sets = one.mapInArrow(lambda it: gather(_sets(width)(it)), SETS)
+    return sets.repartitionById(parts, "slot").sortWithinPartitions("leader", "i", "j", "side", "doc_id").mapInArrow(_verify, "a long, b long")
 
-    Every round is two aggregations and joins over the links; the driver sees only their number and a checksum.
-    """
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    mark = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # as a table of its own, so that the join below shuffles both sides and a hub's links can be split
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        # large star: a node's larger neighbours go to its smallest
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "large-star")
-        # small star: a node and its smaller neighbours go to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = materialize(small.filter("u <> v").distinct(), "small-star")
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if mark == (state["n"], state["h"]):
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
-        mark = (state["n"], state["h"])
+
+def _blocks(docs: Column, shingles: Column, block_docs: int) -> Column:
+    return F.greatest(F.ceil(docs / block_docs), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def _dealt(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("class_id"), blocks).cast("int")
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, bands: int = BANDS, rows: int = ROWS, block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -263,20 +285,37 @@ def near_duplicates(documents: DataFrame, width: int = 5, bands: int = BANDS, ro
     buckets = classes.select("class_id", "n_shingles", F.explode("keys").alias("key"))
     leaders = buckets.groupBy("key").agg(F.min("class_id").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")
     members = materialize(buckets.join(leaders, "key").select("leader", "class_id", "n_shingles").distinct(), "groups")
-    shape = members.groupBy("leader").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
-    shape = shape.select("leader", F.greatest(F.ceil(F.col("n") / block_docs), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = members.join(materialize(shape, "group-shapes"), "leader").select("leader", "class_id", "blocks", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int").alias("block"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    cells = dealt.select("leader", "class_id", "block", other).select(
-        F.col("class_id").alias("doc_id"),
-        F.struct("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block").alias("cell"),
-    )
-    cells = cells.groupBy("doc_id").agg(F.collect_list("cell").alias("cells"))
-    one = docs.join(cells, "doc_id").select("doc_id", "text", "cells")
-    sets = one.mapInArrow(lambda it: gather(_sets(width)(it)), "leader long, i int, j int, block int, doc_id long, shingles binary")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    links = sets.repartition(parts, "leader", "i", "j").sortWithinPartitions("leader", "i", "j", "doc_id").mapInArrow(_verify, "a long, b long")
-    roots = components(links)
+    shape = members.groupBy("leader").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    shape = materialize(shape.select("leader", _blocks(F.col("n"), F.col("w"), block_docs).alias("blocks"), _blocks(F.col("n"), F.col("w"), block_docs * WIDER).alias("wide")), "group-shapes")
+
+    # first comparison: every block with its group's leader
+    dealt = members.join(shape, "leader").select("leader", "class_id", _dealt(F.col("blocks")).alias("i"))
+    led = shape.select("leader", F.col("leader").alias("class_id"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    met = dealt.filter("class_id <> leader").unionByName(led)
+    cell = [F.col("class_id").alias("doc_id"), _slot(F.col("i"), parts).alias("slot"), "leader"]
+    none = F.lit(None).cast("long").alias("component")
+    links = materialize(_compared(docs, met.select(*cell, "i", F.lit(0).alias("j"), F.lit(0).alias("side"), none), width, parts, False), "links-of-blocks")
+    roots = materialize(components(links).select("id", F.col("component").alias("root")), "roots-of-blocks")
+
+    # second comparison: in groups of several components, all members with those outside the largest
+    many = members.join(shape.filter("blocks > 1"), "leader").join(roots, F.col("class_id") == F.col("id"), "left")
+    many = materialize(many.select("leader", "class_id", "n_shingles", "wide", F.coalesce("root", "class_id").alias("component")), "large-groups")
+    parted = many.groupBy("leader", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"), F.max("wide").alias("wide"))
+    parted = parted.groupBy("leader").agg(F.max(F.struct("n", "w", "component")).alias("most"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.max("wide").alias("wide")).filter("n > most.n")
+    rest_n, rest_w = F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w")
+    parted = parted.select("leader", F.col("most.component").alias("largest"), _blocks(rest_n, rest_w, block_docs).alias("rest"), rest_n.alias("rest_n"), "n", "wide")
+    parted = materialize(parted.select("leader", "largest", "rest", (F.col("rest_n") * F.col("wide") + F.col("n") * F.col("rest")).alias("copies")), "parted-groups")
+    open_groups = parted.agg(F.count("*").alias("groups"), F.sum("copies").alias("copies")).first()
+    if open_groups["groups"]:
+        own = many.join(parted, "leader")
+        outside = own.filter("component <> largest").select("leader", "class_id", "component", "wide", F.col("rest"), _dealt(F.col("rest")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"), F.lit(0).alias("side"))
+        inside = own.select("leader", "class_id", "component", "wide", F.col("rest"), F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("i"), _dealt(F.col("wide")).alias("j"), F.lit(1).alias("side"))
+        met = outside.unionByName(inside).withColumn("nth", F.col("i") * F.col("wide") + F.col("j"))
+        met = met.select(F.col("class_id").alias("doc_id"), _slot(F.col("nth"), parts).alias("slot"), "leader", "i", "j", "side", "component")
+        more = _compared(docs, met, width, parts, open_groups["copies"] <= BROADCAST_CELLS)
+        tree = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
+        roots = components(tree.unionByName(more)).select("id", F.col("component").alias("root"))
 
     of_class = materialize(classes.select(*digest, "class_id").join(roots, F.col("class_id") == F.col("id"), "left").select(*digest, F.coalesce("root", "class_id").alias("component")), "components")
     return sketch.select("doc_id", *digest).join(of_class, digest, "left").select(

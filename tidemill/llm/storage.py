@@ -1,39 +1,13 @@
-"""Shared-folder tables: how the operators cut lineage and pass results between jobs."""
+"""The operators' tables: inputs, and what jobs hand on in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import share_package
+from ..shared import discard, materialize, new_path, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where the session names none."""
-    conf = spark.sparkContext.getConf()
-    named = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tidemill-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table of the shared folder and read it back.
-
-    Cuts the lineage with files that outlive any executor, and makes row order and values stable for the
-    jobs that read them again.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["discard", "materialize", "new_path", "read_table", "shared_dir", "small_batches"]
 
 
 #: Bytes of an Arrow batch on its way to a Python worker, so that a worker holds little at once.
