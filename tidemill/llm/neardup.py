@@ -115,6 +115,8 @@ def _sketches(width: int, bands: int, rows: int):
 
 
 CELL = "slot int, leader long, i int, j int, side int, component long"
+#: Bytes of sets in an Arrow batch on its way out of a worker.
+OUT_BYTES = 4 << 20
 SETS = f"{CELL}, doc_id long, shingles binary"
 
 
@@ -126,30 +128,21 @@ def _sets(width: int):
         for batch in batches:
             ids, text, cells = batch.column(0), batch.column(1), batch.column(2)
             for lo, hi, data, offsets in chunks(text, 1 << 19):
-                sets = shingle_sets(data, offsets, width)
-                for r, s in zip(range(lo, hi), sets, strict=True):
-                    own, n = cells[r].values, len(cells[r])
-                    held = s.tobytes()
-                    step = max(1, (4 << 20) // (len(held) + 1))
-                    for a in range(0, n, step):
-                        part = own.slice(a, step)
-                        yield pa.RecordBatch.from_arrays([*(part.field(k) for k, _ in fields), pa.array([ids[r].as_py()] * len(part), pa.int64()), pa.array([held] * len(part), pa.binary())], schema=schema)
+                held = [s.tobytes() for s in shingle_sets(data, offsets, width)]
+                own = cells.slice(lo, hi - lo)
+                owner = np.repeat(np.arange(hi - lo), own.value_lengths().to_numpy())
+                flat, names = own.flatten(), ids.slice(lo, hi - lo)
+                ends = np.cumsum(np.array([len(h) for h in held], dtype=np.int64)[owner])
+                a = 0
+                while a < len(owner):
+                    b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + OUT_BYTES, side="right")))
+                    part = flat.slice(a, b - a)
+                    yield pa.RecordBatch.from_arrays([*(part.field(k) for k, _ in fields), names.take(pa.array(owner[a:b])), pa.array([held[x] for x in owner[a:b].tolist()], pa.binary())], schema=schema)
+                    a = b
 
     return run
 
 
-def gather(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Join short batches into longer ones, as far as they follow each other."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        held.append(b)
-        if sum(x.num_rows for x in held) >= rows or sum(x.nbytes for x in held) > 8 << 20:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held = []
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def _root(parent: list[int], x: int) -> int:
     while parent[x] != x:
         parent[x] = parent[parent[x]]
@@ -258,7 +251,7 @@ def _compared(docs: DataFrame, cells: DataFrame, width: int, parts: int, few: bo
     fields = [c.split()[0] for c in CELL.split(", ")]
     own = cells.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("cells"))
     one = docs.join(F.broadcast(own) if few else own, "doc_id").select("doc_id", "text", "cells")
-    sets = one.mapInArrow(lambda it: gather(_sets(width)(it)), SETS)
+    sets = one.mapInArrow(_sets(width), SETS)
     return sets.repartitionById(parts, "slot").sortWithinPartitions("leader", "i", "j", "side", "doc_id").mapInArrow(_verify, "a long, b long")
 
 
@@ -297,6 +290,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, bands: int = BANDS, ro
     none = F.lit(None).cast("long").alias("component")
     links = materialize(_compared(docs, met.select(*cell, "i", F.lit(0).alias("j"), F.lit(0).alias("side"), none), width, parts, False), "links-of-blocks")
     roots = materialize(components(links).select("id", F.col("component").alias("root")), "roots-of-blocks")
+    discard(links)
 
     # second comparison: in groups of several components, all members with those outside the largest
     many = members.join(shape.filter("blocks > 1"), "leader").join(roots, F.col("class_id") == F.col("id"), "left")
