@@ -1,9 +1,9 @@
 """Quality by compression: zstandard dictionaries of good and of bad labelled text.
 
 A text is cut into blocks, and every block is compressed once with each dictionary.  The sizes summed over the
-whole text give the normalised difference (good - bad) / (good + bad): negative where the good dictionary
-knows the text better.  A logistic calibration turns that difference, taken with how compressible the text is
-at all, into the chance of label 1.
+whole text give the difference (good - bad) / length, negative where the good dictionary knows the text better.  It is the
+only input of the score: an isotonic calibration, which can only fall as the difference grows, turns it into the
+chance of label 1.
 
 Edge cases: null and empty texts have a difference of 0 and get the calibrated score of that; with one class
 or none among the labels the score is the share of label 1 (0.5 without labels); whole texts are used;
@@ -24,17 +24,18 @@ from pyspark.sql import functions as F
 
 from .labelled import fitted, held_out, sample, scored
 
-BLOCK, LEVEL, DICTIONARY = 2048, 3, 64 << 10
+#: Bytes of a block to compress, of a piece to train on, and of a dictionary.
+STEP, BLOCK, LEVEL, DICTIONARY = 512, 2048, 3, 256 << 10
 SAMPLE_ROWS, SAMPLE_BYTES = 6000, 32 << 20
-#: Bytes of a class that its dictionary is trained on: the trainer gains nothing from more than about a hundred times the dictionary.
-DICTIONARY_BYTES = 100 * DICTIONARY
+#: Bytes of a class that its dictionary is trained on.
+DICTIONARY_BYTES = 25 * DICTIONARY
 
 
 class Model:
-    """Two dictionaries and a calibration; compressors are made where the model is used."""
+    """Two dictionaries and a calibration curve; compressors are made where the model is used."""
 
-    def __init__(self, good: bytes, bad: bytes, scale: np.ndarray, weights: np.ndarray):
-        self.good, self.bad, self.scale, self.weights = good, bad, scale, weights
+    def __init__(self, good: bytes, bad: bytes, differences: np.ndarray, chances: np.ndarray):
+        self.good, self.bad, self.differences, self.chances = good, bad, differences, chances
         self._pair = None
 
     def __getstate__(self):
@@ -46,14 +47,14 @@ class Model:
             self._pair = [zstandard.ZstdCompressor(level=LEVEL, dict_data=ready(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (self.good, self.bad)]
         raw = (text or "").encode("utf-8", "surrogatepass")
         good = bad = 0
-        for a in range(0, len(raw), BLOCK):
-            piece = raw[a : a + BLOCK]
+        for a in range(0, len(raw), STEP):
+            piece = raw[a : a + STEP]
             good += len(self._pair[0].compress(piece))
             bad += len(self._pair[1].compress(piece))
         return len(raw), good, bad
 
     def scores(self, sizes: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(design(sizes, self.scale) @ self.weights, -30, 30)))
+        return np.interp(difference(sizes), self.differences, self.chances)
 
 
 def ready(dictionary: bytes) -> zstandard.ZstdCompressionDict:
@@ -62,27 +63,28 @@ def ready(dictionary: bytes) -> zstandard.ZstdCompressionDict:
     return d
 
 
-def design(sizes: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """Calibration inputs: the normalised difference, compressibility and length, and their products."""
-    n, good, bad = sizes.T.astype(np.float64)
-    difference = np.where(good + bad > 0, (good - bad) / np.maximum(good + bad, 1), 0.0)
-    dense = np.where(n > 0, np.minimum(good, bad) / np.maximum(n, 1), 1.0)
-    base = np.stack([difference, dense, np.log1p(n) / 10], axis=1)
-    base = (base - scale[0]) / scale[1]
-    products = np.stack([base[:, i] * base[:, j] for i in range(3) for j in range(i, 3)], axis=1)
-    return np.hstack([np.ones((len(n), 1)), base, products])
-
-
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
-    """Newton's method for ridge logistic regression."""
-    w = np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
-        w += move
-        if np.abs(move).max() < 1e-6:
-            break
-    return w
+def difference(sizes: np.ndarray) -> np.ndarray:
+    """Compressed bytes that the bad dictionary saves a byte of text; 0 for an empty text."""
+    n, good, bad = sizes.reshape(-1, 3).T.astype(np.float64)
+    return (good - bad) / np.maximum(n, 1)
+
+
+def falling(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The curve of least squares that never rises with ``x``, by pooling adjacent violators: its corners.
+
+    A pool's chance is drawn half a case towards a half, so that none is certain.
+    """
+    pools: list[list[float]] = []  # ones, cases, first and last place
+    for at in np.argsort(x, kind="stable"):
+        pools.append([float(y[at]), 1.0, float(x[at]), float(x[at])])
+        while len(pools) > 1 and (pools[-2][0] * pools[-1][1] <= pools[-1][0] * pools[-2][1] or pools[-2][3] == pools[-1][2]):
+            ones, cases, _, last = pools.pop()
+            pools[-1][0] += ones
+            pools[-1][1] += cases
+            pools[-1][3] = last
+    corners = [(place, (ones + 0.5) / (cases + 1)) for ones, cases, first, last in pools for place in sorted({first, last})]
+    places, chances = np.array(corners).T
+    return places, np.minimum.accumulate(chances)
 
 
 def dictionary_of(texts: list[str], max_bytes: int = DICTIONARY_BYTES) -> bytes:
@@ -107,7 +109,7 @@ def dictionary_of(texts: list[str], max_bytes: int = DICTIONARY_BYTES) -> bytes:
         kept.append(piece)
         total += len(piece)
     try:
-        return zstandard.train_dictionary(DICTIONARY, kept, k=256, d=8).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY, kept).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b"".join(kept)[-DICTIONARY:] or b" " * 16
 
@@ -117,15 +119,12 @@ def fit(rows: list[tuple[str, object]], dictionary_bytes: int = DICTIONARY_BYTES
     y = np.array([int(v) for _, v in rows], dtype=np.float64)
     third = np.arange(len(rows)) % 3 == 2
     groups = [[t for (t, v), c in zip(rows, third, strict=True) if int(v) == k and not c and t] for k in (1, 0)]
-    flat = np.array([[0.0, 0.0, 0.0], [1.0, 1.0, 1.0]])
     if not all(groups) or len(set(y[third])) < 2:
         share = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
-        return Model(b" " * 16, b" " * 16, flat, np.array([np.log(share / (1 - share))] + [0.0] * 9))
-    model = Model(dictionary_of(groups[0], dictionary_bytes), dictionary_of(groups[1], dictionary_bytes), flat, np.zeros(10))
+        return Model(b" " * 16, b" " * 16, np.zeros(1), np.array([share]))
+    model = Model(dictionary_of(groups[0], dictionary_bytes), dictionary_of(groups[1], dictionary_bytes), np.zeros(1), np.zeros(1))
     sizes = np.array([model.sizes(t) for (t, _), c in zip(rows, third, strict=True) if c])
-    base = design(sizes, flat)[:, 1:4]
-    model.scale = np.stack([base.mean(axis=0), base.std(axis=0) + 1e-9])
-    model.weights = logistic(design(sizes, model.scale), y[third])
+    model.differences, model.chances = falling(difference(sizes), y[third])
     return model
 
 
