@@ -88,6 +88,28 @@ def test_toxicity_and_its_places(spark):
     assert found and sum(any(w in f for w in ("idiot", "moron", "brut")) for f in found) > 0.95 * len(found)
 
 
+def test_every_toxic_document_has_a_place(spark):
+    """Also where no sentence alone would do: mild words of several sentences add up."""
+    rng = random.Random(13)
+    docs, labels = [], []
+    for i in range(400):
+        parts = [sentences(rng, "en", 1) for _ in range(rng.randint(2, 10))]
+        toxic = rng.random() < 0.4
+        if toxic:
+            for k in rng.sample(range(len(parts)), min(len(parts), rng.randint(1, 4))):
+                parts[k] = parts[k][:-1] + " " + rng.choice(["dolt", "fool", "clod", "oaf"]) + "."
+        elif rng.random() < 0.3:  # such a word may stand in a clean document too
+            parts[0] = parts[0][:-1] + " " + rng.choice(["dolt", "fool", "clod", "oaf"]) + "."
+        docs.append((i, " ".join(parts)))
+        labels.append((i, int(toxic)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = score_toxicity(d, d, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert any(r.predicted for r in rows) and not all(r.predicted for r in rows)
+    for r in rows:
+        assert not r.predicted or r.spans
+        assert all(0 <= s.start < s.end <= len(docs[r.doc_id][1]) for s in r.spans)
+
+
 def test_one_class_or_none(spark):
     d = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     for rows in ([], [(1, 1)], [(1, 0), (None, 1), (2, None)]):

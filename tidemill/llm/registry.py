@@ -47,7 +47,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = score_toxicity(docs, docs, read_table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_sentences"))
+    places = F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"]))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_sentences"), F.array_join(places, ",").alias("sentences"))
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

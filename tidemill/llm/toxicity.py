@@ -2,13 +2,15 @@
 
 Only documents carry labels.  Every sentence gets a logistic score from its words and word beginnings, and a
 document is toxic unless all its sentences are not: P = 1 - prod(1 - p) (noisy-or).  The likelihood of the
-document labels trains the sentence scores, which then tell where a document offends.  A run of more than
+document labels trains the sentence scores, which then tell where a document offends: the sentences that would
+make it toxic alone, or else, where only many together do, its worst one.  A run of more than
 ``SENTENCE_WORDS`` words without an end mark counts as several sentences; sentences that begin within the same
 ``LEAST_WORDS`` words of a document count as one, so that shouted single words do not add up; a word that
 follows itself counts once.
 
 Edge cases: a null, empty or wordless text has no sentences, so P is 0 before calibration; with one class or
-none among the labels the score is the share of label 1 (0 without labels); whole texts are used; repeated rows are
+none among the labels the score is the share of label 1 (0 without labels), which locates nothing in a text without
+sentences; whole texts are used; repeated rows are
 each reported; other columns are kept.
 """
 
@@ -180,7 +182,24 @@ def fit(rows: list[tuple[str, object]], batch: int = 256) -> Model:
 SPANS = "array<struct<start: int, end: int, score: double>>"
 
 
-def _score(model: Model):
+def located(s: Sentences, z: np.ndarray, chance: np.ndarray, alone: np.ndarray, threshold: float) -> np.ndarray:
+    """Numbers of the offending sentences, in order.
+
+    A sentence offends if ``alone``, the calibrated chance of a document of just that sentence, reaches the
+    threshold; in a document that reaches it by several sentences only, the first of the greatest score does.
+    """
+    hit = alone >= threshold
+    if len(z):
+        first = np.flatnonzero(np.append(True, s.doc[1:] != s.doc[:-1]))
+        doc = s.doc[first]
+        bare = (chance[doc] >= threshold) & ~np.logical_or.reduceat(hit, first)
+        ends = np.append(first[1:], len(z))
+        for a, b in zip(first[bare].tolist(), ends[bare].tolist(), strict=True):
+            hit[a + int(z[a:b].argmax())] = True
+    return np.flatnonzero(hit)
+
+
+def _score(model: Model, threshold: float):
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
     added = [pa.field("score", pa.float64()), pa.field("spans", pa.list_(span))]
 
@@ -191,14 +210,15 @@ def _score(model: Model):
                 s = Sentences(data, offsets)
                 z = s.scores(model.weights, model.bias)
                 p = sigmoid(z)
-                hit = np.flatnonzero(p >= 0.5)
+                chance = model.calibrated(s.log_clean(z))
+                hit = located(s, z, chance, model.calibrated(-np.logaddexp(0, z)), threshold)
                 points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 begin = points[s.begin[hit]] - points[offsets[s.doc[hit]]]
                 end = points[s.end[hit]] - points[offsets[s.doc[hit]]]
                 rows = pa.StructArray.from_arrays([pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(p[hit])], fields=list(span))
                 cuts = np.searchsorted(s.doc[hit], np.arange(hi - lo + 1)).astype(np.int32)
                 kept = [batch.column(k).slice(lo, hi - lo) for k in range(1, batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(model.calibrated(s.log_clean(z))), pa.ListArray.from_arrays(pa.array(cuts), rows)], schema=schema)
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(chance), pa.ListArray.from_arrays(pa.array(cuts), rows)], schema=schema)
 
     return run
 
@@ -206,10 +226,11 @@ def _score(model: Model):
 def score_toxicity(documents: DataFrame, training: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """``documents`` (doc_id, text, ...): its columns with held_out, score, predicted and spans.
 
-    ``spans`` are the sentences with a score of 0.5 or more, in code points.  The fit joins ``training`` (doc_id,
+    ``spans`` are the sentences that offend, in code points, each with its own score; a row with predicted 1 has one at
+    least if its text has a word.  The fit joins ``training`` (doc_id,
     text) with ``labels`` (doc_id, toxic) where crc32(doc_id) mod ``modulus`` is not ``remainder``, and takes at most
     ``sample_rows`` rows and ``sample_bytes``.  Columns of ``documents`` with one of the added names are replaced.
     """
     model = fitted(sample(training, labels, "toxic", ~held_out(F.col("doc_id"), modulus, remainder), sample_rows, sample_bytes), fit)
-    got = scored(documents, ["score double", f"spans {SPANS}"], ["held_out", "predicted"], _score(model))
+    got = scored(documents, ["score double", f"spans {SPANS}"], ["held_out", "predicted"], _score(model, threshold))
     return got.withColumns({"held_out": held_out(F.col("doc_id"), modulus, remainder), "predicted": (F.col("score") >= threshold).cast("int")})
