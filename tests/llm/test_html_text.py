@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tidemill.llm.html_text import extract_text, main_text
@@ -55,6 +57,83 @@ def test_copyright_notices_go():
         assert main_text(f"<article><p>{LONG}</p><p>{notice}</p><p>{LONG}</article>") == f"{LONG} {LONG}"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # marks on blocks that are no containers
+        (f"<article><p>{LONG}</p><p class='advert'>{LONG}</p><p>End", f"{LONG} End"),
+        (f"<article><p>{LONG}<p class=advert>{LONG}<p>End", f"{LONG} End"),
+        (f"<article><ul><li>{LONG}<li class='comment'><p>{LONG}</p><b>x</b><li>End</ul>", f"{LONG} End"),
+        (f"<article><ul><li>{LONG}<li class='comment'>a<ul><li>b<li>c</ul>d</li><li>End</ul>", f"{LONG} End"),
+        (f"<article><table><tr><td class='sponsored'>{LONG}<td>{LONG}<tr class='ad'><td>x<tr><td>End</table>", f"{LONG} End"),
+        (f"<article><h2 class='share'>Share it<h2>A title</h2><p>{LONG}", f"A title {LONG}"),
+        (f"<article><p>{LONG}</p><p hidden>{LONG}</p><h3 style='display:none'>x</h3><p>End", f"{LONG} End"),
+        # hidden elements inside a block
+        (f"<article><p>Start <span hidden>not <span>this</span> and</span>that. {LONG}", f"Start that. {LONG}"),
+        (f"<article><p>Start <span style='display: none'>never closed<p>{LONG}", f"Start {LONG}"),
+        (f"<article><p>{LONG} <span class='overflow-hidden' aria-hidden='true'>seen</span><img hidden> too", f"{LONG} seen too"),
+        # names of several words
+        (f"<div class='share-price'><p>{LONG}</div><div id='tags-of-the-world'><p>{LONG}</div>", f"{LONG} {LONG}"),
+        (f"<div class='site-footer'><p>{LONG}</div><div class='adBox x'><p>{LONG}</div><div id='related-articles'><p>{LONG}</div><p>{LONG} End", f"{LONG} End"),
+        # each run of text between tags is decoded by itself
+        (f"<article><p>{LONG} &am<b>p;lt;</b> &lt<i>;</i> &amp;lt; a&am<!-- -->p;", f"{LONG} &amp;lt; <; &lt; a&amp;"),
+    ],
+)
+def test_marks_on_any_block(page, text):
+    assert main_text(page) == text
+
+
+WORDS = "the of and to in that is was for on with as his they this have from or one had by word but not what all were we when your can said there use".split()
+NOISE = [
+    "<nav><ul><li><a href='/{0}'>{0}</a><li>{0}</ul></nav>",
+    "<div class='{1}'><p>{2}</p>{2}</div>",
+    "<aside><h2>{0}</h2><p>{2}</aside>",
+    "<form action='/{0}'><label>{2}</label><input name='{0}'><button>{0}</button></form>",
+    "<script>if (a < b) document.write('<p>{2}</p>')</script>",
+    "<style>p {{ content: '{0}' }}</style>",
+    "<!-- <p>{2}</p> -->",
+    "<p class={1}>{2}</p>",
+    "<ul><li class='comment {0}'><p>{2}</p><li class='comment'>{2}</ul>",
+    "<section id={1}><h3>{0}</h3><table><tr><td>{2}</table></section>",
+    "<p hidden>{2}</p>",
+    "<div style='x:y;display:none'><div><p>{2}</p></div></div>",
+    "<noscript>{2}</noscript>",
+]
+
+
+def written(rng, text):
+    """One of the ways to write a text inside a block."""
+    out = []
+    for w in text.split(" "):
+        kind = rng.random()
+        if kind < 0.08:
+            tag = rng.choice(["b", "i", "em", "span"])
+            w = f"<{tag} class=ad-free>{w}</{tag}>"
+        elif kind < 0.14:
+            w = "".join(f"&#{ord(c)};" if rng.random() < 0.5 else f"&#x{ord(c):x};" for c in w)
+        elif kind < 0.18:
+            w = f"{w}<!-- {w} -->"
+        elif kind < 0.2:
+            w = f"{w}<span hidden>{rng.choice(WORDS)}</span>"
+        out.append(w + rng.choice([" ", " ", "\n\t", "&#32;", "<br>"]))
+    return "".join(out)
+
+
+def test_pages_made_of_known_text_and_noise():
+    rng = random.Random(21)
+    sentence = lambda n: (" ".join(rng.choices(WORDS, k=n)) + ".").capitalize()
+    for _ in range(400):
+        noise = lambda: rng.choice(NOISE).format(rng.choice(WORDS), rng.choice(["ad", "share", "sidebar", "newsletter", "cookie", "related"]), sentence(30)) if rng.random() < 0.5 else ""
+        blocks = [sentence(rng.choice([1, 3, 8])) if k and rng.random() < 0.3 else sentence(rng.randint(20, 60)) for k in range(rng.randint(1, 12))]
+        body = ""
+        for text in blocks:
+            tag = rng.choice(["p", "p", "h2", "blockquote", "div", "section class='share-price'", "li"])
+            body += f"<{tag}>{written(rng, text)}</{tag.split()[0]}>" + noise()
+        name = rng.choice(["article", "main", "article class='overflow-hidden post'"])
+        page = f"<!doctype html><html><head><title>{sentence(5)}</title></head><body class='page overflow-hidden'>{noise()}<header><h1>{sentence(3)}</h1></header>{noise()}<{name}>{body}</{name.split()[0]}>{noise()}<footer>{sentence(30)}</footer></body></html>"
+        assert main_text(page) == " ".join(blocks), page
+
+
 def test_broken_markup_ends_with_the_page():
     for page in ("<", "<a", "<p class='x", "<!--", "<script>", "</", "<article><p>x</div></p></nav></article></article>", "a < b", "<p" * 2000, "<div>" * 3000 + LONG):
         main_text(page)

@@ -1,15 +1,16 @@
 """Main text of web pages by two passes of block rules.
 
 A tolerant scanner cuts the page into blocks at block-level tags and knows what each stands in: an article or
-main element, a menu, footer, form and so on, or a container whose class or id names such a part (inside an
-article only by a whole name such as "share", elsewhere also by a word of a longer one).  The first
+main element, a menu, footer, form and so on, or any block whose class or id names such a part (inside an article only by
+a whole name such as "share", elsewhere also by a name made of such words and others that say nothing, as in
+"site-footer" or "ad-box" but not "share-price").  The first
 pass decides a block by where it stands, its link density, its length and its density of stop words.  Blocks
 that this leaves open, mostly short ones, inherit in the second pass the label of the nearest decided
 neighbours within the same article (without one, within the page); where those differ the nearer one counts,
 and at equal distance the good one.  A block of an article with no decided neighbour is kept, others are not.
 
 Edge cases: null and empty pages give an empty text; unclosed tags, quotes and comments end with the page;
-character references are decoded once; repeated rows are each reported; other columns are ignored.
+character references are decoded once, each run of text between two tags by itself; text of hidden elements goes; repeated rows are each reported; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,12 +38,18 @@ NESTED = frozenset("article aside blockquote body button details dialog div dl f
 #: Parts of a page that are no article text.
 BOILERPLATE = frozenset("aside button dialog footer form head menu nav".split())
 MAIN = frozenset(["article", "main"])
+VOID = frozenset("area base br col embed img input link meta param source track wbr".split())
 #: Words of class, id and role attributes that name such parts; inside an article, their whole tokens.
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disclaimer disqus dropdown form gdpr login masthead menu modal nav navbar navigation newsletter notice notification pagination pager popup promo promotion recommended related search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget".split()
 )
-#: Those that name a page's part only outside an article.
-OUTER_HINTS = frozenset("header footer head foot top bottom".split())
+#: Those that name a page's part only outside an article, and only as a container.
+OUTER_HINTS = HINTS | frozenset("header footer head foot top bottom".split())
+#: Words that may stand beside them in a name without changing what it says.
+PLAIN = frozenset("site page main global primary secondary inner outer left right center sticky fixed floating mobile desktop box wrap wrapper container section block list area bar item items row col column columns panel strip slot unit zone region group holder content body text title link links button buttons icon icons form field input user post posts article articles stories story news topics reader readers thread count overlay popover module component info meta small large mini by us our all js".split())
+#: Blocks that another one of the named kinds ends where their own end tag is left out.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "tr": {"tr", "tbody", "tfoot"}, "option": {"option"}, "p": BLOCKS} | dict.fromkeys(HEADINGS, HEADINGS)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 UNDISPLAYED = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 #: What a block begins with that is a copyright notice; a bare "(c)" may be an item of a list.
@@ -88,65 +95,92 @@ def hidden(attributes: dict[str, str], tokens: set[str]) -> bool:
     )
 
 
+def named_part(attributes: dict[str, str], hints: frozenset, scope: int) -> bool:
+    """Whether class, id or role name a part of the page that is no article text."""
+    tokens = " ".join(attributes.get(a, "") for a in ("class", "id", "role")).split()
+    if scope:  # an article's own sections may hold such a word in a longer name
+        return not HINTS.isdisjoint(t.lower() for t in tokens)
+    for token in tokens:
+        words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()) if len(w) > 1]
+        if not hints.isdisjoint(words) and all(w in hints or w in PLAIN or len(w) == 2 for w in words):
+            return True
+    return False
+
+
 def cut_blocks(page: str) -> list[Piece]:
     found: list[Piece] = []
     stack: list[tuple[str, bool, int]] = [("", False, 0)]  # name, boilerplate, scope
     scopes, anchors = 0, 0
+    veiled, depth = "", 0  # a hidden inline element, and how many of its name are open
     buffer: list[tuple[str, bool]] = []
 
+    def take(text: str, linked: bool) -> None:
+        if not veiled:
+            buffer.append((html.unescape(text), linked))
+
     def flush() -> None:
         if buffer:
-            text = " ".join(html.unescape("".join(t for t, _ in buffer)).split())
+            text = " ".join("".join(t for t, _ in buffer).split())
             if text:
-                linked = sum(len("".join(html.unescape(t).split())) for t, inside in buffer if inside)
+                linked = sum(len("".join(t.split())) for t, inside in buffer if inside)
                 found.append(Piece(text, stack[-1][2], stack[-1][1], linked))
             buffer.clear()
 
     at = 0
     for m in SCAN.finditer(page):
         if m.start() > at:
-            buffer.append((page[at : m.start()], anchors > 0))
+            take(page[at : m.start()], anchors > 0)
         at = m.end()
         name = (m["name"] or m["name2"] or "").lower()
         if not name:
             if m["raw"]:
-                buffer.append((" ", False))
+                take(" ", False)
             continue
         ending = bool(m["end"] or m["end2"])
-        if name == "a":
-            anchors = 0 if ending else 1
-        elif name == "br":
-            buffer.append((" ", False))
-        elif name in BLOCKS:
-            flush()
-            anchors = 0
-            if name not in NESTED:
-                continue
-            if ending:
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
-                if depth:
-                    del stack[depth:]
-            else:
-                if name == "body":  # whatever the head left open ends here
-                    del stack[1:]
-                _, out, scope = stack[-1]
-                rest = m["rest"] or m["rest2"] or ""
-                attributes = attributes_of(rest) if rest else {}
-                out |= name in BOILERPLATE or (name == "header" and not scope)
-                if name not in ("body", *MAIN):
-                    values = " ".join(attributes.get(a, "") for a in ("class", "id", "role"))
-                    if scope:  # an article's own sections may hold such a word in a longer name
-                        out |= not HINTS.isdisjoint(values.lower().split())
-                    else:
-                        words = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", values).lower()))
-                        out |= bool(words & HINTS) or bool(words & OUTER_HINTS)
-                out |= bool(attributes) and hidden(attributes, set(attributes.get("class", "").lower().split()))
-                if name in MAIN and not out and not scope:
-                    scopes += 1
-                    scope = scopes
-                stack.append((name, out, scope))
+        rest = m["rest"] or m["rest2"] or ""
+        if name not in BLOCKS:
+            if name == veiled:
+                depth += -1 if ending else 1
+                veiled = veiled if depth else ""
+            elif not veiled and rest and not ending and name not in VOID:
+                attributes = attributes_of(rest)
+                attributes.pop("aria-hidden", None)  # on an inline element it hides nothing from the eye
+                if hidden(attributes, set(attributes.get("class", "").lower().split())):
+                    veiled, depth = name, 1
+            if name == "a":
+                anchors = 0 if ending else 1
+            elif name == "br":
+                take(" ", False)
+            continue
+        flush()
+        veiled, anchors = "", 0
+        if ending:
+            # an element that may stay open is looked for in its own container only
+            k = len(stack) - 1
+            while k > 0 and stack[k][0] != name and (name in NESTED or stack[k][0] not in NESTED):
+                k -= 1
+            if k > 0 and stack[k][0] == name:
+                del stack[k:]
+            continue
+        if name == "body":  # whatever the head left open ends here
+            del stack[1:]
+        while name in ENDED_BY.get(stack[-1][0], ()):
+            stack.pop()
+        _, out, scope = stack[-1]
+        attributes = attributes_of(rest) if rest else {}
+        nested = name in NESTED
+        marked = name in BOILERPLATE or (name == "header" and not scope)
+        if attributes:
+            if name not in ("body", *MAIN):
+                marked |= named_part(attributes, OUTER_HINTS if nested else HINTS, scope)
+            marked |= hidden(attributes, set(attributes.get("class", "").lower().split()))
+        if name in MAIN and not out and not marked and not scope:
+            scopes += 1
+            scope = scopes
+        if nested or marked:
+            stack.append((name, out or marked, scope))
     if at < len(page):
-        buffer.append((page[at:], anchors > 0))
+        take(page[at:], anchors > 0)
     flush()
     return found
 
