@@ -59,6 +59,11 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return back
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _file_system(spark, path)
+    return files.exists(where)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of materialized tables that no plan will read again."""
     for t in tables:
