@@ -6,6 +6,7 @@ import public_tokenizers as P
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tidemill.llm import token_counts
 from tidemill.llm.packing import pack, plan_of
 from tidemill.llm.storage import new_path
 from tidemill.llm.token_counts import count_tokens
@@ -40,6 +41,40 @@ def test_cache_holds_each_distinct_text_once(spark):
     assert spark.read.parquet(cache).count() == len({t or "" for t in TEXTS})
 
 
+def test_runs_that_start_together_count_each_text_once(spark, monkeypatch):
+    """Both look up before either appends; the later one and a third run find every digest twice."""
+    cache, path = new_path(spark, "cache"), P.path("piece_bpe_32k.model")
+    docs = spark.createDataFrame(rows(), SCHEMA)
+    want = sorted((r.doc_id, r.n_tokens) for r in count_tokens(docs, path).collect())
+    look, others = token_counts.stored, []
+
+    def late(*args):
+        found = look(*args)
+        if not others:
+            others.append(None)
+            others[0] = sorted((r.doc_id, r.n_tokens) for r in count_tokens(docs, path, cache).collect())
+        return found
+
+    monkeypatch.setattr(token_counts, "stored", late)
+    assert sorted((r.doc_id, r.n_tokens) for r in count_tokens(docs, path, cache).collect()) == want == others[0]
+    assert sorted((r.doc_id, r.n_tokens) for r in count_tokens(docs, path, cache).collect()) == want
+    distinct = len({t or "" for t in TEXTS})
+    assert spark.read.parquet(cache).count() == 2 * distinct
+
+
+def test_long_texts_and_rows_without_an_id(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    long = "a word and ünother one, " * 60_000  # above a run of bytes
+    docs = spark.createDataFrame([(None, long), (None, "x"), (None, "x"), (1, long), (None, None)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in count_tokens(docs, P.path("piece_bpe_32k.model")).collect())
+    n = len(model.encode(long))
+    assert got == sorted([(0, len(long.encode()), n), (1, len(long.encode()), n), (0, 1, 1), (0, 1, 1), (0, 0, 0)])
+    pieces = pack(docs, P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    assert sum(r.length for r in pieces if r.doc_id is None) == sum(r.length for r in pieces if r.doc_id == 1) + 2 + 2 + 1
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert count_tokens(none, P.path("piece_bpe_32k.model")).count() == 0

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import share_package
-from ..shared import discard, materialize, new_path, shared_dir
+from ..shared import discard, exists, materialize, new_path, shared_dir
 
-__all__ = ["discard", "materialize", "new_path", "read_table", "shared_dir", "small_batches"]
+__all__ = ["discard", "exists", "materialize", "new_path", "read_table", "shared_dir", "small_batches"]
 
 
 #: Bytes of an Arrow batch on its way to a Python worker, so that a worker holds little at once.

@@ -1,25 +1,26 @@
 """Token counts by a digest cache.
 
 A text's SHA-256 and the tokenizer's version (SHA-256 of its file) name its count in a table.  Texts are joined
-with that table by digest; only distinct misses are encoded, and their counts are appended to it.  Content is
-normalised only as far as every tokenizer must agree on: null becomes the empty text.
+with that table by digest; only distinct misses are encoded, and their counts are appended to it, each run's in a
+folder of its own.  Runs at the same time may therefore store a digest twice; it counts once.  Content is normalised only
+as far as every tokenizer must agree on: null becomes the empty text.
 
 Edge cases: null and empty texts have no bytes and no tokens; repeated rows and copies are encoded once and
-each reported; texts are never cut; other columns are ignored.  Copies in any number meet in one row by
+each reported, also without an id; texts are never cut; other columns are ignored.  Copies in any number meet in one row by
 partial aggregation, and the join that gives counts back moves digests only, no text.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from .bytetext import chunks
-from .storage import new_path
+from .storage import exists, materialize, new_path
 from .tokens import counter, file_digest
 
 CACHE = "digest string, tokenizer string, n_tokens long"
@@ -38,6 +39,13 @@ def _encode(path: str, version: str):
     return run
 
 
+def stored(spark: SparkSession, cache: str, version: str) -> DataFrame | None:
+    """(digest, n_tokens) of one tokenizer that a cache holds now; None where there is no cache."""
+    if not exists(spark, cache):
+        return None
+    return spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == version).select("digest", "n_tokens")
+
+
 def count_tokens(documents: DataFrame, tokenizer: str, cache: str | None = None, limit: int = 4096) -> DataFrame:
     """``documents`` (doc_id, text): n_bytes, n_tokens and over_limit of each row.
 
@@ -49,16 +57,14 @@ def count_tokens(documents: DataFrame, tokenizer: str, cache: str | None = None,
     cache = cache or new_path(spark, "token-counts")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = documents.select("doc_id", text.alias("text")).select("doc_id", "text", F.sha2("text", 256).alias("digest"))
-    try:
-        known = spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == version).select("digest").distinct()
-    except AnalysisException:
-        known = None
-    misses = keyed if known is None else keyed.join(known, "digest", "left_anti")
+    known = stored(spark, cache, version)
+    misses = keyed if known is None else keyed.join(known.select("digest").distinct(), "digest", "left_anti")
     misses = misses.groupBy("digest").agg(F.first("text").alias("text"))
-    misses.mapInArrow(_encode(tokenizer, version), CACHE).write.mode("append").parquet(cache)
-    counts = spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == version).select("digest", "n_tokens")
-    if known is not None:  # two runs at once may have appended one digest twice
-        counts = counts.dropDuplicates(["digest"])
+    own = f"{cache}/run={uuid.uuid4().hex}"
+    misses.mapInArrow(_encode(tokenizer, version), CACHE).write.parquet(own)
+    counts = spark.read.schema(CACHE).parquet(own).select("digest", "n_tokens")
+    if known is not None:  # as a table, so that a digest of very many rows can be split in the join below
+        counts = materialize(counts.unionByName(known).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return (
         keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
         .join(counts, "digest")
