@@ -3,7 +3,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemill.llm.neighbours import nearest
+from tidemill.llm.neighbours import nearest, rows_of
 
 SCHEMA = "vec_id long, embedding array<float>, rank int, score string"
 
@@ -51,6 +51,20 @@ def test_rows_that_repeat_an_id_do_not_tighten_the_bound(spark):
         assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == brute(case)
 
 
+def test_an_id_with_a_bad_and_a_good_row_is_searched(spark):
+    rows = [(0, [1.0, 0.0], 0, ""), (0, [0.0, 0.0], 0, ""), (7, None, 0, ""), (7, [2.0, 2.0], 0, ""), (7, [float("nan"), 0.0], 0, ""), (3, [1.0, 1.0], 0, ""), (14, [float("-inf"), 1.0], 0, ""), (None, [1.0, 1.0], 0, "")]
+    got = nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 7 == 0).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == brute([r for r in rows if r[0] is not None])
+    assert {r.query_id for r in got} == {0, 7}
+
+
+def test_wide_vectors_make_smaller_blocks(spark):
+    assert rows_of(64, 2048, 4 << 20) == 2048 and rows_of(1 << 16, 2048, 4 << 20) == 8 and rows_of(1 << 30, 2048, 4 << 20) == 1
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=50).tolist(), 0, "") for i in range(120)]
+    check(spark, rows, block_bytes=3 * 8 * 50, wave_bytes=1)
+
+
 def test_empty(spark):
     check(spark, [])
     check(spark, [(7, [1.0], 0, "")])

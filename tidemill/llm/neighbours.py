@@ -6,12 +6,13 @@ sides.  A candidate survives for a query unless its lower bound exceeds the k-th
 ids seen so far.  Survivors are computed again from the original vectors in double precision and merged into the query's
 heap of k.  Nothing is approximate in the result: the bounds only spare work.
 
-Queries are a stated set; their blocks are sent to the candidates in waves of bounded size, so neither side is
-ever shuffled whole and no pair of rows is emitted but each task's k best of each query.
+Queries are a stated set.  Their blocks are sent to the candidates in waves of bounded bytes, so neither side is ever
+shuffled whole and no pair of rows is emitted but each task's k best of each query.  Where it takes several waves, the
+candidates are packed once into a shared table, and each wave is a job of its own that stores its queries' results.
 
 Edge cases: vectors that are null, zero, or hold null, NaN or infinite components take no part on either side;
 vectors of other dimensions than the query's are no candidates; ties go to the smaller vec_id; rows that repeat
-a vec_id count once as candidates, at their nearest, and once as queries, by their least vector; fewer than k candidates are all given; other columns are ignored.
+a vec_id count once as candidates, at their nearest, and once as queries, by their least vector that takes part; fewer than k candidates are all given; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +24,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2048
+from .storage import discard, materialize, new_path
+
+#: Vectors of a block, and the bytes that a block holds at most if it holds several vectors.
+BLOCK, BLOCK_BYTES = 2048, 4 << 20
 WAVE_BYTES = 16 << 20
 PACKED = "dim int, ids binary, vectors binary"
 
 
-def _pack(block: int):
+def rows_of(dim: int, block: int, block_bytes: int) -> int:
+    """Vectors of a block of that dimension."""
+    return max(1, min(block, block_bytes // (8 * max(dim, 1))))
+
+
+def _pack(block: int, block_bytes: int):
     schema = pa.schema([("dim", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,11 +57,13 @@ def _pack(block: int):
                 at = np.flatnonzero(sizes == dim)
                 rows = flat[begin[at][:, None] + np.arange(dim)]
                 good = np.isfinite(rows).all(axis=1) & (rows != 0).any(axis=1)
-                for a in range(0, int(good.sum()), block):
+                at, rows = at[good], rows[good]
+                step = rows_of(dim, block, block_bytes)
+                for a in range(0, len(at), step):
                     x, y = held.setdefault(dim, ([], []))
-                    x.append(ids[at][good][a : a + block])
-                    y.append(rows[good][a : a + block])
-                    if sum(map(len, x)) >= block:
+                    x.append(ids[at][a : a + step])
+                    y.append(rows[a : a + step])
+                    if sum(map(len, x)) >= step:
                         yield out(dim)
         for dim in list(held):
             yield out(dim)
@@ -152,31 +163,50 @@ def _search(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, block: int = BLOCK, wave_bytes: int = WAVE_BYTES) -> DataFrame:
+def usable(embedding: Column) -> Column:
+    """Neither null nor empty nor zero, and every component a finite number."""
+    finite = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce((F.size(embedding) > 0) & finite & F.exists(embedding, lambda x: x != 0), F.lit(False))
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, block: int = BLOCK, wave_bytes: int = WAVE_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``vectors`` (vec_id, embedding): query_id, rank, vec_id and score of each query's ``k`` nearest.
 
     ``is_query`` marks the queries among the rows; each is searched among all rows but its own.
     """
     spark = vectors.sparkSession
-    whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    whole = whole.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0))
-    queries = vectors.filter(is_query).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    queries = queries.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0))
-    queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+
+    def part(rows: DataFrame) -> DataFrame:
+        own = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+        return own.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0))
+
+    # candidates are sifted where they are packed
+    queries = part(vectors.filter(is_query)).filter(usable(F.col("embedding"))).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     shape = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-    blocks = max(1, -(-shape["n"] // block))
-    each = block * (shape["dim"] or 1) * 8 * 2
-    in_wave = max(1, wave_bytes // each)
+    dim = shape["dim"] or 1
+    rows = rows_of(dim, block, block_bytes)
+    blocks = max(1, -(-shape["n"] // rows))
+    in_wave = max(1, wave_bytes // (rows * dim * 8 * 2))
+    waves = range(0, blocks, in_wave)
+    pack = _pack(block, block_bytes)
     queries = queries.withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    candidates = whole.mapInArrow(_pack(block), PACKED).withColumnsRenamed({"ids": "c_ids", "vectors": "c_vectors"})
-    found = None
-    for first in range(0, blocks, in_wave):
+    candidates = part(vectors).mapInArrow(pack, PACKED).withColumnsRenamed({"ids": "c_ids", "vectors": "c_vectors"})
+    if len(waves) > 1:
+        queries, candidates = materialize(queries, "queries"), materialize(candidates, "candidates")
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+
+    def found(first: int) -> DataFrame:
         own = queries.filter((F.col("q") >= first) & (F.col("q") < first + in_wave))
-        # about `block` vectors meet in a task, hence in a packed row
-        own = own.repartition(min(in_wave, blocks - first), "q").select("vec_id", "embedding").mapInArrow(_pack(block), PACKED)
+        # about a block's vectors meet in a task, hence in a packed row
+        own = own.repartition(min(in_wave, blocks - first), "q").select("vec_id", "embedding").mapInArrow(pack, PACKED)
         tiles = candidates.join(F.broadcast(own), "dim").select("dim", "ids", "vectors", "c_ids", "c_vectors")
-        best = tiles.mapInArrow(_search(k), "query_id long, vec_id long, score double")
-        found = best if found is None else found.unionByName(best)
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        best = tiles.mapInArrow(_search(k), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    if len(waves) == 1:
+        return found(0)
+    path = new_path(spark, "neighbours")
+    for n, first in enumerate(waves):
+        found(first).write.parquet(f"{path}/wave={n}")
+    discard(candidates)
+    return spark.read.schema("query_id long, rank int, vec_id long, score double").parquet(path).select("query_id", "rank", "vec_id", "score")
