@@ -7,13 +7,14 @@ by its count in the corpus.  The join runs on that shingle alone.  Its place in
 occurrence would start (positional bound) and end (length bound: inside the document), and the span of the
 document's words is then compared word by word, so hash collisions cannot make a hit.
 
-Edge cases: null or wordless texts have no words and no hits; wordless items have no windows; rows with
-one id and one text are one document (a null id is one too), which ``each_row`` reports once for each row; items with equal windows are all counted; null item ids are reported as
-an empty string in the digest; other columns are ignored.
-
-Scale: the corpus is read twice (shingle counts, then hits) and no text is shuffled.  The benchmark side is
-broadcast only while its measured size stays under ``broadcast_bytes``; above, shingles and anchors are
-joined by shuffles that carry hashes and ids, and the words of documents with anchors are joined back.
+Edge cases: null or wordless texts have no words and no hits; wordless items have no windows; rows with one id and
+one text are one document (a null id is one too), which ``each_row`` reports once for each row; items with equal windows
+are all counted; null item ids are reported as an empty string in the digest; other columns are ignored.
+
+Scale: the corpus is read twice, whatever the items' lengths (shingle counts, then hits), and no text is shuffled where the
+benchmark is broadcast: only while its measured size stays under ``broadcast_bytes``; above, shingles and anchors are
+joined by shuffles that carry hashes and ids, salted so that a passage of very many documents is met in several tasks,
+and the words of documents with anchors are joined back.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHINGLE = 3
+#: Parts into which the places of a shingle are dealt where they are shuffled.
+SALTS = 16
 
 
 def ascii_lower(text: Column) -> Column:
@@ -55,14 +58,23 @@ def windows_of(benchmark: DataFrame, window: int) -> DataFrame:
     )
 
 
-def _positions(docs: DataFrame, width: int, marked: bool = False) -> DataFrame:
-    """One row for each place of a document where a shingle of that width begins (and one at place -1, if marked)."""
-    room = F.col("at") + width <= F.size("words")
-    if not marked:
-        at = docs.select("*", F.posexplode("words").alias("at", "_word"))
-        return at.filter(room).withColumn("shingle", _shingle(F.col("words"), F.col("at"), width)).drop("_word")
-    at = docs.select("*", F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("at", "_word")).withColumn("at", F.col("at") - 1)
-    return at.withColumn("shingle", F.when((F.col("at") >= 0) & room, _shingle(F.col("words"), F.col("at"), width))).drop("_word")
+def _positions(docs: DataFrame, widths: list[int], marked: bool = False) -> DataFrame:
+    """One row for each place and width where a document's shingle begins (and one at place -1, if marked)."""
+    words = F.concat(F.array(F.lit("")), "words") if marked else F.col("words")
+    at = docs.select("*", F.posexplode(words).alias("at", "_word")).drop("_word")
+    if marked:
+        at = at.withColumn("at", F.col("at") - 1)
+
+    def room(width: int) -> Column:
+        return (F.col("at") >= 0) & (F.col("at") + width <= F.size("words"))
+
+    if len(widths) == 1:
+        at = at.withColumn("shingle", F.when(room(widths[0]), _shingle(F.col("words"), F.col("at"), widths[0])))
+    else:
+        shingles = F.array(*[F.when(room(w), _shingle(F.col("words"), F.col("at"), w)) for w in widths])
+        # a marked place has no shingle, and is one row
+        at = at.withColumn("shingle", F.explode(F.when(F.col("at") < 0, F.array(F.lit(None).cast("long"))).otherwise(F.array_compact(shingles))))
+    return at if marked else at.filter(F.col("shingle").isNotNull())
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, broadcast_bytes: int = 64 << 20, each_row: bool = False) -> DataFrame:
@@ -71,67 +83,73 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     Returns, for each document (with ``each_row`` for each of its rows): doc_id, n_words, n_hit, n_items, items_sha256 (SHA-256 of the sorted item
     ids, comma-joined), contaminated, and items (those ids).
     """
-    docs = documents.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words"))
+    text = F.col("text")
+    docs = documents.select("doc_id", F.xxhash64(text).alias("text_key"), words_of(text).alias("words"))
     wins = windows_of(benchmark, window)
     shape = wins.agg(F.collect_set("width").alias("widths"), F.count("*").alias("n"), F.sum(F.octet_length(F.array_join("window_words", " "))).alias("bytes")).first()
     widths = sorted(shape["widths"] or [])
-    empty_items = F.array().cast("array<string>")
-    finish = lambda d: d.select(
-        "doc_id",
-        "n_words",
-        "n_hit",
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
-        "items",
-    )
+
+    def finish(rows: DataFrame) -> DataFrame:
+        rows = rows if each_row else rows.dropDuplicates(["doc_id", "text_key"])
+        return rows.select(
+            "doc_id",
+            "n_words",
+            "n_hit",
+            F.size("items").cast("long").alias("n_items"),
+            F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+            (F.col("n_hit") > 0).alias("contaminated"),
+            "items",
+        )
+
+    n_words = F.size("words").cast("long").alias("n_words")
     if not widths:
-        plain = docs.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), empty_items.alias("items"))
-        return finish(plain if each_row else plain.dropDuplicates(["doc_id", "text_key"]))
+        return finish(docs.select("doc_id", "text_key", n_words, F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items")))
     # Each window's bytes count for its words, its shingle table and Spark's overhead a row.
     small = (shape["bytes"] + 400 * shape["n"]) * 2 <= broadcast_bytes
     held = F.broadcast if small else (lambda d: d)
 
-    hits = None
-    for width in widths:
-        own = wins.filter(F.col("width") == width)
-        steps = F.sequence(F.lit(0), F.col("n") - width)
-        shingles = own.select("window_words", "items", "n", F.explode(steps).alias("offset")).withColumn("shingle", _shingle(F.col("window_words"), F.col("offset"), width))
-        vocabulary = shingles.select("shingle").distinct()
-        counts = _positions(docs.select("words"), width).select("shingle").join(held(vocabulary), "shingle").groupBy("shingle").count()
-        rarest = (
-            shingles.join(counts, "shingle", "left")
-            .groupBy("window_words")
-            .agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "shingle", "offset")).alias("rare"), F.first("items").alias("items"))
-            # a shingle that occurs nowhere in the corpus rules its window out
-            .filter("rare.count > 0")
-            .select(F.col("rare.shingle").alias("shingle"), F.col("rare.offset").alias("offset"), "window_words", "items", F.size("window_words").alias("n"))
-        )
-        start = F.col("at") - F.col("offset")
-        fits = (start >= 0) & (start + F.col("n") <= F.size("words"))
-        same = F.slice("words", start + 1, F.col("n")) == F.col("window_words")
-        span = F.struct(start.cast("int").alias("start"), (start + F.col("n")).cast("int").alias("end"))
-        # every row of a document is marked once, by the first width, so that none is lost or counted twice
-        mark = F.lit(int(width == widths[0])).cast("long")
-        if small:
-            found = _positions(docs, width, marked=True).join(F.broadcast(rarest), "shingle", "left")
-            found = found.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), "at", F.when(F.col("offset").isNotNull() & fits & same, span).alias("span"), "items")
-            found = found.filter(F.col("span").isNotNull() | (F.col("at") < 0)).withColumn("mark", F.when(F.col("at") < 0, mark).otherwise(0))
-        else:
-            anchors = _positions(docs, width).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "at", "shingle").join(rarest, "shingle")
-            found = docs.join(anchors, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).filter(fits & same)
-            found = found.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), "at", span.alias("span"), "items", F.lit(0).cast("long").alias("mark"))
-            found = found.unionByName(docs.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.lit(-1).alias("at"), F.lit(None).cast(found.schema["span"].dataType).alias("span"), F.lit(None).cast("array<string>").alias("items"), mark.alias("mark")))
-        hits = found if hits is None else hits.unionByName(found)
-
-    grouped = hits.groupBy("doc_id", "text_key").agg(
-        F.max("n_words").alias("n_words"),
-        F.sum("mark").alias("rows"),
-        F.collect_set("span").alias("spans"),
-        F.flatten(F.collect_set(F.when(F.col("span").isNotNull(), F.col("items")))).alias("items"),
+    # shingles of one, two and three words are hashes of as many values, so one table serves all widths
+    steps = F.explode(F.sequence(F.lit(0), F.col("n") - F.col("width")))
+    shingle = F.coalesce(*[F.when(F.col("width") == w, _shingle(F.col("window_words"), F.col("offset"), w)) for w in widths])
+    shingles = wins.select("window_words", "items", "n", "width", steps.alias("offset")).withColumn("shingle", shingle)
+    vocabulary = shingles.select("shingle").distinct()
+    counts = _positions(docs.select("words"), widths).select("shingle").join(held(vocabulary), "shingle").groupBy("shingle").count()
+    rarest = (
+        shingles.join(counts, "shingle", "left")
+        .groupBy("window_words")
+        .agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "shingle", "offset")).alias("rare"), F.first("items").alias("items"))
+        # a shingle that occurs nowhere in the corpus rules its window out
+        .filter("rare.count > 0")
+        .select(F.col("rare.shingle").alias("shingle"), F.col("rare.offset").alias("offset"), "window_words", "items", F.size("window_words").alias("n"))
     )
-    if each_row:
-        grouped = grouped.select("*", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("_row"))
+
+    def span(at: Column, offset: Column, n: Column, window_words: Column) -> Column:
+        """The place of a window that an anchor fixes, if it lies in the document and holds the window's words."""
+        start = at - offset
+        same = (start >= 0) & (start + n <= F.size("words")) & (F.slice("words", start + 1, n) == window_words)
+        return F.when(offset.isNotNull() & same, F.struct(start.cast("int").alias("start"), (start + n).cast("int").alias("end")))
+
+    if small:
+        rows = docs.withColumn("row", F.monotonically_increasing_id())
+        found = _positions(rows, widths, marked=True).join(F.broadcast(rarest), "shingle", "left")
+        found = found.select("row", "doc_id", "text_key", n_words, "at", span(F.col("at"), F.col("offset"), F.col("n"), F.col("window_words")).alias("span"), "items")
+        grouped = found.filter(F.col("span").isNotNull() | (F.col("at") < 0)).groupBy("row").agg(
+            F.first("doc_id").alias("doc_id"),
+            F.first("text_key").alias("text_key"),
+            F.max("n_words").alias("n_words"),
+            F.collect_set("span").alias("spans"),
+            F.flatten(F.collect_set(F.when(F.col("span").isNotNull(), F.col("items")))).alias("items"),
+        )
+    else:
+        places = _positions(docs, widths).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "at", "shingle")
+        places = places.withColumn("salt", F.pmod(F.xxhash64("_id", "_key", "at"), F.lit(SALTS)))
+        salted = rarest.withColumn("salt", F.explode(F.array(*[F.lit(n).cast("long") for n in range(SALTS)])))
+        # rows that repeat an id and a text have one set of anchors
+        anchors = places.join(salted, ["shingle", "salt"]).groupBy("_id", "_key").agg(F.collect_set(F.struct("at", "offset", "n", "window_words", "items")).alias("anchors"))
+        met = docs.join(anchors, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+        hits = F.transform("anchors", lambda a: F.struct(span(a["at"], a["offset"], a["n"], a["window_words"]).alias("span"), a["items"].alias("items")))
+        met = met.select("doc_id", "text_key", n_words, F.filter(F.coalesce(hits, F.array()), lambda h: h["span"].isNotNull()).alias("hits"))
+        grouped = met.select("doc_id", "text_key", "n_words", F.array_distinct(F.transform("hits", lambda h: h["span"])).alias("spans"), F.flatten(F.transform("hits", lambda h: h["items"])).alias("items"))
     covered = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("hit")),
@@ -141,4 +159,4 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10,
         ),
         lambda a: a["hit"],
     )
-    return finish(grouped.select("doc_id", "n_words", covered.alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items")))
+    return finish(grouped.select("doc_id", "text_key", "n_words", covered.alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items")))
