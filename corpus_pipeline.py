@@ -14,7 +14,7 @@ from tidemill.llm.decontaminate import decontaminate
 from tidemill.llm.neardup import near_duplicates
 from tidemill.llm.quality import score_quality
 from tidemill.llm.registry import packed
-from tidemill.llm.storage import materialize, read_table
+from tidemill.llm.storage import discard, materialize, read_table
 from tidemill.llm.toxicity import score_toxicity
 
 #: Rows held by a broadcast; beyond, the join is a shuffle.
@@ -86,7 +86,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over the table of documents; a stage's table goes once the next one is written."""
+    docs, before = read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
