@@ -76,6 +76,39 @@ def test_rows_are_decided_one_by_one(spark, tmp_path):
     assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=key) == sorted((r for r in rows if leak not in (r[1] or "")), key=key)
 
 
+def test_run_is_its_stages_one_after_the_other(spark, tmp_path):
+    """Row by row, and again by a second run in the same shared folder."""
+    folder = str(tmp_path)
+    corpus(spark, folder)
+    now = spark.read.parquet(f"{folder}/documents.parquet")
+    for n, (_, stage) in enumerate(P.STAGES[:-1]):
+        stage(spark, now, folder).write.parquet(f"{folder}/{n}")
+        now = spark.read.parquet(f"{folder}/{n}")
+    key = lambda df: sorted(tuple(r) for r in df.select("doc_id", "piece", "start", "length", "ids_crc32").collect())
+    want = key(P.STAGES[-1][1](spark, now, folder))
+    first, second = P.run(spark, folder), P.run(spark, folder)
+    assert key(first) == want == key(second)
+    sequences = first.groupBy("sequence_id").sum("length").collect()
+    assert max(r[1] for r in sequences) <= 1024
+
+
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    schema = f"{SCHEMA}, score double, row long, component string, `a.b` string, predicted int, held_out string"
+    for name, rows in (("none", []), ("some", [(i, t, "en", "s", 1, 0.5, 7, "c", "x", 1, "h") for i, t in ((1, "a b c"), (2, None), (None, ""), (3, "a b c"))])):
+        folder = f"{tmp_path}/{name}"
+        docs = spark.createDataFrame(rows, schema)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        now = docs
+        for n, (_, stage) in enumerate(P.STAGES[:-1]):
+            stage(spark, now, folder).write.parquet(f"{folder}/{n}")
+            now = spark.read.parquet(f"{folder}/{n}")
+            assert now.columns == docs.columns
+        assert now.count() == (3 if rows else 0)  # of the two equal texts one stays
+        assert P.run(spark, folder).count() == (3 if rows else 0)
+
+
 def test_run_gives_pieces(spark, tmp_path):
     corpus(spark, str(tmp_path))
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(P.run(spark, str(tmp_path)).columns)
