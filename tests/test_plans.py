@@ -212,6 +212,45 @@ def test_stream_equals_batch_and_replays(spark, tmp_path):
     assert store.versions("ledger") == [1, 2]
 
 
+def test_a_batch_lost_before_its_ledger_is_written_again(spark, tmp_path):
+    docs = documents(spark, SHARED, "Something else.")
+    store = Snapshots(spark, str(tmp_path / "lake"))
+    new = P.added(read_corpus(store), docs, hash_embedder(), SETTINGS)
+    store.add("chunks", new.chunks, new.version)  # lost here
+    assert read_corpus(store).chunks.count() == 0
+    arrivals = str(tmp_path / "in")
+    for n, part in enumerate((docs, documents(spark, SHARED, "Something else.", "A third one."))):
+        part.coalesce(1).write.mode("append").json(arrivals)
+        ingest_stream(spark, arrivals, store, str(tmp_path / "checkpoint"), hash_embedder(), SETTINGS).awaitTermination()
+        after = read_corpus(store)
+        assert after.chunks.count() == after.chunks.select("chunk_id").distinct().count() == 2 + n
+    # each batch wrote its own rows only
+    assert spark.read.parquet(f"{tmp_path}/lake/chunks/v2").count() == 1
+    store.expire("ledger", 1)
+    assert store.versions("ledger") == [2] and read_corpus(store).chunks.count() == 3
+
+
+def test_documents_walk_the_ledger(spark):
+    from tidemill.operators import ledger as L
+
+    assert L.route("PENDING", "INDEXED") == ("PARSING", "EMBEDDING", "EXTRACTING", "RESOLVING", "INDEXED")
+    assert L.route("EXTRACTING", "INDEXED") == ("RESOLVING", "INDEXED") and L.route("INDEXED", "INDEXED") == ()
+    assert L.route("FAILED", "PARSING") == ("PENDING", "PARSING") and L.route("DELETING", "INDEXED") is None
+    for s in L.STATUSES:
+        for t in L.STATUSES:
+            steps = L.route(s, t)
+            assert steps is None or all(L.legal(a, b) for a, b in zip((s, *steps), steps, strict=False))
+    # a document without chunks is done too
+    corpus = P.ingest(P.empty_corpus(spark), documents(spark, SHARED, " \x01 "), hash_embedder(), SETTINGS)
+    assert {(r.status, r.corpus_version) for r in corpus.ledger.collect()} == {("INDEXED", 1)}
+    gone = P.delete(corpus, "d0" if corpus.ledger.filter("doc_id = 'd0'").count() else corpus.ledger.first().doc_id)
+    dead = gone.ledger.filter("status = 'DELETING'")
+    with pytest.raises(Exception, match="illegal or unknown"):
+        L.advance(gone.ledger, dead, "INDEXED", F.current_timestamp(), 2).collect()
+    with pytest.raises(Exception, match="illegal or unknown"):
+        L.advance(gone.ledger, spark.createDataFrame([("nobody",)], "doc_id string"), "INDEXED", F.current_timestamp(), 2).collect()
+
+
 def test_event_windows_as_a_stream(spark, tmp_path):
     rows = spark.sql("select id as event_id, timestamp_seconds(id * 600) as ts, id % 3 as user_id, 'click' as event_type, 1.0D as value from range(20)")
     rows.write.parquet(str(tmp_path / "events"))

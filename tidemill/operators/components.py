@@ -9,6 +9,12 @@ from ..errors import ValidationError
 from ..shared import discard, materialize
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every greater id has one link, and no lesser id is a greater one elsewhere."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1").limit(1).count()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", max_size: int | None = None) -> DataFrame:
     """(id, component): the least id that each linked id reaches.
 
@@ -17,7 +23,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_size: int | Non
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     edges = materialize(edges, "links")
-    while True:
+    while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # a table of its own, so that the join shuffles both sides and a hub's links can be split
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
@@ -28,10 +34,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_size: int | Non
         small = large.join(lower, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         before, edges = edges, materialize(small.filter("u <> v").distinct(), "small-star")
         discard(before, least, large)
-        # settled once every greater id has one link and no lesser id is a greater one elsewhere
-        ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        if not ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1").limit(1).count():
-            break
     labels = edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
     labels = labels.unionByName(labels.select(F.col("label").alias("id"), "label").distinct())
     if max_size is not None:

@@ -70,9 +70,9 @@ def path_between(pairs: DataFrame, relates: DataFrame) -> DataFrame:
     one = one.select("query_id", F.array("src_id", "dst_id").alias("nodes"), F.array("chunk_id").alias("chunk_ids"), F.lit(1).alias("hops"), F.col("confidence").alias("score"))
     first = edges.select(F.col("a").alias("src_id"), F.col("b").alias("mid"), F.col("confidence").alias("c1"), F.col("chunk_id").alias("k1"))
     last = edges.select(F.col("a").alias("mid"), F.col("b").alias("dst_id"), F.col("confidence").alias("c2"), F.col("chunk_id").alias("k2"))
-    # of parallel edges only the best can be on the chosen path
-    first = tables.first_by(first, ["src_id", "mid"], [F.desc("c1"), "k1"])
-    last = tables.first_by(last, ["mid", "dst_id"], [F.desc("c2"), "k2"])
+    # only edges of the asked ends, and of parallel ones only the best, can be on the chosen path
+    first = tables.first_by(first.join(tables.sent(ends.select("src_id").distinct()), "src_id", "left_semi"), ["src_id", "mid"], [F.desc("c1"), "k1"])
+    last = tables.first_by(last.join(tables.sent(ends.select("dst_id").distinct()), "dst_id", "left_semi"), ["mid", "dst_id"], [F.desc("c2"), "k2"])
     two = ends.join(one.select("query_id"), "query_id", "left_anti").join(first, "src_id").join(last, ["mid", "dst_id"]).filter("mid <> src_id and mid <> dst_id")
     two = two.select("query_id", F.array("src_id", "mid", "dst_id").alias("nodes"), _sorted_chunks("k1", "k2").alias("chunk_ids"), F.lit(2).alias("hops"), mean_confidence(F.array("c1", "c2")).alias("score"))
     return ranked(one.unionByName(two), ["hops", F.desc("score"), "nodes", "chunk_ids"], top=1, name="path_rank").select(*PATH)

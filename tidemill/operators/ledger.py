@@ -57,6 +57,31 @@ def set_status(ledger: DataFrame, changes: DataFrame, now) -> DataFrame:
     return both.select(*[pick(c, {"status": F.col("_status"), "error_code": F.col("_error"), "updated_at": now}[c]) if c in ("status", "error_code", "updated_at") else c for c in ledger.columns])
 
 
+def route(current: str, wanted: str) -> tuple[str, ...] | None:
+    """The legal moves from one state to a later one, one after the other; None where there are none."""
+    paths = [(current,)]
+    for path in paths:
+        if path[-1] == wanted:
+            return path[1:]
+        paths += [(*path, s) for s in FORWARD[path[-1]] if s not in path and s != "FAILED"]
+    return None
+
+
+def advance(ledger: DataFrame, ids: DataFrame, wanted: str, now, version: int) -> DataFrame:
+    """Take documents through every state between theirs and ``wanted``, and note the corpus version.
+
+    An unknown document, or one from whose state no legal moves lead there, fails the batch; one that is there stays.
+    """
+    spark = ledger.sparkSession
+    reach = spark.createDataFrame([(s, len(r)) for s in STATUSES if (r := route(s, wanted)) is not None], "status string, _steps int")
+    mine = ids.select("doc_id").distinct().withColumn("_mine", F.lit(True))
+    both = ledger.join(mine, "doc_id", "full_outer").join(F.broadcast(reach), "status", "left")
+    both = checked(both, F.col("_mine").isNull() | F.col("_steps").isNotNull(), "illegal or unknown document transition")
+    moved = F.col("_mine") & (F.col("_steps") > 0)
+    new = {"status": F.lit(wanted), "updated_at": now, "corpus_version": F.lit(version).cast("long")}
+    return both.select(*[F.when(moved, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in ledger.columns])
+
+
 def purge(ledger: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ledger without some documents, their ids with existed?)."""
     known = ids.select("doc_id").distinct().join(ledger.select("doc_id", F.lit(True).alias("existed")), "doc_id", "left")

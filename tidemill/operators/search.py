@@ -13,6 +13,8 @@ from .tables import payload_filter
 
 #: A query side is broadcast only up to this many rows; larger batches are searched in slices of it.
 QUERY_ROWS = 20_000
+#: The same for the terms of queries.
+QUERY_TERMS = 400_000
 
 
 def query_slices(queries: DataFrame, rows: int = QUERY_ROWS) -> list[DataFrame]:
@@ -42,8 +44,13 @@ def dense_top_k(queries: DataFrame, points: DataFrame, k: int, filters: dict | N
 
 
 def term_frequencies(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(key, term, tf): the sparse form of texts.  A text without terms has no row, which every join allows."""
-    return chunks.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").cast("double").alias("tf"))
+    """(key, term, tf): the sparse form of texts.  A text without terms has no row, which every join allows.
+
+    Texts are dealt by key before they are cut, so the much longer list of their terms is counted where it arises, and
+    whatever groups by key later finds its rows together.
+    """
+    dealt = chunks.select(key, text).repartition(F.col(key))
+    return dealt.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").cast("double").alias("tf"))
 
 
 def sparse_vectors(terms: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -53,9 +60,12 @@ def sparse_vectors(terms: DataFrame, key: str = "chunk_id") -> DataFrame:
     return pairs.select(key, F.transform("_p", lambda p: p["index"]).alias("indices"), F.transform("_p", lambda p: p["value"]).alias("values"))
 
 
-def inverse_frequencies(terms: DataFrame, n_chunks: DataFrame | int, key: str = "chunk_id") -> DataFrame:
-    """(term, df, idf) with idf = ln(1 + (N - df + 0.5) / (df + 0.5)) over all chunks."""
-    df = terms.groupBy("term").agg(F.count_distinct(key).alias("df"))
+def inverse_frequencies(terms: DataFrame, n_chunks: DataFrame | int) -> DataFrame:
+    """(term, df, idf) with idf = ln(1 + (N - df + 0.5) / (df + 0.5)) over all chunks.
+
+    ``terms`` has one row for each key and term, as ``term_frequencies`` gives them.
+    """
+    df = terms.groupBy("term").agg(F.count("*").alias("df"))
     n = F.lit(n_chunks) if isinstance(n_chunks, int) else F.col("n")
     df = df if isinstance(n_chunks, int) else df.join(F.broadcast(n_chunks.select(F.count("*").alias("n"))))
     return df.select("term", "df", F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
@@ -65,13 +75,18 @@ def sparse_top_k(query_terms: DataFrame, terms: DataFrame, idf: DataFrame, k: in
     """``query_terms`` (query_id, term, tf) against ``terms`` (key, term, tf): sum of q.tf * d.tf * idf.
 
     A query without known terms has an empty list.  ``allowed`` keeps chunks before ranking.  Scores are rounded to
-    nine digits, so that equal texts tie in whatever order their terms are added.
+    nine digits, so that equal texts tie in whatever order their terms are added.  A bounded slice of queries goes to
+    the terms; terms that are dealt by key are summed where they are, and only each partition's best k of a query travel.
     """
     if allowed is not None:
         terms = terms.join(allowed.select(key).distinct(), key, "left_semi")
-    q = query_terms.select("query_id", "term", F.col("tf").alias("q_tf")).join(idf.select("term", "idf"), "term")
-    scored = terms.join(q, "term").groupBy("query_id", key).agg(F.round(F.sum(F.col("q_tf") * F.col("tf") * F.col("idf")), 9).alias("score"))
-    return ranked(scored, [F.desc("score"), key], top=k)
+    found = None
+    for part in query_slices(query_terms, QUERY_TERMS):
+        q = part.select("query_id", "term", F.col("tf").alias("q_tf")).join(idf.select("term", "idf"), "term")
+        scored = terms.join(F.broadcast(q), "term").groupBy("query_id", key).agg(F.round(F.sum(F.col("q_tf") * F.col("tf") * F.col("idf")), 9).alias("score"))
+        got = ranked(scored, [F.desc("score"), key], top=k)
+        found = got if found is None else found.unionByName(got)
+    return found
 
 
 def hybrid_search(dense_queries: DataFrame, query_terms: DataFrame, points: DataFrame, terms: DataFrame, idf: DataFrame, top_k: int = 20, prefetch: int = 50, rrf_k: int = 60, weights: dict[str, float] | None = None, filters: dict | None = None, key: str = "chunk_id") -> DataFrame:

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from ..schemas import checked
 
 
+def sent(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` for a broadcast if it has at most so many rows, which are counted; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row for each key: the first in that order.  ``order`` should be total."""
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -46,30 +46,39 @@ def named_chunks(documents: DataFrame, settings: Settings) -> DataFrame:
     return provenance.renumbered(cut)
 
 
-def ingest(corpus: Corpus, documents: DataFrame, embed: Callable[[Column], Column], settings: Settings | None = None, now: Column | None = None) -> Corpus:
-    """Add parsed documents (doc_id, uri, text, mime_type, sha256 and optionally page_offsets).
+def added(corpus: Corpus, documents: DataFrame, embed: Callable[[Column], Column], settings: Settings | None = None, now: Column | None = None) -> Corpus:
+    """What ``ingest`` adds: new chunks, terms and sources alone, and the whole next ledger.
 
-    Documents whose content is known are left alone.  A chunk is embedded once however many documents hold it.
-    Running it again with the same documents changes nothing.
+    Documents whose content is known are left alone.  A chunk is embedded once however many documents hold it.  A new
+    document, whether it has chunks or not, walks every state of the ledger on its way to INDEXED.
     """
     settings, now = settings or Settings(), now if now is not None else F.current_timestamp()
     ledger, marked = ledgers.register(corpus.ledger, documents.select("doc_id", "uri", "sha256", "mime_type"), now)
-    fresh = documents.join(marked.filter("inserted").select("doc_id", "uri"), ["doc_id", "uri"], "left_semi")
-    own = materialize(named_chunks(fresh.drop("mime_type", "sha256"), settings))
+    inserted = marked.filter("inserted").select("doc_id", "uri")
+    fresh = documents.join(inserted, ["doc_id", "uri"], "left_semi")
+    own = materialize(named_chunks(fresh.drop("mime_type", "sha256"), settings), "chunks-of-documents")
     unseen = tables.new_rows(corpus.chunks, own.select("chunk_id", "text", "content_hash"), ["chunk_id"], ["text"])
-    unseen = materialize(unseen.select("chunk_id", "text", "content_hash", F.lit(1).alias("schema_version"), embed(F.col("text")).alias("dense")))
+    unseen = materialize(unseen.select("chunk_id", "text", "content_hash", F.lit(1).alias("schema_version"), embed(F.col("text")).alias("dense")), "new-chunks")
     sources = own.select("chunk_id", "doc_id", "uri", "page", "char_start", "char_end", now.alias("ingested_at"))
-    done = own.select("doc_id").distinct().withColumn("_new", F.lit(True))
-    ledger = ledger.join(done, "doc_id", "left").withColumn("status", F.when(F.col("_new") & (F.col("status") == "PENDING"), "INDEXED").otherwise(F.col("status"))).withColumn("corpus_version", F.when(F.col("_new"), F.lit(corpus.version + 1).cast("long")).otherwise(F.col("corpus_version"))).drop("_new")
+    sources = tables.new_rows(corpus.registry, sources, ["chunk_id", "doc_id"], ["char_start", "char_end"])
     return Corpus(
-        materialize(ledger),
-        corpus.chunks.unionByName(unseen),
-        corpus.terms.unionByName(materialize(term_frequencies(unseen))),
-        materialize(provenance.register_sources(corpus.registry, sources)),
+        materialize(ledgers.advance(ledger, inserted, "INDEXED", now, corpus.version + 1), "ledger"),
+        unseen,
+        materialize(term_frequencies(unseen), "new-terms"),
+        materialize(sources.select(*corpus.registry.columns), "new-sources"),
         corpus.version + 1,
     )
 
 
+def ingest(corpus: Corpus, documents: DataFrame, embed: Callable[[Column], Column], settings: Settings | None = None, now: Column | None = None) -> Corpus:
+    """Add parsed documents (doc_id, uri, text, mime_type, sha256 and optionally page_offsets).
+
+    Running it again with the same documents changes nothing but the version.
+    """
+    new = added(corpus, documents, embed, settings, now)
+    return replace(new, chunks=corpus.chunks.unionByName(new.chunks), terms=corpus.terms.unionByName(new.terms), registry=corpus.registry.unionByName(new.registry))
+
+
 def delete(corpus: Corpus, doc_id: str, now: Column | None = None) -> Corpus:
     """Take a document out; chunks that it alone held go, its ledger row stays as DELETING."""
     now = now if now is not None else F.current_timestamp()

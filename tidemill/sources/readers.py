@@ -61,6 +61,21 @@ class Snapshots:
         df.write.mode("overwrite").parquet(f"{self.folder}/{name}/v{version}")
         return version
 
+    def add(self, name: str, df: DataFrame, version: int) -> None:
+        """The rows that a version adds to a growing table; a version that is written again replaces its own rows."""
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/v{version}")
+
+    def read_until(self, name: str, schema: str, version: int) -> DataFrame:
+        """A growing table's rows of all complete versions up to one."""
+        have = [f"{self.folder}/{name}/v{v}" for v in self.versions(name) if v <= version]
+        return self.spark.read.schema(schema).parquet(*have) if have else self.spark.createDataFrame([], schema)
+
+    def expire(self, name: str, keep: int) -> None:
+        """Delete all but the last ``keep`` complete versions of a table that is written whole."""
+        for v in self.versions(name)[:-keep]:
+            files, where = self._files(f"{self.folder}/{name}/v{v}")
+            files.delete(where, True)
+
     def append(self, name: str, df: DataFrame) -> None:
         """Add rows to a log table, which has no versions."""
         df.write.mode("append").parquet(f"{self.folder}/{name}")

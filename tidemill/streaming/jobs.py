@@ -11,29 +11,37 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..plans.ingest import CHUNK_TABLE, TERM_TABLE, Corpus, ingest
+from ..plans.ingest import CHUNK_TABLE, TERM_TABLE, Corpus, added
 from ..schemas import CHUNK_SOURCES, LEDGER
 from ..sources.readers import Snapshots
 
 ARRIVALS = "doc_id string, uri string, text string, mime_type string, sha256 string"
-TABLES = {"ledger": LEDGER, "chunks": CHUNK_TABLE, "terms": TERM_TABLE, "registry": CHUNK_SOURCES}
+#: Tables that only grow: a batch writes what it adds.
+GROWING = {"chunks": CHUNK_TABLE, "terms": TERM_TABLE, "registry": CHUNK_SOURCES}
+#: Ledgers kept for readers that began before the last batch.
+KEPT = 10
 
 
 def read_corpus(store: Snapshots) -> Corpus:
-    return Corpus(*(store.read(name, schema) for name, schema in TABLES.items()), version=(store.versions("ledger") or [0])[-1])
+    """The corpus as of the last complete ledger; rows of a batch that was lost before its ledger are not seen."""
+    version = (store.versions("ledger") or [0])[-1]
+    return Corpus(store.read("ledger", LEDGER), *(store.read_until(name, schema, version) for name, schema in GROWING.items()), version=version)
 
 
 def ingest_stream(spark: SparkSession, arrivals: str, store: Snapshots, checkpoint: str, embed: Callable[[Column], Column], settings: Settings | None = None, now: Column | None = None):
     """Ingest JSON files as they arrive in a folder; returns the started query.
 
-    A batch that is replayed after a loss finds its documents in the ledger and adds nothing.
+    A batch writes the rows that it adds and the next ledger, which is one row a document.  A batch that is replayed
+    after a loss finds its documents in the ledger and adds nothing, or writes its rows over those it left.
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         corpus = read_corpus(store)
-        after = ingest(corpus, rows.dropDuplicates(["sha256"]), embed, settings, now)
-        for name in ("chunks", "terms", "registry", "ledger"):  # the ledger last: it makes the batch known
-            store.write(name, getattr(after, name))
+        new = added(corpus, rows.dropDuplicates(["sha256"]), embed, settings, now)
+        for name in GROWING:
+            store.add(name, getattr(new, name), new.version)
+        store.write("ledger", new.ledger)  # the last: it makes the batch known
+        store.expire("ledger", KEPT)
 
     stream = spark.readStream.schema(ARRIVALS).json(arrivals)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
