@@ -24,8 +24,10 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
     return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors differ in size")).cast("double")).when((na == 0) | (nb == 0), 0.0).otherwise(dot(a, b) / (na * nb))
 
 
-def jaro_winkler_of(a: str, b: str, prefix_weight: float = 0.1) -> float:
-    """Jaro-Winkler similarity; the prefix counts above a Jaro similarity of 0.7, as its author has it."""
+def jaro_winkler_of(a: str | None, b: str | None, prefix_weight: float = 0.1) -> float:
+    """Jaro-Winkler similarity; the prefix counts above a Jaro similarity of 0.7, as its author has it.  A null is like nothing."""
+    if a is None or b is None:
+        return 0.0
     if a == b:
         return 1.0
     if not a or not b:
@@ -62,9 +64,9 @@ def common_subsequence(a: str, b: str) -> int:
     return row.bit_count()
 
 
-def token_set_of(a: str, b: str) -> float:
-    """The best of three comparisons between shared tokens and what each name adds to them, from 0 to 1."""
-    x, y = set(a.split()), set(b.split())
+def token_set_of(a: str | None, b: str | None) -> float:
+    """The best of three comparisons between shared tokens and what each name adds to them, from 0 to 1; 0 for a null."""
+    x, y = set((a or "").split()), set((b or "").split())
     if not x or not y:
         return 0.0
     shared = " ".join(sorted(x & y))
@@ -80,14 +82,24 @@ def token_set_of(a: str, b: str) -> float:
     return best
 
 
-@F.pandas_udf(DoubleType())
-def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler_of(x, y) for x, y in zip(a, b, strict=True)])
+def _each_pair_once(score):
+    """A pandas UDF that scores each distinct pair of a batch once."""
+
+    @F.pandas_udf(DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        known: dict = {}
+        out = []
+        for pair in zip(a, b, strict=True):
+            if pair not in known:
+                known[pair] = score(*pair)
+            out.append(known[pair])
+        return pd.Series(out, dtype="float64")
+
+    return run
 
 
-@F.pandas_udf(DoubleType())
-def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set_of(x, y) for x, y in zip(a, b, strict=True)])
+jaro_winkler = _each_pair_once(jaro_winkler_of)
+token_set_ratio = _each_pair_once(token_set_of)
 
 
 def score_pair(a_name: Column, b_name: Column, a_type: Column, b_type: Column, cosine_ab: Column, rules: Resolution) -> Column:

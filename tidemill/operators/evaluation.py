@@ -76,3 +76,13 @@ def all_passed(gated: DataFrame) -> DataFrame:
 
 def judge_means(scores: DataFrame, columns: list[str]) -> DataFrame:
     return scores.agg(*[mean_or_zero(F.col(c)).alias(c) for c in columns])
+
+
+def context_recall(items: DataFrame, retrieved: str = "retrieved_texts", reference: str = "gold_texts", least: float = 0.5) -> DataFrame:
+    """``items`` with context_recall: the share of reference texts that some retrieved text resembles.
+
+    Likeness is 1 - edit distance / longer length; without reference texts there is no value.
+    """
+    like = lambda g, r: 1 - F.levenshtein(g, r) / F.greatest(F.length(g), F.length(r), F.lit(1))
+    met = F.size(F.filter(reference, lambda g: F.exists(retrieved, lambda r: like(g, r) >= least)))
+    return items.withColumn("context_recall", F.when(F.size(reference) > 0, F.coalesce(met, F.lit(0)) / F.size(reference)))

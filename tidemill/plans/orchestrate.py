@@ -23,7 +23,7 @@ from ..schemas import STRATEGIES
 from .models import LanguageModel, structured
 
 STATE = "query_id string, next string, state string"
-REFUSAL = "I do not have enough information to answer that question."
+REFUSAL = "The sources found do not hold an answer, so this question cannot be answered from them."
 NIL = str(uuid.UUID(int=0))
 GROUPS = {  # steps that may run one after the other in one pass over the rows
     "guard": "front",
@@ -207,6 +207,17 @@ class Machine:
         return node, state
 
 
+def run_node(node: str, model: LanguageModel, question: str, chunks: list[dict], settings: Settings | None = None, state: dict | None = None) -> tuple[str, dict]:
+    """One step alone, for looking at it: (the step that would follow, the state after it).
+
+    ``chunks`` are pinned: they count as found and as graded relevant.  ``state`` overrides what the step sees.
+    """
+    if node not in GROUPS:
+        raise ValidationError(f"unknown step {node!r}", details={"known": sorted(GROUPS)})
+    seen = {"question": question, "active_query": question, "fused": chunks, "graded": chunks} | (state or {})
+    return Machine(model, settings or Settings()).step(node, seen)
+
+
 def _advance(machine: Machine, group: str):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

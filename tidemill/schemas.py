@@ -45,6 +45,28 @@ def assert_columns(df: DataFrame, ddl: str, name: str) -> DataFrame:
     return df
 
 
+#: Tables of a store, by name; a sparse index is its terms together with their inverse frequencies.
+STORED = {"ledger": LEDGER, "chunks": CHUNKS, "registry": CHUNK_SOURCES, "entities": ENTITIES, "aliases": ALIASES, "mentions": MENTIONS, "relates": RELATES, "terms": "chunk_id string, term string, tf double", "idf": "term string, df long, idf double"}
+
+
+def set_up(store, schemas: dict[str, str] | None = None) -> list[str]:
+    """Make a store's missing tables, empty, and check those it has; the names of the new ones.
+
+    Running it again makes nothing.  A table of another shape raises ConflictError, and so do terms that hold rows
+    where there are no frequencies, since their scores would not be weighted.
+    """
+    made = []
+    for name, ddl in (schemas or STORED).items():
+        if store.versions(name):
+            assert_columns(store.stored(name), ddl, name)
+        else:
+            if name == "idf" and store.versions("terms") and "terms" not in made and store.stored("terms").limit(1).count():
+                raise ConflictError("the sparse index has terms but no inverse frequencies")
+            store.write(name, store.spark.createDataFrame([], ddl))
+            made.append(name)
+    return made
+
+
 def check_width(df: DataFrame, column: str, dimensions: int) -> DataFrame:
     """Every vector has the index's width."""
     return checked(df, F.col(column).isNull() | (F.size(column) == dimensions), f"vectors of {column} must have {dimensions} components")

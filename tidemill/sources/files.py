@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..config import Limits
 from ..errors import ValidationError
 from ..functions.identity import document_id, document_sha256
+from .pdf import pages_of
 
 # The media types that are parsed.
 PDF, PLAIN, MARKDOWN = "application/pdf", "text/plain", "text/markdown"
@@ -60,14 +61,6 @@ def docx_text(content: bytes) -> tuple[str, str | None]:
     return "\n\n".join(p for p in paragraphs if p), title or None
 
 
-def pdf_pages(content: bytes) -> tuple[list[str], str | None]:
-    """Texts of a PDF's pages and its title, by whichever library is installed."""
-    from pypdf import PdfReader
-
-    reader = PdfReader(io.BytesIO(content))
-    return [p.extract_text() or "" for p in reader.pages], (reader.metadata.title if reader.metadata else None)
-
-
 def joined_pages(pages: list[str]) -> tuple[str, list[dict]]:
     """Pages with blank lines between, and where each lies."""
     at, offsets = 0, []
@@ -81,7 +74,7 @@ def _parse_one(content: bytes, mime: str) -> dict:
     out = {"text": None, "title": None, "page_offsets": [], "error": None}
     try:
         if mime == PDF:
-            pages, out["title"] = pdf_pages(content)
+            pages, out["title"] = pages_of(content)
             out["text"], out["page_offsets"] = joined_pages(pages)
         elif mime == DOCX:
             out["text"], out["title"] = docx_text(content)
@@ -91,8 +84,6 @@ def _parse_one(content: bytes, mime: str) -> dict:
             out["error"] = "UNSUPPORTED_TYPE"
         if out["text"] is not None and not out["text"].strip():
             out |= {"text": None, "error": "EMPTY_TEXT"}
-    except ImportError:
-        out["error"] = "NO_PARSER"
     except Exception as e:  # a file that cannot be parsed is a row of the error table
         out |= {"text": None, "error": f"PARSE_ERROR: {type(e).__name__}"}
     return out

@@ -56,6 +56,10 @@ class Snapshots:
         have = self.versions(name)
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/v{have[-1]}") if have else self.spark.createDataFrame([], schema)
 
+    def stored(self, name: str) -> DataFrame:
+        """The current version with the columns that its files have."""
+        return self.spark.read.parquet(f"{self.folder}/{name}/v{self.versions(name)[-1]}")
+
     def write(self, name: str, df: DataFrame) -> int:
         version = (self.versions(name) or [0])[-1] + 1
         df.write.mode("overwrite").parquet(f"{self.folder}/{name}/v{version}")
