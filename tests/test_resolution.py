@@ -1,10 +1,13 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemill.config import Resolution
 from tidemill.errors import ValidationError
 from tidemill.operators.components import components
-from tidemill.operators.resolution import choose_names, resolve, surface_map
+from tidemill.functions.similarity import score_pair
+from tidemill.operators.resolution import blocked_pairs, candidate_pairs, choose_names, groups_of, resolve, surface_map
 from tidemill.plans.models import hash_embedder
 from tidemill.schemas import ENTITIES
 
@@ -61,3 +64,52 @@ def test_near_names_merge_across_groups(spark):
     assert [r.mention_count for r in got.entities.collect()] == [2]
     none = resolve(spark.createDataFrame([], "surface string, type string"), spark.createDataFrame([], ENTITIES), hash_embedder())
     assert none.entities.count() == 0 and none.surfaces.select(F.count("*")).first()[0] == 0
+
+
+def typo(rng, name):
+    at = rng.randrange(len(name))
+    kind = rng.random()
+    if kind < 0.3:
+        return name[:at] + name[at + 1 :]
+    if kind < 0.6:
+        return name[:at] + rng.choice("aeiourst") + name[at:]
+    if kind < 0.8 and at + 1 < len(name):
+        return name[:at] + name[at + 1] + name[at] + name[at + 2 :]
+    words = name.split()
+    rng.shuffle(words)
+    return " ".join(words)
+
+
+def test_blocks_keep_what_all_pairs_find(spark):
+    """Recall of merges and gray pairs at least 0.95 against the comparison of all names."""
+    rng = random.Random(3)
+    syllables = "ba ke mo ri ta lu ven dor nis gal pe ros".split()
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(2, 4)))
+    names = [" ".join([word() for _ in range(rng.randint(1, 3))] + rng.choice([[], ["group"], ["systems"]])) for _ in range(150)]
+    mentions = [(n, "ORG") for n in names] + [(typo(rng, n), "ORG") for n in names for _ in range(2)]
+    groups = groups_of(spark.createDataFrame(mentions, "surface string, type string"), Resolution()).withColumn("vector", hash_embedder()(F.col("name_normalized"))).cache()
+    none = spark.createDataFrame([], "canonical_id string, name string, name_normalized string, type string, mention_count long, vector array<float>")
+
+    def useful(**more):
+        pairs = candidate_pairs(groups, none, Resolution(block_k=1000), **more)
+        score = score_pair(F.col("name_normalized"), F.col("c_name_normalized"), F.col("type"), F.col("c_type"), F.col("cosine"), Resolution())
+        rows = pairs.select("name_normalized", "c_name_normalized", score.alias("score")).collect()
+        return {(r[0], r[1]) for r in rows if r.score > 0.65}, len(rows)
+
+    (true, all_rows), (got, rows) = useful(exact=True), useful()
+    assert got <= true and len(true) > 100 and len(got) >= 0.95 * len(true) and rows < 0.5 * all_rows
+
+
+def test_comparisons_are_not_quadratic(spark):
+    """A word that all names share: each name meets a bounded number of others."""
+    for n in (400, 1600):
+        rows = spark.range(n).select(F.format_string("g%05d", "id").alias("gid"), F.format_string("name%05d group", "id").alias("name_normalized"), F.lit("ORG").alias("type"))
+        assert blocked_pairs(rows, rows, F.col("type"), names=20).count() <= n * 60 * 3
+    # the bound that the batch of 1 000 mentions of 50 names has to hold
+    names = spark.range(50).select(F.format_string("g%02d", "id").alias("gid"), F.format_string("company %02d", "id").alias("name_normalized"), F.lit("ORG").alias("type"))
+    assert blocked_pairs(names, names, F.col("type")).count() <= 1000 * 25 * 1.2
+
+
+def test_mentions_without_a_surface(spark):
+    got = run(spark, [(None, "ORG"), ("Acme", "ORG"), ("Acme", None)])
+    assert [r.name for r in got.entities.filter("type = 'ORG'").collect()] == ["Acme"]

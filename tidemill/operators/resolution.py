@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Resolution
@@ -12,6 +12,7 @@ from ..functions.identity import entity_id
 from ..functions.similarity import band, cosine, score_pair
 from ..functions.text import normalize_entity_name
 from ..shared import materialize
+from . import tables
 from .components import components
 from .fusion import ranked
 from .tables import first_by
@@ -48,13 +49,43 @@ def groups_of(mentions: DataFrame, rules: Resolution) -> DataFrame:
     return named.select(entity_id(F.col("name"), F.col("type")).alias("gid"), "name", *key, "n")
 
 
-def candidate_pairs(groups: DataFrame, persisted: DataFrame, rules: Resolution, block: list[str] | None = None) -> DataFrame:
+#: Names of one block key that are compared in full; of a key with more, each meets those next to it in name order.
+BLOCK_NAMES = 250
+
+
+def block_keys(name: Column) -> Column:
+    """What two names that may be one share at least one of: a word, or how a word begins or ends."""
+    words = F.filter(F.split(name, " "), lambda w: w != "")
+    ends = F.flatten(F.transform(words, lambda w: F.array(w, F.concat(F.substring(w, 1, 3), F.lit("~")), F.concat(F.lit("~"), F.right(w, F.lit(3))))))
+    return F.array_distinct(F.coalesce(ends, F.array().cast("array<string>")))
+
+
+def blocked_pairs(left: DataFrame, right: DataFrame, type_of: Column, names: int = BLOCK_NAMES) -> DataFrame:
+    """Distinct (gid, c_gid) of rows (gid, name_normalized, type) that share a block key.
+
+    A key's names are put in order and cut into runs of ``names``; a name meets its own run and the two beside it, so the
+    work grows with the number of names, whatever share of them one key holds.  Right rows whose keys no left
+    row has are left out before anything is sorted.
+    """
+    keyed = lambda d: d.select("gid", "name_normalized", type_of.alias("kind"), F.explode(block_keys(F.col("name_normalized"))).alias("key"))
+    ours = keyed(left)
+    theirs = keyed(right).join(tables.sent(ours.select("kind", "key").distinct()), ["kind", "key"], "left_semi")
+    both = ours.withColumn("ours", F.lit(True)).unionByName(theirs.withColumn("ours", F.lit(False)))
+    nth = F.row_number().over(Window.partitionBy("kind", "key").orderBy("name_normalized", "ours", "gid")) - 1
+    runs = both.withColumn("run", F.floor(nth / names))
+    one = runs.filter("ours").select("gid", "kind", "key", F.explode(F.array(F.col("run") - 1, F.col("run"), F.col("run") + 1)).alias("run"))
+    other = runs.filter("not ours").select(F.col("gid").alias("c_gid"), "kind", "key", "run")
+    return one.join(other, ["kind", "key", "run"]).select("gid", "c_gid").distinct()
+
+
+def candidate_pairs(groups: DataFrame, persisted: DataFrame, rules: Resolution, block: list[str] | None = None, exact: bool = False) -> DataFrame:
     """Pairs to score: each group with its ``block_k`` nearest earlier groups and nearest persisted entities.
 
     ``groups`` (gid, name_normalized, type, vector) are ordered by name and type; ``persisted`` has canonical_id for
-    gid.  Types must match if the rules say so, which is an equi-join.  ``block`` names further columns that must be
-    equal; without them the result is exact and the work grows with the square of a type's groups in this batch
-    (never of mentions), so batches are meant to be documents' worth.
+    gid.  Types must match if the rules say so.  Neighbours are looked for among names that share a block key; names
+    that share none score below any useful threshold unless their vectors alone are near.  ``exact`` compares with all
+    names of the type instead, and ``block`` with those that have equal values in the named columns; the work of both grows
+    with the square of the largest such part.
     """
     keys = (["type"] if rules.require_type_match else []) + list(block or [])
     fields = ["gid", "name_normalized", "type", "vector"]
@@ -62,32 +93,40 @@ def candidate_pairs(groups: DataFrame, persisted: DataFrame, rules: Resolution,
 
     def against(other: DataFrame, earlier: bool) -> DataFrame:
         right = other.select(*[F.col(c).alias(f"c_{c}") for c in {*fields, *keys, "known"}])
-        on = F.lit(True)
-        for c in keys:
-            on = on & (left[c] == right[f"c_{c}"])
+        if exact or block:
+            on = F.lit(True)
+            for c in keys:
+                on = on & (left[c] == right[f"c_{c}"])
+            pairs = left.join(right, on)
+        else:
+            met = blocked_pairs(groups, other, F.col("type") if rules.require_type_match else F.lit(""))
+            pairs = left.join(met, "gid").join(right, "c_gid")
         if earlier:
-            on = on & (F.struct(right["c_name_normalized"], right["c_type"]) < F.struct(left["name_normalized"], left["type"]))
-        pairs = left.join(right, on).withColumn("cosine", cosine(F.col("vector"), F.col("c_vector")))
+            pairs = pairs.filter(F.struct("c_name_normalized", "c_type") < F.struct("name_normalized", "type"))
+        pairs = pairs.withColumn("cosine", cosine(F.col("vector"), F.col("c_vector")))
         return ranked(pairs, [F.desc("cosine"), "c_name_normalized", "c_type", "c_gid"], ("gid",), rules.block_k, "_near").drop("_near")
 
     local = against(groups.withColumn("known", F.lit(False)), True)
     remote = against(persisted.withColumnRenamed("canonical_id", "gid").withColumn("known", F.lit(True)), False)
     both = local.withColumn("_leg", F.lit(0)).unionByName(remote.withColumn("_leg", F.lit(1)))
-    exact = both["c_name_normalized"].eqNullSafe(both["name_normalized"]) & (both["c_type"] == both["type"])
-    return first_by(both.withColumn("_leg", F.when(exact, -1).otherwise(F.col("_leg"))), ["gid", "c_gid"], ["_leg"]).drop("_leg")
+    same = both["c_name_normalized"].eqNullSafe(both["name_normalized"]) & (both["c_type"] == both["type"])
+    return first_by(both.withColumn("_leg", F.when(same, -1).otherwise(F.col("_leg"))), ["gid", "c_gid"], ["_leg"]).drop("_leg")
 
 
-def resolve(mentions: DataFrame, persisted: DataFrame, embed, rules: Resolution | None = None, block: list[str] | None = None) -> Resolved:
+def resolve(mentions: DataFrame, persisted: DataFrame, embed, rules: Resolution | None = None, block: list[str] | None = None, exact: bool = False) -> Resolved:
     """``mentions`` (surface, type, ...) and ``persisted`` entities (canonical_id, name, name_normalized, type, mention_count).
 
-    ``embed`` takes a string column to a vector column.  A persisted entity keeps its id when a cluster holds it (the
+    Mentions without a surface are in no entity.  ``embed`` takes a string column to a vector column.  A persisted entity keeps its id when a cluster holds it (the
     least id of several); otherwise a cluster's id is that of its chosen name and type.  An id that a run mints and
     the next finds persisted is the same, so runs converge; mention counts grow with each run.
     """
     rules = rules or Resolution()
     groups = materialize(groups_of(mentions, rules).withColumn("vector", embed(F.col("name_normalized"))))
     known = persisted.select("canonical_id", "name", "name_normalized", "type", "mention_count")
-    pairs = candidate_pairs(groups, known.withColumn("vector", embed(F.col("name_normalized"))), rules, block)
+    pairs = candidate_pairs(groups, known.withColumn("vector", embed(F.col("name_normalized"))), rules, block, exact)
+    # names are compared only where the score can still leave the lowest band
+    best = rules.weight_jaro_winkler + rules.weight_token_set + rules.weight_cosine * F.col("cosine")
+    pairs = pairs.filter(best > rules.reject_at)
     score = score_pair(F.col("name_normalized"), F.col("c_name_normalized"), F.col("type"), F.col("c_type"), F.col("cosine"), rules)
     scored = materialize(pairs.withColumn("score", score).withColumn("band", band(F.col("score"), rules)).select("gid", "c_gid", F.col("c_known").alias("known"), "score", "band"))
     merges = scored.filter("band = 'merge'")
