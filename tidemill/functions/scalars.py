@@ -53,6 +53,16 @@ def backoff_s(attempt: Column, retry_after: Column, rules: Backoff) -> Column:
     return F.when(retry_after.isNotNull(), F.least(retry_after.cast("double"), F.lit(float(rules.cap_s)))).otherwise(grown) if rules.honor_retry_after else grown
 
 
+def valid_question(text: Column, limits: Limits) -> Column:
+    """Neither blank nor longer than a question may be."""
+    return F.coalesce((F.trim(text) != "") & (F.length(text) <= limits.max_query_chars), F.lit(False))
+
+
+def total_spent(calls: Column, tokens: Column, wall_ms: Column) -> list[Column]:
+    """``merge_spent`` over a group: sums, and the longest time."""
+    return [F.sum(calls).alias("llm_calls"), F.sum(tokens).alias("tokens"), F.max(wall_ms).alias("wall_ms")]
+
+
 def remaining(spent: Column, limits: Limits) -> Column:
     left = lambda limit, key: F.greatest(F.lit(0), F.lit(limit) - spent[key])
     return F.struct(left(limits.max_llm_calls, "llm_calls").alias("llm_calls"), left(limits.max_tokens, "tokens").alias("tokens"), left(limits.max_wall_ms, "wall_ms").alias("wall_ms"))

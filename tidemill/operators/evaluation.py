@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -86,3 +86,9 @@ def context_recall(items: DataFrame, retrieved: str = "retrieved_texts", referen
     like = lambda g, r: 1 - F.levenshtein(g, r) / F.greatest(F.length(g), F.length(r), F.lit(1))
     met = F.size(F.filter(reference, lambda g: F.exists(retrieved, lambda r: like(g, r) >= least)))
     return items.withColumn("context_recall", F.when(F.size(reference) > 0, F.coalesce(met, F.lit(0)) / F.size(reference)))
+
+
+def kept_by_grade(rows: DataFrame, batch: list[str], grade: Column, relevant: Column) -> DataFrame:
+    """Relevant rows of each batch; a batch in which any row lacks a grade (null) is kept whole, as a lost row cannot be made good."""
+    graded = F.bool_and(grade.isNotNull()).over(Window.partitionBy(*batch))
+    return rows.withColumn("_graded", graded).filter(~F.col("_graded") | relevant).drop("_graded")

@@ -58,6 +58,17 @@ def A7_components(spark, d):
     return components(nation, "n_nationkey", "n_regionkey")
 
 
+# Customers in chains of sixteen, some of which a hub holds together.
+@query("""WITH RECURSIVE l AS (SELECT c_custkey AS a, c_custkey + 1 AS b FROM customer WHERE c_custkey % 16 <> 15 UNION SELECT -1, c_custkey FROM customer WHERE c_custkey % 37 = 5),
+ e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+ SELECT a AS id, least(a, min(b)) AS component FROM r GROUP BY a""")
+def A7_chains_and_a_hub(spark, d):
+    (customer,) = load(spark, d, "customer")
+    key = F.col("c_custkey").cast("long")
+    links = customer.filter("c_custkey % 16 <> 15").select(key.alias("a"), (key + 1).alias("b")).unionByName(customer.filter("c_custkey % 37 = 5").select(F.lit(-1).cast("long").alias("a"), key.alias("b")))
+    return components(links)
+
+
 @query("""SELECT a.n_name AS a, b.n_name AS b, round(jaro_winkler_similarity(a.n_name || ' ' || a.n_regionkey, b.n_name || ' ' || b.n_regionkey), 6) AS s FROM nation a, nation b""")
 def X11_jaro_winkler(spark, d):
     (nation,) = load(spark, d, "nation")
@@ -94,7 +105,7 @@ def A11_distinct_in_first_order(spark, d):
 @query("SELECT l_orderkey, sum(l_linenumber) AS llm_calls, sum(CAST(l_quantity AS BIGINT)) AS tokens, max(l_extendedprice) AS wall_ms FROM lineitem GROUP BY l_orderkey")
 def A13_spend(spark, d):
     (lines,) = load(spark, d, "lineitem")
-    return lines.groupBy("l_orderkey").agg(F.sum("l_linenumber").alias("llm_calls"), F.sum(F.col("l_quantity").cast("long")).alias("tokens"), F.max("l_extendedprice").alias("wall_ms"))
+    return lines.groupBy("l_orderkey").agg(*scalars.total_spent(F.col("l_linenumber"), F.col("l_quantity").cast("long"), F.col("l_extendedprice")))
 
 
 @query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 3 ELSE 1 END AS f, CASE o_orderstatus WHEN 'F' THEN 0 ELSE 2 END AS other, o_orderkey % 5 + (CASE o_orderstatus WHEN 'F' THEN 3 ELSE 1 END) + CASE o_orderstatus WHEN 'F' THEN 0 ELSE 2 END AS total FROM orders""")

@@ -196,13 +196,19 @@ def K15_status_moves(spark, d):
     return L.judged(ledger, changes).select("current", "status", "verdict")
 
 
-@query("""WITH l AS (SELECT text, doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
- SELECT count(DISTINCT text) AS n FROM l""")
+@query("""SELECT DISTINCT sha256(text) AS sha256 FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) AND substr(sha256(text), 1, 1) >= '8'""")
 def K17_purge_keeps_others(spark, d):
     ledger = old_ledger(spark, d)
-    nobody = spark.createDataFrame([("nobody",)], "doc_id string")
-    left, _ = L.purge(ledger, nobody)
-    return left.agg(F.count_distinct("sha256").alias("n"))
+    left, _ = L.purge(ledger, ledger.filter("substring(sha256, 1, 1) < '8'").select("doc_id"))
+    return left.select("sha256")
+
+
+@query("""SELECT 'old' || substr(sha256(text), 1, 12) AS doc_id, bool_or(doc_id IN (SELECT doc_id FROM labels)) AS existed FROM documents GROUP BY 1""")
+def K17_purge_tells_what_existed(spark, d):
+    (docs,) = load(spark, d, "documents")
+    asked = docs.select(F.concat(F.lit("old"), F.substring(F.sha2("text", 256), 1, 12)).alias("doc_id"))
+    _, known = L.purge(old_ledger(spark, d), asked)
+    return known.select("doc_id", "existed")
 
 
 # -- filters --------------------------------------------------------------------------------------------------------
@@ -218,7 +224,7 @@ def F1_payload_filter(spark, d):
 @query("SELECT conv_id, turn FROM conversations WHERE trim(text) <> '' AND length(text) <= 2000")
 def F5_F6_query_guard(spark, d):
     (c,) = load(spark, d, "conversations")
-    return c.filter((F.trim("text") != "") & (F.length("text") <= Limits().max_query_chars)).select("conv_id", "turn")
+    return c.filter(scalars.valid_question(F.col("text"), Limits())).select("conv_id", "turn")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN part ON p_partkey = l_partkey
@@ -241,11 +247,11 @@ def F10_bands(spark, d):
 @query("""SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem
  QUALIFY NOT bool_and(l_discount > 0) OVER (PARTITION BY l_orderkey) OR l_quantity >= 25""")
 def F11_keep_whole_ungraded_batches(spark, d):
-    from pyspark.sql import Window
+    from ..operators.evaluation import kept_by_grade
 
     (lines,) = load(spark, d, "lineitem")
-    graded = F.bool_and(F.col("l_discount") > 0).over(Window.partitionBy("l_orderkey"))
-    return lines.withColumn("g", graded).filter(~F.col("g") | (F.col("l_quantity") >= 25)).select("l_orderkey", "l_linenumber", "l_partkey")
+    grade = F.when(F.col("l_discount") > 0, F.col("l_quantity") >= 25)  # none without a discount
+    return kept_by_grade(lines, ["l_orderkey"], grade, F.col("l_quantity") >= 25).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query("""SELECT doc_id, CAST(CASE WHEN n_chars // 2 < 500 THEN 1 WHEN n_chars // 2 >= 502 AND n_chars // 2 < 2000 THEN 2 END AS INT) AS page FROM documents""")

@@ -207,10 +207,10 @@ def G5_A8_top_entities_for_chunks(spark, d):
     return found.select("query_id", "path_rank", F.col("nodes")[0].alias("node"), "score")
 
 
-@query(f"SELECT q.vec_id AS a, p.vec_id AS b, round({COS.format('q', 'p')}, 9) AS score FROM embeddings q JOIN embeddings p ON q.vec_id % 50 = 0 AND p.vec_id = q.vec_id + 1")
+@query(f"SELECT q.vec_id AS a, p.vec_id AS b, round({COS.format('q', 'p')}, 9) AS score FROM embeddings q JOIN embeddings p ON p.vec_id = q.vec_id + 1")
 def X10_cosine(spark, d):
     p = points(spark, d)
-    q = vector_queries(spark, d)
+    q = p.select(F.col("chunk_id").alias("query_id"), F.col("dense").alias("vector"))
     both = q.join(p, F.col("chunk_id") == F.col("query_id") + 1)
     return both.select(F.col("query_id").alias("a"), F.col("chunk_id").alias("b"), F.round(cosine(F.col("vector"), F.col("dense")), 9).alias("score"))
 
