@@ -68,8 +68,9 @@ def blocked_pairs(left: DataFrame, right: DataFrame, type_of: Column, names: int
     row has are left out before anything is sorted.
     """
     keyed = lambda d: d.select("gid", "name_normalized", type_of.alias("kind"), F.explode(block_keys(F.col("name_normalized"))).alias("key"))
-    ours = keyed(left)
-    theirs = keyed(right).join(tables.sent(ours.select("kind", "key").distinct()), ["kind", "key"], "left_semi")
+    ours = theirs = keyed(left)
+    if right is not left:
+        theirs = keyed(right).join(tables.sent(ours.select("kind", "key").distinct()), ["kind", "key"], "left_semi")
     both = ours.withColumn("ours", F.lit(True)).unionByName(theirs.withColumn("ours", F.lit(False)))
     nth = F.row_number().over(Window.partitionBy("kind", "key").orderBy("name_normalized", "ours", "gid")) - 1
     runs = both.withColumn("run", F.floor(nth / names))
@@ -92,7 +93,7 @@ def candidate_pairs(groups: DataFrame, persisted: DataFrame, rules: Resolution,
     left = groups.select(*fields, *[c for c in keys if c not in fields])
 
     def against(other: DataFrame, earlier: bool) -> DataFrame:
-        right = other.select(*[F.col(c).alias(f"c_{c}") for c in {*fields, *keys, "known"}])
+        right = other.withColumn("known", F.lit(not earlier)).select(*[F.col(c).alias(f"c_{c}") for c in {*fields, *keys, "known"}])
         if exact or block:
             on = F.lit(True)
             for c in keys:
@@ -106,9 +107,10 @@ def candidate_pairs(groups: DataFrame, persisted: DataFrame, rules: Resolution,
         pairs = pairs.withColumn("cosine", cosine(F.col("vector"), F.col("c_vector")))
         return ranked(pairs, [F.desc("cosine"), "c_name_normalized", "c_type", "c_gid"], ("gid",), rules.block_k, "_near").drop("_near")
 
-    local = against(groups.withColumn("known", F.lit(False)), True)
-    remote = against(persisted.withColumnRenamed("canonical_id", "gid").withColumn("known", F.lit(True)), False)
-    both = local.withColumn("_leg", F.lit(0)).unionByName(remote.withColumn("_leg", F.lit(1)))
+    both = against(groups, True).withColumn("_leg", F.lit(0))
+    if persisted.limit(1).count():
+        remote = against(persisted.withColumnRenamed("canonical_id", "gid"), False)
+        both = both.unionByName(remote.withColumn("_leg", F.lit(1)))
     same = both["c_name_normalized"].eqNullSafe(both["name_normalized"]) & (both["c_type"] == both["type"])
     return first_by(both.withColumn("_leg", F.when(same, -1).otherwise(F.col("_leg"))), ["gid", "c_gid"], ["_leg"]).drop("_leg")
 
