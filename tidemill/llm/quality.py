@@ -74,10 +74,11 @@ def falling(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     A pool's chance is drawn half a case towards a half, so that none is certain.
     """
+    places, at = np.unique(x, return_inverse=True)
     pools: list[list[float]] = []  # ones, cases, first and last place
-    for at in np.argsort(x, kind="stable"):
-        pools.append([float(y[at]), 1.0, float(x[at]), float(x[at])])
-        while len(pools) > 1 and (pools[-2][0] * pools[-1][1] <= pools[-1][0] * pools[-2][1] or pools[-2][3] == pools[-1][2]):
+    for place, ones, cases in zip(places.tolist(), np.bincount(at, y).tolist(), np.bincount(at).tolist(), strict=True):
+        pools.append([ones, cases, place, place])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] <= pools[-1][0] * pools[-2][1]:
             ones, cases, _, last = pools.pop()
             pools[-1][0] += ones
             pools[-1][1] += cases
