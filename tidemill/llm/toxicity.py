@@ -44,12 +44,12 @@ class Sentences:
         self.word = (words.hashes >> shift).astype(np.int32)
         self.prefix = (words.prefixes >> shift).astype(np.int32) + np.int32(1 << BITS)
         n = len(self.word)
+        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(words.bounds))
         if n:
-            again = np.flatnonzero(words.hashes[1:] == words.hashes[:-1]) + 1
+            again = np.flatnonzero((words.hashes[1:] == words.hashes[:-1]) & (doc[1:] == doc[:-1])) + 1
             self.word[again] = self.prefix[again] = FEATURES - 1
         ends = np.cumsum(IS_END[LOWER[data]]) if len(data) else np.zeros(0, np.int64)
         part = ends[words.starts] if n else np.zeros(0, np.int64)
-        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(words.bounds))
         new = np.ones(n, dtype=bool)
         new[1:] = (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])
         start = np.flatnonzero(new)
