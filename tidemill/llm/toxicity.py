@@ -182,13 +182,25 @@ def fit(rows: list[tuple[str, object]], batch: int = 256) -> Model:
 SPANS = "array<struct<start: int, end: int, score: double>>"
 
 
-def located(s: Sentences, z: np.ndarray, chance: np.ndarray, alone: np.ndarray, threshold: float) -> np.ndarray:
+def least_alone(model: Model, threshold: float) -> float:
+    """The least sentence score, as log-odds, with which a document of one sentence reaches the threshold."""
+    lo, hi = -50.0, 50.0
+    reaches = lambda z: float(model.calibrated(-np.logaddexp(0, np.array([z])))[0]) >= threshold
+    if reaches(lo) or not reaches(hi):
+        return -np.inf if reaches(lo) else np.inf
+    while hi - lo > 1e-12:
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if reaches(mid) else (mid, hi)
+    return hi
+
+
+def located(s: Sentences, z: np.ndarray, chance: np.ndarray, least: float, threshold: float) -> np.ndarray:
     """Numbers of the offending sentences, in order.
 
-    A sentence offends if ``alone``, the calibrated chance of a document of just that sentence, reaches the
-    threshold; in a document that reaches it by several sentences only, the first of the greatest score does.
+    A sentence offends if its score is ``least`` or more, so that it would do alone; in a document that reaches the
+    threshold by several sentences only, the first of the greatest score does.
     """
-    hit = alone >= threshold
+    hit = z >= least
     if len(z):
         first = np.flatnonzero(np.append(True, s.doc[1:] != s.doc[:-1]))
         doc = s.doc[first]
@@ -203,19 +215,20 @@ def _score(model: Model, threshold: float):
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
     added = [pa.field("score", pa.float64()), pa.field("spans", pa.list_(span))]
 
+    least = least_alone(model, threshold)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             schema = pa.schema([*list(batch.schema)[1:], *added])
             for lo, hi, data, offsets in chunks(batch.column(0)):
                 s = Sentences(data, offsets)
                 z = s.scores(model.weights, model.bias)
-                p = sigmoid(z)
                 chance = model.calibrated(s.log_clean(z))
-                hit = located(s, z, chance, model.calibrated(-np.logaddexp(0, z)), threshold)
+                hit = located(s, z, chance, least, threshold)
                 points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 begin = points[s.begin[hit]] - points[offsets[s.doc[hit]]]
                 end = points[s.end[hit]] - points[offsets[s.doc[hit]]]
-                rows = pa.StructArray.from_arrays([pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(p[hit])], fields=list(span))
+                rows = pa.StructArray.from_arrays([pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(sigmoid(z[hit]))], fields=list(span))
                 cuts = np.searchsorted(s.doc[hit], np.arange(hi - lo + 1)).astype(np.int32)
                 kept = [batch.column(k).slice(lo, hi - lo) for k in range(1, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(chance), pa.ListArray.from_arrays(pa.array(cuts), rows)], schema=schema)
