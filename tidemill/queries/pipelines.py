@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.similarity import score_pair, token_set_ratio
+from ..functions.similarity import norm, score_pair, token_set_ratio
+from ..operators import provenance
 from ..operators.graph import upsert_documents
+from ..operators.tables import replace_rows
 from ..plans.extract import extract
-from ..plans.ingest import empty_corpus, ingest
+from ..plans.ingest import delete, empty_corpus, ingest, reindex
 from ..plans.models import hash_embedder
 from ..plans.orchestrate import answer, results
 from ..plans.retrieve import graph_leg
+from ..shared import new_path
+from ..sources import readers
 from ..sources.files import admitted, parse
 from ..sources.golden import subset
 from .base import query, relates, text_id
@@ -119,3 +123,66 @@ def X13_pair_scores(spark, d):
     a = nation.select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("x"), F.col("n_regionkey").alias("s"))
     b = nation.select(F.col("n_nationkey").alias("b"), F.col("n_name").alias("y"), F.col("n_regionkey").alias("t"))
     return a.crossJoin(b).select("a", "b", F.round(score_pair(F.col("x"), F.col("y"), F.col("s"), F.col("t"), F.lit(0.5), Resolution()), 6).alias("score"))
+
+
+# -- the corpus over short documents, many of which share a paragraph --------------------------------------------------
+
+SHORT = "s AS (SELECT 'C' || c_custkey AS doc_id, 'A ' || lower(c_mktsegment) || ' customer of nation ' || c_nationkey AS text FROM customer)"
+
+
+def short_corpus(spark, d):
+    (customer,) = load(spark, d, "customer")
+    text = F.concat(F.lit("A "), F.lower("c_mktsegment"), F.lit(" customer of nation "), F.col("c_nationkey").cast("string"))
+    rows = customer.select(text_id("C", "c_custkey").alias("doc_id"), text_id("mem:", "c_custkey").alias("uri"), text.alias("text"), F.lit("text/plain").alias("mime_type"), F.sha2("c_name", 256).alias("sha256"))
+    return ingest(empty_corpus(spark), rows, hash_embedder(), Settings(), F.timestamp_seconds(F.lit(0)))
+
+
+@query(f"WITH {SHORT} SELECT text, count(*) AS n_sources, min(doc_id) AS first_doc, CAST(length(text) AS INTEGER) AS char_end FROM s GROUP BY text")
+def P2_P12_K4_reindex(spark, d):
+    """Every chunk's sources from the registry alone, and no orphan."""
+    corpus = short_corpus(spark, d)
+    chunks, orphans = reindex(corpus)
+    per_chunk = chunks.select("text", F.size("sources").cast("long").alias("n_sources"), F.col("doc_ids")[0].alias("first_doc"), F.element_at("sources", 1)["char_end"].alias("char_end"))
+    return per_chunk.unionByName(orphans.select(F.col("chunk_id").alias("text"), F.lit(0).cast("long").alias("n_sources"), F.lit("").alias("first_doc"), F.lit(0).alias("char_end")))
+
+
+@query(f"""WITH {SHORT}, alone AS (SELECT min(doc_id) AS doc_id FROM s WHERE text IN (SELECT text FROM s GROUP BY text HAVING count(*) = 1)), gone AS (SELECT 'C5' AS doc_id UNION SELECT doc_id FROM alone WHERE doc_id IS NOT NULL)
+ SELECT text, count(*) AS n_sources, (SELECT count(*) FROM gone) AS deleting FROM s WHERE doc_id NOT IN (SELECT doc_id FROM gone) GROUP BY text""")
+def P3_K14_delete(spark, d):
+    """Take out one document that shares its chunk and one, if there is any, that holds its chunk alone."""
+    corpus = short_corpus(spark, d)
+    only = provenance.only_owned(corpus.registry, corpus.ledger).agg(F.min("doc_id").alias("doc_id")).first()["doc_id"]
+    for doc in sorted({"C5", *([only] if only else [])}):
+        corpus = delete(corpus, doc, F.timestamp_seconds(F.lit(1)))
+    n = corpus.ledger.filter("status = 'DELETING'").agg(F.count("*").alias("deleting"))
+    counts = corpus.chunks.join(corpus.registry, "chunk_id").groupBy("text").agg(F.count("*").alias("n_sources"))
+    return counts.join(F.broadcast(n))
+
+
+@query("SELECT fmt, n_nationkey, n_name FROM nation, (SELECT unnest(['csv', 'json', 'orc', 'parquet']) AS fmt)")
+def S16_formats(spark, d):
+    """A table written in each format and read again with its schema."""
+    (nation,) = load(spark, d, "nation")
+    rows, found = nation.select("n_nationkey", "n_name"), None
+    for fmt in ("csv", "json", "orc", "parquet"):
+        path = new_path(spark, fmt)
+        rows.write.format(fmt).save(path)
+        got = readers.read(spark, path, fmt, "n_nationkey int, n_name string").withColumn("fmt", F.lit(fmt))
+        found = got if found is None else found.unionByName(got)
+    return found
+
+
+@query("SELECT doc_id, CAST(64 AS INTEGER) AS n, round(CASE WHEN trim(text) = '' THEN 0 ELSE 1 END, 4) AS length FROM documents")
+def X18_embedded(spark, d):
+    (docs,) = load(spark, d, "documents")
+    rows = docs.select("doc_id", hash_embedder()(F.col("text")).alias("v"))
+    return rows.select("doc_id", F.size("v").alias("n"), F.round(norm(F.col("v")), 4).alias("length"))
+
+
+@query("""SELECT 'C' || c_custkey AS canonical_id, CASE WHEN c_custkey % 10 = 0 THEN 'new ' || c_name ELSE c_name END AS name, CAST(CASE WHEN c_custkey % 10 = 0 THEN 2 ELSE 1 END AS INTEGER) AS width FROM customer""")
+def K6_upsert_entities_with_vectors(spark, d):
+    (customer,) = load(spark, d, "customer")
+    row = lambda name, vector: customer.select(text_id("C", "c_custkey").alias("canonical_id"), name.alias("name"), F.array(*[F.lit(x) for x in vector]).alias("vector"), "c_custkey")
+    old, new = row(F.col("c_name"), [0.5]), row(F.concat(F.lit("new "), "c_name"), [0.5, 0.5]).filter("c_custkey % 10 = 0")
+    both = replace_rows(old.drop("c_custkey"), new.drop("c_custkey"), ["canonical_id"], ["name"])
+    return both.select("canonical_id", "name", F.size("vector").alias("width"))
