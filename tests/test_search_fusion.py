@@ -1,6 +1,7 @@
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.errors import ValidationError
 from tidemill.operators import search
@@ -70,3 +71,30 @@ def test_chunks_of_paths(spark):
     paths = spark.createDataFrame([("q", 1, ["z"], 0.5), ("q", 2, ["a", "z"], 0.5), ("q", 3, ["m"], 0.9)], "query_id string, path_rank int, chunk_ids array<string>, score double")
     order = lambda by_id: [r.chunk_id for r in chunks_of_paths(paths, by_id=by_id).orderBy("rank").collect()]
     assert order(True) == ["m", "a", "z"] and order(False) == ["m", "z", "a"]
+
+
+def test_dense_search_equals_a_loop(spark, monkeypatch):
+    import math
+    import random
+
+    rng = random.Random(5)
+    points = [(f"p{i:03d}", [rng.choice([-1.0, 0.0, 1.0, 0.5]) for _ in range(4)]) for i in range(300)] + [("zero", [0.0] * 4), ("none", None)]
+    queries = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(9)] + [(20, [0.0] * 4)]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (math.dist(a, [0] * 4) * math.dist(b, [0] * 4)) if any(a) and any(b) else 0.0
+    want = {}
+    for q, v in queries:
+        best = sorted(((-round(cos(v, p), 9), k) for k, p in points if p is not None))[:7]
+        want[q] = [(k, -s) for s, k in best]
+    p = spark.createDataFrame(points, "chunk_id string, dense array<double>").repartition(3)
+    q = spark.createDataFrame(queries, "query_id long, vector array<double>")
+    for rows in (20_000, 3):
+        monkeypatch.setattr(search, "QUERY_ROWS", rows)
+        got = {}
+        for r in search.dense_top_k(q, p, 7).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.chunk_id, round(r.score, 9)))
+        assert got == want
+    same = search.dense_top_k(q, p, 7, group_filter=F.lit(True)).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, round(r.score, 9)) for r in same] == [(i, s) for i in sorted(want) for _, s in want[i]]
+    assert search.dense_top_k(q.filter("query_id > 99"), p, 7).count() == 0
+    with pytest.raises(Exception, match="differ in size"):
+        search.dense_top_k(spark.createDataFrame([(1, [1.0])], "query_id long, vector array<double>"), p, 2).collect()

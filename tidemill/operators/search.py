@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..errors import ValidationError
 from ..functions.similarity import cosine, norm
@@ -13,6 +20,8 @@ from .tables import payload_filter
 
 #: A query side is broadcast only up to this many rows; larger batches are searched in slices of it.
 QUERY_ROWS = 20_000
+#: Bytes of a slice of query vectors that is sent to the points.
+QUERY_BYTES = 16 << 20
 #: The same for the terms of queries.
 QUERY_TERMS = 400_000
 
@@ -24,22 +33,80 @@ def query_slices(queries: DataFrame, rows: int = QUERY_ROWS) -> list[DataFrame]:
     return [queries] if parts == 1 else [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p) for p in range(parts)]
 
 
+def _block_top_k(ids: list, vectors: np.ndarray, k: int, kind: pa.DataType, key: pa.DataType):
+    """For each batch of points (key, vector): each query's k most similar ones, by a matrix product.
+
+    The product finds who can be among them; their scores are computed again pair by pair, so that equal vectors have
+    equal scores wherever they stand, and ties go to the smaller key.
+    """
+    lengths = np.sqrt((vectors * vectors).sum(axis=1))
+    schema = pa.schema([("query_id", kind), ("key", key), ("score", pa.float64())])
+    names = pa.array(ids, kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column(1)))
+            batch = batch.take(pc.sort_indices(batch.column(0)))
+            if not batch.num_rows:
+                continue
+            lists = batch.column(1)
+            flat = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+            if (lists.value_lengths().to_numpy() != vectors.shape[1]).any():
+                raise ValueError("vectors differ in size")
+            points = flat.reshape(-1, vectors.shape[1])
+            norms = np.sqrt((points * points).sum(axis=1))
+            for a in range(0, len(ids), 256):
+                part, own = vectors[a : a + 256], lengths[a : a + 256]
+                scale = own[:, None] * norms[None, :]
+                near = np.divide(part @ points.T, scale, out=np.zeros(scale.shape), where=scale > 0)
+                at = max(near.shape[1] - k, 0)
+                i, j = np.nonzero(near >= np.partition(near, at, axis=1)[:, at, None] - 1e-9)
+                exact = np.zeros(len(i))
+                for c in range(0, len(i), 100_000):
+                    x, y = i[c : c + 100_000], j[c : c + 100_000]
+                    product = own[x] * norms[y]
+                    exact[c : c + 100_000] = np.divide((part[x] * points[y]).sum(axis=1), product, out=np.zeros(len(x)), where=product > 0)
+                order = np.lexsort((j, -exact, i))
+                i, j, exact = i[order], j[order], exact[order]
+                nth = np.arange(len(i)) - np.searchsorted(i, i)
+                i, j, exact = i[nth < k], j[nth < k], exact[nth < k]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(a + i)), batch.column(0).take(pa.array(j)), pa.array(exact)], schema=schema)
+
+    return run
+
+
 def dense_top_k(queries: DataFrame, points: DataFrame, k: int, filters: dict | None = None, group_filter: Column | None = None, key: str = "chunk_id", vector: str = "dense", min_score: float | None = None) -> DataFrame:
     """``queries`` (query_id, vector) against ``points``: query_id, key, score, rank of the k most similar.
 
     Filters hold before ranking, ``min_score`` after it.  The points are never shuffled: a bounded slice of queries
-    goes to them, and only each partition's best k of a query travel on (WindowGroupLimit).  ``group_filter`` may
-    compare ``q_`` columns of the query with columns of the point.
+    goes to them, and only each partition's best k of a query travel on (WindowGroupLimit).  Points without a vector are
+    not found.  ``group_filter`` may compare ``q_`` columns of the query with columns of the point; without one, points
+    meet the queries in blocks.
     """
     points = payload_filter(points, filters or {})
-    points = points.withColumn("_n", norm(F.col(vector)))
     found = None
-    for part in query_slices(queries):
-        q = part.select(*[F.col(c).alias(c if c == "query_id" else f"q_{c}") for c in part.columns]).withColumn("_qn", norm(F.col("q_vector")))
-        pairs = points.join(F.broadcast(q), group_filter if group_filter is not None else F.lit(True))
-        score = cosine(F.col("q_vector"), F.col(vector), F.col("_qn"), F.col("_n"))
-        got = ranked(pairs.select("query_id", key, score.alias("score")), [F.desc("score"), key], top=k)
-        found = got if found is None else found.unionByName(got)
+    if group_filter is None:
+        sized = queries.filter(F.col("vector").isNotNull()).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+        types = points.select(key).schema[0].dataType, queries.schema["query_id"].dataType
+        width = sized.agg(F.max(F.size("vector"))).first()[0] or 1
+        for part in query_slices(sized, max(1, min(QUERY_ROWS, QUERY_BYTES // (8 * width)))):
+            rows = part.collect()  # a slice: at most QUERY_BYTES
+            if len({len(r["vector"]) for r in rows}) > 1:
+                raise ValidationError("vectors differ in size")
+            matrix = np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), -1 if rows else width)
+            search = _block_top_k([r["query_id"] for r in rows], matrix, k, to_arrow_type(types[1]), to_arrow_type(types[0]))
+            shape = StructType([StructField("query_id", types[1]), StructField("key", types[0]), StructField("score", DoubleType())])
+            pairs = points.select(key, vector).mapInArrow(search, shape) if rows else points.sparkSession.createDataFrame([], shape)
+            got = ranked(pairs.withColumnRenamed("key", key), [F.desc("score"), key], top=k)
+            found = got if found is None else found.unionByName(got)
+    else:
+        points = points.filter(F.col(vector).isNotNull()).withColumn("_n", norm(F.col(vector)))
+        for part in query_slices(queries):
+            q = part.select(*[F.col(c).alias(c if c == "query_id" else f"q_{c}") for c in part.columns]).withColumn("_qn", norm(F.col("q_vector")))
+            pairs = points.join(F.broadcast(q), group_filter)
+            score = cosine(F.col("q_vector"), F.col(vector), F.col("_qn"), F.col("_n"))
+            got = ranked(pairs.select("query_id", key, score.alias("score")), [F.desc("score"), key], top=k)
+            found = got if found is None else found.unionByName(got)
     return found if min_score is None else found.filter(F.col("score") >= min_score)
 
 
