@@ -25,15 +25,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_size: int | Non
     edges = materialize(edges, "links")
     while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # a table of its own, so that the join shuffles both sides and a hub's links can be split
+        # tables of their own, so that the joins shuffle both sides and a hub's links can be split
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         # large star: a node's greater neighbours go to the least it knows
         large = materialize(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
         # small star: a node and its lesser neighbours go to the least of them
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        lower = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
         small = large.join(lower, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         before, edges = edges, materialize(small.filter("u <> v").distinct(), "small-star")
-        discard(before, least, large)
+        discard(before, least, large, lower)
     labels = edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
     labels = labels.unionByName(labels.select(F.col("label").alias("id"), "label").distinct())
     if max_size is not None:
