@@ -277,7 +277,10 @@ def near_duplicates(documents: DataFrame, width: int = 5, bands: int = BANDS, ro
 
     buckets = classes.select("class_id", "n_shingles", F.explode("keys").alias("key"))
     leaders = buckets.groupBy("key").agg(F.min("class_id").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")
+    # a table of its own, so that the join shuffles both sides and a bucket of very many classes can be split
+    leaders = materialize(leaders, "leaders")
     members = materialize(buckets.join(leaders, "key").select("leader", "class_id", "n_shingles").distinct(), "groups")
+    discard(leaders)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     shape = members.groupBy("leader").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
     shape = materialize(shape.select("leader", _blocks(F.col("n"), F.col("w"), block_docs).alias("blocks"), _blocks(F.col("n"), F.col("w"), block_docs * WIDER).alias("wide")), "group-shapes")
