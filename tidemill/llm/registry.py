@@ -11,6 +11,7 @@ from .decontaminate import decontaminate
 from .html_text import extract_text
 from .language import identify_language
 from .licenses import scan_licenses
+from .mixing import mix
 from .neardup import near_duplicates
 from .neighbours import nearest
 from .packing import pack
@@ -86,8 +87,12 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_language, op4_html_text, op5_token_counts, op6_quality, op7_toxicity, op8_licenses, op9_packing, op10_neighbours)}
+    return {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_language, op4_html_text, op5_token_counts, op6_quality, op7_toxicity, op8_licenses, op9_packing, op10_neighbours, op12_mixing)}
 
 
 _OP1 = r"""
@@ -163,5 +168,44 @@ FROM n
 """
 
 
+def _op12(fills: int = 2) -> str:
+    """Targets by the order in which sources stop, then the passes of the draw, each a running total by rank."""
+    passes = "".join(
+        f"""
+, c{k} AS (
+  SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY bin + 4096 * times, rank, doc_id) <= open AS fits FROM r{k} WHERE size <= open AND size > 0 AND whole + times < 3
+), t{k} AS (SELECT doc_id, source, size FROM c{k} WHERE fits),
+r{k + 1} AS (
+  SELECT r.* REPLACE (r.open - coalesce(g.got, 0) AS open, r.times + CASE WHEN r.doc_id IN (SELECT doc_id FROM t{k}) THEN 1 ELSE 0 END AS times)
+  FROM r{k} r LEFT JOIN (SELECT source, sum(size) AS got FROM t{k} GROUP BY source) g ON g.source IS NOT DISTINCT FROM r.source
+)"""
+        for k in range(fills + 1)
+    )
+    return rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         (CAST('0x' || substr(md5('12:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || md5(coalesce(text, ''))), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
+  FROM documents
+), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 3 * source_size AS cap, ([5, 2, 1])[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)] AS weight FROM s),
+f AS (
+  SELECT *, row_number() OVER o AS nth, (SELECT sum(source_size) FROM s) - (sum(cap) OVER o - cap) AS words, sum(weight) OVER (ORDER BY cap / weight DESC, source DESC NULLS FIRST) AS rest
+  FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)
+), stop AS (SELECT min(nth) AS nth FROM f WHERE weight * words <= cap * rest),
+share AS (SELECT words, rest FROM f JOIN stop USING (nth)),
+t AS (
+  SELECT source, source_size, CASE WHEN f.nth < stop.nth THEN cap ELSE weight * share.words END::BIGINT AS num, CASE WHEN f.nth < stop.nth THEN 1 ELSE share.rest END::BIGINT AS den FROM f, stop, share
+), p AS (SELECT *, CASE WHEN source_size > 0 THEN num // (den * source_size) ELSE 0 END AS whole FROM t),
+q AS (SELECT *, num // den - whole * source_size AS open FROM p),
+ranked AS (
+  SELECT d.doc_id, d.source, d.size, q.open, q.whole, 0 AS times, (u / (1 - u)) / ((q.open::DOUBLE / q.source_size) / (1 - q.open::DOUBLE / q.source_size)) AS rank
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source WHERE q.open > 0
+), r0 AS (SELECT *, floor(rank / (1 + rank) * 4096) AS bin FROM ranked){passes}
+SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, q.source_size, q.num::DOUBLE / q.den AS target,
+       CAST((q.whole + coalesce(times, 0)) * d.size AS BIGINT) AS taken
+FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source LEFT JOIN r{fills + 1} r ON r.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": _OP1, "op2_near_duplicates": _OP2, "op8_licenses": _OP8, "op10_neighbours": _OP10}
+    return {"op1_decontamination": _OP1, "op2_near_duplicates": _OP2, "op8_licenses": _OP8, "op10_neighbours": _OP10, "op12_mixing": _op12()}
