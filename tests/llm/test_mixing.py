@@ -4,7 +4,6 @@ import hashlib
 import math
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from tidemill.llm.mixing import BINS, FILLS, mix
@@ -66,35 +65,27 @@ def corpus(n=400):
 
 
 def test_rows_equal_the_plain_loop_and_sources_meet_their_targets(spark):
-    docs = corpus()
-    found = mix(spark.createDataFrame(docs, SCHEMA).repartition(5))
-    got = rows_of(found)
+    """With null and empty texts, a null id and source, repeated rows, a very long text, and other columns of the operator's own names."""
+    odd = [(None, "a b c", None), (None, None, None), (803, "", "x"), (804, None, "x"), *[(805, "same words here", "x")] * 9, (806, " \t\n", "y"), (900, "long " * 300_000, "big")]
+    docs = [*corpus(), *odd]
+    wide = spark.createDataFrame(docs, SCHEMA).withColumn("size", F.lit("x")).withColumn("rank", F.lit(0)).withColumn("target", F.lit(None)).withColumn("row", F.lit(1))
+    found = mix(wide.repartition(5))
+    plan = found._jdf.queryExecution().toString()
+    assert "Python" not in plan
+    assert "Arrow" not in plan
+    assert rows_of(found) == plain(docs)
+
+
+def test_sources_meet_their_targets_and_stop_at_three_times_their_size(spark):
+    docs = [(500, "one two", "0"), *corpus()]
+    got = rows_of(mix(spark.createDataFrame(docs, SCHEMA).orderBy(F.desc("doc_id")).coalesce(1)))
     assert got == plain(docs)
     by_id = {d: s for d, _, s in docs}
     for source in {s for _, _, s in docs}:
         own = [r for r in got if by_id[r[0]] == source]
         assert abs(sum(r[4] for r in own) - own[0][3]) <= max(20, 0.01 * own[0][3])
         assert all(r[4] % r[1] == 0 and r[4] <= 3 * r[1] for r in own)
-
-
-def test_reruns_agree_whatever_the_partitions(spark):
-    docs = spark.createDataFrame(corpus(200), SCHEMA)
-    assert rows_of(mix(docs.repartition(7))) == rows_of(mix(docs.orderBy(F.desc("doc_id")).coalesce(1)))
-
-
-def test_small_sources_stop_at_three_times_their_size(spark):
-    docs = [(1, "one two", "a"), *[(n, "x " * 50, "b") for n in range(2, 40)]]
-    got = mix(spark.createDataFrame(docs, SCHEMA)).collect()
-    first = next(r for r in got if r.doc_id == 1)
-    assert (first.target, first.taken) == (6.0, 6)
-    assert sum(r.taken for r in got if r.doc_id != 1) == pytest.approx(1896, abs=50)
-
-
-def test_nulls_empty_texts_and_repeated_rows(spark):
-    docs = [(None, "a b c", None), (None, None, None), (3, "", "x"), (4, None, "x"), *[(5, "same words here", "x")] * 9, (6, " \t\n", "y")]
-    got = rows_of(mix(spark.createDataFrame(docs, SCHEMA)))
-    assert got == plain(docs)
-    assert all(r[4] == 0 for r in got if r[1] == 0)
+    assert next(r[3:] for r in got if r[0] == 500) == (6.0, 6)
 
 
 def test_a_repeated_row_is_not_all_or_nothing(spark):
@@ -103,19 +94,5 @@ def test_a_repeated_row_is_not_all_or_nothing(spark):
     assert all(abs(r.taken - r.target) <= 4 for r in got)
 
 
-def test_empty_table_and_clashing_columns(spark):
+def test_empty_table(spark):
     assert mix(spark.createDataFrame([], SCHEMA)).count() == 0
-    docs = corpus(60)
-    wide = spark.createDataFrame(docs, SCHEMA).withColumn("size", F.lit("x")).withColumn("rank", F.lit(0)).withColumn("target", F.lit(None)).withColumn("row", F.lit(1))
-    assert rows_of(mix(wide)) == plain(docs)
-
-
-def test_one_very_long_text(spark):
-    docs = [*corpus(80), (900, "long " * 300_000, "big")]
-    assert rows_of(mix(spark.createDataFrame(docs, SCHEMA))) == plain(docs)
-
-
-def test_no_python_on_the_way(spark):
-    plan = mix(spark.createDataFrame(corpus(30), SCHEMA))._jdf.queryExecution().toString()
-    assert "Python" not in plan
-    assert "Arrow" not in plan

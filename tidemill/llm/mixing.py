@@ -120,7 +120,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), copies: int
     shares = shares.withColumn("whole", F.expr("CASE WHEN source_size > 0 THEN num div (den * source_size) ELSE 0L END"))
     shares = materialize(shares.withColumn("open", F.expr("num div den") - F.col("whole") * F.col("source_size")).withColumnRenamed("source", "key"), "shares")
     part = F.col("open") / F.col("source_size")
-    rank = (F.col("u") / (1 - F.col("u"))) / (part / (1 - part))
+    rank = F.when(F.col("open") > 0, (F.col("u") / (1 - F.col("u"))) / (part / (1 - part)))
     chosen = docs.join(shares.filter("open > 0").select("key", "open", "source_size", "whole"), F.col("source").eqNullSafe(F.col("key"))).filter("size > 0")
     ranked = chosen.select("source", "size", "row", "whole", rank.alias("rank")).withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int"))
     none = F.array().cast("array<struct<open:bigint,bin:int,last:struct<rank:double,row:bigint>>>")
