@@ -11,11 +11,13 @@ from .decontaminate import decontaminate
 from .html_text import extract_text
 from .language import identify_language
 from .licenses import scan_licenses
+from .merkle import manifest
 from .mixing import mix
 from .neardup import near_duplicates
 from .neighbours import nearest
 from .packing import pack
 from .quality import score_quality
+from .spelling import variants, vocabulary
 from .storage import read_table
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
@@ -87,12 +89,22 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # every seventh id by its digest is presented with another length
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    return manifest(read_table(spark, sf_dir, "documents"), {"n_chars": tampered})
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(vocabulary(read_table(spark, sf_dir, "documents"), typing=97))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_language, op4_html_text, op5_token_counts, op6_quality, op7_toxicity, op8_licenses, op9_packing, op10_neighbours, op12_mixing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_language, op4_html_text, op5_token_counts, op6_quality, op7_toxicity, op8_licenses, op9_packing, op10_neighbours, op11_merkle, op12_mixing, op13_spelling)}
 
 
 _OP1 = r"""
@@ -168,6 +180,42 @@ FROM n
 """
 
 
+def _crc32(code_points: str) -> str:
+    """CRC-32 of a list of byte values, bit by bit."""
+    bits = f"flatten([[4294967295], flatten(list_transform({code_points}, lambda b: [b, 0, 0, 0, 0, 0, 0, 0]))])"
+    step = "lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))"
+    return f"xor(list_reduce(CAST({bits} AS BIGINT[]), {step}), 4294967295)"
+
+
+_DIGITS = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: unicode(c))"
+_LEAF = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "{n}", "text"))
+_OP11 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, sha256({_LEAF.format(n="n_chars")}) AS leaf, sha256({_LEAF.format(n=f"(n_chars + CASE WHEN {_crc32(_DIGITS)} % 7 = 0 THEN 1 ELSE 0 END)")}) AS shown FROM documents
+), placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM d),
+nodes AS (
+  SELECT lang, 0 AS lvl, place, leaf AS node, n FROM placed
+  UNION ALL SELECT lang, lvl + 1, place // 2, sha256(string_agg(node, '' ORDER BY place)), any_value((n + 1) // 2) FROM nodes WHERE n > 1 GROUP BY lang, lvl, place // 2
+), subroots AS (SELECT lang, node, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper AS (
+  SELECT 0 AS lvl, place, node, n FROM subroots
+  UNION ALL SELECT lvl + 1, place // 2, sha256(string_agg(node, '' ORDER BY place)), any_value((n + 1) // 2) FROM upper WHERE n > 1 GROUP BY lvl, place // 2
+), climbed AS (
+  SELECT doc_id, lang, leaf, 0 AS lvl, place, n, shown AS folded, '' AS proof FROM placed
+  UNION ALL SELECT c.doc_id, c.lang, c.leaf, c.lvl + 1, c.place // 2, (c.n + 1) // 2,
+    sha256(CASE WHEN c.place % 2 = 1 THEN s.node || c.folded ELSE c.folded || coalesce(s.node, '') END), c.proof || coalesce(s.node, '')
+  FROM climbed c LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM c.lang AND s.lvl = c.lvl AND s.place = xor(c.place, 1) WHERE c.n > 1
+), topped AS (
+  SELECT c.doc_id, c.leaf, r.node AS subroot, 0 AS lvl, r.place, r.n, c.folded, c.proof FROM climbed c JOIN subroots r ON r.lang IS NOT DISTINCT FROM c.lang WHERE c.n = 1
+  UNION ALL SELECT c.doc_id, c.leaf, c.subroot, c.lvl + 1, c.place // 2, (c.n + 1) // 2,
+    sha256(CASE WHEN c.place % 2 = 1 THEN s.node || c.folded ELSE c.folded || coalesce(s.node, '') END), c.proof || coalesce(s.node, '')
+  FROM topped c LEFT JOIN upper s ON s.lvl = c.lvl AND s.place = xor(c.place, 1) WHERE c.n > 1
+)
+SELECT doc_id, leaf, subroot, u.node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = u.node AS verified
+FROM topped JOIN (SELECT node FROM upper WHERE n = 1) u ON topped.n = 1
+"""
+
+
 def _op12(fills: int = 2) -> str:
     """Targets by the order in which sources stop, then the passes of the draw, each a running total by rank."""
     passes = "".join(
@@ -207,5 +255,33 @@ FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source LEFT JOIN r{fills + 1} r
 """
 
 
+_BYTES = "flatten(list_transform(string_split({s}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END))"
+_OP13 = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY ALL
+), h AS (SELECT run, c, {_crc32(_BYTES.format(s="coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run"))} AS h FROM runs),
+v AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3
+), cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT v.word, cut.word, cut.n FROM v JOIN cut ON v.word = cut.rest
+  UNION SELECT cut.word, v.word, v.n FROM v JOIN cut ON v.word = cut.rest
+), best AS (SELECT word, count(*) AS n_near, max(n) AS most FROM near GROUP BY word),
+f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * v.n THEN (SELECT min(other) FROM near WHERE near.word = v.word AND near.n = best.most) END AS form, CASE WHEN most >= 2 * v.n THEN most END AS form_n
+  FROM v LEFT JOIN best USING (word)
+), followed AS (
+  SELECT word, word AS root FROM f UNION ALL SELECT followed.word, f.form FROM followed JOIN f ON f.word = followed.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.n, CAST(n_near AS BIGINT) AS n_near, form, form_n, root
+FROM f JOIN followed USING (word) JOIN f r ON r.word = followed.root AND r.form IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": _OP1, "op2_near_duplicates": _OP2, "op8_licenses": _OP8, "op10_neighbours": _OP10, "op12_mixing": _op12()}
+    return {"op1_decontamination": _OP1, "op2_near_duplicates": _OP2, "op8_licenses": _OP8, "op10_neighbours": _OP10, "op11_merkle": _OP11, "op12_mixing": _op12(), "op13_spelling": _OP13}
