@@ -125,7 +125,7 @@ def _lower(blocks: DataFrame, suffixes: DataFrame, bits: int) -> DataFrame:
                 n = len(entries)
                 yield pa.RecordBatch.from_arrays([pa.array([tree] * n, pa.string()), pa.array([e["place"] for e in entries], pa.int64()), pa.array([subroot] * n, pa.string()), pa.array([root] * n, pa.string()), pa.array(own, pa.string())], names=["tree", "place", "subroot", "root", "path"])
 
-    rows = _met(blocks, suffixes).select("tree", "block", F.transform("entries", lambda e: F.struct(e["place"].alias("place"), e["node"].alias("node"))), "subroot", "root", "path")
+    rows = _met(blocks, suffixes).select("tree", "block", F.transform("entries", lambda e: F.struct(e["place"].alias("place"), e["node"].alias("node"))).alias("entries"), "subroot", "root", "path")
     return materialize(rows.mapInArrow(run, SUFFIX), "suffixes")
 
 

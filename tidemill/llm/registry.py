@@ -278,7 +278,7 @@ f AS (
 ), followed AS (
   SELECT word, word AS root FROM f UNION ALL SELECT followed.word, f.form FROM followed JOIN f ON f.word = followed.root WHERE f.form IS NOT NULL
 )
-SELECT f.word, f.n, CAST(n_near AS BIGINT) AS n_near, form, form_n, root
+SELECT f.word, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form, f.form_n, followed.root
 FROM f JOIN followed USING (word) JOIN f r ON r.word = followed.root AND r.form IS NULL
 """
 
