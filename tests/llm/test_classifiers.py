@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemill.llm.labelled import sample
@@ -172,3 +173,23 @@ def test_a_dictionary_is_trained_on_all_texts(monkeypatch):
     for pieces, bound in zip(seen, (100 * 65536, 30 * BLOCK), strict=True):
         assert {p[:1] for p in pieces} == {t[:1].encode() for t in texts}
         assert bound - BLOCK < sum(map(len, pieces)) <= bound
+
+
+def test_only_chosen_texts_meet_in_one_task(spark):
+    """A thousand labelled texts of 1 MB and a bound of 16 MB: sizes decide, and the task that fits reads the bound at most."""
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("word "), F.col("id").cast("string"), F.lit(" ")), 1 << 17).alias("text"), F.lit("x").alias("y"))
+    chosen = sample(docs.repartition(8), None, "y", F.lit(True), 1000, 16 << 20)
+
+    def measured(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(t.as_py()) for b in batches for t in b.column(0))])], names=["bytes"])
+
+    sizes = [r.bytes for r in chosen.mapInArrow(measured, "bytes long").collect()]
+    assert len(sizes) == 1 and (14 << 20) < sizes[0] <= 16 << 20
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    window = plan[plan.index("Window") :]
+    assert "text" not in window[: window.index("\n")]
+
+
+def test_repeated_rows_are_chosen_together(spark):
+    docs = spark.createDataFrame([(1, "a" * 10, "x")] * 3 + [(1, "b" * 10, "x"), (2, None, "x"), (3, "c" * 1000, "x")], "doc_id long, text string, y string")
+    assert sorted(r.text for r in sample(docs, None, "y", F.lit(True), 10, 100).collect()) == ["", *["a" * 10] * 3, "b" * 10]

@@ -83,6 +83,47 @@ def test_marks_on_any_block(page, text):
     assert main_text(page) == text
 
 
+OTHER = {
+    "russian": ["Заголовок статьи", "Вчера вечером большая группа учёных представила новые результаты исследования подземных рек северного края.", "Коротко.", "Работа продолжалась почти десять лет, и теперь карта этих рек впервые нанесена полностью."],
+    "chinese": ["标题", "昨天晚上一大批科学家展示了关于北方地区地下河流研究的最新成果并且公布了全部的测量数据。", "他们的工作持续了将近十年现在这些河流的地图第一次被完整地绘制出来供所有人查看和使用。"],
+    "polish": ["Nowa mapa", "Wczoraj wieczorem duża grupa naukowców przedstawiła wyniki badań podziemnych rzek północnego regionu kraju.", "Prace trwały prawie dziesięć lat, teraz mapa tych rzek została pierwszy raz ukończona."],
+    "english": ["Underground rivers", "Scientists presented new measurements describing underground rivers throughout northern regions yesterday evening.", "Maps showing every river were finished after nearly ten years."],
+}
+
+
+@pytest.mark.parametrize("language", OTHER)
+@pytest.mark.parametrize("around", ["<div id=content>{}</div>", "<body><div><section>{}</section></div>", "<article>{}</article>"])
+def test_plain_pages_in_any_language_keep_every_paragraph(language, around):
+    title, *texts = OTHER[language]
+    body = f"<h1>{title}</h1>" + "".join(f"<p>{t}</p>" for t in texts)
+    menu = "<nav><ul><li><a href=/>Home</a></ul></nav><div class=menu><a href=/a>One</a> <a href=/b>Two</a></div>"
+    footer = f"<footer>{texts[0]}</footer><div class='cookie-notice'>{texts[0]}</div>"
+    assert main_text(menu + around.format(body) + footer) == " ".join([title, *texts])
+
+
+@pytest.mark.parametrize("language", OTHER)
+def test_a_teaser_card_does_not_hide_the_page(language):
+    title, *texts = OTHER[language]
+    page = f"<div id=content><h1>{title}</h1>" + "".join(f"<p>{t}</p>" for t in texts) + f"</div><article class=card><h3>More</h3><p>{texts[-1][:40]}</p></article>"
+    assert main_text(page) == " ".join([title, *texts])
+    assert main_text(f"<div><p>{LONG}</div><article><p>{LONG}</p><p>{LONG}</article>") == f"{LONG} {LONG}"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><p>{LONG}<section id='search'><h2>Binary search</h2><p>{LONG}</section></article>", f"{LONG} Binary search {LONG}"),
+        (f"<article><section class='social'><p>{LONG}</section><form id=search><p>{LONG}</form></article>", LONG),
+        (f"<article><p>{LONG}<div class='tags'><a href=1>one</a> <a href=2>two</a></div></article>", LONG),
+        (f"<article><div class='hidden md:block'><p>{LONG}</div><div class='hidden x'><p>Not {LONG}</div></article>", LONG),
+        (f"<article><p>{LONG}<p>(c) 1999 was the year in which {LONG}<p>© is the sign that {LONG}</article>", f"{LONG} (c) 1999 was the year in which {LONG} © is the sign that {LONG}"),
+        (f"<article><p>{LONG}<p>(c) 1999 by the owner of the site and of all that is shown on it, all rights reserved in all of the world</article>", LONG),
+    ],
+)
+def test_marks_that_an_article_may_be_about(page, text):
+    assert main_text(page) == text
+
+
 WORDS = "the of and to in that is was for on with as his they this have from or one had by word but not what all were we when your can said there use".split()
 NOISE = [
     "<nav><ul><li><a href='/{0}'>{0}</a><li>{0}</ul></nav>",

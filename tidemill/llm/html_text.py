@@ -5,9 +5,11 @@ main element, a menu, footer, form and so on, or any block whose class or id nam
 a whole name such as "share", elsewhere also by a name made of such words and others that say nothing, as in
 "site-footer" or "ad-box" but not "share-price").  The first
 pass decides a block by where it stands, its link density, its length and its density of stop words.  Blocks
-that this leaves open, mostly short ones, inherit in the second pass the label of the nearest decided
-neighbours within the same article (without one, within the page); where those differ the nearer one counts,
-and at equal distance the good one.  A block of an article with no decided neighbour is kept, others are not.
+that this leaves open, mostly short ones and those in languages whose stop words are not known, inherit in the second pass the label of
+the nearest decided neighbours within the same article (without one, within the page); where those differ the nearer one counts,
+and at equal distance the good one.  Where stop words decide no block of a page without articles, length and link density do so alone.
+A block of an article with no decided neighbour is kept, others are not.  Articles hide what stands outside them, unless more text
+is kept there than in all of them, as on a page with a teaser card.
 
 Edge cases: null and empty pages give an empty text; unclosed tags, quotes and comments end with the page;
 character references are decoded once, each run of text between two tags by itself; text of hidden elements goes; repeated rows are each reported; other columns are ignored.
@@ -43,6 +45,8 @@ VOID = frozenset("area base br col embed img input link meta param source track
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disclaimer disqus dropdown form gdpr login masthead menu modal nav navbar navigation newsletter notice notification pagination pager popup promo promotion recommended related search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget".split()
 )
+#: Those that an article's own section may be about; inside an article their parts go as forms or by their links.
+TOPICS = frozenset("search social tags".split())
 #: Those that name a page's part only outside an article, and only as a container.
 OUTER_HINTS = HINTS | frozenset("header footer head foot top bottom".split())
 #: Words that may stand beside them in a name without changing what it says.
@@ -64,6 +68,13 @@ STOP_WORDS = frozenset(
     il di che e per non si da con del sono una della ha o da os as um uma em para com nao não dos het van een""".split()
 )
 LINKED, SHORT, STOPPED = 0.4, 60, 0.15
+#: A copyright notice is shorter than this, or reserves rights.
+NOTICE = 80
+RESERVED = re.compile(r"\bcopyright\b|rights reserved", re.I)
+#: Scripts that write a word in a character or two.
+DENSE = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
+#: Classes that show from some screen width on what "hidden" hides below it.
+SHOWN = re.compile(r"(?:sm|md|lg|xl|2xl):(?:block|flex|grid|inline|inline-block|inline-flex|contents|table|table-cell|table-row)")
 
 
 @dataclass
@@ -86,11 +97,11 @@ def attributes_of(rest: str) -> dict[str, str]:
 
 
 def hidden(attributes: dict[str, str], tokens: set[str]) -> bool:
-    """A hidden attribute, aria-hidden, an inline display:none or the class "hidden"; no other use of the word."""
+    """A hidden attribute, aria-hidden, an inline display:none or the class "hidden" at all widths; no other use of the word."""
     return (
         attributes.get("hidden", "false").strip().lower() in ("", "hidden", "true")
         or attributes.get("aria-hidden", "").strip().lower() == "true"
-        or "hidden" in tokens
+        or ("hidden" in tokens and not any(SHOWN.fullmatch(t) for t in tokens))
         or bool(UNDISPLAYED.search(attributes.get("style", "")))
     )
 
@@ -99,7 +110,7 @@ def named_part(attributes: dict[str, str], hints: frozenset, scope: int) -> bool
     """Whether class, id or role name a part of the page that is no article text."""
     tokens = " ".join(attributes.get(a, "") for a in ("class", "id", "role")).split()
     if scope:  # an article's own sections may hold such a word in a longer name
-        return not HINTS.isdisjoint(t.lower() for t in tokens)
+        return not (HINTS - TOPICS).isdisjoint(t.lower() for t in tokens)
     for token in tokens:
         words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()) if len(w) > 1]
         if not hints.isdisjoint(words) and all(w in hints or w in PLAIN or len(w) == 2 for w in words):
@@ -185,19 +196,22 @@ def cut_blocks(page: str) -> list[Piece]:
     return found
 
 
+def weight(text: str) -> int:
+    """The length of a text; a character of a dense script counts for three."""
+    return len(text) + 2 * len(DENSE.findall(text))
+
+
 def first_pass(piece: Piece) -> bool | None:
-    if piece.out or COPYRIGHT.match(piece.text):
+    if piece.out or (COPYRIGHT.match(piece.text) and (len(piece.text) < NOTICE or RESERVED.search(piece.text))):
         return False
     letters = sum(not c.isspace() for c in piece.text) if piece.linked else 0
     if piece.linked and piece.linked >= LINKED * letters:
         return False
-    if len(piece.text) < SHORT:
+    if weight(piece.text) < SHORT:
         return None
     words = WORD.findall(piece.text.lower())
     stopped = sum(w in STOP_WORDS for w in words)
-    if stopped >= STOPPED * max(len(words), 1):
-        return True
-    return None if piece.scope or stopped else False
+    return True if stopped >= STOPPED * max(len(words), 1) else None
 
 
 def second_pass(pieces: list[Piece], whole: bool) -> list[bool]:
@@ -223,13 +237,18 @@ def main_text(page: str | None) -> str:
     pieces = cut_blocks(page or "")
     for p in pieces:
         p.label = first_pass(p)
+    if not any(p.label for p in pieces):  # no language that is known here
+        for p in pieces:
+            if p.label is None and not p.scope and weight(p.text) >= SHORT:
+                p.label = True
     kept: dict[int, bool] = {}
     for scope in {p.scope for p in pieces}:
         # parts that are no article text say nothing about an article's own open blocks
         own = [i for i, p in enumerate(pieces) if p.scope == scope and not (scope and p.out)]
         kept |= dict(zip(own, second_pass([pieces[i] for i in own], scope > 0), strict=True))
-    articles = any(v and pieces[i].scope for i, v in kept.items())
-    return " ".join(pieces[i].text for i in sorted(kept) if kept[i] and (pieces[i].scope or not articles))
+    inside = sum(len(pieces[i].text) for i, v in kept.items() if v and pieces[i].scope)
+    outside = sum(len(pieces[i].text) for i, v in kept.items() if v and not pieces[i].scope)
+    return " ".join(pieces[i].text for i in sorted(kept) if kept[i] and (bool(pieces[i].scope) == (inside >= outside)))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,23 +25,26 @@ def sample(documents: DataFrame, labels: DataFrame | None, label: str, allowed:
     """At most ``rows`` labelled texts of at most ``max_bytes`` in all: (text, label), in a fixed random order.
 
     ``allowed`` is a condition on doc_id.  With ``labels`` the label is that table's column, else one of
-    ``documents``.  Ids are drawn by hash before any text is read, so the sort and the broadcast hold ``rows``
-    small rows whatever the tables' size.  Where the drawn texts overrun the bytes, those of up to a hundredth of the
-    bound fill it in drawn order; longer ones come last, the shortest first, so that only texts that do not fit are
-    left out.
+    ``documents``.  Ids are drawn by hash before any text is read, and the rows that fit are chosen by their sizes, so what is sorted,
+    summed and broadcast are ``rows`` small rows whatever the tables' size; only chosen texts move, and meet in one task.  Where the
+    drawn texts overrun the bytes, those of up to a hundredth of the bound fill it in drawn order; longer ones come last, the shortest
+    first, so that only texts that do not fit are left out.  Rows that repeat an id and a text are chosen together.
     """
     order = [F.xxhash64(F.col("doc_id").cast("long"), F.lit(17)), F.col("doc_id")]
     source = documents if labels is None else labels
     keys = source.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & allowed)
     keys = keys.orderBy(*order).limit(rows)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    drawn = [*order, "label", "text"]
-    size = F.octet_length("text")
-    long = F.when(size > F.lit(max_bytes / 100), size).otherwise(0)
-    joined = texts.join(F.broadcast(keys), "doc_id").filter(size <= max_bytes).orderBy(long, *drawn).limit(rows)
-    used = F.sum(size.cast("long")).over(Window.orderBy(long, *drawn).rowsBetween(Window.unboundedPreceding, 0))
-    fitting = joined.withColumn("used", used).filter(F.col("used") <= max_bytes)
-    return fitting.sortWithinPartitions(*drawn).select("text", "label")
+    size = F.octet_length("text").cast("long")
+    key = ["doc_id", "label", "size", "digest"]
+    sizes = texts.join(F.broadcast(keys), "doc_id").select("doc_id", "label", size.alias("size"), F.xxhash64("text").alias("digest"))
+    sizes = sizes.filter(F.col("size") <= max_bytes).groupBy(*key).agg(F.count("*").alias("times"))
+    drawn = [F.when(F.col("size") > F.lit(max_bytes / 100), F.col("size")).otherwise(0), *order, "label", "digest"]
+    upto = Window.orderBy(*drawn).rowsBetween(Window.unboundedPreceding, 0)
+    chosen = sizes.orderBy(*drawn).limit(rows).withColumns({"bytes": F.sum(F.col("size") * F.col("times")).over(upto), "rows": F.sum("times").over(upto)})
+    chosen = chosen.filter((F.col("bytes") <= max_bytes) & (F.col("rows") <= rows)).select("doc_id", "label", "digest")
+    found = texts.join(F.broadcast(chosen), "doc_id").filter(F.xxhash64("text") == F.col("digest"))
+    return found.repartition(1).sortWithinPartitions(*order, "label", "text").select("text", "label")
 
 
 def fitted(rows: DataFrame, fit: Callable[[list], object]) -> object:
