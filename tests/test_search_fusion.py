@@ -1,5 +1,6 @@
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,21 @@ def test_dense_search_equals_a_loop(spark, monkeypatch):
     assert search.dense_top_k(q.filter("query_id > 99"), p, 7).count() == 0
     with pytest.raises(Exception, match="differ in size"):
         search.dense_top_k(spark.createDataFrame([(1, [1.0])], "query_id long, vector array<double>"), p, 2).collect()
+
+
+def test_blocks_and_waves_of_queries_find_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = rng.normal(size=(500, 8)).round(1)
+    rows[100:140] = rows[3]
+    points = spark.createDataFrame([(i, i % 3, [float(x) for x in v]) for i, v in enumerate(rows)] + [(900, 0, None)], "chunk_id long, label int, dense array<float>").repartition(4)
+    queries = points.filter("chunk_id % 5 = 0 AND dense IS NOT NULL").select(F.col("chunk_id").alias("query_id"), "label", F.col("dense").alias("vector"))
+    found = lambda **more: {(r.query_id, r["rank"], r.chunk_id) for r in search.dense_top_k(queries, points, 9, **more).collect()}
+    one = found()
+    joined = found(group_filter=F.lit(True))
+    assert one == joined and len(one) == 100 * 9
+    assert found(same="label") == found(group_filter=F.col("q_label") == F.col("label"))
+    monkeypatch.setattr(search, "BLOCK_BYTES", 8 * 8 * 7)
+    monkeypatch.setattr(search, "QUERY_BYTES", 8 * 8 * 7 * 4)
+    assert found() == one
+    with pytest.raises(ValidationError):
+        search.dense_top_k(queries.unionByName(spark.createDataFrame([(901, 1, [1.0])], queries.schema)), points, 9)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Resolution
@@ -12,9 +12,9 @@ from ..functions.identity import entity_id
 from ..functions.similarity import band, cosine, score_pair
 from ..functions.text import normalize_entity_name
 from ..shared import materialize
-from . import tables
 from .components import components
-from .fusion import ranked
+from .knn import LIST_ROWS, PROBES, centroids, kind_of, nearest
+from .numbering import positions
 from .tables import first_by
 
 
@@ -49,70 +49,35 @@ def groups_of(mentions: DataFrame, rules: Resolution) -> DataFrame:
     return named.select(entity_id(F.col("name"), F.col("type")).alias("gid"), "name", *key, "n")
 
 
-#: Names of one block key that are compared in full; of a key with more, each meets those next to it in name order.
-BLOCK_NAMES = 250
-
-
-def block_keys(name: Column) -> Column:
-    """What two names that may be one share at least one of: a word, or how a word begins or ends."""
-    words = F.filter(F.split(name, " "), lambda w: w != "")
-    ends = F.flatten(F.transform(words, lambda w: F.array(w, F.concat(F.substring(w, 1, 3), F.lit("~")), F.concat(F.lit("~"), F.right(w, F.lit(3))))))
-    return F.array_distinct(F.coalesce(ends, F.array().cast("array<string>")))
-
-
-def blocked_pairs(left: DataFrame, right: DataFrame, type_of: Column, names: int = BLOCK_NAMES) -> DataFrame:
-    """Distinct (gid, c_gid) of rows (gid, name_normalized, type) that share a block key.
-
-    A key's names are put in order and cut into runs of ``names``; a name meets its own run and the two beside it, so the
-    work grows with the number of names, whatever share of them one key holds.  Right rows whose keys no left
-    row has are left out before anything is sorted.
-    """
-    keyed = lambda d: d.select("gid", "name_normalized", type_of.alias("kind"), F.explode(block_keys(F.col("name_normalized"))).alias("key"))
-    ours = theirs = keyed(left)
-    if right is not left:
-        theirs = keyed(right).join(tables.sent(ours.select("kind", "key").distinct()), ["kind", "key"], "left_semi")
-    both = ours.withColumn("ours", F.lit(True)).unionByName(theirs.withColumn("ours", F.lit(False)))
-    nth = F.row_number().over(Window.partitionBy("kind", "key").orderBy("name_normalized", "ours", "gid")) - 1
-    runs = both.withColumn("run", F.floor(nth / names))
-    one = runs.filter("ours").select("gid", "kind", "key", F.explode(F.array(F.col("run") - 1, F.col("run"), F.col("run") + 1)).alias("run"))
-    other = runs.filter("not ours").select(F.col("gid").alias("c_gid"), "kind", "key", "run")
-    return one.join(other, ["kind", "key", "run"]).select("gid", "c_gid").distinct()
-
-
-def candidate_pairs(groups: DataFrame, persisted: DataFrame, rules: Resolution, block: list[str] | None = None, exact: bool = False) -> DataFrame:
-    """Pairs to score: each group with its ``block_k`` nearest earlier groups and nearest persisted entities.
+def candidate_pairs(groups: DataFrame, persisted: DataFrame, rules: Resolution, block: list[str] | None = None, exact: bool = False, list_rows: int = LIST_ROWS, probes: int = PROBES) -> DataFrame:
+    """Pairs to score: each group with its equals by name and type, its ``block_k`` nearest earlier groups and nearest persisted entities.
 
     ``groups`` (gid, name_normalized, type, vector) are ordered by name and type; ``persisted`` has canonical_id for
-    gid.  Types must match if the rules say so.  Neighbours are looked for among names that share a block key; names
-    that share none score below any useful threshold unless their vectors alone are near.  ``exact`` compares with all
-    names of the type instead, and ``block`` with those that have equal values in the named columns; the work of both grows
-    with the square of the largest such part.
+    gid.  Types must match if the rules say so, and with ``block`` the named columns too.  Nearness is the cosine of the vectors, however
+    the names are spelled.  Neighbours are found through an inverted file, in which a group meets the lists of its ``probes`` nearest
+    centroids (one list for ``list_rows`` rows); ``exact`` compares with all, and its work grows with the square of the table.
     """
     keys = (["type"] if rules.require_type_match else []) + list(block or [])
-    fields = ["gid", "name_normalized", "type", "vector"]
-    left = groups.select(*fields, *[c for c in keys if c not in fields])
-
-    def against(other: DataFrame, earlier: bool) -> DataFrame:
-        right = other.withColumn("known", F.lit(not earlier)).select(*[F.col(c).alias(f"c_{c}") for c in {*fields, *keys, "known"}])
-        if exact or block:
-            on = F.lit(True)
-            for c in keys:
-                on = on & (left[c] == right[f"c_{c}"])
-            pairs = left.join(right, on)
-        else:
-            met = blocked_pairs(groups, other, F.col("type") if rules.require_type_match else F.lit(""))
-            pairs = left.join(met, "gid").join(right, "c_gid")
-        if earlier:
-            pairs = pairs.filter(F.struct("c_name_normalized", "c_type") < F.struct("name_normalized", "type"))
-        pairs = pairs.withColumn("cosine", cosine(F.col("vector"), F.col("c_vector")))
-        return ranked(pairs, [F.desc("cosine"), "c_name_normalized", "c_type", "c_gid"], ("gid",), rules.block_k, "_near").drop("_near")
-
-    both = against(groups, True).withColumn("_leg", F.lit(0))
+    kind = kind_of([F.col(c) for c in keys])
+    known = persisted.withColumnRenamed("canonical_id", "gid")
+    placed = materialize(positions(groups.select("gid", "name_normalized", "type", "vector", kind.alias("kind")), ["name_normalized", "type", "gid"], name="place"), "placed")
+    legs = [(placed, placed, True)]
     if persisted.limit(1).count():
-        remote = against(persisted.withColumnRenamed("canonical_id", "gid"), False)
-        both = both.unionByName(remote.withColumn("_leg", F.lit(1)))
-    same = both["c_name_normalized"].eqNullSafe(both["name_normalized"]) & (both["c_type"] == both["type"])
-    return first_by(both.withColumn("_leg", F.when(same, -1).otherwise(F.col("_leg"))), ["gid", "c_gid"], ["_leg"]).drop("_leg")
+        theirs = positions(known.select("gid", "name_normalized", "type", "vector", kind.alias("kind")), ["name_normalized", "type", "gid"], name="place")
+        legs.append((placed, materialize(theirs, "placed-known"), False))
+    pairs = None
+    for n, (ours, theirs, before) in enumerate(legs):
+        index = None if exact else centroids(theirs, list_rows=list_rows)
+        c = theirs.select(*[F.col(x).alias(f"c_{x}") for x in ("gid", "name_normalized", "type", "vector")])
+        near = nearest(ours, theirs, rules.block_k, index, probes, before)
+        if not before:  # equals are candidates even where very many others have the same vector
+            same = ours.join(c, (F.col("name_normalized") == F.col("c_name_normalized")) & (F.col("type") == F.col("c_type")))
+            same = same.select("gid", "c_gid", cosine(F.col("vector"), F.col("c_vector")).alias("cosine"))
+            near = near.unionByName(same.join(near.select("gid", "c_gid"), ["gid", "c_gid"], "left_anti"))
+        named = ours.select("gid", "name_normalized", "type").join(near, "gid").join(c.drop("c_vector"), "c_gid").withColumn("c_known", F.lit(not before)).withColumn("_leg", F.lit(n))
+        pairs = named if pairs is None else pairs.unionByName(named)
+    same = pairs["c_name_normalized"].eqNullSafe(pairs["name_normalized"]) & (pairs["c_type"] == pairs["type"])
+    return first_by(pairs.withColumn("_leg", F.when(same, -1).otherwise(F.col("_leg"))), ["gid", "c_gid"], ["_leg"]).drop("_leg")
 
 
 def resolve(mentions: DataFrame, persisted: DataFrame, embed, rules: Resolution | None = None, block: list[str] | None = None, exact: bool = False) -> Resolved:

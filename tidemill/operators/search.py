@@ -6,24 +6,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..errors import ValidationError
 from ..functions.similarity import cosine, norm
 from ..functions.text import tokens
+from ..session import small_batches
+from ..shared import materialize
+from . import postings
 from .fusion import fuse, ranked
+from .knn import nearest
+from .numbering import positions
 from .tables import payload_filter
 
 #: A query side is broadcast only up to this many rows; larger batches are searched in slices of it.
 QUERY_ROWS = 20_000
-#: Bytes of a slice of query vectors that is sent to the points.
+#: Bytes of a wave of query vectors that is sent to the points, and of a block of it.
 QUERY_BYTES = 16 << 20
-#: The same for the terms of queries.
-QUERY_TERMS = 400_000
+BLOCK_BYTES = 2 << 20
 
 
 def query_slices(queries: DataFrame, rows: int = QUERY_ROWS) -> list[DataFrame]:
@@ -33,71 +36,106 @@ def query_slices(queries: DataFrame, rows: int = QUERY_ROWS) -> list[DataFrame]:
     return [queries] if parts == 1 else [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p) for p in range(parts)]
 
 
-def _block_top_k(ids: list, vectors: np.ndarray, k: int, kind: pa.DataType, key: pa.DataType):
-    """For each batch of points (key, vector): each query's k most similar ones, by a matrix product.
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, vector) of a batch as one row of lists."""
+    for batch in batches:
+        if batch.num_rows:
+            lists = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), c) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays(lists, names=["keys", "vectors"])
 
-    The product finds who can be among them; their scores are computed again pair by pair, so that equal vectors have
+
+def _matrix(lists: pa.Array, width: int | None = None) -> np.ndarray:
+    flat = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    width = width if width is not None else len(flat) // max(1, len(lists))
+    if (lists.value_lengths().to_numpy() != width).any():
+        raise ValueError("vectors differ in size")
+    return flat.reshape(len(lists), width)
+
+
+def _best(found: pa.Table, k: int) -> pa.Table:
+    """The first k rows (query, score, key) of each query."""
+    found = found.sort_by([("query", "ascending"), ("score", "descending"), ("key", "ascending")])
+    query = found["query"].to_numpy()
+    return found.filter(pa.array(np.arange(len(query)) - np.searchsorted(query, query) < k))
+
+
+def _block_top_k(k: int, query: pa.DataType, key: pa.DataType):
+    """Blocks of points met by blocks of queries (block, queries, keys, vectors): each query's k most similar points of the task.
+
+    A matrix product finds who can be among them; their scores are computed again pair by pair, so that equal vectors have
     equal scores wherever they stand, and ties go to the smaller key.
     """
-    lengths = np.sqrt((vectors * vectors).sum(axis=1))
-    schema = pa.schema([("query_id", kind), ("key", key), ("score", pa.float64())])
-    names = pa.array(ids, kind)
+    schema = pa.schema([("query_id", query), ("key", key), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[pa.Array, np.ndarray, np.ndarray]] = {}
+        best: dict[int, pa.Table] = {}
         for batch in batches:
-            batch = batch.filter(pc.is_valid(batch.column(1)))
-            batch = batch.take(pc.sort_indices(batch.column(0)))
-            if not batch.num_rows:
-                continue
-            lists = batch.column(1)
-            flat = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
-            if (lists.value_lengths().to_numpy() != vectors.shape[1]).any():
-                raise ValueError("vectors differ in size")
-            points = flat.reshape(-1, vectors.shape[1])
-            norms = np.sqrt((points * points).sum(axis=1))
-            for a in range(0, len(ids), 256):
-                part, own = vectors[a : a + 256], lengths[a : a + 256]
-                scale = own[:, None] * norms[None, :]
-                near = np.divide(part @ points.T, scale, out=np.zeros(scale.shape), where=scale > 0)
-                at = max(near.shape[1] - k, 0)
-                i, j = np.nonzero(near >= np.partition(near, at, axis=1)[:, at, None] - 1e-9)
-                exact = np.zeros(len(i))
-                for c in range(0, len(i), 100_000):
-                    x, y = i[c : c + 100_000], j[c : c + 100_000]
-                    product = own[x] * norms[y]
-                    exact[c : c + 100_000] = np.divide((part[x] * points[y]).sum(axis=1), product, out=np.zeros(len(x)), where=product > 0)
-                order = np.lexsort((j, -exact, i))
-                i, j, exact = i[order], j[order], exact[order]
-                nth = np.arange(len(i)) - np.searchsorted(i, i)
-                i, j, exact = i[nth < k], j[nth < k], exact[nth < k]
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(a + i)), batch.column(0).take(pa.array(j)), pa.array(exact)], schema=schema)
+            for block, queries, keys, vectors in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), strict=True):
+                if block not in held:
+                    matrix = _matrix(queries.values.field("vector"))
+                    held[block] = queries.values.field("query_id"), matrix, np.sqrt((matrix * matrix).sum(axis=1))
+                _, matrix, lengths = held[block]
+                points = _matrix(vectors.values, matrix.shape[1])
+                norms = np.sqrt((points * points).sum(axis=1))
+                parts = [best[block]] if block in best else []
+                for a in range(0, len(matrix), 256):
+                    part, own = matrix[a : a + 256], lengths[a : a + 256]
+                    scale = own[:, None] * norms[None, :]
+                    near = np.divide(part @ points.T, scale, out=np.zeros(scale.shape), where=scale > 0)
+                    at = max(near.shape[1] - k, 0)
+                    i, j = np.nonzero(near >= np.partition(near, at, axis=1)[:, at, None] - 1e-9)
+                    exact = np.zeros(len(i))
+                    for c in range(0, len(i), 100_000):
+                        x, y = i[c : c + 100_000], j[c : c + 100_000]
+                        product = own[x] * norms[y]
+                        exact[c : c + 100_000] = np.divide((part[x] * points[y]).sum(axis=1), product, out=np.zeros(len(x)), where=product > 0)
+                    parts.append(_best(pa.table({"query": pa.array(a + i, pa.int64()), "score": exact, "key": keys.values.take(pa.array(j))}), k))
+                best[block] = _best(pa.concat_tables(parts), k)
+        for block, rows in best.items():
+            for part in rows.combine_chunks().to_batches(max_chunksize=50_000):
+                yield pa.RecordBatch.from_arrays([held[block][0].take(part.column(0)), part.column(2), part.column(1)], schema=schema)
 
     return run
 
 
-def dense_top_k(queries: DataFrame, points: DataFrame, k: int, filters: dict | None = None, group_filter: Column | None = None, key: str = "chunk_id", vector: str = "dense", min_score: float | None = None) -> DataFrame:
+def dense_top_k(queries: DataFrame, points: DataFrame, k: int, filters: dict | None = None, group_filter: Column | None = None, key: str = "chunk_id", vector: str = "dense", min_score: float | None = None, same: str | None = None) -> DataFrame:
     """``queries`` (query_id, vector) against ``points``: query_id, key, score, rank of the k most similar.
 
-    Filters hold before ranking, ``min_score`` after it.  The points are never shuffled: a bounded slice of queries
-    goes to them, and only each partition's best k of a query travel on (WindowGroupLimit).  Points without a vector are
-    not found.  ``group_filter`` may compare ``q_`` columns of the query with columns of the point; without one, points
-    meet the queries in blocks.
+    Filters hold before ranking, ``min_score`` after it.  Points are packed into blocks where they lie and never shuffled; blocks of
+    queries go to them, a bounded wave at a time and each wave as a job, and a task sends k points of a query at most.  No query comes
+    to the driver but in a wave that Spark broadcasts.  Points without a vector are not found.  ``same`` names a column in which query
+    and point must agree.  ``group_filter`` may compare any ``q_`` columns of the query with columns of the point; its work is that of
+    all pairs that it lets through.
     """
     points = payload_filter(points, filters or {})
+    small_batches(points.sparkSession)
     found = None
-    if group_filter is None:
+    if same is not None:
+        place = (lambda d: d.withColumn("place", F.col(key))) if dict(points.dtypes)[key] in ("bigint", "int") else (lambda d: positions(d, [key], name="place"))
+        theirs = place(points.select(F.col(key), F.col(same).cast("string").alias("kind"), F.col(vector).alias("vector"))).withColumn("gid", F.col(key))
+        ours = queries.select(F.col("query_id").alias("gid"), F.col(same).cast("string").alias("kind"), F.lit(0).alias("place"), "vector")
+        near = nearest(ours, theirs, k).select(F.col("gid").alias("query_id"), F.col("c_gid").alias(key), F.col("cosine").alias("score"))
+        found = ranked(near, [F.desc("score"), key], top=k)
+    elif group_filter is None:
         sized = queries.filter(F.col("vector").isNotNull()).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-        types = points.select(key).schema[0].dataType, queries.schema["query_id"].dataType
-        width = sized.agg(F.max(F.size("vector"))).first()[0] or 1
-        for part in query_slices(sized, max(1, min(QUERY_ROWS, QUERY_BYTES // (8 * width)))):
-            rows = part.collect()  # a slice: at most QUERY_BYTES
-            if len({len(r["vector"]) for r in rows}) > 1:
-                raise ValidationError("vectors differ in size")
-            matrix = np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), -1 if rows else width)
-            search = _block_top_k([r["query_id"] for r in rows], matrix, k, to_arrow_type(types[1]), to_arrow_type(types[0]))
-            shape = StructType([StructField("query_id", types[1]), StructField("key", types[0]), StructField("score", DoubleType())])
-            pairs = points.select(key, vector).mapInArrow(search, shape) if rows else points.sparkSession.createDataFrame([], shape)
-            got = ranked(pairs.withColumnRenamed("key", key), [F.desc("score"), key], top=k)
+        shape = sized.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("most"), F.min(F.size("vector")).alias("least")).first()
+        if shape["most"] != shape["least"]:
+            raise ValidationError("vectors differ in size")
+        types = points.schema[key].dataType, queries.schema["query_id"].dataType
+        out = StructType([StructField("query_id", types[1]), StructField("key", types[0]), StructField("score", DoubleType())])
+        blocks = max(1, -(-shape["n"] * 8 * (shape["most"] or 1) // BLOCK_BYTES))
+        waves = -(-blocks // (QUERY_BYTES // BLOCK_BYTES))
+        packed = points.filter(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("vector"))
+        packed = packed.mapInArrow(_packed, StructType([StructField("keys", ArrayType(types[0])), StructField("vectors", ArrayType(ArrayType(DoubleType())))]))
+        rows = sized.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        if waves > 1:
+            packed, rows = materialize(packed, "points"), materialize(rows, "queries")
+        for wave in range(waves):
+            part = rows.filter(F.col("block") % waves == wave).groupBy("block").agg(F.collect_list(F.struct("query_id", "vector")).alias("queries"))
+            met = packed.crossJoin(F.broadcast(part)).select("block", "queries", "keys", "vectors")
+            got = ranked(met.mapInArrow(_block_top_k(k, to_arrow_type(types[1]), to_arrow_type(types[0])), out).withColumnRenamed("key", key), [F.desc("score"), key], top=k)
+            got = materialize(got, "wave") if waves > 1 else got
             found = got if found is None else found.unionByName(got)
     else:
         points = points.filter(F.col(vector).isNotNull()).withColumn("_n", norm(F.col(vector)))
@@ -142,18 +180,13 @@ def sparse_top_k(query_terms: DataFrame, terms: DataFrame, idf: DataFrame, k: in
     """``query_terms`` (query_id, term, tf) against ``terms`` (key, term, tf): sum of q.tf * d.tf * idf.
 
     A query without known terms has an empty list.  ``allowed`` keeps chunks before ranking.  Scores are rounded to
-    nine digits, so that equal texts tie in whatever order their terms are added.  A bounded slice of queries goes to
-    the terms; terms that are dealt by key are summed where they are, and only each partition's best k of a query travel.
+    nine digits, so that equal texts tie in whatever order their terms are added.  Terms are indexed once for all queries (see
+    ``postings``); lists of frequent terms are mostly skipped.
     """
     if allowed is not None:
         terms = terms.join(allowed.select(key).distinct(), key, "left_semi")
-    found = None
-    for part in query_slices(query_terms, QUERY_TERMS):
-        q = part.select("query_id", "term", F.col("tf").alias("q_tf")).join(idf.select("term", "idf"), "term")
-        scored = terms.join(F.broadcast(q), "term").groupBy("query_id", key).agg(F.round(F.sum(F.col("q_tf") * F.col("tf") * F.col("idf")), 9).alias("score"))
-        got = ranked(scored, [F.desc("score"), key], top=k)
-        found = got if found is None else found.unionByName(got)
-    return found
+    weighted = query_terms.join(idf.select("term", "idf"), "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("weight"))
+    return postings.top_k(weighted, postings.build(terms, key), k, key)
 
 
 def hybrid_search(dense_queries: DataFrame, query_terms: DataFrame, points: DataFrame, terms: DataFrame, idf: DataFrame, top_k: int = 20, prefetch: int = 50, rrf_k: int = 60, weights: dict[str, float] | None = None, filters: dict | None = None, key: str = "chunk_id") -> DataFrame:

@@ -50,6 +50,54 @@ def P5_A3_A5_A6_resolution(spark, d):
     return resolve(surfaces(spark, d), none, hash_embedder(), Resolution()).entities
 
 
+# Each nation's word with two misspellings as surfaces; every second nation is known under a misspelling, every third under its word.
+LETTERS = "0123456789abcdefghijklmnopqrstuvwxyz"
+KNOWN_RULES = Resolution(weight_jaro_winkler=0.5, weight_token_set=0.0, weight_cosine=0.5, merge_at=0.93, reject_at=0.8)
+_VECTOR = f"list_transform(string_split('{LETTERS}', ''), lambda c: CAST(length({{0}}) - length(replace({{0}}, c, '')) AS DOUBLE))"
+_SCORE = f"0.5 * jaro_winkler_similarity(a.name, b.name) + 0.5 * list_cosine_similarity({_VECTOR.format('a.name')}, {_VECTOR.format('b.name')})"
+_KNOWN_SQL = f"""WITH RECURSIVE w AS (SELECT n_nationkey, substr(md5(n_name), 1, 8) AS word, CASE WHEN n_regionkey < 3 THEN 'ORG' ELSE 'LOC' END AS type FROM nation),
+ m AS (SELECT CASE c_custkey % 4 WHEN 0 THEN word || 'x' WHEN 1 THEN substr(word, 1, 5) || 'zzz' ELSE word END AS name, type FROM customer JOIN w ON c_nationkey = n_nationkey),
+ g AS (SELECT {uuid_sql("name || chr(31) || type")} AS id, name, type, count(*) AS n FROM m GROUP BY name, type),
+ k AS (SELECT {uuid_sql("name || chr(31) || type")} AS id, name, type, n FROM (SELECT word || 'x' AS name, type, 10 AS n FROM w WHERE n_nationkey % 2 = 0 UNION ALL SELECT word, type, 100 FROM w WHERE n_nationkey % 3 = 0)),
+ near AS (
+  SELECT a.id, b.id AS other, {_SCORE} AS score, false AS known FROM g a JOIN g b ON a.type = b.type AND (b.name, b.type) < (a.name, a.type)
+  UNION ALL SELECT a.id, b.id, {_SCORE}, true FROM g a JOIN k b ON a.type = b.type
+ ), pairs AS (SELECT id, other, max(score) AS score, bool_or(known) AS known FROM near GROUP BY id, other),
+ links AS (SELECT id AS a, other AS b FROM pairs WHERE score >= 0.93 UNION SELECT other, id FROM pairs WHERE score >= 0.93),
+ reach(a, b) AS (SELECT id, id FROM g UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+ cl AS (SELECT a AS id, min(b) AS cluster FROM reach GROUP BY a)"""
+
+
+def known_and_mentioned(spark, d):
+    """(mentions, persisted entities, embedder): a name's vector counts its letters, so that SQL has it too."""
+    nation, customer = load(spark, d, "nation", "customer")
+    w = nation.select("n_nationkey", F.substring(F.md5("n_name"), 1, 8).alias("word"), F.when(F.col("n_regionkey") < 3, "ORG").otherwise("LOC").alias("type"))
+    kind = F.col("c_custkey") % 4
+    wrong = F.concat("word", F.lit("x"))
+    surface = F.when(kind == 0, wrong).when(kind == 1, F.concat(F.substring("word", 1, 5), F.lit("zzz"))).otherwise(F.col("word"))
+    mentions = customer.join(w, F.col("c_nationkey") == F.col("n_nationkey")).select(surface.alias("surface"), "type")
+    known = w.filter("n_nationkey % 2 = 0").select(wrong.alias("name"), "type", F.lit(10).cast("long").alias("mention_count"))
+    known = known.unionByName(w.filter("n_nationkey % 3 = 0").select(F.col("word").alias("name"), "type", F.lit(100).cast("long").alias("mention_count")))
+    known = known.select(entity_id(F.col("name"), F.col("type")).alias("canonical_id"), "name", F.col("name").alias("name_normalized"), "type", "mention_count")
+    return mentions, known, lambda c: F.array(*[(F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))).cast("double") for x in LETTERS])
+
+
+@query(f"""{_KNOWN_SQL},
+ facts AS (SELECT cluster, sum(n) AS n, list(DISTINCT name) AS names FROM g JOIN cl USING (id) GROUP BY cluster),
+ best AS (SELECT cluster, name FROM g JOIN cl USING (id) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, length(name) DESC, name) = 1),
+ held AS (SELECT cluster, min(id) AS id, sum(n) AS n, list(DISTINCT name) AS names FROM (SELECT DISTINCT cl.cluster, k.* FROM pairs p JOIN cl ON cl.id = p.id JOIN k ON k.id = p.other WHERE p.known AND p.score >= 0.93) GROUP BY cluster),
+ kind AS (SELECT cluster, any_value(type) AS type FROM g JOIN cl USING (id) GROUP BY cluster)
+ SELECT coalesce(held.id, {uuid_sql("name || chr(31) || type")}) AS canonical_id, name, type, list_sort(list_filter(list_distinct(list_concat(facts.names, coalesce(held.names, []))), lambda x: x <> name)) AS aliases, CAST(facts.n + coalesce(held.n, 0) AS BIGINT) AS mention_count
+ FROM facts JOIN best USING (cluster) JOIN kind USING (cluster) LEFT JOIN held USING (cluster)""")
+def P5_J14_resolution_with_known(spark, d):
+    return resolve(*known_and_mentioned(spark, d), KNOWN_RULES).entities.select("canonical_id", "name", "type", "aliases", "mention_count")
+
+
+@query(f"{_KNOWN_SQL} SELECT id AS a_id, other AS b_id, round(score, 9) AS score FROM pairs WHERE score > 0.8 AND score < 0.93")
+def P5_F10_flagged_pairs(spark, d):
+    return resolve(*known_and_mentioned(spark, d), KNOWN_RULES).flagged.select("a_id", "b_id", F.round("score", 9).alias("score"))
+
+
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey AS a, n_regionkey AS b FROM nation WHERE n_nationkey <> n_regionkey UNION SELECT n_regionkey, n_nationkey FROM nation WHERE n_nationkey <> n_regionkey),
  r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
  SELECT a AS id, least(a, min(b)) AS component FROM r GROUP BY a""")

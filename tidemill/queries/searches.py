@@ -8,6 +8,7 @@ from ..functions.similarity import cosine
 from ..functions.text import tokens
 from ..operators import graph, search
 from ..operators.fusion import chunks_of_paths, fuse, ranked
+from ..shared import materialize
 from .base import MENTIONS, RELATES, UNDIRECTED, mentions, query, relates, text_id
 from .base import tables as load
 
@@ -45,7 +46,7 @@ def F2_F4_filter_before_top_k(spark, d):
   SELECT q.vec_id AS query_id, p.vec_id AS chunk_id, {COS.format('q', 'p')} AS score FROM embeddings q JOIN embeddings p ON q.vec_id % 50 = 0 AND q.label = p.label)) WHERE r <= 25""")
 def F3_T5_top_k_of_same_type(spark, d):
     q = vector_queries(spark, d).join(points(spark, d).select(F.col("chunk_id").alias("query_id"), "label"), "query_id")
-    return search.dense_top_k(q, points(spark, d), 25, group_filter=F.col("q_label") == F.col("label")).select("query_id", "chunk_id", "rank")
+    return search.dense_top_k(q, points(spark, d), 25, same="label").select("query_id", "chunk_id", "rank")
 
 
 def chunks(spark, d):
@@ -70,6 +71,13 @@ TERMS = r"""terms AS (
 )"""
 
 
+def stored_terms(spark, d):
+    """The terms of all documents, cut once, and their inverse frequencies."""
+    (docs,) = load(spark, d, "documents")
+    terms = materialize(search.term_frequencies(chunks(spark, d)), "terms")
+    return terms, search.inverse_frequencies(terms, docs)
+
+
 def idf(spark, d):
     (docs,) = load(spark, d, "documents")
     return search.inverse_frequencies(search.term_frequencies(chunks(spark, d)), docs)
@@ -87,7 +95,7 @@ def A12_X19_term_frequencies(spark, d):
 
 @query(f"WITH {TERMS} SELECT query_id, chunk_id, round(score, 4) AS score FROM sparse")
 def T2_J16_sparse_top_k(spark, d):
-    found = search.sparse_top_k(question_terms(spark, d), search.term_frequencies(chunks(spark, d)), idf(spark, d), 50)
+    found = search.sparse_top_k(question_terms(spark, d), *stored_terms(spark, d), 50)
     return found.select("query_id", "chunk_id", F.round("score", 4).alias("score"))
 
 
@@ -117,7 +125,7 @@ def P7_P8_hybrid_search(spark, d):
     docs, bench = load(spark, d, "documents", "benchmark")
     pts = points(spark, d).join(docs.select(F.col("doc_id").alias("chunk_id"), "lang"), "chunk_id")
     queries = points(spark, d).join(bench.select(F.col("item_id").alias("chunk_id")), "chunk_id", "left_semi").select(F.col("chunk_id").alias("query_id"), F.col("dense").alias("vector"))
-    found = search.hybrid_search(queries, question_terms(spark, d), pts, search.term_frequencies(chunks(spark, d)), idf(spark, d), filters={"lang": ["en", "de"]})
+    found = search.hybrid_search(queries, question_terms(spark, d), pts, *stored_terms(spark, d), filters={"lang": ["en", "de"]})
     return found.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 
