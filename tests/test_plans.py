@@ -2,17 +2,18 @@ import json
 import zipfile
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tidemill.config import Chunking, Orchestration, Settings
-from tidemill.errors import LLMProviderExhausted, ValidationError
+from tidemill.errors import LLMProviderExhausted, RetrievalBackendUnavailable, ValidationError
 from tidemill.operators.search import inverse_frequencies
 from tidemill.plans import ingest as P
 from tidemill.plans import orchestrate as O
 from tidemill.plans.evaluate import as_results
 from tidemill.plans.extract import extract
 from tidemill.plans.models import hash_embedder, structured
-from tidemill.plans.retrieve import fused, graph_leg, vector_leg
+from tidemill.plans.retrieve import fused, graph_leg, retriever, vector_leg
 from tidemill.sources import files
 from tidemill.sources.readers import Snapshots
 from tidemill.streaming.jobs import event_windows, ingest_stream, read_corpus, sessions
@@ -260,3 +261,36 @@ def test_event_windows_as_a_stream(spark, tmp_path):
     assert {(r.start, r.n) for r in spark.table("w").collect()} == {(r.start, r.n) for r in event_windows(rows).collect()}
     assert event_windows(rows, "1 hour", "30 minutes").count() > event_windows(rows).count()
     assert sessions(rows, "25 minutes").agg(F.sum("n")).first()[0] == 20
+
+
+def test_a_leg_whose_store_is_away_is_marked_and_the_other_goes_on(spark, tmp_path):
+    corpus = P.ingest(P.empty_corpus(spark), documents(spark, "The turbine hall holds a rotor.", "Rotor blades of the turbine."), hash_embedder(), SETTINGS)
+    idf = inverse_frequencies(corpus.terms, corpus.chunks)
+    chunk = corpus.chunks.orderBy("chunk_id").first().chunk_id
+    edge = "src_id string, dst_id string, type string, confidence double, chunk_id string, doc_id string"
+    spark.createDataFrame([("A", "B", "R", 0.9, chunk, "d")], edge).write.parquet(f"file://{tmp_path}/relates")
+    entities = spark.createDataFrame([("A", "acme works")], "canonical_id string, name_normalized string")
+    mentions = spark.createDataFrame([(chunk, "A", 0.9, 0)], "chunk_id string, entity_id string, confidence double, char_start int")
+    there = lambda: (entities, spark.read.schema(edge).parquet(f"file://{tmp_path}/relates"), mentions)
+    away = lambda: (entities, spark.read.parquet(f"file://{tmp_path}/nowhere"), mentions)
+
+    def down():
+        raise RetrievalBackendUnavailable("no store of vectors")
+
+    plan = '{{"strategy": "{}", "template": "entities_by_relation", "seed_entities": [], "hops": 1, "relation_type": "R"}}'
+    asked = spark.createDataFrame([(s, "turbine rotor", plan.format(s)) for s in ("vector", "graph", "hybrid")], "query_id string, active_query string, plan string")
+
+    def found(vectors, graphs):
+        rows = retriever(vectors, graphs, hash_embedder(), SETTINGS)(asked).collect()
+        return {r.query_id: ([c["chunk_id"] for c in json.loads(r.fused)] if r.fused else [], r.degraded) for r in rows}
+
+    both = found(lambda: (corpus, idf), there)
+    assert [len(both[s][0]) for s in ("vector", "graph", "hybrid")] == [2, 1, 2] and both["graph"][0] == [chunk] == both["hybrid"][0][:1]
+    assert all(marks == [] for _, marks in both.values())
+    no_graph = found(lambda: (corpus, idf), away)
+    assert {s: m for s, (_, m) in no_graph.items()} == {"vector": [], "graph": ["graph"], "hybrid": ["graph"]}
+    assert no_graph["graph"][0] == [] and len(no_graph["hybrid"][0]) == 2
+    no_vectors = found(down, there)
+    assert {s: m for s, (_, m) in no_vectors.items()} == {"vector": ["vector"], "graph": [], "hybrid": ["vector"]}
+    with pytest.raises(AnalysisException):  # a fault of the plan is no store that is away
+        found(lambda: (corpus, idf), lambda: (entities, mentions, mentions))

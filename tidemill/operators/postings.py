@@ -1,10 +1,9 @@
 """An inverted index of term frequencies in shards, and top-k search that skips what cannot be among the best.
 
-A shard holds the postings of about ``POSTINGS`` (chunk, term) pairs in one row: terms in order, each with its chunks in order, cut into
-blocks of ``BLOCK`` postings with the greatest frequency of each block.  A query adds up its terms in a shard from the one that can
-give most to the one that can give least.  Once the k-th best sum so far exceeds what the terms that are left can give, no further chunk
-can enter: only the chunks seen are looked up in the remaining lists, and a chunk whose block there cannot lift it to the k-th best is
-dropped unread, under a threshold that rises with every term.  Scores are those of the full sum.
+A shard holds the postings of some chunks in one row.  Its chunks stand by falling length, in ranges of ``RANGE``; a term's postings are
+blocks, one for each range that has the term, with the greatest frequency of each.  The sum of a query's weights times those bounds every
+score of a range.  Ranges are read from the one that may hold most, a few at a time; the k-th best score so far rises with them, and
+the ranges whose bound lies below it are never read.  Scores are those of the full sum.
 """
 
 from __future__ import annotations
@@ -23,116 +22,135 @@ from ..session import small_batches
 from ..shared import materialize
 from .fusion import ranked
 
-#: Postings of a shard, about.
+#: Postings of a shard, at most, but for one chunk's.
 POSTINGS = 1_000_000
-#: Postings of a block.
-BLOCK = 128
+#: Chunks of a range.
+RANGE = 64
 #: Query terms of a block of queries, about, and blocks that are sent to the shards at once.
 QUERY_TERMS = 50_000
 WAVE = 8
-#: Sums closer than this count as equal while chunks are dropped; scores are rounded to nine digits.
+#: Sums closer than this count as equal while ranges are left out; scores are rounded to nine digits.
 EPSILON = 1e-8
-
-
-def _shards(key: pa.DataType, rows_key: str):
-    """Sorted rows (shard, term, key, tf) -> one row for each shard."""
-
-    def row(shard: int, parts: list[pa.Table]) -> pa.RecordBatch:
-        table = pa.concat_tables(parts)
-        keys = pc.unique(table[rows_key].combine_chunks())
-        keys = keys.take(pc.sort_indices(keys))
-        docs = pc.index_in(table[rows_key].combine_chunks(), value_set=keys).to_numpy(zero_copy_only=False).astype("<i4")
-        terms = table["term"].combine_chunks().dictionary_encode()
-        at = terms.indices.to_numpy(zero_copy_only=False)
-        order = np.lexsort((docs, at))
-        docs, at, tfs = docs[order], at[order], table["tf"].to_numpy()[order].astype("<f8")
-        starts = np.append(np.searchsorted(at, np.arange(len(terms.dictionary))), len(at)).astype("<i8")
-        cuts = np.concatenate([np.arange(s, e, BLOCK) for s, e in zip(starts[:-1], starts[1:], strict=True)]) if len(at) else starts[:0]
-        tops = np.maximum.reduceat(tfs, cuts).astype("<f8") if len(cuts) else tfs
-        fields = {"shard": pa.array([shard], pa.int64()), "keys": pa.array([keys.to_pylist()], pa.list_(key)), "terms": pa.array([terms.dictionary.to_pylist()], pa.list_(pa.string()))}
-        fields |= {n: pa.array([x.tobytes()], pa.binary()) for n, x in (("starts", starts), ("docs", docs), ("tfs", tfs), ("tops", tops))}
-        return pa.RecordBatch.from_pydict(fields)
+ARRAYS = {"blocks": "<i8", "cuts": "<i8", "ranges": "<i4", "tops": "<f8", "docs": "<i4", "tfs": "<f8"}
+
+
+def _shard(number: int, table: pa.Table) -> pa.RecordBatch:
+    """The index row of some chunks' rows (key, term, tf), those of a chunk together."""
+    keys = table.column(0).combine_chunks()
+    tfs = table["tf"].to_numpy().astype("<f8")
+    codes = keys.dictionary_encode()
+    own = codes.indices.to_numpy(zero_copy_only=False)
+    # the longest chunks first, equal ones by key
+    lengths = np.bincount(own, weights=tfs, minlength=len(codes.dictionary))
+    by_key = np.empty(len(lengths), np.int64)
+    by_key[pc.sort_indices(codes.dictionary).to_numpy()] = np.arange(len(lengths))
+    order = np.lexsort((by_key, -lengths))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    terms = table["term"].combine_chunks().dictionary_encode()
+    term, docs = terms.indices.to_numpy(zero_copy_only=False), place[own]
+    rows = np.lexsort((docs, term))
+    term, docs, tfs = term[rows], docs[rows].astype("<i4"), tfs[rows]
+    cuts = np.flatnonzero(np.append(True, (np.diff(term) != 0) | (np.diff(docs // RANGE) != 0)))
+    found = {"ranges": docs[cuts] // RANGE, "tops": np.maximum.reduceat(tfs, cuts), "blocks": np.searchsorted(term[cuts], np.arange(len(terms.dictionary) + 1)), "cuts": np.append(cuts, len(docs)), "docs": docs, "tfs": tfs}
+    fields = {"shard": pa.array([number], pa.int64()), "keys": pa.array([codes.dictionary.take(pa.array(order)).to_pylist()], pa.list_(keys.type)), "terms": pa.array([terms.dictionary.to_pylist()], pa.list_(pa.string()))}
+    return pa.RecordBatch.from_pydict(fields | {n: pa.array([found[n].astype(t).tobytes()], pa.binary()) for n, t in ARRAYS.items()})
+
+
+def _shards(most: int):
+    """Rows (key, term, tf, partition), sorted by key -> a row for each shard; a chunk is in one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
+        held, n, number = [], 0, 0
         for batch in batches:
-            shards = batch.column(0).to_numpy()
-            edges = np.flatnonzero(np.diff(shards)) + 1
-            for a, b in zip([0, *edges], [*edges, len(shards)], strict=True):
-                if a == b:
-                    continue
-                if now is not None and shards[a] != now:
-                    yield row(now, parts)
-                    parts = []
-                now = int(shards[a])
-                parts.append(pa.Table.from_batches([batch.slice(a, b - a)]))
-        if parts:
-            yield row(now, parts)
+            held.append(pa.Table.from_batches([batch]))
+            n += batch.num_rows
+            while n >= most:
+                table = pa.concat_tables(held).combine_chunks()
+                keys = table.column(0).chunk(0)
+                change = np.flatnonzero(pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)) + 1
+                change = change[change >= most // 2]
+                if not len(change):
+                    break  # one chunk so far
+                cut = int(change[max(np.searchsorted(change, most, "right") - 1, 0)])
+                yield _shard((table["part"][0].as_py() << 32) + number, table.slice(0, cut))
+                held, n, number = [table.slice(cut)], n - cut, number + 1
+        if n:
+            table = pa.concat_tables(held).combine_chunks()
+            yield _shard((table["part"][0].as_py() << 32) + number, table)
 
     return run
 
 
-def build(terms: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """The index of ``terms`` (key, term, tf), one row for each key and term, as a table."""
+def build(terms: DataFrame, key: str = "chunk_id", dealt: bool = False, most: int = POSTINGS) -> DataFrame:
+    """The index of ``terms`` (key, term, tf), one row for each key and term, as a table.
+
+    A shard has at most ``most`` postings, but for those of one chunk.  ``dealt`` says that a key's rows are in one partition already, as ``term_frequencies`` has them; they are not shuffled then.
+    """
     small_batches(terms.sparkSession)
-    shards = max(1, -(-terms.count() // POSTINGS))
     kind = terms.schema[key].dataType
-    rows = terms.select(F.pmod(F.xxhash64(key), F.lit(shards)).alias("shard"), "term", key, F.col("tf").cast("double").alias("tf")).filter(F.col("term").isNotNull() & F.col(key).isNotNull())
-    # by range, so that no two shards meet in a task while another has none
-    dealt = rows.repartition(min(shards, 10_000), "shard").sortWithinPartitions("shard")
-    shape = StructType([StructField("shard", LongType()), StructField("keys", ArrayType(kind)), StructField("terms", ArrayType(StringType())), *[StructField(n, BinaryType()) for n in ("starts", "docs", "tfs", "tops")]])
-    return materialize(dealt.mapInArrow(_shards(to_arrow_type(kind), key), shape), "postings")
+    rows = terms.select(key, "term", F.col("tf").cast("double").alias("tf")).filter(F.col("term").isNotNull() & F.col(key).isNotNull())
+    rows = (rows if dealt else rows.repartition(F.col(key))).sortWithinPartitions(key).withColumn("part", F.spark_partition_id())
+    shape = StructType([StructField("shard", LongType()), StructField("keys", ArrayType(kind)), StructField("terms", ArrayType(StringType())), *[StructField(n, BinaryType()) for n in ARRAYS]])
+    return materialize(rows.mapInArrow(_shards(most), shape), "postings")
+
+
+def inverse_frequencies(index: DataFrame, n_chunks: DataFrame) -> DataFrame:
+    """(term, df, idf) from the index: a term's chunks are the postings of its lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                blocks, cuts = (np.frombuffer(batch.column(c)[r].as_py(), "<i8") for c in (1, 2))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[r].values, pa.array(np.diff(cuts[blocks]), pa.int64())], names=["term", "df"])
+
+    counts = index.select("terms", "blocks", "cuts").mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    counts = counts.join(F.broadcast(n_chunks.select(F.count("*").alias("n"))))  # one row
+    return counts.select("term", "df", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
 class Shard:
-    """The postings of one row of the index."""
+    """The postings of one row of the index; ``allowed`` are the places of the chunks that may be found (None: all)."""
 
-    def __init__(self, terms: list[str], starts: bytes, docs: bytes, tfs: bytes, tops: bytes, keys: int):
+    def __init__(self, terms: list[str], keys: int, allowed: list[int] | None, arrays: dict[str, bytes]):
         self.at = {t: n for n, t in enumerate(terms)}
-        self.starts, self.docs = np.frombuffer(starts, "<i8"), np.frombuffer(docs, "<i4")
-        self.tfs, self.tops = np.frombuffer(tfs, "<f8"), np.frombuffer(tops, "<f8")
-        blocks = -(-np.diff(self.starts) // BLOCK)
-        self.first = np.append(0, np.cumsum(blocks)) if len(blocks) else np.zeros(1, int)
-        self.sums = np.zeros(keys)
+        for n, t in ARRAYS.items():
+            setattr(self, n, np.frombuffer(arrays[n], t))
+        self.sums, self.bounds = np.zeros(keys), np.zeros(-(-keys // RANGE))
+        self.allowed = None
+        if allowed is not None:
+            self.allowed = np.zeros(keys, bool)
+            self.allowed[allowed] = True
 
     def best(self, query: list[tuple[str, float]], k: int) -> tuple[np.ndarray, np.ndarray, int, int]:
-        """Chunks with the ``k`` greatest sums (more where they tie) and those sums; the postings of the terms, and those read."""
-        lists = []
-        for term, weight in query:
-            n = self.at.get(term)
-            if n is not None and weight > 0:
-                tops = self.tops[self.first[n] : self.first[n + 1]]
-                lists.append((weight * tops.max(), weight, int(self.starts[n]), int(self.starts[n + 1]), tops))
-        lists.sort(key=lambda x: (-x[0], x[2]))
-        left = np.append(np.cumsum([x[0] for x in lists][::-1])[::-1], 0.0)
-        sums, total, read, least = self.sums, sum(x[3] - x[2] for x in lists), 0, 0.0
-        sums[:] = 0.0
-        done = 0
-        for _, weight, s, e, _ in lists:
-            if least > left[done] + EPSILON:
-                break
-            sums[self.docs[s:e]] += weight * self.tfs[s:e]
-            read += e - s
-            done += 1
-            if len(sums) > k and sums.max() > left[done]:
-                least = np.partition(sums, len(sums) - k)[len(sums) - k]
-        able = np.flatnonzero((sums > 0) & (sums + left[done] >= least - EPSILON))
-        own = sums[able]
-        for n in range(done, len(lists)):
-            _, weight, s, e, tops = lists[n]
-            docs = self.docs[s:e]
-            block = np.maximum(np.searchsorted(docs[::BLOCK], able, "right") - 1, 0)
-            # what this list can still give a chunk is bounded by its block
-            fit = own + weight * tops[block] + left[n + 1] >= least - EPSILON
-            able, own, block = able[fit], own[fit], block[fit]
-            read += len(np.unique(block)) * BLOCK
-            at = np.minimum(np.searchsorted(docs, able), len(docs) - 1)
-            own = own + np.where(docs[at] == able, weight * self.tfs[s:e][at], 0.0)
-            if len(own) > k:
-                least = max(least, np.partition(own, len(own) - k)[len(own) - k])
-            fit = own + left[n + 1] >= least - EPSILON
-            able, own = able[fit], own[fit]
-        return able, own, total, min(read, total)
+        """Places of the chunks that may have the ``k`` greatest sums, and those sums; the postings of the terms, and those read."""
+        lists = [(weight, int(self.blocks[n]), int(self.blocks[n + 1])) for term, weight in query if weight > 0 and (n := self.at.get(term)) is not None]
+        sums, bounds = self.sums, self.bounds
+        sums[:], bounds[:] = 0.0, 0.0
+        for weight, a, b in lists:
+            bounds[self.ranges[a:b]] += weight * self.tops[a:b]
+        order = np.argsort(-bounds, kind="stable")
+        order = order[: np.count_nonzero(bounds)]
+        least, done, step, read = 0.0, 0, -(-k // RANGE) + 1, 0
+        chosen = np.zeros(len(bounds), bool)
+        while done < len(order) and bounds[order[done]] >= least - EPSILON:
+            chosen[:] = False
+            chosen[order[done : done + step]] = True
+            for weight, a, b in lists:
+                blocks = a + np.flatnonzero(chosen[self.ranges[a:b]])
+                starts = self.cuts[blocks]
+                lengths = self.cuts[blocks + 1] - starts
+                ends = np.cumsum(lengths)
+                if len(ends):
+                    at = np.arange(ends[-1]) + np.repeat(starts - ends + lengths, lengths)
+                    sums[self.docs[at]] += weight * self.tfs[at]
+                    read += int(ends[-1])
+            done, step = done + step, step * 2
+            seen = sums if self.allowed is None else sums[self.allowed]
+            if len(seen) > k:
+                least = np.partition(seen, len(seen) - k)[len(seen) - k]
+        able = np.flatnonzero((sums > 0) & (sums >= least - EPSILON) & (True if self.allowed is None else self.allowed))
+        return able, sums[able], sum(int(self.cuts[b] - self.cuts[a]) for _, a, b in lists), read
 
 
 def _search(k: int, query: pa.DataType, key: pa.DataType, counted: bool):
@@ -143,16 +161,20 @@ def _search(k: int, query: pa.DataType, key: pa.DataType, counted: bool):
         held, shard, keys = None, None, None
         for batch in batches:
             for r in range(batch.num_rows):
-                number, queries = batch.column(0)[r].as_py(), batch.column(7)[r].as_py()
+                number, queries = batch.column(0)[r].as_py(), batch.column(4 + len(ARRAYS))[r].as_py()
                 if number != held:
                     keys = batch.column(1)[r].values
-                    shard = Shard(batch.column(2)[r].as_py(), *[batch.column(c)[r].as_py() for c in (3, 4, 5, 6)], len(keys))
+                    shard = Shard(batch.column(2)[r].as_py(), len(keys), batch.column(3)[r].as_py(), {n: batch.column(4 + c)[r].as_py() for c, n in enumerate(ARRAYS)})
                     held = number
                 ids, counts, at, scores, work = [], [], [], [], []
                 for q in queries:
                     able, sums, total, read = shard.best([(t["term"], t["weight"]) for t in q["terms"]], k)
                     sums = np.round(sums, 9)
-                    order = np.lexsort((able, -sums))[:k]
+                    if len(able) > k:  # ties at the k-th score go to the smaller key
+                        least = np.partition(sums, len(sums) - k)[len(sums) - k]
+                        able, sums = able[sums >= least], sums[sums >= least]
+                    by_key = pc.sort_indices(keys.take(pa.array(able))).to_numpy()
+                    order = by_key[np.argsort(-sums[by_key], kind="stable")][:k]
                     ids.append(q["query_id"])
                     counts.append(len(order))
                     at.append(able[order])
@@ -169,9 +191,11 @@ def _search(k: int, query: pa.DataType, key: pa.DataType, counted: bool):
     return run
 
 
-def top_k(query_terms: DataFrame, index: DataFrame, k: int, key: str = "chunk_id", counted: bool = False) -> DataFrame:
+def top_k(query_terms: DataFrame, index: DataFrame, k: int, key: str = "chunk_id", allowed: DataFrame | None = None, counted: bool = False) -> DataFrame:
     """``query_terms`` (query_id, term, weight) against ``index``: the ``k`` chunks with the greatest sum of weight * tf, by score and key.
 
+    ``allowed`` (key) keeps chunks before ranking.
+
     Blocks of queries go to the shards, a bounded wave of them at a time; no query comes to the driver, and each shard sends k
     chunks of a query.  With ``counted`` the rows are (query_id, postings, read): the postings of a query's terms, and those read.
     """
@@ -185,6 +209,13 @@ def top_k(query_terms: DataFrame, index: DataFrame, k: int, key: str = "chunk_id
         shape = StructType([StructField("query_id", kinds[0]), StructField("postings", LongType()), StructField("read", LongType())])
     else:
         shape = StructType([StructField("query_id", kinds[0]), StructField("key", kinds[1]), StructField("score", DoubleType())])
+    index = index.select("shard", "keys", "terms", *ARRAYS)
+    if allowed is None:
+        index = index.withColumn("allowed", F.lit(None).cast("array<int>"))
+    else:
+        places = index.select("shard", F.posexplode("keys").alias("place", key)).join(allowed.select(key).distinct(), key, "left_semi")
+        index = index.join(places.groupBy("shard").agg(F.collect_list("place").alias("allowed")), "shard")
+    index = index.select("shard", "keys", "terms", "allowed", *ARRAYS)
     found = None
     for wave in range(0, blocks, WAVE):
         part = rows.filter((F.col("block") >= wave) & (F.col("block") < wave + WAVE)).groupBy("block").agg(F.collect_list(F.struct("query_id", "terms")).alias("queries"))

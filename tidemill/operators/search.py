@@ -176,25 +176,23 @@ def inverse_frequencies(terms: DataFrame, n_chunks: DataFrame | int) -> DataFram
     return df.select("term", "df", F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def sparse_top_k(query_terms: DataFrame, terms: DataFrame, idf: DataFrame, k: int, allowed: DataFrame | None = None, key: str = "chunk_id") -> DataFrame:
+def sparse_top_k(query_terms: DataFrame, terms: DataFrame, idf: DataFrame, k: int, allowed: DataFrame | None = None, key: str = "chunk_id", index: DataFrame | None = None) -> DataFrame:
     """``query_terms`` (query_id, term, tf) against ``terms`` (key, term, tf): sum of q.tf * d.tf * idf.
 
     A query without known terms has an empty list.  ``allowed`` keeps chunks before ranking.  Scores are rounded to
-    nine digits, so that equal texts tie in whatever order their terms are added.  Terms are indexed once for all queries (see
-    ``postings``); lists of frequent terms are mostly skipped.
+    nine digits, so that equal texts tie in whatever order their terms are added.  Terms are indexed once for all queries, or an
+    ``index`` is given for them (see ``postings``); what cannot be among the best is skipped.
     """
-    if allowed is not None:
-        terms = terms.join(allowed.select(key).distinct(), key, "left_semi")
     weighted = query_terms.join(idf.select("term", "idf"), "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("weight"))
-    return postings.top_k(weighted, postings.build(terms, key), k, key)
+    return postings.top_k(weighted, postings.build(terms, key) if index is None else index, k, key, allowed)
 
 
-def hybrid_search(dense_queries: DataFrame, query_terms: DataFrame, points: DataFrame, terms: DataFrame, idf: DataFrame, top_k: int = 20, prefetch: int = 50, rrf_k: int = 60, weights: dict[str, float] | None = None, filters: dict | None = None, key: str = "chunk_id") -> DataFrame:
+def hybrid_search(dense_queries: DataFrame, query_terms: DataFrame, points: DataFrame, terms: DataFrame, idf: DataFrame, top_k: int = 20, prefetch: int = 50, rrf_k: int = 60, weights: dict[str, float] | None = None, filters: dict | None = None, key: str = "chunk_id", index: DataFrame | None = None) -> DataFrame:
     """Both branches under the same filters, fused by rank: query_id, key, score, best_rank, rank."""
     weights = weights or {}
     if set(weights) - {"dense", "sparse"}:
         raise ValidationError(f"unknown branches: {sorted(set(weights) - {'dense', 'sparse'})}")
     dense = dense_top_k(dense_queries, points, prefetch, filters, key=key)
     allowed = payload_filter(points, filters).select(key) if filters else None
-    sparse = sparse_top_k(query_terms, terms, idf, prefetch, allowed, key)
+    sparse = sparse_top_k(query_terms, terms, idf, prefetch, allowed, key, index)
     return fuse([dense, sparse], rrf_k, [weights.get("dense", 1.0), weights.get("sparse", 1.0)], top_k, key=key)

@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..errors import GraphBackendUnavailable, RetrievalBackendUnavailable
 from ..functions.scalars import query_text
 from ..functions.text import tokens
 from ..operators import graph
 from ..operators.fusion import chunks_of_paths, fuse, ranked
 from ..operators.search import dense_top_k, hybrid_search
+from ..shared import materialize
 from .ingest import Corpus
 
 
@@ -73,3 +75,64 @@ def fused(vector_hits: DataFrame, paths: DataFrame, settings: Settings) -> DataF
     r = settings.retrieval
     spoken = chunks_of_paths(paths, by_id=False)
     return fuse([vector_hits.select("query_id", "chunk_id", "rank"), spoken.select("query_id", "chunk_id", "rank")], r.rrf_k, [r.weight_vector, r.weight_graph], r.final_top_k)
+
+
+#: What a failed read of a store's files is called.
+LOST = ("PATH_NOT_FOUND", "FAILED_READ_FILE", "FileNotFoundException", "UNABLE_TO_INFER_SCHEMA", "SparkFileNotFoundException")
+PLAN = "strategy string, template string, seed_entities array<string>, hops int, relation_type string"
+HITS = "query_id string, chunk_id string, score double, rank int"
+PATHS = "query_id string, nodes array<string>, chunk_ids array<string>, hops int, score double, path_rank int"
+
+
+def leg(made: Callable[[], DataFrame], shape: str, spark) -> tuple[DataFrame, bool]:
+    """(a leg's rows as a table, did it work?): a store that is away, or whose files cannot be read, gives no rows and False.
+
+    The leg runs here, so that a read that fails in the middle of its plan is known before anything is fused.
+    """
+    try:
+        columns = [c.split()[0] for c in shape.split(", ")]
+        return materialize(made().select(*columns), "leg"), True
+    except (RetrievalBackendUnavailable, GraphBackendUnavailable):
+        pass
+    except Exception as e:
+        if not any(name in str(e) for name in LOST):
+            raise
+    return spark.createDataFrame([], shape), False
+
+
+def retriever(corpus: Callable[[], tuple[Corpus, DataFrame]], graph_tables: Callable[[], tuple[DataFrame, DataFrame, DataFrame]], embed: Callable[[Column], Column], settings: Settings) -> Callable[[DataFrame], DataFrame]:
+    """What ``answer`` asks for its context: both legs over the stores, by each question's plan.
+
+    ``corpus`` opens the store of chunks (a corpus and its inverse frequencies), ``graph_tables`` the graph (entities, relates,
+    mentions).  A plan of strategy vector or graph uses one leg.  If a leg fails, its name is in ``degraded`` of the questions that
+    wanted it, and they go on with the other.  Chunks that the store no longer holds are left out of the context.
+    """
+
+    def vectors(asked: DataFrame) -> DataFrame:
+        held, idf = corpus()
+        return vector_leg(asked.filter("p.strategy <> 'graph'").select("query_id", F.col("active_query").alias("query")), held, idf, embed, settings)
+
+    def paths(asked: DataFrame) -> DataFrame:
+        plans = asked.filter("p.strategy <> 'vector'").select("query_id", "p.template", F.coalesce("p.seed_entities", F.array().cast("array<string>")).alias("seed_entities"), F.coalesce("p.hops", F.lit(1)).alias("hops"), "p.relation_type")
+        return graph_leg(plans, *graph_tables(), embed, settings)
+
+    def context(found: DataFrame) -> DataFrame:
+        held, _ = corpus()
+        sources = held.registry.groupBy("chunk_id").agg(F.min(F.struct("doc_id", "uri")).alias("s"))
+        rows = found.join(held.chunks.select("chunk_id", "text"), "chunk_id").join(sources, "chunk_id", "left")
+        chunk = F.struct("rank", "chunk_id", F.col("s.doc_id").alias("doc_id"), F.col("s.uri").alias("uri"), "text")
+        lists = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(chunk)).alias("chunks"))  # at most final_top_k a question
+        return lists.select("query_id", F.to_json("chunks").alias("fused"))
+
+    def retrieve(asked: DataFrame) -> DataFrame:
+        spark = asked.sparkSession
+        asked = asked.withColumn("p", F.from_json("plan", PLAN))
+        hits, hits_there = leg(lambda: vectors(asked), HITS, spark)
+        walked, paths_there = leg(lambda: paths(asked), PATHS, spark)
+        texts, texts_there = leg(lambda: context(fused(hits, walked, settings)), "query_id string, fused string", spark)
+        hits_there = hits_there and texts_there
+        lost = [F.when(F.col("p.strategy") != other, F.lit(name)) for name, there, other in (("vector", hits_there, "graph"), ("graph", paths_there, "vector")) if not there]
+        degraded = F.array_compact(F.array(*lost)) if lost else F.array().cast("array<string>")
+        return asked.select("query_id", degraded.alias("degraded")).join(texts, "query_id", "left").select("query_id", "fused", "degraded")
+
+    return retrieve

@@ -53,8 +53,8 @@ def P5_A3_A5_A6_resolution(spark, d):
 # Each nation's word with two misspellings as surfaces; every second nation is known under a misspelling, every third under its word.
 LETTERS = "0123456789abcdefghijklmnopqrstuvwxyz"
 KNOWN_RULES = Resolution(weight_jaro_winkler=0.5, weight_token_set=0.0, weight_cosine=0.5, merge_at=0.93, reject_at=0.8)
-_VECTOR = f"list_transform(string_split('{LETTERS}', ''), lambda c: CAST(length({{0}}) - length(replace({{0}}, c, '')) AS DOUBLE))"
-_SCORE = f"0.5 * jaro_winkler_similarity(a.name, b.name) + 0.5 * list_cosine_similarity({_VECTOR.format('a.name')}, {_VECTOR.format('b.name')})"
+VECTOR = f"list_transform(string_split('{LETTERS}', ''), lambda c: CAST(length({{0}}) - length(replace({{0}}, c, '')) AS DOUBLE))"
+_SCORE = f"0.5 * jaro_winkler_similarity(a.name, b.name) + 0.5 * list_cosine_similarity({VECTOR.format('a.name')}, {VECTOR.format('b.name')})"
 _KNOWN_SQL = f"""WITH RECURSIVE w AS (SELECT n_nationkey, substr(md5(n_name), 1, 8) AS word, CASE WHEN n_regionkey < 3 THEN 'ORG' ELSE 'LOC' END AS type FROM nation),
  m AS (SELECT CASE c_custkey % 4 WHEN 0 THEN word || 'x' WHEN 1 THEN substr(word, 1, 5) || 'zzz' ELSE word END AS name, type FROM customer JOIN w ON c_nationkey = n_nationkey),
  g AS (SELECT {uuid_sql("name || chr(31) || type")} AS id, name, type, count(*) AS n FROM m GROUP BY name, type),
@@ -272,7 +272,29 @@ def X7_display_form(spark, d):
     return docs.select("doc_id", normalize_display(F.col("text")).alias("text"))
 
 
-@query(None)
+_CUT = Settings().chunking
+# Units end after paragraphs and sentences; a longer one falls into words, and a word into pieces.  Chunks take units while they fit, and
+# a short one joins the one before.
+@query(rf"""WITH RECURSIVE u AS (
+  SELECT doc_id, text, regexp_extract_all(text, '(?s).*?(?:(?:[.!?]\s*)?\n\s*\n|[.!?]\s+|\z)') AS units FROM documents WHERE length(text) > {_CUT.chunk_size}
+), w AS (
+  SELECT doc_id, text, flatten(list_transform(units, lambda x: CASE WHEN length(x) > {_CUT.chunk_size} THEN regexp_extract_all(x, '(?s).*?(?:\s+|\z)') ELSE [x] END)) AS words FROM u
+), l AS (
+  SELECT doc_id, text, list_filter(flatten(list_transform(words, lambda x: list_transform(range(0, length(x), {_CUT.chunk_size}), lambda s: least({_CUT.chunk_size}, length(x) - s)))), lambda n: n > 0) AS sizes FROM w
+), c AS (SELECT doc_id, text, list_prepend(0, list_transform(range(1, len(sizes) + 1), lambda i: CAST(list_sum(sizes[1:i]) AS BIGINT))) AS cuts FROM l),
+p AS (
+  SELECT doc_id, 0 AS nth, CAST(1 AS BIGINT) AS i, CAST(len(list_filter(cuts, lambda x: x <= {_CUT.chunk_size})) AS BIGINT) AS j, cuts FROM c
+  UNION ALL
+  SELECT doc_id, nth + 1, n, CAST(len(list_filter(cuts, lambda x: x <= cuts[n] + {_CUT.chunk_size})) AS BIGINT), cuts
+  FROM (SELECT *, CASE WHEN back > i THEN back ELSE i + 1 END AS n FROM (SELECT *, least(CAST(len(list_filter(cuts, lambda x: x <= cuts[j] - {_CUT.chunk_overlap})) AS BIGINT), j - 1) AS back FROM p WHERE j < len(cuts)))
+), packed AS (SELECT doc_id, list([{{'a': cuts[i], 'b': cuts[j]}}] ORDER BY nth) AS parts FROM p GROUP BY doc_id),
+joined AS (
+  SELECT doc_id, list_reduce(parts, lambda o, x: CASE WHEN x[1].b - x[1].a < {_CUT.min_chunk_chars} AND x[1].b - o[-1].a <= {_CUT.chunk_size} THEN list_append(o[:-2], {{'a': o[-1].a, 'b': x[1].b}}) ELSE list_append(o, x[1]) END) AS chunks FROM packed
+), found AS (
+  SELECT doc_id, unnest(range(len(chunks))) AS ord, unnest(chunks) AS c FROM joined
+  UNION ALL SELECT doc_id, 0, {{'a': 0, 'b': length(text)}} FROM documents WHERE length(text) BETWEEN 1 AND {_CUT.chunk_size}
+)
+SELECT doc_id, CAST(ord AS INTEGER) AS ord, CAST(c.a AS INTEGER) AS char_start, CAST(c.b AS INTEGER) AS char_end, sha256(substr(text, CAST(c.a AS BIGINT) + 1, CAST(c.b - c.a AS BIGINT))) AS digest FROM found JOIN documents USING (doc_id)""")
 def X9_W6_chunks(spark, d):
     (docs,) = load(spark, d, "documents")
     return chunk(docs.select("doc_id", "text"), Settings().chunking).select("doc_id", "ord", "char_start", "char_end", F.sha2("text", 256).alias("digest"))

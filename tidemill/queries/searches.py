@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import cosine
 from ..functions.text import tokens
-from ..operators import graph, search
+from ..operators import graph, postings, search
 from ..operators.fusion import chunks_of_paths, fuse, ranked
-from ..shared import materialize
 from .base import MENTIONS, RELATES, UNDIRECTED, mentions, query, relates, text_id
 from .base import tables as load
 
@@ -71,11 +70,12 @@ TERMS = r"""terms AS (
 )"""
 
 
-def stored_terms(spark, d):
-    """The terms of all documents, cut once, and their inverse frequencies."""
+def indexed(spark, d):
+    """(terms, inverse frequencies, index) of all documents, which are cut into terms once."""
     (docs,) = load(spark, d, "documents")
-    terms = materialize(search.term_frequencies(chunks(spark, d)), "terms")
-    return terms, search.inverse_frequencies(terms, docs)
+    terms = search.term_frequencies(chunks(spark, d))
+    index = postings.build(terms, dealt=True)
+    return terms, postings.inverse_frequencies(index, docs), index
 
 
 def idf(spark, d):
@@ -95,7 +95,8 @@ def A12_X19_term_frequencies(spark, d):
 
 @query(f"WITH {TERMS} SELECT query_id, chunk_id, round(score, 4) AS score FROM sparse")
 def T2_J16_sparse_top_k(spark, d):
-    found = search.sparse_top_k(question_terms(spark, d), *stored_terms(spark, d), 50)
+    terms, weights, index = indexed(spark, d)
+    found = search.sparse_top_k(question_terms(spark, d), terms, weights, 50, index=index)
     return found.select("query_id", "chunk_id", F.round("score", 4).alias("score"))
 
 
@@ -125,7 +126,8 @@ def P7_P8_hybrid_search(spark, d):
     docs, bench = load(spark, d, "documents", "benchmark")
     pts = points(spark, d).join(docs.select(F.col("doc_id").alias("chunk_id"), "lang"), "chunk_id")
     queries = points(spark, d).join(bench.select(F.col("item_id").alias("chunk_id")), "chunk_id", "left_semi").select(F.col("chunk_id").alias("query_id"), F.col("dense").alias("vector"))
-    found = search.hybrid_search(queries, question_terms(spark, d), pts, *stored_terms(spark, d), filters={"lang": ["en", "de"]})
+    terms, weights, index = indexed(spark, d)
+    found = search.hybrid_search(queries, question_terms(spark, d), pts, terms, weights, filters={"lang": ["en", "de"]}, index=index)
     return found.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 

@@ -4,22 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import Resolution
+from ..config import Resolution, Settings
 from ..metrics import Metrics
 from ..operators import caching, jobs
 from ..operators.evaluation import context_recall
+from ..operators.search import inverse_frequencies, term_frequencies
 from ..operators.trail import log_events
 from ..plans import evaluate as EV
+from ..plans.ingest import Corpus
 from ..plans.models import hash_embedder
 from ..plans.orchestrate import answer, results
 from ..plans.resolve import empty_graph, sink
+from ..plans.retrieve import retriever
 from ..schemas import set_up
-from ..shared import new_path
+from ..shared import materialize, new_path
 from ..sources.readers import Snapshots
 from ..streaming.events import node_events
-from .base import query, text_id, uuid_sql
+from .base import RELATES, query, relates, text_id, uuid_sql
 from .base import tables as load
-from .metrics import surfaces
+from .metrics import LETTERS, VECTOR, surfaces
 
 
 def at(seconds: int):
@@ -150,6 +153,57 @@ def asked_items(spark, d):
     return bench.filter("length(trim(text)) > 0 and length(text) <= 2000 and text = trim(text)")
 
 
+def routed(role, request):
+    """The length of a question decides its strategy and the relation it asks for; every chunk is relevant and cited."""
+    n = len(request["question"]) if "question" in request else 0
+    if role == "router":
+        value = {"strategy": ("vector", "graph", "hybrid")[n % 3], "template": "entities_by_relation", "seed_entities": [], "hops": 1, "relation_type": "SUPPLIES_" + "ANR"[n // 3 % 3]}
+    elif role == "grader":
+        value = {"grades": [{"chunk_id": c["chunk_id"], "relevant": True} for c in request["chunks"]]}
+    elif role == "synth":
+        value = {"text": "all of it", "citations": [{"chunk_id": c["chunk_id"]} for c in request["chunks"]], "confidence": 0.9}
+    else:
+        value = {"score": 0.9}
+    return {"value": value, "prompt_tokens": 10, "completion_tokens": 5, "latency_ms": 3}
+
+
+_STORED = rf"""WITH {RELATES}, asked AS (SELECT item_id, CAST(item_id AS VARCHAR) AS query_id, text AS question, length(text) AS n FROM benchmark WHERE length(trim(text)) > 0 AND length(text) <= 2000 AND text = trim(text)),
+ plans AS (SELECT *, (['vector', 'graph', 'hybrid'])[n % 3 + 1] AS strategy, 'SUPPLIES_' || (['A', 'N', 'R'])[n // 3 % 3 + 1] AS relation FROM asked),
+ docs AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, text, {VECTOR.format("lower(text)")} AS v FROM documents),
+ terms AS (SELECT chunk_id, term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT chunk_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS term FROM docs) GROUP BY ALL),
+ idf AS (SELECT term, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM terms GROUP BY term),
+ q AS (SELECT query_id, term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT query_id, unnest(list_filter(string_split_regex(lower(question), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS term FROM plans WHERE strategy <> 'graph') GROUP BY ALL),
+ sparse AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, round(sum(q.tf * t.tf * idf), 9) AS score FROM q JOIN terms t USING (term) JOIN idf USING (term) GROUP BY ALL)),
+ qv AS (SELECT query_id, {VECTOR.format("lower('Represent this sentence for searching relevant passages: ' || question)")} AS v FROM plans WHERE strategy <> 'graph'),
+ dense AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(qv.v, docs.v) DESC, chunk_id) AS rank FROM qv, docs),
+ sums AS (SELECT query_id, chunk_id, sum(CAST(1 AS DOUBLE) / (60 + rank)) AS score, min(rank) AS best FROM (SELECT * FROM sparse WHERE rank <= 50 UNION ALL SELECT * FROM dense WHERE rank <= 50) GROUP BY ALL),
+ top AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best, chunk_id) AS nth FROM sums),
+ hits AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM top WHERE nth <= 20),
+ edges AS (SELECT type, CAST(CAST(substr(chunk_id, 2) AS BIGINT) % (SELECT count(*) FROM documents) AS VARCHAR) AS chunk_id, confidence, row_number() OVER (PARTITION BY type ORDER BY confidence DESC, src_id, dst_id, CAST(CAST(substr(chunk_id, 2) AS BIGINT) % (SELECT count(*) FROM documents) AS VARCHAR), doc_id) AS r FROM relates),
+ spoken AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY max(confidence) DESC, min(r)) AS rank FROM plans JOIN edges ON type = relation AND r <= 40 WHERE strategy <> 'vector' GROUP BY query_id, chunk_id),
+ fused AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY sum(CAST(1 AS DOUBLE) / (60 + rank)) DESC, min(rank), chunk_id) AS rank FROM (SELECT * FROM hits UNION ALL SELECT * FROM spoken) GROUP BY query_id, chunk_id)
+ SELECT query_id, any_value(strategy) AS strategy, false AS refused, list(chunk_id ORDER BY rank) AS citations, CAST([] AS VARCHAR[]) AS degraded FROM plans JOIN fused USING (query_id) WHERE rank <= 10 GROUP BY query_id"""
+
+
+@query(_STORED)
+def N3_N5_P10_answers_over_both_legs(spark, d):
+    """Questions go through the whole machine, over the documents as chunks and the line items as a graph."""
+    docs, suppliers = load(spark, d, "documents", "supplier")
+    embed = lambda c: F.array(*[(F.length(F.lower(c)) - F.length(F.replace(F.lower(c), F.lit(x), F.lit("")))).cast("double") for x in LETTERS])
+    key = F.col("doc_id").cast("string")
+    chunks = materialize(docs.select(key.alias("chunk_id"), "text", embed(F.col("text")).alias("dense")), "chunks")
+    terms = materialize(term_frequencies(chunks), "terms")
+    sources = docs.select(key.alias("chunk_id"), key.alias("doc_id"), F.concat(F.lit("mem:"), key).alias("uri"))
+    corpus = Corpus(None, chunks, terms, sources)
+    n = docs.count()
+    edges = relates(spark, d).withColumn("chunk_id", (F.substring("chunk_id", 2, 20).cast("long") % n).cast("string"))
+    entities = suppliers.select(text_id("S", "s_suppkey").alias("canonical_id"), F.lower("s_name").alias("name_normalized"))
+    mentions = edges.select("chunk_id", F.col("src_id").alias("entity_id"), "confidence", F.lit(0).alias("char_start"))
+    stores = retriever(lambda: (corpus, inverse_frequencies(terms, docs)), lambda: (entities, edges, mentions), embed, Settings())
+    asked = asked_items(spark, d).select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return results(answer(asked, routed, stores)).select("query_id", "strategy", "refused", "citations", "degraded")
+
+
 # By default the second repair gives up, so one answer is written again: one call more for a cited unknown id (which no judge sees),
 # two for an ungrounded answer.  Each of two rewrites takes three calls.
 @query(f"""WITH {KINDS} SELECT id AS query_id, kind IN (1, 3, 4) AS refused, list_sort(list_concat(CASE WHEN item_id % 3 = 0 THEN ['graph'] ELSE [] END, CASE WHEN kind = 2 THEN ['grader'] ELSE [] END)) AS degraded,

@@ -36,13 +36,13 @@ def K10_merge_in_place(spark, d):
     return table.read().groupBy("type").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 4).alias("total"))
 
 
-@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) AS nth, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS nth_of_flag FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS nth, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS nth_of_flag FROM lineitem")
 def W1_T8_numbered_lines(spark, d):
     """Every line of the table and of each of three flags under its number, with no task that holds a flag."""
     (lines,) = load(spark, d, "lineitem")
-    rows = lines.select("l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag", "l_extendedprice")
-    own = positions(rows, [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"], ["l_returnflag"], "nth_of_flag")
-    both = positions(own, ["l_shipdate", "l_orderkey", "l_linenumber"], name="nth")
+    rows = lines.select("l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag", "l_extendedprice", "l_partkey", "l_suppkey")
+    own = positions(rows, [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], ["l_returnflag"], "nth_of_flag")
+    both = positions(own, ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], name="nth")
     return both.select("l_orderkey", "l_linenumber", (F.col("nth") + 1).alias("nth"), (F.col("nth_of_flag") + 1).alias("nth_of_flag"))
 
 
@@ -53,16 +53,16 @@ _WORK = "('PARSING', 'EMBEDDING', 'EXTRACTING', 'RESOLVING')"
 
 # Each user is a document whose events ask for one state after the other; errors fail it, half of them by a rate limit.
 @query(f"""WITH RECURSIVE m AS (
-  SELECT CAST(user_id AS VARCHAR) AS doc_id, ts AS at, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth,
+  SELECT CAST(user_id AS VARCHAR) AS doc_id, ts AS at_ts, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth,
     CASE WHEN event_type = 'error' THEN 'FAILED' ELSE ({_STATES})[CAST((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) % 6 + 1 AS BIGINT)] END AS wanted,
     CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'RATE_LIMITED' ELSE 'PARSE_ERROR' END END AS error
   FROM events
 ), s AS (
   SELECT doc_id, CAST(0 AS BIGINT) AS nth, CAST(NULL AS VARCHAR) AS status, 0 AS attempts, CAST(NULL AS TIMESTAMP) AS since, CAST(NULL AS TIMESTAMP) AS over_at, CAST(NULL AS VARCHAR) AS over_from, 0 AS over_attempts,
-    CAST(NULL AS TIMESTAMP) AS at, CAST(NULL AS VARCHAR) AS current, CAST(NULL AS VARCHAR) AS got, CAST(NULL AS VARCHAR) AS verdict, CAST(NULL AS VARCHAR) AS error
+    CAST(NULL AS TIMESTAMP) AS at_ts, CAST(NULL AS VARCHAR) AS current, CAST(NULL AS VARCHAR) AS got, CAST(NULL AS VARCHAR) AS verdict, CAST(NULL AS VARCHAR) AS error
   FROM (SELECT DISTINCT doc_id FROM m)
   UNION ALL
-  SELECT doc_id, nth, CASE WHEN verdict IN ('ok', 'retry') THEN got ELSE s1 END, after, CASE WHEN verdict IN ('ok', 'retry') THEN at ELSE since1 END, over_at, CASE WHEN over_at IS NOT NULL THEN status END, attempts, at, s1, got, verdict, error
+  SELECT doc_id, nth, CASE WHEN verdict IN ('ok', 'retry') THEN got ELSE s1 END, after, CASE WHEN verdict IN ('ok', 'retry') THEN at_ts ELSE since1 END, over_at, CASE WHEN over_at IS NOT NULL THEN status END, attempts, at_ts, s1, got, verdict, error
   FROM (
     SELECT *, CASE WHEN limited AND after < 3 THEN 'PENDING' ELSE wanted END AS got,
       CASE WHEN s1 IS NULL THEN CASE WHEN wanted = 'PENDING' THEN 'ok' ELSE 'unknown' END
@@ -74,15 +74,15 @@ _WORK = "('PARSING', 'EMBEDDING', 'EXTRACTING', 'RESOLVING')"
       SELECT *, attempts + CASE WHEN limited THEN 1 ELSE 0 END AS after FROM (
         SELECT *, wanted = 'FAILED' AND coalesce(error, '') = 'RATE_LIMITED' AND coalesce(s1 = 'PENDING' OR s1 IN {_WORK}, false) AS limited FROM (
           SELECT *, CASE WHEN over_at IS NOT NULL THEN 'FAILED' ELSE status END AS s1, coalesce(over_at, since) AS since1 FROM (
-            SELECT s.doc_id, m.nth, s.status, s.attempts, s.since, m.at, m.wanted, m.error,
-              CASE WHEN s.status IN {_WORK} AND m.at > s.since + INTERVAL {_HOURS} HOUR THEN s.since + INTERVAL {_HOURS} HOUR END AS over_at
+            SELECT s.doc_id, m.nth, s.status, s.attempts, s.since, m.at_ts, m.wanted, m.error,
+              CASE WHEN s.status IN {_WORK} AND m.at_ts > s.since + INTERVAL {_HOURS} HOUR THEN s.since + INTERVAL {_HOURS} HOUR END AS over_at
             FROM s JOIN m ON m.doc_id = s.doc_id AND m.nth = s.nth + 1)))))
 ), rows AS (
-  SELECT doc_id, at, current, got AS status, verdict, error AS error_code, attempts FROM s WHERE nth > 0
+  SELECT doc_id, at_ts, current, got AS status, verdict, error AS error_code, attempts FROM s WHERE nth > 0
   UNION ALL SELECT doc_id, over_at, over_from, 'FAILED', 'expired', 'JOB_TIMEOUT', over_attempts FROM s WHERE over_at IS NOT NULL
   UNION ALL SELECT doc_id, since + INTERVAL {_HOURS} HOUR, status, 'FAILED', 'expired', 'JOB_TIMEOUT', attempts FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY nth DESC) = 1) WHERE status IN {_WORK}
 )
-SELECT doc_id, epoch_us(at) AS at_us, current, status, verdict, error_code, attempts FROM rows""")
+SELECT doc_id, epoch_us(at_ts) AS at_us, current, status, verdict, error_code, attempts FROM rows""")
 def K15_M7_stream_lifecycle(spark, d):
     (events,) = load(spark, d, "events")
     nth = positions(events, ["event_id"], ["user_id"], "nth")
