@@ -65,6 +65,18 @@ def test_wide_vectors_make_smaller_blocks(spark):
     check(spark, rows, block_bytes=3 * 8 * 50, wave_bytes=1)
 
 
+def test_components_whose_squares_overflow(spark):
+    """Such vectors are at an infinite distance, and hide no others."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(30)] + [(40 + i, [1e200 * (i + 1), 0.0, 1.0, 0.0]) for i in range(5)] + [(49, [1e200, 0.0, 1.0, 0.0])]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 7 == 0, k=40, block=8).collect()
+    vectors = {i: np.array(v) for i, v in rows}
+    with np.errstate(over="ignore"):
+        for q in (0, 7, 42, 49):
+            best = sorted((float(np.sqrt(((vectors[q] - x) ** 2).sum())), i) for i, x in vectors.items() if i != q)
+            assert [(r.vec_id, r["rank"]) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == [(i, n + 1) for n, (_, i) in enumerate(best)]
+
+
 def test_empty(spark):
     check(spark, [])
     check(spark, [(7, [1.0], 0, "")])

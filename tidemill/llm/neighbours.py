@@ -12,7 +12,8 @@ candidates are packed once into a shared table, and each wave is a job of its ow
 
 Edge cases: vectors that are null, zero, or hold null, NaN or infinite components take no part on either side;
 vectors of other dimensions than the query's are no candidates; ties go to the smaller vec_id; rows that repeat
-a vec_id count once as candidates, at their nearest, and once as queries, by their least vector that takes part; fewer than k candidates are all given; other columns are ignored.
+a vec_id count once as candidates, at their nearest, and once as queries, by their least vector that takes part; fewer than k candidates are all given;
+a distance whose square is beyond the largest double is infinite, and ties with others that are; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -80,8 +81,9 @@ class Block:
         self.scale = np.abs(self.x).max(axis=1) / 127
         self.code = np.rint(self.x / self.scale[:, None]).astype(np.int8)
         near = self.code * self.scale[:, None]
-        self.error = np.sqrt(((self.x - near) ** 2).sum(axis=1))
-        self.square = (near**2).sum(axis=1)
+        with np.errstate(over="ignore"):
+            self.error = np.sqrt(((self.x - near) ** 2).sum(axis=1))
+            self.square = (near**2).sum(axis=1)
         self.norm = np.sqrt(self.square)
         self.by_id = np.argsort(self.ids, kind="stable")
         ordered = self.ids[self.by_id]
@@ -114,18 +116,23 @@ class Heaps:
 
     def offer(self, c: Block) -> None:
         q, k = self.block, self.k
-        near, slack = tile(q, c)
+        with np.errstate(over="ignore", invalid="ignore"):
+            near, slack = tile(q, c)
+            least, most = near - slack, near + slack
+        # squares beyond the largest number bound nothing: such pairs are compared exactly
+        least[np.isnan(least)], most[np.isnan(most)] = -np.inf, np.inf
         own = q.ids[:, None] == c.ids[None, :]
         # rows that repeat an id offer one neighbour, so the bound counts distinct ids
-        upper = c.least_of_id(np.where(own, np.inf, near + slack))
+        upper = c.least_of_id(np.where(own, np.inf, most))
         bound = np.partition(upper, min(k, upper.shape[1]) - 1, axis=1)[:, k - 1] if upper.shape[1] >= k else np.full(len(q.ids), np.inf)
         bound = np.minimum(bound, self.distance[:, -1])
-        i, j = np.nonzero((near - slack <= bound[:, None]) & ~own)
+        i, j = np.nonzero((least <= bound[:, None]) & ~own)
         for a in range(0, len(i), 100_000):
             self._merge(i[a : a + 100_000], j[a : a + 100_000], c)
 
     def _merge(self, i: np.ndarray, j: np.ndarray, c: Block) -> None:
-        exact = np.sqrt(((self.block.x[i] - c.x[j]) ** 2).sum(axis=1))
+        with np.errstate(over="ignore"):
+            exact = np.sqrt(((self.block.x[i] - c.x[j]) ** 2).sum(axis=1))  # infinite where its square is beyond the largest number
         rows = np.unique(i)
         owner = np.concatenate([i, np.repeat(rows, self.k)])
         distance = np.concatenate([exact, self.distance[rows].ravel()])
@@ -156,7 +163,7 @@ def _search(k: int):
                     heap = heaps[qi] = Heaps(Block(dim, qi, qv), k)
                 heap.offer(Block(dim, ci, cv))
         for heap in heaps.values():
-            found = np.isfinite(heap.distance) & (heap.id != np.iinfo(np.int64).max)
+            found = heap.id != np.iinfo(np.int64).max
             i, _ = np.nonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array(heap.block.ids[i]), pa.array(heap.id[found]), pa.array(heap.distance[found])], schema=schema)
 
