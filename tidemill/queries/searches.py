@@ -8,6 +8,7 @@ from ..functions.similarity import cosine
 from ..functions.text import tokens
 from ..operators import graph, postings, search
 from ..operators.fusion import chunks_of_paths, fuse, ranked
+from ..operators.numbering import positions
 from .base import MENTIONS, RELATES, UNDIRECTED, mentions, query, relates, text_id
 from .base import tables as load
 
@@ -133,7 +134,8 @@ def P7_P8_hybrid_search(spark, d):
 
 @query("""SELECT label AS query_id, vec_id AS chunk_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS INTEGER) AS rank FROM embeddings""")
 def W1_renumber(spark, d):
-    return ranked(points(spark, d), [F.desc("chunk_id")], ("label",)).select(F.col("label").alias("query_id"), "chunk_id", "rank")
+    nth = positions(points(spark, d).select("label", "chunk_id"), [F.desc("chunk_id")], ["label"], "nth")
+    return nth.select(F.col("label").alias("query_id"), "chunk_id", (F.col("nth") + 1).cast("int").alias("rank"))
 
 
 # -- graph ----------------------------------------------------------------------------------------------------------
