@@ -33,7 +33,7 @@ def sample(documents: DataFrame, labels: DataFrame | None, label: str, allowed:
     order = [F.xxhash64(F.col("doc_id").cast("long"), F.lit(17)), F.col("doc_id")]
     source = documents if labels is None else labels
     keys = source.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & allowed)
-    keys = keys.orderBy(*order).limit(rows)
+    keys = keys.orderBy(*order).limit(rows).distinct()  # an id that stands in several rows is drawn once
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = F.octet_length("text").cast("long")
     key = ["doc_id", "label", "size", "digest"]
