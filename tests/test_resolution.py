@@ -142,18 +142,18 @@ def test_nearest_in_full_equals_brute_force(spark):
 
 def test_recall_and_work_of_the_inverted_file(spark):
     """Over 250 rows a kind: recall at least 0.95 of the true neighbours, from a share of all comparisons."""
-    _, df = numbered(spark, 6000)
+    _, df = numbered(spark, 3000)
     df = df.cache()
     full = {(r.gid, r.c_gid) for r in nearest(df, df, 10, before=True).collect()}
-    index = centroids(df, list_rows=100)
+    index = centroids(df, list_rows=50)
     assert 40 <= len(index) <= 60
     listed = nearest(df, df, 10, index, probes=24, before=True)
     found = {(r.gid, r.c_gid) for r in listed.collect()}
     assert len(found & full) >= 0.95 * len(full)
-    assert len(found) <= 6000 * 10
+    assert len(found) <= 3000 * 10
     lists = _listed(df, index, 1).groupBy("kind", "list").count().collect()
     probed = {(r.kind, r.list): r["count"] for r in _listed(df, index, 24).groupBy("kind", "list").count().collect()}
-    assert sum(r["count"] * probed.get((r.kind, r.list), 0) for r in lists) < 0.65 * 3 * 2000 * 2000
+    assert sum(r["count"] * probed.get((r.kind, r.list), 0) for r in lists) < 0.65 * 3 * 1000 * 1000
 
 
 def test_one_list_that_holds_most_rows_is_cut_into_blocks(spark):
