@@ -109,6 +109,12 @@ def inverse_frequencies(index: DataFrame, n_chunks: DataFrame) -> DataFrame:
     return counts.select("term", "df", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places starts[0], starts[0] + 1, ... of several runs, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1]) + np.repeat(starts - ends + lengths, lengths) if len(ends) else np.zeros(0, np.int64)
+
+
 class Shard:
     """The postings of one row of the index; ``allowed`` are the places of the chunks that may be found (None: all)."""
 
@@ -116,7 +122,7 @@ class Shard:
         self.at = {t: n for n, t in enumerate(terms)}
         for n, t in ARRAYS.items():
             setattr(self, n, np.frombuffer(arrays[n], t))
-        self.sums, self.bounds = np.zeros(keys), np.zeros(-(-keys // RANGE))
+        self.n_keys, self.n_ranges = keys, -(-keys // RANGE)
         self.allowed = None
         if allowed is not None:
             self.allowed = np.zeros(keys, bool)
@@ -124,33 +130,30 @@ class Shard:
 
     def best(self, query: list[tuple[str, float]], k: int) -> tuple[np.ndarray, np.ndarray, int, int]:
         """Places of the chunks that may have the ``k`` greatest sums, and those sums; the postings of the terms, and those read."""
-        lists = [(weight, int(self.blocks[n]), int(self.blocks[n + 1])) for term, weight in query if weight > 0 and (n := self.at.get(term)) is not None]
-        sums, bounds = self.sums, self.bounds
-        sums[:], bounds[:] = 0.0, 0.0
-        for weight, a, b in lists:
-            bounds[self.ranges[a:b]] += weight * self.tops[a:b]
+        known = [(weight, n) for term, weight in query if weight > 0 and (n := self.at.get(term)) is not None]
+        weights, terms = np.array([w for w, _ in known]), np.array([n for _, n in known], dtype=np.int64)
+        counts = self.blocks[terms + 1] - self.blocks[terms]
+        blocks = _runs(self.blocks[terms], counts)  # the blocks of all terms, and what each term weighs
+        weights, ranges = np.repeat(weights, counts), self.ranges[blocks]
+        sizes = self.cuts[blocks + 1] - self.cuts[blocks]
+        bounds = np.bincount(ranges, weights=weights * self.tops[blocks], minlength=self.n_ranges)
         order = np.argsort(-bounds, kind="stable")
         order = order[: np.count_nonzero(bounds)]
+        sums, chosen = np.zeros(self.n_keys), np.zeros(self.n_ranges, bool)
         least, done, step, read = 0.0, 0, -(-k // RANGE) + 1, 0
-        chosen = np.zeros(len(bounds), bool)
         while done < len(order) and bounds[order[done]] >= least - EPSILON:
             chosen[:] = False
             chosen[order[done : done + step]] = True
-            for weight, a, b in lists:
-                blocks = a + np.flatnonzero(chosen[self.ranges[a:b]])
-                starts = self.cuts[blocks]
-                lengths = self.cuts[blocks + 1] - starts
-                ends = np.cumsum(lengths)
-                if len(ends):
-                    at = np.arange(ends[-1]) + np.repeat(starts - ends + lengths, lengths)
-                    sums[self.docs[at]] += weight * self.tfs[at]
-                    read += int(ends[-1])
+            now = np.flatnonzero(chosen[ranges])
+            at = _runs(self.cuts[blocks[now]], sizes[now])
+            sums += np.bincount(self.docs[at], weights=np.repeat(weights[now], sizes[now]) * self.tfs[at], minlength=self.n_keys)
+            read += len(at)
             done, step = done + step, step * 2
             seen = sums if self.allowed is None else sums[self.allowed]
             if len(seen) > k:
                 least = np.partition(seen, len(seen) - k)[len(seen) - k]
         able = np.flatnonzero((sums > 0) & (sums >= least - EPSILON) & (True if self.allowed is None else self.allowed))
-        return able, sums[able], sum(int(self.cuts[b] - self.cuts[a]) for _, a, b in lists), read
+        return able, sums[able], int(sizes.sum()), read
 
 
 def _search(k: int, query: pa.DataType, key: pa.DataType, counted: bool):
