@@ -35,10 +35,14 @@ def publish(jobs: DataFrame, new: DataFrame, now: Column, queue: str = "default"
     return jobs.unionByName(rows)
 
 
-def claim(jobs: DataFrame, n: int, queue: str = "default") -> tuple[DataFrame, DataFrame]:
-    """(jobs, the ``n`` oldest queued ones, which are now running and on their next attempt)."""
-    mine = jobs.filter((F.col("queue") == queue) & (F.col("state") == QUEUED)).orderBy("enqueued_at", "job_id").limit(n).select("job_id", F.lit(True).alias("_mine"))
-    both = jobs.join(mine, "job_id", "left")
+def claim(jobs: DataFrame, n: int | None, queue: str = "default") -> tuple[DataFrame, DataFrame]:
+    """(jobs, the ``n`` oldest queued ones (None: all), which are now running and on their next attempt)."""
+    ready = (F.col("queue") == queue) & (F.col("state") == QUEUED)
+    if n is None:
+        both = jobs.withColumn("_mine", ready)
+    else:
+        mine = jobs.filter(ready).orderBy("enqueued_at", "job_id").limit(n).select("job_id", F.lit(True).alias("_mine"))
+        both = jobs.join(mine, "job_id", "left")
     after = both.withColumn("state", F.when(F.col("_mine"), RUNNING).otherwise(F.col("state"))).withColumn("attempts", F.col("attempts") + F.when(F.col("_mine"), 1).otherwise(0))
     return after.drop("_mine").select(*jobs.columns), after.filter("_mine").drop("_mine").select(*jobs.columns)
 
