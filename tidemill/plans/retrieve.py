@@ -15,6 +15,7 @@ from ..functions.text import tokens
 from ..operators import graph
 from ..operators.fusion import chunks_of_paths, fuse, ranked
 from ..operators.search import dense_top_k, hybrid_search
+from ..operators.tables import sent
 from ..shared import materialize
 from .ingest import Corpus
 
@@ -30,14 +31,20 @@ def vector_leg(queries: DataFrame, corpus: Corpus, idf: DataFrame, embed: Callab
 
 
 def link(seeds: DataFrame, entities: DataFrame, embed: Callable[[Column], Column], settings: Settings) -> DataFrame:
-    """``seeds`` (query_id, seed): entities whose name is near enough, the nearest first.
+    """``seeds`` (query_id, seed): entities whose name is near enough, the nearest first; none is nearer than one of that very name.
 
     The score bound holds after the top-k, so it never lets a sixth entity in for a weak fifth.
     """
-    real = seeds.filter(F.trim("seed") != "").select("query_id", embed(F.col("seed")).alias("vector"))
+    real = seeds.filter(F.trim("seed") != "")
     points = entities.select("canonical_id", embed(F.col("name_normalized")).alias("dense"))
     r = settings.retrieval
-    return dense_top_k(real, points, r.link_top_k, key="canonical_id", min_score=r.link_min_score)
+    near = dense_top_k(real.select("query_id", embed(F.col("seed")).alias("vector")), points, r.link_top_k, key="canonical_id", min_score=r.link_min_score)
+    # different names may have one vector, so a name's own entities are found by the name
+    wanted = real.select("query_id", F.lower(F.trim("seed")).alias("name"))
+    own = sent(wanted).join(entities.select("canonical_id", F.lower(F.trim("name_normalized")).alias("name")), "name")
+    both = near.select("query_id", "canonical_id", "score", F.lit(0).alias("own")).unionByName(own.select("query_id", "canonical_id", F.lit(1.0).alias("score"), F.lit(1).alias("own")))
+    both = both.groupBy("query_id", "canonical_id").agg(F.max("score").alias("score"), F.max("own").alias("own"))
+    return ranked(both, [F.desc("own"), F.desc("score"), "canonical_id"], top=r.link_top_k).drop("own")
 
 
 def graph_leg(plans: DataFrame, entities: DataFrame, relates: DataFrame, mentions: DataFrame, embed: Callable[[Column], Column], settings: Settings) -> DataFrame:
