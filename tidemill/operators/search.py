@@ -24,6 +24,8 @@ from .tables import payload_filter
 
 #: A query side is broadcast only up to this many rows; larger batches are searched in slices of it.
 QUERY_ROWS = 20_000
+#: Bytes of text whose terms are counted in a task.
+TEXT_BYTES = 8 << 20
 #: Bytes of a wave of query vectors that is sent to the points, and of a block of it.
 QUERY_BYTES = 16 << 20
 BLOCK_BYTES = 2 << 20
@@ -152,9 +154,11 @@ def term_frequencies(chunks: DataFrame, key: str = "chunk_id", text: str = "text
     """(key, term, tf): the sparse form of texts.  A text without terms has no row, which every join allows.
 
     Texts are dealt by key before they are cut, so the much longer list of their terms is counted where it arises, and
-    whatever groups by key later finds its rows together.
+    whatever groups by key later finds its rows together.  They are measured first: a partition has about ``TEXT_BYTES`` of
+    text, however many there are, so the counts of a task do not grow with the table.
     """
-    dealt = chunks.select(key, text).repartition(F.col(key))
+    size = chunks.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    dealt = chunks.select(key, text).repartition(max(1, -(-size // TEXT_BYTES)), F.col(key))
     return dealt.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").cast("double").alias("tf"))
 
 
