@@ -108,9 +108,12 @@ def T2_J16_sparse_top_k(spark, d):
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_rank, chunk_id) AS rank FROM (SELECT query_id, chunk_id, sum(CAST(w AS DOUBLE) / (60 + rank)) AS score, min(rank) AS best_rank FROM u GROUP BY ALL)) WHERE rank <= 10""")
 def A1_P11_W2_T4_rank_fusion(spark, d):
     dense = search.dense_top_k(vector_queries(spark, d), points(spark, d), 50)
-    p = points(spark, d)
-    q = p.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "label")
-    near = ranked(q.join(p, "label"), [F.abs(F.col("chunk_id") - F.col("query_id") - 3), "chunk_id"], top=50)
+    # of a label's ids in order, the 50 nearest to an id and three are among the 50 to either side of it and the next three
+    ids = points(spark, d).filter("label is not null and chunk_id is not null").groupBy("label", "chunk_id").agg(F.count("*").alias("n"))
+    nth = positions(ids, ["chunk_id"], ["label"], "nth")
+    asked = nth.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "label", F.col("n").alias("times"), F.explode(F.sequence(F.col("nth") - 50, F.col("nth") + 53)).alias("nth"))
+    pairs = asked.join(nth, ["label", "nth"]).select("query_id", "chunk_id", F.explode(F.array_repeat(F.lit(0), F.least(F.col("n") * F.col("times"), F.lit(50)).cast("int"))))
+    near = ranked(pairs, [F.abs(F.col("chunk_id") - F.col("query_id") - 3), "chunk_id"], top=50)
     fused = fuse([dense, near], 60, [1.0, 0.5], 10)
     return fused.withColumn("score", F.round("score", 9))
 
