@@ -45,7 +45,7 @@ def neighbors(starts: DataFrame, relates: DataFrame, per_hop_cap: int = 25, max_
     """
     edges = undirected(relates).select("a", "b", "type", "confidence", "chunk_id", "doc_id")
     tie = [F.desc("confidence"), "b", "chunk_id", "type", "doc_id"]
-    one = starts.select("query_id", F.col("entity_id").alias("a")).join(edges, "a")
+    one = tables.sent(starts.select("query_id", F.col("entity_id").alias("a"))).join(edges, "a")
     one = ranked(one, tie, ("query_id",), per_hop_cap, "r1").select("query_id", "r1", F.col("a").alias("start"), F.col("b").alias("n1"), F.col("confidence").alias("c1"), F.col("chunk_id").alias("k1"))
     second = edges.select(F.col("a").alias("n1"), F.col("b").alias("n2"), F.col("confidence").alias("c2"), F.col("chunk_id").alias("k2"), F.col("type").alias("t2"), F.col("doc_id").alias("d2"))
     # the strongest edges of a node are the same for every row that reaches it from one start
@@ -79,9 +79,11 @@ def path_between(pairs: DataFrame, relates: DataFrame) -> DataFrame:
 
 
 def entities_by_relation(types: DataFrame, relates: DataFrame, max_paths: int = 40) -> DataFrame:
-    """``types`` (query_id, relation_type): the strongest directed edges of a type."""
-    found = relates.join(types, relates["type"] == types["relation_type"])
-    found = ranked(found, [F.desc("confidence"), "src_id", "dst_id", "chunk_id", "doc_id"], top=max_paths, name="path_rank")
+    """``types`` (query_id, relation_type): the strongest directed edges of a type, which are found once for all queries that ask for it."""
+    best = relates.join(tables.sent(types.select(F.col("relation_type").alias("type")).distinct()), "type", "left_semi")
+    best = ranked(best, [F.desc("confidence"), "src_id", "dst_id", "chunk_id", "doc_id"], ("type",), max_paths, "path_rank")
+    found = types.join(best, F.col("relation_type") == F.col("type"))
+    found = ranked(found.drop("path_rank"), [F.desc("confidence"), "src_id", "dst_id", "chunk_id", "doc_id"], top=max_paths, name="path_rank")  # of all types of a query
     return found.select("query_id", "path_rank", F.array("src_id", "dst_id").alias("nodes"), F.array("chunk_id").alias("chunk_ids"), F.lit(1).alias("hops"), F.col("confidence").alias("score"))
 
 

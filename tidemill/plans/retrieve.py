@@ -65,15 +65,17 @@ def graph_leg(plans: DataFrame, entities: DataFrame, relates: DataFrame, mention
         .when((F.col("template") == "co_mentioned") & one.isNotNull(), "co_mentioned")
         .when(one.isNotNull(), "neighbors")
     )
-    known = known.withColumn("use", use)
+    known = materialize(known.withColumn("use", use), "plans")
     pick = lambda t, *c: known.filter(F.col("use") == t).select("query_id", *c)
-    found = [
-        graph.neighbors(pick("neighbors", one.alias("entity_id")), relates, r.per_hop_cap, r.max_paths),
-        graph.path_between(pick("path_between", one.alias("src_id"), two.alias("dst_id")), relates),
-        graph.entities_by_relation(pick("entities_by_relation", "relation_type"), relates, r.max_paths),
-        graph.co_mentioned(pick("co_mentioned", one.alias("entity_id")), mentions, r.max_paths, r.per_hop_cap),
-    ]
-    paths = reduce(DataFrame.unionByName, found).join(known.select("query_id", F.col("hops").alias("_h")), "query_id")
+    walks = {
+        "neighbors": lambda: graph.neighbors(pick("neighbors", one.alias("entity_id")), relates, r.per_hop_cap, r.max_paths),
+        "path_between": lambda: graph.path_between(pick("path_between", one.alias("src_id"), two.alias("dst_id")), relates),
+        "entities_by_relation": lambda: graph.entities_by_relation(pick("entities_by_relation", "relation_type"), relates, r.max_paths),
+        "co_mentioned": lambda: graph.co_mentioned(pick("co_mentioned", one.alias("entity_id")), mentions, r.max_paths, r.per_hop_cap),
+    }
+    # only the templates that some plan uses read the graph; without any, one that finds nothing
+    used = {row["use"] for row in known.select("use").distinct().collect()} - {None}  # four at most
+    paths = reduce(DataFrame.unionByName, [walk() for t, walk in walks.items() if t in (used or {"neighbors"})]).join(known.select("query_id", F.col("hops").alias("_h")), "query_id")
     return graph.best_paths(paths, F.least(F.col("_h"), F.lit(r.max_hops)), r.max_paths).drop("_h")
 
 

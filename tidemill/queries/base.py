@@ -41,16 +41,17 @@ def text_id(prefix: str, column: str):
 
 def relates(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem")
-    rows = lines.select(
+    # numbers are grouped, which are shorter than the ids made of them
+    rows = lines.groupBy("l_suppkey", "l_partkey", "l_returnflag", "l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("quantity"))
+    return rows.select(
         text_id("S", "l_suppkey").alias("src_id"),
         text_id("P", "l_partkey").alias("dst_id"),
         F.concat(F.lit("SUPPLIES_"), "l_returnflag").alias("type"),
-        (F.col("l_quantity") / 50).alias("confidence"),
+        (F.col("quantity") / 50).alias("confidence"),
         text_id("o", "l_orderkey").alias("chunk_id"),
         F.concat(F.lit("d"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("doc_id"),
+        F.lit(None).cast("string").alias("evidence_span"),
     )
-    rows = rows.groupBy("src_id", "dst_id", "type", "chunk_id", "doc_id").agg(F.min("confidence").alias("confidence"))
-    return rows.select("src_id", "dst_id", "type", "confidence", "chunk_id", "doc_id", F.lit(None).cast("string").alias("evidence_span"))
 
 
 RELATES = """relates AS (
