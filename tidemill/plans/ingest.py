@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.identity import chunk_id, content_hash
+from ..functions.identity import content_hash, uuid_of
 from ..functions.text import normalize_display
 from ..operators import ledger as ledgers
 from ..operators import provenance, tables
 from ..operators.chunking import chunk
+from ..session import small_batches
 from ..shared import materialize
 from ..operators.search import term_frequencies
 
@@ -42,7 +43,7 @@ def empty_corpus(spark) -> Corpus:
 def named_chunks(documents: DataFrame, settings: Settings) -> DataFrame:
     """Each document's distinct chunks: doc_id, uri, chunk_id, content_hash, ord, place, text."""
     display = documents.withColumn("text", normalize_display(F.col("text")))
-    cut = chunk(display, settings.chunking).withColumn("content_hash", content_hash(F.col("text"))).withColumn("chunk_id", chunk_id(F.col("text")))
+    cut = chunk(display, settings.chunking).withColumn("content_hash", content_hash(F.col("text"))).withColumn("chunk_id", uuid_of(F.col("content_hash")))
     return provenance.renumbered(cut)
 
 
@@ -53,6 +54,7 @@ def added(corpus: Corpus, documents: DataFrame, embed: Callable[[Column], Column
     document, whether it has chunks or not, walks every state of the ledger on its way to INDEXED.
     """
     settings, now = settings or Settings(), now if now is not None else F.current_timestamp()
+    small_batches(documents.sparkSession)
     ledger, marked = ledgers.register(corpus.ledger, documents.select("doc_id", "uri", "sha256", "mime_type"), now)
     inserted = marked.filter("inserted").select("doc_id", "uri")
     fresh = documents.join(inserted, ["doc_id", "uri"], "left_semi")

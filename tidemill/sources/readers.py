@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import share_package
+from ..session import share_package, small_batches
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     share_package(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
