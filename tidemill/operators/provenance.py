@@ -21,6 +21,12 @@ def renumbered(chunks: DataFrame) -> DataFrame:
     return first_occurrences(chunks).withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1)
 
 
+def occurrences(chunks: DataFrame) -> DataFrame:
+    """Every chunk with ``nth``, which counts the places of a chunk within its document from 1; ord is that of ``renumbered`` where nth is 1."""
+    placed = chunks.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "chunk_id").orderBy("ord")))
+    return placed.withColumn("ord", F.count_if(F.col("nth") == 1).over(Window.partitionBy("doc_id").orderBy("ord")).cast("int") - 1)
+
+
 def register_sources(registry: DataFrame, rows: DataFrame) -> DataFrame:
     return tables.insert_if_absent(registry, rows, ["chunk_id", "doc_id"], ["char_start", "char_end"])
 

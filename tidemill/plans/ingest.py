@@ -26,7 +26,8 @@ class Corpus:
     ledger: DataFrame
     chunks: DataFrame  # chunk_id, text, content_hash, schema_version, dense
     terms: DataFrame  # chunk_id, term, tf
-    registry: DataFrame  # chunk_id, doc_id, uri, page, char_start, char_end, ingested_at
+    registry: DataFrame  # chunk_id, doc_id, uri, page, char_start, char_end, ingested_at: the first place of a chunk in a document
+    repeats: DataFrame  # chunk_id, doc_id, page, char_start, char_end: its further places in that document
     version: int = 0
 
 
@@ -35,20 +36,20 @@ TERM_TABLE = "chunk_id string, term string, tf double"
 
 
 def empty_corpus(spark) -> Corpus:
-    from ..schemas import CHUNK_SOURCES, LEDGER
+    from ..schemas import CHUNK_REPEATS, CHUNK_SOURCES, LEDGER
 
-    return Corpus(*(spark.createDataFrame([], s) for s in (LEDGER, CHUNK_TABLE, TERM_TABLE, CHUNK_SOURCES)))
+    return Corpus(*(spark.createDataFrame([], s) for s in (LEDGER, CHUNK_TABLE, TERM_TABLE, CHUNK_SOURCES, CHUNK_REPEATS)))
 
 
 def named_chunks(documents: DataFrame, settings: Settings) -> DataFrame:
-    """Each document's distinct chunks: doc_id, uri, chunk_id, content_hash, ord, place, text."""
+    """Each document's chunks: doc_id, uri, chunk_id, content_hash, ord, nth, place, text; a repeat within the document has no text."""
     display = documents.withColumn("text", normalize_display(F.col("text")))
     cut = chunk(display, settings.chunking).withColumn("content_hash", content_hash(F.col("text"))).withColumn("chunk_id", uuid_of(F.col("content_hash")))
-    return provenance.renumbered(cut)
+    return provenance.occurrences(cut).withColumn("text", F.when(F.col("nth") == 1, F.col("text")))
 
 
 def added(corpus: Corpus, documents: DataFrame, embed: Callable[[Column], Column], settings: Settings | None = None, now: Column | None = None) -> Corpus:
-    """What ``ingest`` adds: new chunks, terms and sources alone, and the whole next ledger.
+    """What ``ingest`` adds: new chunks, terms, sources and repeats alone, and the whole next ledger.
 
     Documents whose content is known are left alone.  A chunk is embedded once however many documents hold it.  A new
     document, whether it has chunks or not, walks every state of the ledger on its way to INDEXED.
@@ -58,7 +59,8 @@ def added(corpus: Corpus, documents: DataFrame, embed: Callable[[Column], Column
     ledger, marked = ledgers.register(corpus.ledger, documents.select("doc_id", "uri", "sha256", "mime_type"), now)
     inserted = marked.filter("inserted").select("doc_id", "uri")
     fresh = documents.join(inserted, ["doc_id", "uri"], "left_semi")
-    own = materialize(named_chunks(fresh.drop("mime_type", "sha256"), settings), "chunks-of-documents")
+    placed = materialize(named_chunks(fresh.drop("mime_type", "sha256"), settings), "chunks-of-documents")
+    own, repeats = placed.filter("nth = 1"), placed.filter("nth > 1")
     unseen = tables.new_rows(corpus.chunks, own.select("chunk_id", "text", "content_hash"), ["chunk_id"], ["text"])
     unseen = materialize(unseen.select("chunk_id", "text", "content_hash", F.lit(1).alias("schema_version"), embed(F.col("text")).alias("dense")), "new-chunks")
     sources = own.select("chunk_id", "doc_id", "uri", "page", "char_start", "char_end", now.alias("ingested_at"))
@@ -68,6 +70,7 @@ def added(corpus: Corpus, documents: DataFrame, embed: Callable[[Column], Column
         unseen,
         materialize(term_frequencies(unseen), "new-terms"),
         materialize(sources.select(*corpus.registry.columns), "new-sources"),
+        repeats.select(*corpus.repeats.columns),
         corpus.version + 1,
     )
 
@@ -78,7 +81,7 @@ def ingest(corpus: Corpus, documents: DataFrame, embed: Callable[[Column], Colum
     Running it again with the same documents changes nothing but the version.
     """
     new = added(corpus, documents, embed, settings, now)
-    return replace(new, chunks=corpus.chunks.unionByName(new.chunks), terms=corpus.terms.unionByName(new.terms), registry=corpus.registry.unionByName(new.registry))
+    return replace(new, chunks=corpus.chunks.unionByName(new.chunks), terms=corpus.terms.unionByName(new.terms), registry=corpus.registry.unionByName(new.registry), repeats=corpus.repeats.unionByName(new.repeats))
 
 
 def delete(corpus: Corpus, doc_id: str, now: Column | None = None) -> Corpus:
@@ -88,7 +91,7 @@ def delete(corpus: Corpus, doc_id: str, now: Column | None = None) -> Corpus:
     registry = materialize(registry)
     gone = materialize(provenance.orphans(touched, registry))
     change = corpus.ledger.filter(F.col("doc_id") == doc_id).select("doc_id", F.lit("DELETING").alias("status"), F.lit(None).cast("string").alias("error_code"))
-    return replace(corpus, ledger=materialize(ledgers.set_status(corpus.ledger, change, now)), chunks=tables.delete_ids(corpus.chunks, gone, "chunk_id"), terms=tables.delete_ids(corpus.terms, gone, "chunk_id"), registry=registry, version=corpus.version + 1)
+    return replace(corpus, ledger=materialize(ledgers.set_status(corpus.ledger, change, now)), chunks=tables.delete_ids(corpus.chunks, gone, "chunk_id"), terms=tables.delete_ids(corpus.terms, gone, "chunk_id"), registry=registry, repeats=provenance.remove_document(corpus.repeats, doc_id)[0], version=corpus.version + 1)
 
 
 def reindex(corpus: Corpus) -> tuple[DataFrame, DataFrame]:

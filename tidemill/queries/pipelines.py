@@ -45,8 +45,10 @@ def P1_ingest(spark, d):
     (docs,) = load(spark, d, "documents")
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_id("doc:", "doc_id").alias("uri"), "text", F.lit("text/plain").alias("mime_type"), F.sha2("text", 256).alias("sha256"))
     corpus = ingest(empty_corpus(spark), rows, hash_embedder(), Settings(), F.timestamp_seconds(F.lit(0)))
-    spans = corpus.registry.groupBy("doc_id").agg(F.min("char_start").alias("first"), F.max("char_end").alias("last"))
-    return corpus.ledger.join(spans, "doc_id").select("sha256", "first", "last", "status")
+    places = corpus.registry.select("doc_id", "char_start", "char_end").unionByName(corpus.repeats.select("doc_id", "char_start", "char_end"))
+    spans = places.groupBy("doc_id").agg(F.min("char_start").alias("first"), F.max("char_end").alias("last"))
+    texts = corpus.ledger.filter(F.col("sha256") != F.sha2(F.lit(""), 256)).join(spans, "doc_id", "left")  # control characters alone give no chunk
+    return texts.select("sha256", F.coalesce("first", F.lit(0)).alias("first"), F.coalesce("last", F.lit(0)).alias("last"), "status")
 
 
 def first_letters(role, request):

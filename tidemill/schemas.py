@@ -14,6 +14,7 @@ SOURCE = "struct<doc_id: string, uri: string, page: int, char_start: int, char_e
 LEDGER = "doc_id string, uri string, sha256 string, mime_type string, status string, error_code string, attempts int, corpus_version long, created_at timestamp, updated_at timestamp"
 CHUNKS = "chunk_id string, text string, content_hash string, schema_version int"
 CHUNK_SOURCES = "chunk_id string, doc_id string, uri string, page int, char_start int, char_end int, ingested_at timestamp"
+CHUNK_REPEATS = "chunk_id string, doc_id string, page int, char_start int, char_end int"
 HAS_CHUNK = "doc_id string, chunk_id string, ord int, page int, char_start int, char_end int"
 MENTIONS = "chunk_id string, surface string, type string, char_start int, char_end int, confidence double, entity_id string"
 RELATIONS_RAW = "chunk_id string, src_surface string, dst_surface string, type string, confidence double, evidence_span string"

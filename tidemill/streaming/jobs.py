@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..plans.ingest import CHUNK_TABLE, TERM_TABLE, Corpus, added
-from ..schemas import CHUNK_SOURCES, LEDGER
+from ..schemas import CHUNK_REPEATS, CHUNK_SOURCES, LEDGER
 from ..sources.readers import Snapshots
 
 ARRIVALS = "doc_id string, uri string, text string, mime_type string, sha256 string"
 #: Tables that only grow: a batch writes what it adds.
-GROWING = {"chunks": CHUNK_TABLE, "terms": TERM_TABLE, "registry": CHUNK_SOURCES}
+GROWING = {"chunks": CHUNK_TABLE, "terms": TERM_TABLE, "registry": CHUNK_SOURCES, "repeats": CHUNK_REPEATS}
 #: Ledgers kept for readers that began before the last batch.
 KEPT = 10
 
