@@ -29,6 +29,8 @@ TEXT_BYTES = 8 << 20
 #: Bytes of a wave of query vectors that is sent to the points, and of a block of it.
 QUERY_BYTES = 16 << 20
 BLOCK_BYTES = 2 << 20
+#: Pairs whose nearness is computed at once in a task, and picked pairs that are scored again at once.
+PAIRS, PICKED = 1 << 19, 1 << 14
 
 
 def query_slices(queries: DataFrame, rows: int = QUERY_ROWS) -> list[DataFrame]:
@@ -75,23 +77,27 @@ def _block_top_k(k: int, query: pa.DataType, key: pa.DataType):
         for batch in batches:
             for block, queries, keys, vectors in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), strict=True):
                 if block not in held:
-                    matrix = _matrix(queries.values.field("vector"))
-                    held[block] = queries.values.field("query_id"), matrix, np.sqrt((matrix * matrix).sum(axis=1))
+                    matrix = _matrix(queries.values.field("vector")).copy()  # a view would keep the whole batch, points and all
+                    held[block] = queries.values.field("query_id").take(pa.array(np.arange(len(matrix)))), matrix, np.sqrt((matrix * matrix).sum(axis=1))
                 _, matrix, lengths = held[block]
                 points = _matrix(vectors.values, matrix.shape[1])
                 norms = np.sqrt((points * points).sum(axis=1))
                 parts = [best[block]] if block in best else []
-                for a in range(0, len(matrix), 256):
-                    part, own = matrix[a : a + 256], lengths[a : a + 256]
-                    scale = own[:, None] * norms[None, :]
-                    near = np.divide(part @ points.T, scale, out=np.zeros(scale.shape), where=scale > 0)
+                step = max(1, min(256, PAIRS // len(points)))
+                for a in range(0, len(matrix), step):
+                    part, own = matrix[a : a + step], lengths[a : a + step]
+                    near, scale = part @ points.T, own[:, None] * norms[None, :]
+                    near[~(scale > 0)] = 0
+                    np.divide(near, scale, out=near, where=scale > 0)
+                    del scale
                     at = max(near.shape[1] - k, 0)
                     i, j = np.nonzero(near >= np.partition(near, at, axis=1)[:, at, None] - 1e-9)
+                    del near
                     exact = np.zeros(len(i))
-                    for c in range(0, len(i), 100_000):
-                        x, y = i[c : c + 100_000], j[c : c + 100_000]
+                    for c in range(0, len(i), PICKED):
+                        x, y = i[c : c + PICKED], j[c : c + PICKED]
                         product = own[x] * norms[y]
-                        exact[c : c + 100_000] = np.divide((part[x] * points[y]).sum(axis=1), product, out=np.zeros(len(x)), where=product > 0)
+                        exact[c : c + PICKED] = np.divide((part[x] * points[y]).sum(axis=1), product, out=np.zeros(len(x)), where=product > 0)
                     parts.append(_best(pa.table({"query": pa.array(a + i, pa.int64()), "score": exact, "key": keys.values.take(pa.array(j))}), k))
                 best[block] = _best(pa.concat_tables(parts), k)
         for block, rows in best.items():
