@@ -81,9 +81,10 @@ def path_between(pairs: DataFrame, relates: DataFrame) -> DataFrame:
 def entities_by_relation(types: DataFrame, relates: DataFrame, max_paths: int = 40) -> DataFrame:
     """``types`` (query_id, relation_type): the strongest directed edges of a type, which are found once for all queries that ask for it."""
     best = relates.join(tables.sent(types.select(F.col("relation_type").alias("type")).distinct()), "type", "left_semi")
-    best = ranked(best, [F.desc("confidence"), "src_id", "dst_id", "chunk_id", "doc_id"], ("type",), max_paths, "path_rank")
+    order = [F.desc("confidence"), *[F.asc_nulls_last(c) for c in ("src_id", "dst_id", "chunk_id", "doc_id")]]
+    best = ranked(best, order, ("type",), max_paths, "path_rank")
     found = types.join(best, F.col("relation_type") == F.col("type"))
-    found = ranked(found.drop("path_rank"), [F.desc("confidence"), "src_id", "dst_id", "chunk_id", "doc_id"], top=max_paths, name="path_rank")  # of all types of a query
+    found = ranked(found.drop("path_rank"), order, top=max_paths, name="path_rank")  # of all types of a query
     return found.select("query_id", "path_rank", F.array("src_id", "dst_id").alias("nodes"), F.array("chunk_id").alias("chunk_ids"), F.lit(1).alias("hops"), F.col("confidence").alias("score"))
 
 

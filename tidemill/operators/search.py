@@ -63,31 +63,42 @@ def _best(found: pa.Table, k: int) -> pa.Table:
     return found.filter(pa.array(np.arange(len(query)) - np.searchsorted(query, query) < k))
 
 
-def _block_top_k(k: int, query: pa.DataType, key: pa.DataType):
+def _cosines(dots: np.ndarray, a: np.ndarray, b: np.ndarray, empty: float) -> np.ndarray:
+    """Cosines of dot products and squared norms; ``empty`` where either is 0.  Where their product leaves the range of doubles, by two roots."""
+    with np.errstate(over="ignore", under="ignore"):
+        product = a * b
+    plain = (product > 1e-290) & (product < np.inf)
+    scale = np.where(plain, np.sqrt(product), np.sqrt(a) * np.sqrt(b))
+    return np.where(scale > 0, np.clip(np.divide(dots, scale, out=np.zeros(len(dots)), where=scale > 0), -1.0, 1.0), empty)
+
+
+def _block_top_k(k: int, query: pa.DataType, key: pa.DataType, empty: float = 0.0):
     """Blocks of points met by blocks of queries (block, queries, keys, vectors): each query's k most similar points of the task.
 
     A matrix product finds who can be among them; their scores are computed again pair by pair, so that equal vectors have
-    equal scores wherever they stand, and ties go to the smaller key.
+    equal scores wherever they stand, and ties go to the smaller key.  A score is the dot product over one root of the product of the
+    squared norms, from -1 to 1: counted letters, whose sums are exact, have the very doubles of SQL, so that vectors of one direction
+    rank as SQL ranks them.
     """
     schema = pa.schema([("query_id", query), ("key", key), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[pa.Array, np.ndarray, np.ndarray]] = {}
+        held: dict[int, tuple[pa.Array, np.ndarray, np.ndarray]] = {}  # query ids, vectors and squared norms of a block
         best: dict[int, pa.Table] = {}
         for batch in batches:
             for block, queries, keys, vectors in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), strict=True):
                 if block not in held:
                     matrix = _matrix(queries.values.field("vector")).copy()  # a view would keep the whole batch, points and all
-                    held[block] = queries.values.field("query_id").take(pa.array(np.arange(len(matrix)))), matrix, np.sqrt((matrix * matrix).sum(axis=1))
-                _, matrix, lengths = held[block]
+                    held[block] = queries.values.field("query_id").take(pa.array(np.arange(len(matrix)))), matrix, (matrix * matrix).sum(axis=1)
+                _, matrix, squares = held[block]
                 points = _matrix(vectors.values, matrix.shape[1])
-                norms = np.sqrt((points * points).sum(axis=1))
+                norms = (points * points).sum(axis=1)
                 parts = [best[block]] if block in best else []
                 step = max(1, min(256, PAIRS // len(points)))
                 for a in range(0, len(matrix), step):
-                    part, own = matrix[a : a + step], lengths[a : a + step]
-                    near, scale = part @ points.T, own[:, None] * norms[None, :]
-                    near[~(scale > 0)] = 0
+                    part, own = matrix[a : a + step], squares[a : a + step]
+                    near, scale = part @ points.T, np.sqrt(own)[:, None] * np.sqrt(norms)[None, :]
+                    near[~(scale > 0)] = empty
                     np.divide(near, scale, out=near, where=scale > 0)
                     del scale
                     at = max(near.shape[1] - k, 0)
@@ -96,8 +107,7 @@ def _block_top_k(k: int, query: pa.DataType, key: pa.DataType):
                     exact = np.zeros(len(i))
                     for c in range(0, len(i), PICKED):
                         x, y = i[c : c + PICKED], j[c : c + PICKED]
-                        product = own[x] * norms[y]
-                        exact[c : c + PICKED] = np.divide((part[x] * points[y]).sum(axis=1), product, out=np.zeros(len(x)), where=product > 0)
+                        exact[c : c + PICKED] = _cosines((part[x] * points[y]).sum(axis=1), own[x], norms[y], empty)
                     parts.append(_best(pa.table({"query": pa.array(a + i, pa.int64()), "score": exact, "key": keys.values.take(pa.array(j))}), k))
                 best[block] = _best(pa.concat_tables(parts), k)
         for block, rows in best.items():
@@ -107,14 +117,14 @@ def _block_top_k(k: int, query: pa.DataType, key: pa.DataType):
     return run
 
 
-def dense_top_k(queries: DataFrame, points: DataFrame, k: int, filters: dict | None = None, group_filter: Column | None = None, key: str = "chunk_id", vector: str = "dense", min_score: float | None = None, same: str | None = None) -> DataFrame:
+def dense_top_k(queries: DataFrame, points: DataFrame, k: int, filters: dict | None = None, group_filter: Column | None = None, key: str = "chunk_id", vector: str = "dense", min_score: float | None = None, same: str | None = None, empty: float = 0.0) -> DataFrame:
     """``queries`` (query_id, vector) against ``points``: query_id, key, score, rank of the k most similar.
 
     Filters hold before ranking, ``min_score`` after it.  Points are packed into blocks where they lie and never shuffled; blocks of
     queries go to them, a bounded wave at a time and each wave as a job, and a task sends k points of a query at most.  No query comes
     to the driver but in a wave that Spark broadcasts.  Points without a vector are not found.  ``same`` names a column in which query
     and point must agree.  ``group_filter`` may compare any ``q_`` columns of the query with columns of the point; its work is that of
-    all pairs that it lets through.
+    all pairs that it lets through.  Without both, ``empty`` is the score of pairs of which one has no length.
     """
     points = payload_filter(points, filters or {})
     small_batches(points.sparkSession)
@@ -142,7 +152,7 @@ def dense_top_k(queries: DataFrame, points: DataFrame, k: int, filters: dict | N
         for wave in range(waves):
             part = rows.filter(F.col("block") % waves == wave).groupBy("block").agg(F.collect_list(F.struct("query_id", "vector")).alias("queries"))
             met = packed.crossJoin(F.broadcast(part)).select("block", "queries", "keys", "vectors")
-            got = ranked(met.mapInArrow(_block_top_k(k, to_arrow_type(types[1]), to_arrow_type(types[0])), out).withColumnRenamed("key", key), [F.desc("score"), key], top=k)
+            got = ranked(met.mapInArrow(_block_top_k(k, to_arrow_type(types[1]), to_arrow_type(types[0]), empty), out).withColumnRenamed("key", key), [F.desc("score"), key], top=k)
             got = materialize(got, "wave") if waves > 1 else got
             found = got if found is None else found.unionByName(got)
     else:
@@ -197,12 +207,12 @@ def sparse_top_k(query_terms: DataFrame, terms: DataFrame, idf: DataFrame, k: in
     return postings.top_k(weighted, postings.build(terms, key) if index is None else index, k, key, allowed)
 
 
-def hybrid_search(dense_queries: DataFrame, query_terms: DataFrame, points: DataFrame, terms: DataFrame, idf: DataFrame, top_k: int = 20, prefetch: int = 50, rrf_k: int = 60, weights: dict[str, float] | None = None, filters: dict | None = None, key: str = "chunk_id", index: DataFrame | None = None) -> DataFrame:
+def hybrid_search(dense_queries: DataFrame, query_terms: DataFrame, points: DataFrame, terms: DataFrame, idf: DataFrame, top_k: int = 20, prefetch: int = 50, rrf_k: int = 60, weights: dict[str, float] | None = None, filters: dict | None = None, key: str = "chunk_id", index: DataFrame | None = None, empty: float = 0.0) -> DataFrame:
     """Both branches under the same filters, fused by rank: query_id, key, score, best_rank, rank."""
     weights = weights or {}
     if set(weights) - {"dense", "sparse"}:
         raise ValidationError(f"unknown branches: {sorted(set(weights) - {'dense', 'sparse'})}")
-    dense = dense_top_k(dense_queries, points, prefetch, filters, key=key)
+    dense = dense_top_k(dense_queries, points, prefetch, filters, key=key, empty=empty)
     allowed = payload_filter(points, filters).select(key) if filters else None
     sparse = sparse_top_k(query_terms, terms, idf, prefetch, allowed, key, index)
     return fuse([dense, sparse], rrf_k, [weights.get("dense", 1.0), weights.get("sparse", 1.0)], top_k, key=key)

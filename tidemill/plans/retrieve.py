@@ -20,13 +20,13 @@ from ..shared import materialize
 from .ingest import Corpus
 
 
-def vector_leg(queries: DataFrame, corpus: Corpus, idf: DataFrame, embed: Callable[[Column], Column], settings: Settings, filters: dict | None = None) -> DataFrame:
-    """``queries`` (query_id, query): chunk_id, score and dense rank from 1 of the best chunks.  Blank queries find none."""
+def vector_leg(queries: DataFrame, corpus: Corpus, idf: DataFrame, embed: Callable[[Column], Column], settings: Settings, filters: dict | None = None, empty: float = 0.0) -> DataFrame:
+    """``queries`` (query_id, query): chunk_id, score and dense rank from 1 of the best chunks.  Blank queries find none; for ``empty`` see ``dense_top_k``."""
     real = queries.filter(F.trim("query") != "")
     dense = real.select("query_id", embed(query_text(F.col("query"), settings.embedding)).alias("vector"))
     terms = real.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("double").alias("tf"))
     r = settings.retrieval
-    found = hybrid_search(dense, terms, corpus.chunks, corpus.terms, idf, r.top_k, r.prefetch_limit, r.rrf_k, None, filters)
+    found = hybrid_search(dense, terms, corpus.chunks, corpus.terms, idf, r.top_k, r.prefetch_limit, r.rrf_k, None, filters, empty=empty)
     return ranked(found.drop("rank"), [F.desc("score"), "chunk_id"]).select("query_id", "chunk_id", "score", "rank")
 
 
@@ -109,17 +109,18 @@ def leg(made: Callable[[], DataFrame], shape: str, spark) -> tuple[DataFrame, bo
     return spark.createDataFrame([], shape), False
 
 
-def retriever(corpus: Callable[[], tuple[Corpus, DataFrame]], graph_tables: Callable[[], tuple[DataFrame, DataFrame, DataFrame]], embed: Callable[[Column], Column], settings: Settings) -> Callable[[DataFrame], DataFrame]:
+def retriever(corpus: Callable[[], tuple[Corpus, DataFrame]], graph_tables: Callable[[], tuple[DataFrame, DataFrame, DataFrame]], embed: Callable[[Column], Column], settings: Settings, empty: float = 0.0) -> Callable[[DataFrame], DataFrame]:
     """What ``answer`` asks for its context: both legs over the stores, by each question's plan.
 
     ``corpus`` opens the store of chunks (a corpus and its inverse frequencies), ``graph_tables`` the graph (entities, relates,
     mentions).  A plan of strategy vector or graph uses one leg.  If a leg fails, its name is in ``degraded`` of the questions that
-    wanted it, and they go on with the other.  Chunks that the store no longer holds are left out of the context.
+    wanted it, and they go on with the other.  Chunks that the store no longer holds are left out of the context, one that it holds
+    twice is in it once.  ``empty`` is what vectors without length score.
     """
 
     def vectors(asked: DataFrame) -> DataFrame:
         held, idf = corpus()
-        return vector_leg(asked.filter("p.strategy <> 'graph'").select("query_id", F.col("active_query").alias("query")), held, idf, embed, settings)
+        return vector_leg(asked.filter("p.strategy <> 'graph'").select("query_id", F.col("active_query").alias("query")), held, idf, embed, settings, empty=empty)
 
     def paths(asked: DataFrame) -> DataFrame:
         plans = asked.filter("p.strategy <> 'vector'").select("query_id", "p.template", F.coalesce("p.seed_entities", F.array().cast("array<string>")).alias("seed_entities"), F.coalesce("p.hops", F.lit(1)).alias("hops"), "p.relation_type")
@@ -131,7 +132,8 @@ def retriever(corpus: Callable[[], tuple[Corpus, DataFrame]], graph_tables: Call
         rows = found.join(held.chunks.select("chunk_id", "text"), "chunk_id").join(sources, "chunk_id", "left")
         chunk = F.struct("rank", "chunk_id", F.col("s.doc_id").alias("doc_id"), F.col("s.uri").alias("uri"), "text")
         lists = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(chunk)).alias("chunks"))  # at most final_top_k a question
-        return lists.select("query_id", F.to_json("chunks").alias("fused"))
+        once = F.filter("chunks", lambda c, i: ~c["rank"].eqNullSafe(F.get("chunks", i - 1)["rank"]))
+        return lists.select("query_id", F.to_json(once).alias("fused"))
 
     def retrieve(asked: DataFrame) -> DataFrame:
         spark = asked.sparkSession
